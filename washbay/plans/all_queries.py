@@ -1,3 +1,4 @@
 """Import every query module so its queries register."""
 
 from washbay.plans import report_queries  # noqa: F401
+from washbay.plans import intake_queries  # noqa: F401

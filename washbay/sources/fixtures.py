@@ -66,10 +66,54 @@ SELECT event_id AS seq, ts, event_id % 15000 AS order_id,
     "booking_requests": """
 SELECT o_orderkey AS order_id, c_name AS name, lpad(CAST(c_custkey AS STRING),10,'9') AS phone,
  CASE o_orderkey % 3 WHEN 0 THEN 'Bike' WHEN 1 THEN 'Hatch/Sedan' ELSE 'SUV' END AS vehicle,
- coalesce(concat(p_name,' ',CAST(p_partkey AS STRING)), 'none') AS service,
+ CASE WHEN p_partkey IS NULL THEN 'none' ELSE concat(p_name,' ',CAST(p_partkey AS STRING)) END AS service,
  CASE o_orderkey % 2 WHEN 0 THEN 'Home Visit' ELSE 'Wash Center' END AS visit
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey
 LEFT JOIN {part} ON p_partkey = o_orderkey % 2100""",
+    # raw booking requests with untidy text: padded names, formatted phones, ISO
+    # date-times, impossible dates, 1-digit/24:00/"noon" times, empty places
+    "raw_requests": """
+SELECT o_orderkey AS seq, concat('  ', c_name, ' ') AS name,
+ concat('+91 ', substr(lpad(CAST(c_custkey AS STRING),10,'9'),1,5), '-', substr(lpad(CAST(c_custkey AS STRING),10,'9'),6,5)) AS phone,
+ CASE o_orderkey % 3 WHEN 0 THEN 'Bike' WHEN 1 THEN 'Hatch/Sedan' ELSE 'SUV' END AS vehicle,
+ CASE WHEN o_orderkey % 17 = 0 THEN ' ' ELSE CASE WHEN p_partkey IS NULL THEN 'none' ELSE concat(p_name,' ',CAST(p_partkey AS STRING)) END END AS service,
+ CASE o_orderkey % 7 WHEN 4 THEN concat(substr(CAST(o_orderdate AS STRING),1,10),'T10:30:00')
+      WHEN 5 THEN '' WHEN 6 THEN '2001-02-29' ELSE substr(CAST(o_orderdate AS STRING),1,10) END AS date,
+ CASE o_orderkey % 6 WHEN 0 THEN '9:05' WHEN 1 THEN '24:00' WHEN 2 THEN ' 10:00 ' WHEN 3 THEN '20:01'
+      WHEN 4 THEN 'noon' ELSE concat(lpad(CAST(o_orderkey % 24 AS STRING),2,'0'),':',lpad(CAST(o_orderkey % 60 AS STRING),2,'0')) END AS time,
+ CASE o_orderkey % 4 WHEN 0 THEN 'Home Visit' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE 'Wash Center' END AS visit,
+ CASE WHEN o_orderkey % 2 = 0 THEN concat(' ', c_mktsegment, ' street ') END AS address
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey
+LEFT JOIN {part} ON p_partkey = o_orderkey % 2100""",
+    # staff edits priced by the fixed matrix: explicit, empty and missing prices
+    "edit_requests": """
+SELECT o_orderkey AS order_id,
+ CASE o_orderkey % 3 WHEN 0 THEN 'Bike' WHEN 1 THEN 'Hatch/Sedan' ELSE 'SUV' END AS vehicle,
+ CASE o_orderkey % 4 WHEN 0 THEN 'Basic' WHEN 1 THEN 'Premium' WHEN 2 THEN 'Detailing' ELSE 'Polish' END AS service,
+ CASE o_orderkey % 5 WHEN 0 THEN 'Home Visit' WHEN 1 THEN '' ELSE 'Wash Center' END AS visit,
+ CASE o_orderkey % 6 WHEN 0 THEN CAST(floor(o_totalprice) AS STRING) WHEN 1 THEN ''
+      WHEN 2 THEN concat(' ', CAST(o_orderkey % 500 AS STRING), 'rs') WHEN 3 THEN 'free' END AS price
+FROM {orders}""",
+    # ownership-checked changes: (order_id, phone) pairs, some not matching
+    "change_requests": """
+SELECT event_id AS seq, ts, event_id % 15000 AS order_id,
+ lpad(CAST(CASE WHEN event_id % 4 = 0 THEN user_id ELSE user_id * 10 END AS STRING),10,'9') AS phone,
+ CASE event_type WHEN 'error' THEN 'cancel' WHEN 'purchase' THEN 'complete' ELSE 'edit' END AS action,
+ CAST(floor(value) AS INT) AS price
+FROM {events}""",
+    # login attempts keyed by phone, by username or by unknown text
+    "login_events": """
+SELECT event_id AS seq, ts,
+ CASE event_id % 3 WHEN 0 THEN lpad(CAST(user_id AS STRING),10,'9') WHEN 1 THEN concat('u',CAST(user_id AS STRING))
+      ELSE concat('guest', CAST(user_id AS STRING)) END AS login
+FROM {events}""",
+    # site settings rows with JSON galleries, some malformed
+    "settings": """
+SELECT p_partkey AS id, p_brand AS primary_color, p_type AS tagline,
+ CASE WHEN p_partkey % 7 = 0 THEN concat('[', p_name)
+      WHEN p_partkey % 11 = 0 THEN NULL
+      ELSE concat('["', p_name, '.jpg","', p_brand, '.png"]') END AS gallery_json
+FROM {part}""",
 }
 
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
