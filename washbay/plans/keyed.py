@@ -25,10 +25,24 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from washbay.session import ensure_checkpoint_dir
+
 _SHIFT = 33   # monotonically_increasing_id = partition id << 33 | position in partition
 U_PREC, U_FOLL = Window.unboundedPreceding, Window.unboundedFollowing
 
 
+def frozen_layout(df: DataFrame) -> DataFrame:
+    """Write the partitioned, sorted rows once to the shared checkpoint folder.
+
+    Both the per-row branch and the per-partition summary branch must see the
+    same partitions in the same order. Re-evaluating a range partitioning is not
+    guaranteed to give that (its sample depends on upstream row order, which a
+    shuffle does not fix), and a lost executor would recompute it the same way.
+    A reliable checkpoint pins the layout and cuts the lineage."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 @dataclass
 class Scan:
     out: str
@@ -50,7 +64,7 @@ def keyed_scan(df: DataFrame, keys: list[str], order: list, scans: list[Scan],
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     okeys = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
-    tagged = (df.repartitionByRange(n, *okeys).sortWithinPartitions(*okeys)
+    tagged = (frozen_layout(df.repartitionByRange(n, *okeys).sortWithinPartitions(*okeys))
                 .withColumn("_mid", F.monotonically_increasing_id())
                 .withColumn("_pid", F.shiftright(F.col("_mid"), _SHIFT))
                 .withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid"), _SHIFT))

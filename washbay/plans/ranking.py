@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from washbay.plans.keyed import frozen_layout
+
 _PID_SHIFT = 33   # monotonically_increasing_id = partition id << 33 | row in partition
 
 
@@ -24,7 +26,7 @@ def dense_index(df: DataFrame, order_cols: list, out: str = "rn",
     order for a deterministic result)."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    ordered = frozen_layout(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols))
     mid = F.monotonically_increasing_id()
     tagged = ordered.withColumn("_mid", mid).withColumn("_pid", F.shiftright(F.col("_mid"), _PID_SHIFT))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

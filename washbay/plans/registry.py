@@ -26,8 +26,9 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
-def sql_with(fixtures: list[str] | tuple[str, ...], body: str, **ctes: str) -> str:
-    """DuckDB text: fixture adapters and extra CTEs, then ``body``."""
+def sql_with(fixtures: list[str] | tuple[str, ...], body: str, recursive: bool = False, **ctes: str) -> str:
+    """DuckDB text: fixture adapters and extra CTEs (in order), then ``body``."""
     parts = [f"{n} AS ({duck_sql(n)})" for n in fixtures]
     parts += [f"{n} AS ({q})" for n, q in ctes.items()]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return (head + ",\n".join(parts) + "\n" if parts else "") + body
