@@ -114,6 +114,55 @@ SELECT p_partkey AS id, p_brand AS primary_color, p_type AS tagline,
       WHEN p_partkey % 11 = 0 THEN NULL
       ELSE concat('["', p_name, '.jpg","', p_brand, '.png"]') END AS gallery_json
 FROM {part}""",
+    # catalogue change batch: updates, repeated inserts per brand, blank names, messy text
+    "catalog_changes": """
+SELECT p_partkey AS seq,
+ CASE p_partkey % 3 WHEN 1 THEN concat(p_brand, ' pack')
+      ELSE CASE WHEN p_partkey % 30 = 2 THEN '  ' ELSE concat(p_name,' ',CAST(p_partkey AS STRING)) END END AS name,
+ concat(CAST(p_size AS STRING), ' rs') AS bike,
+ CASE WHEN p_partkey % 2 = 0 THEN 'n/a' ELSE CAST(p_partkey AS STRING) END AS sedan,
+ CAST(NULL AS STRING) AS suv,
+ CASE p_partkey % 4 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' WHEN 2 THEN NULL ELSE 'maybe' END AS visible,
+ concat(' ', p_type, ' ') AS description
+FROM {part}""",
+    # renames: to a fresh name, to a name already taken, from a missing original
+    "catalog_renames": """
+SELECT p_partkey AS seq, concat(p_name,' ',CAST(p_partkey AS STRING)) AS original_name,
+ CASE p_partkey % 3 WHEN 0 THEN concat(p_name,' ',CAST(p_partkey AS STRING),' v2')
+      WHEN 1 THEN concat(p_name,' ',CAST(p_partkey + 1 AS STRING))
+      ELSE concat(p_name,' ',CAST(p_partkey AS STRING)) END AS name,
+ CAST(p_size AS STRING) AS bike, CAST(NULL AS STRING) AS sedan, CAST(p_size * 2 AS STRING) AS suv,
+ 'yes' AS visible, p_type AS description
+FROM {part}""",
+    "settings_patch": """
+SELECT p_partkey AS seq, CASE WHEN p_partkey % 50 = 1 THEN p_partkey + 1000000 ELSE p_partkey END AS id,
+ CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE concat(p_brand, '-new') END AS primary_color,
+ concat('new ', p_type) AS tagline, CAST(NULL AS STRING) AS gallery_json
+FROM {part}""",
+    "employee_actions": """
+SELECT event_id AS seq, ts, concat('u', CAST(user_id AS STRING)) AS username,
+ CASE event_type WHEN 'error' THEN 'suspend' WHEN 'signup' THEN 'activate' ELSE 'promote' END AS action
+FROM {events} WHERE event_type IN ('error', 'signup', 'click')""",
+    "price_sheet": """
+SELECT p_partkey AS id, p_name AS name, p_type AS description, CAST(p_size AS INT) AS bike,
+ CAST(NULL AS INT) AS hatchback, CAST(floor(p_retailprice) AS INT) AS sedan, CAST(floor(p_retailprice) AS INT) + 50 AS suv,
+ CAST(NULL AS TIMESTAMP) AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at
+FROM {part}""",
+    "price_inserts": """
+SELECT c_custkey AS seq, CASE WHEN c_custkey % 10 = 0 THEN '' ELSE concat('pack ', c_name) END AS name,
+ CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS description, c_nationkey AS bike,
+ CAST(NULL AS INT) AS hatchback, CAST(floor(c_acctbal) AS INT) AS sedan, CAST(NULL AS INT) AS suv
+FROM {customer}""",
+    "replace_requests": """
+SELECT o_orderkey AS seq, o_orderkey * 2 AS order_id, concat(' ', c_name, ' ') AS name,
+ concat('+91-', lpad(CAST(c_custkey AS STRING),10,'9')) AS phone,
+ substr(CAST(o_orderdate AS STRING),1,10) AS date, ' 9:30 ' AS time,
+ CASE o_orderkey % 3 WHEN 0 THEN 'Bike' WHEN 1 THEN 'Hatch/Sedan' ELSE 'SUV' END AS vehicle,
+ CASE o_orderkey % 4 WHEN 0 THEN 'Basic' WHEN 1 THEN 'Premium' WHEN 2 THEN 'Detailing' ELSE 'Polish' END AS service,
+ CASE o_orderkey % 5 WHEN 0 THEN 'Home Visit' WHEN 1 THEN '' ELSE 'Wash Center' END AS visit,
+ concat(c_mktsegment, ' road') AS address,
+ CASE WHEN o_orderkey % 6 = 0 THEN CAST(o_orderkey % 900 AS STRING) END AS price
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
 }
 
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
