@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from washbay.functions.columns import expiry_date, expiry_months
 from washbay.operators.filters import ntz
+from washbay.plans.keyed import keyed_row_number
 from washbay.plans.ranking import small_side
 
 # fixed values: browser-side packs (washes, months)
@@ -29,10 +30,11 @@ def wash_ledger(memberships: DataFrame, washes: DataFrame, key: str = "membershi
     """Each use takes one wash while the balance is positive, otherwise it is
     rejected; ``balance_after`` is the running balance. Since the balance only
     decreases by one per accepted use, use number rn is accepted iff rn <= balance:
-    a row_number per membership, no row-by-row state."""
+    a row number per membership (skew-safe keyed scan, so one busy membership is
+    spread over several tasks), no row-by-row state."""
     bal = memberships.select(F.col("id").alias(key), F.col("remaining_washes").alias("_start"))
-    w = Window.partitionBy(key).orderBy(F.col("ts").asc_nulls_last(), F.col("seq"))
-    j = washes.join(bal, key, "left").withColumn("_rn", F.row_number().over(w))
+    numbered = keyed_row_number(washes, [key], [F.col("ts").asc_nulls_last(), F.col("seq")], "_rn")
+    j = numbered.join(bal, key, "left")
     start = F.coalesce(F.col("_start"), F.lit(0))
     return (j.withColumn("accepted", F.col("_rn") <= start)
              .withColumn("balance_after", F.greatest(start - F.col("_rn"), F.lit(0)).cast("int"))

@@ -463,3 +463,62 @@ SELECT CAST(id AS VARCHAR) AS id, name, phone, username, role, is_active, CAST(N
 def s7(spark, sf):
     users = fixture(spark, sf, "users").withColumn("password_hash", F.lit("x"))
     return S.load_operations(spark, {"users": users})["users"]
+
+
+# ---- W2 and the intake job (E2) ------------------------------------------------
+IDS_SQL = "SELECT DISTINCT order_id AS id FROM change_requests"
+
+
+def _ids(spark, sf):
+    return fixture(spark, sf, "change_requests").select("order_id")
+
+
+@register("w2_next_free_id", sql_with(["change_requests"], """
+SELECT min(c) AS id FROM (SELECT 1 AS c UNION ALL SELECT id + 1 FROM ids) x
+WHERE c >= 1 AND NOT EXISTS (SELECT 1 FROM ids WHERE ids.id = x.c)""", ids=IDS_SQL))
+def w2(spark, sf):
+    return I.next_free_ids(_ids(spark, sf), 1)
+
+
+@register("w2_next_free_ids_many", sql_with(["change_requests"], """
+SELECT s AS id FROM range(1, (SELECT COALESCE(max(id), 0) FROM ids) + 5002) t(s)
+WHERE NOT EXISTS (SELECT 1 FROM ids WHERE ids.id = t.s) ORDER BY s LIMIT 5000""", ids=IDS_SQL))
+def w2b(spark, sf):
+    return I.next_free_ids(_ids(spark, sf), 5000)
+
+
+E2_NOW = "2024-01-30 12:00:00"
+E2_CTES = {
+    "clean": P19_SQL,
+    "offers": """
+SELECT name AS svc, 'bike' AS k, bike AS base FROM catalog WHERE visible IS DISTINCT FROM false AND bike IS NOT NULL UNION ALL
+SELECT name, 'sedan', sedan FROM catalog WHERE visible IS DISTINCT FROM false AND sedan IS NOT NULL UNION ALL
+SELECT name, 'suv', suv FROM catalog WHERE visible IS DISTINCT FROM false AND suv IS NOT NULL""",
+    "priced": """
+SELECT c.*, o.base + CASE WHEN c.visit_place = 'Home Visit' THEN 50 ELSE 0 END AS price FROM clean c JOIN offers o
+ ON c.service = o.svc AND (CASE WHEN c.vehicle = 'Bike' THEN 'bike' WHEN c.vehicle = 'SUV' THEN 'suv' ELSE 'sedan' END) = o.k
+WHERE c.reject_reason IS NULL""",
+    "ids": IDS_SQL,
+    "free": """SELECT s AS id, row_number() OVER (ORDER BY s) AS rn FROM range(1, (SELECT max(id) FROM ids) + 1 +
+ (SELECT COUNT(*) FROM priced)) t(s) WHERE NOT EXISTS (SELECT 1 FROM ids WHERE ids.id = t.s)""",
+}
+
+
+@register("e2_intake_accepted", sql_with(["raw_requests", "catalog", "change_requests"], f"""
+SELECT f.id AS order_id, p.name, p.phone, p.vehicle, p.service, p."date", p."time", p.visit_place, 'New' AS status,
+ p.address, p.price, TIMESTAMP '{E2_NOW}' AS created_at
+FROM (SELECT *, row_number() OVER (ORDER BY seq) AS rn FROM priced) p JOIN free f USING (rn)""", **E2_CTES))
+def e2(spark, sf):
+    from washbay.plans.intake import intake
+    return intake(fixture(spark, sf, "raw_requests"), fixture(spark, sf, "catalog"), _ids(spark, sf), E2_NOW)["accepted"]
+
+
+@register("e2_intake_rejected", sql_with(["raw_requests", "catalog"], """
+SELECT seq, reject_reason FROM clean WHERE reject_reason IS NOT NULL UNION ALL
+SELECT c.seq, c.service || ' not available for ' || c.vehicle FROM clean c WHERE c.reject_reason IS NULL
+ AND NOT EXISTS (SELECT 1 FROM offers o WHERE c.service = o.svc
+   AND (CASE WHEN c.vehicle = 'Bike' THEN 'bike' WHEN c.vehicle = 'SUV' THEN 'suv' ELSE 'sedan' END) = o.k)""",
+                                         clean=P19_SQL, offers=E2_CTES["offers"]))
+def e2b(spark, sf):
+    from washbay.plans.intake import intake
+    return intake(fixture(spark, sf, "raw_requests"), fixture(spark, sf, "catalog"), _ids(spark, sf), E2_NOW)["rejected"]
