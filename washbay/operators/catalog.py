@@ -134,30 +134,32 @@ def upsert_catalog(cat: DataFrame, batch: DataFrame, now=None):
 def rename_items(cat: DataFrame, batch: DataFrame, now=None):
     """(catalogue, rejected). Rows whose original name differs from the new one
     rewrite the key and fields and keep the position; when the original is absent
-    they fall through to an upsert. A new name already in use, or a batch whose
-    renames chain or collide, is rejected (the primary key would refuse it)."""
-    nb = _norm_batch(batch).filter(F.col("name") != "")
-    ren = nb.filter(F.col("original_name") != F.col("name"))
+    they fall through to an upsert. A new name already in use is rejected (the
+    primary key would refuse it); so is a batch whose renames chain (a target is
+    another rename's source) or collide (two renames to one name). Empty names
+    are rejected."""
+    nb_all = _norm_batch(batch)
+    empty = nb_all.filter(F.col("name") == "").withColumn("reject_reason", F.lit("missing service name"))
+    nb = nb_all.filter(F.col("name") != "")
     names = cat.select(F.col("name").alias("_n"))
+    ren = nb.filter(F.col("original_name") != F.col("name"))
     exists = ren.join(names, ren["original_name"] == names["_n"], "left_semi")
-    taken = exists.join(names, exists["name"] == names["_n"], "left_semi").withColumn("reject_reason", F.lit("name already in use"))
-    # chains/collisions inside the batch: a target that is also a source, or two renames to one name
+    taken = (exists.join(names, exists["name"] == names["_n"], "left_semi")
+                   .withColumn("reject_reason", F.lit("name already in use")))
     srcs = exists.select(F.col("original_name").alias("_src"))
-    tgt_counts = exists.groupBy("name").agg(F.count(F.lit(1)).alias("_k"))
+    multi = exists.groupBy(F.col("name").alias("_t")).agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1")
     clash = (exists.join(srcs, exists["name"] == srcs["_src"], "left_semi")
-                   .unionByName(exists.join(tgt_counts.filter("_k > 1").select("name"), "name", "left_semi"))
+                   .unionByName(exists.join(multi, exists["name"] == multi["_t"], "left_semi"))
+                   .join(taken.select("seq"), "seq", "left_anti").dropDuplicates(["seq"])
                    .withColumn("reject_reason", F.lit("renames chain or collide")))
-    bad = taken.unionByName(clash).dropDuplicates(["seq"])
+    bad = taken.unionByName(clash)
     good = exists.join(bad.select("seq"), "seq", "left_anti")
-    good = _last_per_name(good.drop("name").withColumnRenamed("original_name", "name"))   # one per source
+    good = _last_per_name(good.withColumnRenamed("name", "_new").withColumnRenamed("original_name", "name"))
     stamp = ntz(now) if now is not None else F.current_timestamp().cast("timestamp_ntz")
     has_ts = "updated_at" in cat.columns
     cur = cat if has_ts else cat.withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
-    g = good.select(F.col("name").alias("_src"), *[F.col(c).alias(f"_{c}") for c in
-                                                    ("bike", "sedan", "suv", "visible", "description")],
-                    F.col("seq").alias("_seq"))
-    # new name of each renamed source comes from the original batch row
-    g = g.join(nb.select(F.col("seq").alias("_seq"), F.col("name").alias("_new")), "_seq")
+    fields = ("bike", "sedan", "suv", "visible", "description")
+    g = good.select(F.col("name").alias("_src"), "_new", *[F.col(c).alias(f"_{c}") for c in fields])
     j = cur.join(g, cur["name"] == g["_src"], "left")
     hit = F.col("_src").isNotNull()
     renamed = j.select(F.when(hit, F.col("_new")).otherwise(F.col("name")).alias("name"),
@@ -165,10 +167,10 @@ def rename_items(cat: DataFrame, batch: DataFrame, now=None):
                        "position",
                        *[F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("visible", "description")],
                        F.when(hit, stamp).otherwise(F.col("updated_at")).alias("updated_at"))
-    # plain updates and renames whose original does not exist: upsert of the name
+    # plain updates, and renames whose original does not exist: an upsert of the name
     fallthrough = nb.join(exists.select("seq"), "seq", "left_anti").drop("original_name")
-    out, rej2 = upsert_catalog(renamed, fallthrough, now)
+    out, _ = upsert_catalog(renamed, fallthrough, now)
     if not has_ts:
         out = out.drop("updated_at")
-    return out, bad.drop("original_name").unionByName(rej2.drop("original_name") if "original_name" in rej2.columns else rej2,
-                                                      allowMissingColumns=True)
+    rejected = bad.drop("original_name").unionByName(empty.drop("original_name"))
+    return out, rejected

@@ -53,12 +53,44 @@ def m1b(spark, sf):
     return CA.upsert_catalog(fixture(spark, sf, "catalog"), fixture(spark, sf, "catalog_changes"), NOW)[1]
 
 
-@register("m2_rename_items")
+RENAME_CTES = {
+    "nb": f"""SELECT seq, {d_text('name', 100)} AS name,
+ {d_text("COALESCE(NULLIF(original_name, ''), name)", 100)} AS original_name,
+ {d_first_int('bike')} AS bike, {d_first_int('sedan')} AS sedan, {d_first_int('suv')} AS suv,
+ {d_bool('visible')} AS visible, {d_text('description', 1000)} AS description FROM catalog_renames""",
+    "ex": """SELECT * FROM nb WHERE name <> '' AND original_name <> name
+ AND original_name IN (SELECT name FROM catalog)""",
+    "taken": "SELECT seq FROM ex WHERE name IN (SELECT name FROM catalog)",
+    "clash": """SELECT seq FROM ex WHERE seq NOT IN (SELECT seq FROM taken) AND (name IN (SELECT original_name FROM ex)
+ OR name IN (SELECT name FROM ex GROUP BY name HAVING COUNT(*) > 1))""",
+    "good": """SELECT * FROM ex WHERE seq NOT IN (SELECT seq FROM taken) AND seq NOT IN (SELECT seq FROM clash)
+ QUALIFY row_number() OVER (PARTITION BY original_name ORDER BY seq DESC) = 1""",
+    "renamed": """SELECT COALESCE(g.name, c.name) AS name,
+ CASE WHEN g.seq IS NOT NULL THEN g.bike ELSE c.bike END AS bike, CASE WHEN g.seq IS NOT NULL THEN g.sedan ELSE c.sedan END AS sedan,
+ CASE WHEN g.seq IS NOT NULL THEN g.suv ELSE c.suv END AS suv, c.position,
+ CASE WHEN g.seq IS NOT NULL THEN g.visible ELSE c.visible END AS visible,
+ CASE WHEN g.seq IS NOT NULL THEN g.description ELSE c.description END AS description
+FROM catalog c LEFT JOIN good g ON c.name = g.original_name""",
+    "lastb": """SELECT * FROM nb WHERE name <> '' AND seq NOT IN (SELECT seq FROM ex)
+ QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq DESC) = 1""",
+    "merged": UPSERT_CTES["merged"].replace("FROM catalog c", "FROM renamed c"),
+}
+
+
+@register("m2_rename_items", sql_with(["catalog", "catalog_renames"], """
+SELECT name, bike, sedan, suv,
+ CAST(row_number() OVER (ORDER BY CASE WHEN position > 0 THEN position END ASC NULLS LAST, name) AS INTEGER) AS position,
+ visible, description FROM merged""", **RENAME_CTES))
 def m2(spark, sf):
     return CA.rename_items(fixture(spark, sf, "catalog"), fixture(spark, sf, "catalog_renames"), NOW)[0]
 
 
-@register("m2_rejected_renames")
+@register("m2_rejected_renames", sql_with(["catalog", "catalog_renames"], """
+SELECT seq, name, bike, sedan, suv, visible, description, 'name already in use' AS reject_reason FROM ex
+WHERE seq IN (SELECT seq FROM taken) UNION ALL
+SELECT seq, name, bike, sedan, suv, visible, description, 'renames chain or collide' FROM ex WHERE seq IN (SELECT seq FROM clash)
+UNION ALL SELECT seq, name, bike, sedan, suv, visible, description, 'missing service name' FROM nb WHERE name = ''""",
+                                             **{k: RENAME_CTES[k] for k in ("nb", "ex", "taken", "clash")}))
 def m2b(spark, sf):
     return CA.rename_items(fixture(spark, sf, "catalog"), fixture(spark, sf, "catalog_renames"), NOW)[1]
 
@@ -160,12 +192,51 @@ def m7(spark, sf):
     return CH.replace_bookings(bk, fixture(spark, sf, "replace_requests"), "staff")[0]
 
 
-@register("m7_replace_bookings_customer")
+CUSTOMER_REQ = f"""SELECT x.seq, x.seq AS order_id, {d_text('x.name', 200)} AS name,
+ {d_phone("CASE WHEN x.seq % 2 = 0 THEN regexp_replace(x.phone, '^[+]91-', '') ELSE x.phone END")} AS phone,
+ {d_trim('COALESCE(x."date", \'\')')} AS "date", {d_trim('COALESCE(x."time", \'\')')} AS "time",
+ {d_trim("COALESCE(x.vehicle, '')")} AS vehicle, {d_trim("COALESCE(br.service, '')")} AS service,
+ COALESCE(NULLIF({d_trim("COALESCE(x.visit, '')")}, ''), 'Wash Center') AS visit, {d_text('x.address', 500)} AS address
+FROM replace_requests x JOIN booking_requests br ON br.order_id = x.seq"""
+CUSTOMER_CTES = {
+    "bk": WEB_BOOKINGS.replace("CAST(NULL AS VARCHAR) AS visit_place", "visit AS visit_place")
+                      .replace("visit AS status", "CAST(NULL AS VARCHAR) AS status"),
+    "req": CUSTOMER_REQ,
+    "owned": "SELECT * FROM req r WHERE EXISTS (SELECT 1 FROM bk b WHERE b.order_id = r.order_id AND b.phone = r.phone)",
+    "offers": """
+SELECT name AS svc, 'bike' AS k, bike AS base FROM catalog WHERE visible IS DISTINCT FROM false AND bike IS NOT NULL UNION ALL
+SELECT name, 'sedan', sedan FROM catalog WHERE visible IS DISTINCT FROM false AND sedan IS NOT NULL UNION ALL
+SELECT name, 'suv', suv FROM catalog WHERE visible IS DISTINCT FROM false AND suv IS NOT NULL""",
+    "priced": """SELECT o.*, f.base + CASE WHEN o.visit = 'Home Visit' THEN 50 ELSE 0 END AS price FROM owned o JOIN offers f
+ ON o.service = f.svc AND (CASE WHEN o.vehicle = 'Bike' THEN 'bike' WHEN o.vehicle = 'SUV' THEN 'suv' ELSE 'sedan' END) = f.k
+ QUALIFY row_number() OVER (PARTITION BY o.order_id ORDER BY o.seq DESC) = 1""",
+}
+
+
+def _customer_requests(spark, sf):
+    req = fixture(spark, sf, "replace_requests")
+    svc = fixture(spark, sf, "booking_requests").select(F.col("order_id").alias("seq"), "service")
+    return (req.drop("service", "order_id").join(svc, "seq")
+               .withColumn("order_id", F.col("seq"))
+               .withColumn("phone", F.when(F.col("seq") % 2 == 0, F.regexp_replace("phone", "^[+]91-", ""))
+                           .otherwise(F.col("phone"))))
+
+
+@register("m7_replace_bookings_customer", sql_with(["bookings", "replace_requests", "booking_requests", "catalog"], """
+SELECT b.order_id,
+ CASE WHEN p.order_id IS NOT NULL THEN p.name ELSE b.name END AS name,
+ CASE WHEN p.order_id IS NOT NULL THEN p.phone ELSE b.phone END AS phone,
+ CASE WHEN p.order_id IS NOT NULL THEN p.vehicle ELSE b.vehicle END AS vehicle,
+ CASE WHEN p.order_id IS NOT NULL THEN p.service ELSE b.service END AS service,
+ CASE WHEN p.order_id IS NOT NULL THEN p."date" ELSE b."date" END AS "date",
+ CASE WHEN p.order_id IS NOT NULL THEN p."time" ELSE b."time" END AS "time",
+ CASE WHEN p.order_id IS NOT NULL THEN p.visit ELSE b.visit_place END AS visit_place,
+ b.status, CASE WHEN p.order_id IS NOT NULL THEN p.address ELSE b.address END AS address,
+ CASE WHEN p.order_id IS NOT NULL THEN p.price ELSE b.price END AS price, b.created_at
+FROM bk b LEFT JOIN priced p USING (order_id)""", **CUSTOMER_CTES))
 def m7b(spark, sf):
     bk = S.load_bookings(spark, fixture(spark, sf, "bookings"), "staff")
-    req = fixture(spark, sf, "replace_requests").withColumn("order_id", F.col("seq")).withColumn(
-        "service", F.concat(F.lit("small ring "), (F.col("seq") % 50).cast("string")))
-    return CH.replace_bookings(bk, req, "customer", catalog=fixture(spark, sf, "catalog"))[0]
+    return CH.replace_bookings(bk, _customer_requests(spark, sf), "customer", catalog=fixture(spark, sf, "catalog"))[0]
 
 
 @register("m8_set_active", sql_with(["users", "employee_actions"], """
