@@ -42,7 +42,22 @@ def test_cooldown_matches_loop_with_a_hot_key(spark):
             seq += 1
             rows.append((seq, t, key))
     df = spark.createDataFrame([(s, t, k, "p") for s, t, k in rows], "seq long, ts timestamp_ntz, phone string, purpose string")
+    want = loop_cooldown(rows, 60)
     got = {r.seq: r.accepted for r in CO.code_cooldown(df, 60).collect()}
+    assert got == want
+    # the same input with "hot" above the threshold takes the parallel doubling path
+    got_hot = {r.seq: r.accepted for r in CO.code_cooldown(df, 60, hot_key_rows=1000).collect()}
+    assert got_hot == want
+
+
+def test_cooldown_doubling_on_dense_burst(spark):
+    rnd = random.Random(13)
+    rows, t = [], T0
+    for seq in range(1, 2001):                      # no quiet gap at all: one long chain
+        t += dt.timedelta(seconds=rnd.choice([0, 0.5, 1, 7, 20.25, 29.75, 30]))
+        rows.append((seq, t, "hot"))
+    df = spark.createDataFrame([(s, ts, k, "p") for s, ts, k in rows], "seq long, ts timestamp_ntz, phone string, purpose string")
+    got = {r.seq: r.accepted for r in CO.code_cooldown(df, 60, hot_key_rows=10).collect()}
     assert got == loop_cooldown(rows, 60)
 
 

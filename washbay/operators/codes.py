@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from washbay.functions.columns import seconds_since
 from washbay.operators.filters import ntz
-from washbay.plans.keyed import Scan, keyed_scan
+from washbay.plans.keyed import Scan, frozen_layout, keyed_scan
+from washbay.plans.ranking import small_side
 
 # fixed values of the code rules
 CODE_TTL_SECONDS = 5 * 60
@@ -30,10 +31,10 @@ def latest_per_key(df: DataFrame, keys=KEYS, ts: str = "ts", seq: str = "seq") -
     return df.groupBy(*keys).agg(best).select(*keys, "_row.*")
 
 
-def _cooldown_partition(cooldown: int):
-    """mapInPandas body: rows arrive sorted by (phone, purpose, segment, ts, seq);
-    the greedy rule is applied row by row, carrying the last accepted time of the
-    current segment across Arrow batches (memory stays one batch)."""
+def _cooldown_partition(cooldown: int, group_cols: list[str]):
+    """mapInPandas body: rows arrive sorted by (group, ts, seq); the greedy rule is
+    applied row by row, carrying the last accepted time of the current group
+    across Arrow batches (memory stays one batch)."""
     limit_us = cooldown * 1_000_000 - 500_000      # round-half-up(diff) >= cooldown
 
     def run(batches):
@@ -42,40 +43,86 @@ def _cooldown_partition(cooldown: int):
             if pdf.empty:
                 continue
             ts = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-            phone, purpose, seg = pdf["phone"].to_numpy(), pdf["purpose"].to_numpy(), \
-                pdf["_seg"].astype("datetime64[us]").astype("int64").to_numpy()
+            groups = list(zip(*[pdf[c].to_numpy() for c in group_cols]))
             acc = [False] * len(pdf)
             for i in range(len(pdf)):
-                k = (phone[i], purpose[i], seg[i])
-                if k != cur:
-                    cur, last = k, None
+                if groups[i] != cur:
+                    cur, last = groups[i], None
                 if last is None or ts[i] - last >= limit_us:
                     acc[i], last = True, ts[i]
-            out = pdf.drop(columns=["_seg"])
+            out = pdf.copy()
             out["accepted"] = acc
             yield out
     return run
 
 
+def _null_safe_keys(left: DataFrame, right: DataFrame):
+    cond = None
+    for k in KEYS:
+        c = left[k].eqNullSafe(right[k])
+        cond = c if cond is None else cond & c
+    return cond
+
+
+def _chain_from_heads(rows: DataFrame, cooldown: int) -> DataFrame:
+    """Exact parallel form of the greedy rule for hot keys (seq must be unique).
+
+    nxt(i) = first request at/after ts_i + (cooldown - 0.5 s): the next request
+    the rule would accept if i is accepted. Heads = requests whose previous request
+    is at least ``cooldown`` earlier (always accepted). The accepted set is every
+    request reachable from a head through nxt. Pointer doubling finds it with
+    joins on the unique ``seq`` (no key skew): R ← R ∪ J(R), J ← J∘J, until J(R) ⊆ R,
+    i.e. about log2(longest chain) rounds, each pinned by a checkpoint."""
+    limit_us = cooldown * 1_000_000 - 500_000
+    base = rows.select(*KEYS, "ts", "seq")
+    prev = keyed_scan(base, KEYS, ["ts", "seq"], [Scan("_prev", "last", F.col("ts"), inclusive=False)])
+    heads = prev.filter(F.col("_prev").isNull() | (seconds_since("_prev", "ts") >= F.lit(cooldown))) \
+                .select(F.col("seq").alias("node"))
+    probes = base.select(*KEYS, F.timestamp_add("MICROSECOND", F.lit(limit_us), F.col("ts")).alias("ts"),
+                         F.col("seq"), F.lit(0).alias("_kind"))
+    timeline = base.withColumn("_kind", F.lit(1)).unionByName(probes)
+    scanned = keyed_scan(timeline, KEYS, ["ts", "_kind", "seq"],
+                         [Scan("_to", "next", F.when(F.col("_kind") == 1, F.col("seq")))])
+    jump = frozen_layout(scanned.filter(F.col("_kind") == 0).select(F.col("seq").alias("node"), F.col("_to").alias("to")))
+    reached = frozen_layout(heads.distinct())
+    while True:
+        step = reached.join(jump, "node").select(F.col("to").alias("node")).filter(F.col("node").isNotNull())
+        new = step.distinct().join(reached, "node", "left_anti")
+        if new.limit(1).count() == 0:                 # J(R) ⊆ R: nothing more is reachable
+            break
+        reached = frozen_layout(reached.unionByName(new))
+        a, b = jump.alias("a"), jump.alias("b")
+        jump = frozen_layout(a.join(b, F.col("a.to") == F.col("b.node"), "left")
+                              .select(F.col("a.node").alias("node"), F.col("b.to").alias("to")))
+    flags = reached.select(F.col("node").alias("_acc_seq"), F.lit(True).alias("_acc"))
+    out = rows.join(flags, rows["seq"] == flags["_acc_seq"], "left")
+    return out.withColumn("accepted", F.coalesce(F.col("_acc"), F.lit(False))).drop("_acc_seq", "_acc")
+
+
 # W10
-def code_cooldown(requests: DataFrame, cooldown: int = RESEND_COOLDOWN_SECONDS) -> DataFrame:
+def code_cooldown(requests: DataFrame, cooldown: int = RESEND_COOLDOWN_SECONDS,
+                  hot_key_rows: int = 1_000_000) -> DataFrame:
     """A request is accepted iff at least ``cooldown`` whole seconds (rounded half
     up) passed since the last *accepted* request of its (phone, purpose).
 
-    The rule is recursive, so ``lag`` alone is wrong. But a request that comes at
-    least ``cooldown`` after the previous request of its key is accepted whatever
-    happened before; such requests start independent segments. Segments are found
-    with skew-safe keyed scans, then each segment is replayed in order inside one
-    task with ``mapInPandas`` (a hot key splits into many segments)."""
-    prev = keyed_scan(requests, KEYS, ["ts", "seq"], [Scan("_prev_ts", "last", F.col("ts"), inclusive=False)])
-    reset = F.col("_prev_ts").isNull() | (seconds_since("_prev_ts", "ts") >= F.lit(cooldown))
-    seg = keyed_scan(prev.withColumn("_reset", reset), KEYS, ["ts", "seq"],
-                     [Scan("_seg", "last", F.when(F.col("_reset"), F.col("ts")), inclusive=True)])
-    seg = seg.drop("_prev_ts", "_reset")
+    The rule is recursive, so ``lag`` alone is wrong. Keys with at most
+    ``hot_key_rows`` requests are replayed in order, one key per group, inside
+    ``mapInPandas`` after a hash shuffle on the key (bounded group size, streaming
+    memory). Hotter keys — at most rows / hot_key_rows of them, so their list is
+    size-bounded — take the exact parallel path of ``_chain_from_heads``."""
+    if cooldown <= 0:                       # a rounded non-negative gap always passes
+        return requests.withColumn("accepted", F.lit(True))
+    counts = requests.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
+    hot = small_side(counts.filter(F.col("_n") > hot_key_rows).select(*KEYS))
+    cold = requests.join(hot, _null_safe_keys(requests, hot), "left_anti")
+    hot_rows = requests.join(hot, _null_safe_keys(requests, hot), "left_semi")
     n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = seg.repartition(n, *KEYS, "_seg").sortWithinPartitions(*KEYS, "_seg", "ts", "seq")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields) + ", accepted boolean"
-    return ordered.mapInPandas(_cooldown_partition(cooldown), schema)
+    replayed = (cold.repartition(n, *KEYS).sortWithinPartitions(*KEYS, "ts", "seq")
+                    .mapInPandas(_cooldown_partition(cooldown, KEYS), schema))
+    if hot.limit(1).count() == 0:
+        return replayed
+    return replayed.unionByName(_chain_from_heads(hot_rows, cooldown).select(*requests.columns, "accepted"))
 
 
 def issued_codes(requests: DataFrame, cooldown: int = RESEND_COOLDOWN_SECONDS,
@@ -150,21 +197,3 @@ def code_status(codes: DataFrame, outcomes: DataFrame, as_of, max_attempts: int
                .otherwise(F.lit("active")))
     return st.select(*KEYS, "code_id", F.col("ts").alias("created_at"), "expires_at",
                      attempts.cast("bigint").alias("attempts"), status.alias("status"))
-
-
-def brute_force_cooldown(rows: pd.DataFrame, cooldown: int) -> list[bool]:
-    """The reference's per-request loop (tests only): accept iff rounded seconds
-    since the last accepted request of the key >= cooldown."""
-    last, out = {}, []
-    for r in rows.sort_values(["ts", "seq"]).itertuples():
-        k = (r.phone, r.purpose)
-        ok = k not in last or round_half_up_seconds(r.ts - last[k]) >= cooldown
-        if ok:
-            last[k] = r.ts
-        out.append((r.seq, ok))
-    return [ok for _, ok in sorted(out)]
-
-
-def round_half_up_seconds(delta) -> int:
-    us = int(delta / pd.Timedelta(microseconds=1))
-    return (abs(us) + 500_000) // 1_000_000 * (1 if us >= 0 else -1)

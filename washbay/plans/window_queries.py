@@ -231,6 +231,10 @@ for _sfx, _cd in {"": 60, "_scaled": SCALED["cooldown"]}.items():
                                                   recursive=True, **_walk(_cd)))(
         lambda spark, sf, cd=_cd: CO.code_cooldown(fixture(spark, sf, "code_requests"), cd))
 
+register("w10_code_cooldown_hot_path", sql_with(["code_requests"], "SELECT seq, ts, phone, purpose, accepted FROM walk",
+                                              recursive=True, **_walk(SCALED["cooldown"])))(
+    lambda spark, sf: CO.code_cooldown(fixture(spark, sf, "code_requests"), SCALED["cooldown"], hot_key_rows=5))
+
 ASOF = """SELECT v.*, c.code_id, c.created_at, c.expires_at FROM verifications v
 ASOF LEFT JOIN codes c ON v.phone = c.phone AND v.purpose = c.purpose AND v.ts >= c.created_at"""
 OUTCOMES = """
