@@ -106,7 +106,7 @@ def next_free_ids(ids_df: DataFrame, k: int = 1, col: str = "order_id") -> DataF
     (top-k per task, no full sort), paired and expanded."""
     spark = ids_df.sparkSession
     ids = ids_df.select(F.col(col).cast("bigint").alias("id")).filter(F.col("id").isNotNull())
-    one = spark.range(1).select(F.lit(1).cast("bigint").alias("s"))
+    one = spark.range(1, 2).select(F.col("id").alias("s"))   # an attribute, not a literal: stays an equi join
     starts = (one.unionByName(ids.select((F.col("id") + 1).alias("s"))).filter(F.col("s") >= 1)
                  .join(ids, F.col("s") == F.col("id"), "left_anti").distinct()
                  .orderBy("s").limit(k))
