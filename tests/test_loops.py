@@ -139,3 +139,68 @@ def test_next_free_ids_match_loop(spark):
         x += 1
     df = spark.createDataFrame([(i,) for i in ids], "order_id long")
     assert [r.id for r in I.next_free_ids(df, 7).collect()] == free
+
+
+def loop_outcomes(codes, verifications, max_attempts=5):
+    """The reference's verify handler, one request at a time (newest code of the
+    key at that moment; consumed / expired / attempts / hash check)."""
+    state = {c[0]: {"attempts": 0, "consumed": False} for c in codes}
+    out = {}
+    for seq, ts, key, matches in sorted(verifications, key=lambda v: (v[1], v[0])):
+        live = [c for c in codes if c[1] == key and c[2] <= ts]
+        if not live:
+            out[seq] = "not found"
+            continue
+        cid, _, created, expires = max(live, key=lambda c: (c[2], c[0]))
+        st = state[cid]
+        if st["consumed"]:
+            out[seq] = "already used"
+        elif ts > expires:
+            out[seq] = "expired"
+        elif st["attempts"] >= max_attempts:
+            out[seq] = "too many attempts"
+        elif not matches:
+            st["attempts"] += 1
+            out[seq] = "invalid"
+        else:
+            st["consumed"] = True
+            out[seq] = "ok"
+    return out
+
+
+def test_code_outcomes_match_loop(spark):
+    rnd = random.Random(21)
+    codes, vers = [], []
+    for k in range(6):
+        t = T0
+        for c in range(4):
+            t += dt.timedelta(minutes=rnd.choice([1, 3, 10]))
+            codes.append((k * 100 + c, f"k{k}", t, t + dt.timedelta(minutes=5)))
+    for seq in range(500):
+        vers.append((1000 + seq, T0 + dt.timedelta(seconds=rnd.randint(-60, 2500)), f"k{rnd.randint(0, 6)}",
+                     rnd.random() < 0.15))
+    cdf = spark.createDataFrame([(c, k, "p", a, b) for c, k, a, b in codes],
+                                "code_id long, phone string, purpose string, created_at timestamp_ntz, expires_at timestamp_ntz")
+    vdf = spark.createDataFrame([(s, t, k, "p", m) for s, t, k, m in vers],
+                                "seq long, ts timestamp_ntz, phone string, purpose string, matches boolean")
+    got = {r.seq: r.outcome for r in CO.code_outcomes(vdf, cdf).collect()}
+    assert got == loop_outcomes(codes, vers)
+
+
+def test_moves_match_loop(spark):
+    rnd = random.Random(4)
+    names = [f"s{i:02d}" for i in range(12)]
+    rows = [(n, rnd.choice([None, 1, 2, 3, 4])) for n in names]
+    cat = spark.createDataFrame(rows, "name string, position int")
+    order = [n for n, _ in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))]
+    for target in ["s00", "s05", "s11", "zz"]:
+        for direction in ["up", "down"]:
+            lst = list(order)
+            if target in lst:
+                i = lst.index(target)
+                j = i - 1 if direction == "up" else i + 1
+                if 0 <= j < len(lst):
+                    lst[i], lst[j] = lst[j], lst[i]
+            moves = spark.createDataFrame([(1, target, direction)], "seq long, name string, direction string")
+            out, _ = CA.move_items(cat, moves)
+            assert {r.name: r.position for r in out.collect()} == {n: k + 1 for k, n in enumerate(lst)}

@@ -111,7 +111,7 @@ A13_PARTS = {
 }
 for _part, _sql in A13_PARTS.items():
     register(f"a13_stats_{_part}", _stats_sql(_sql, _A13_WIN))(
-        lambda spark, sf, part=_part: P.stats_report(_bk(spark, sf), "year", "1997", "1999")[part])
+        lambda spark, sf, part=_part: P.stats_report(_bk(spark, sf), "year", "1997", "1999", persist=False)[part])
 
 
 # A7–A10 over the bookings table
@@ -164,4 +164,4 @@ GROWTH_SQL = {
 }
 for _part, _sql in GROWTH_SQL.items():
     register(f"a14_growth_{_part}", sql_with(["bookings"], _sql))(
-        lambda spark, sf, part=_part: P.growth_report(_bk(spark, sf), ORDERS_AS_OF)[part])
+        lambda spark, sf, part=_part: P.growth_report(_bk(spark, sf), ORDERS_AS_OF, persist=False)[part])
