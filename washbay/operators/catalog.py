@@ -15,7 +15,6 @@ from washbay.functions.columns import first_int, norm_bool, norm_text
 from washbay.operators.filters import ntz
 from washbay.plans.ranking import dense_index
 
-CAT_COLS = ["name", "bike", "sedan", "suv", "position", "visible", "description"]
 POS_LAST = 1_000_000_000   # fixed value: the browser's stand-in for a missing position
 
 

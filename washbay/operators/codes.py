@@ -6,7 +6,6 @@ Codes are the accepted requests: issued at the request time, valid for the TTL.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from washbay.functions.columns import expiry_date, expiry_months
+from washbay.functions.columns import expiry_date
 from washbay.operators.filters import ntz
 from washbay.plans.keyed import keyed_row_number
 from washbay.plans.ranking import small_side
@@ -51,7 +51,3 @@ def pack_status(memberships: DataFrame, washes: DataFrame, key: str = "membershi
     used = F.least(F.coalesce(F.col("_uses"), F.lit(0)), total).cast("int")
     return (m.select(F.col("id"), total.alias("total"), used.alias("used"))
              .withColumn("status", F.when(F.col("used") >= F.col("total"), F.lit("Expired")).otherwise(F.lit("Active"))))
-
-
-def pack_expiry(start_col, months_col):
-    return expiry_months(start_col, months_col)

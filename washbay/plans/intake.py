@@ -6,7 +6,6 @@ concurrent requests can no longer collide on an order id."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from washbay.operators.intake import allocate_ids, clean_bookings, price_bookings, split_outcome
 from washbay.sources.tables import prepare_booking_rows

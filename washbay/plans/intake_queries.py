@@ -51,10 +51,6 @@ def d_parse_int(x):
     return f"TRY_CAST(NULLIF(regexp_extract({d_trim(x)}, '^[+-]?[0-9]+', 0), '') AS INTEGER)"
 
 
-def _fx(name):
-    return lambda spark, sf: fixture(spark, sf, name)
-
-
 # ---- P: column rules ---------------------------------------------------------
 @register("p1_p4_visit_time_parts", sql_with(["bookings"], """
 SELECT order_id, dt_local, strftime(dt_local, '%Y-%m-%d') AS day_label, strftime(dt_local, '%Y-%m') AS month_label,

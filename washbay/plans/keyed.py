@@ -51,14 +51,6 @@ class Scan:
     inclusive: bool = True
 
 
-def _key_match(left: DataFrame, right: DataFrame, keys):
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k])
-        cond = c if cond is None else cond & c
-    return cond
-
-
 def keyed_scan(df: DataFrame, keys: list[str], order: list, scans: list[Scan],
                partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
