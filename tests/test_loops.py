@@ -204,3 +204,17 @@ def test_moves_match_loop(spark):
             moves = spark.createDataFrame([(1, target, direction)], "seq long, name string, direction string")
             out, _ = CA.move_items(cat, moves)
             assert {r.name: r.position for r in out.collect()} == {n: k + 1 for k, n in enumerate(lst)}
+
+
+def test_next_free_ids_large_path_matches_loop(spark):
+    rnd = random.Random(17)
+    ids = sorted(set(rnd.randint(-3, 3000) for _ in range(2000)))
+    taken, free, x = set(ids), [], 1
+    while len(free) < 2500:
+        if x not in taken:
+            free.append(x)
+        x += 1
+    df = spark.createDataFrame([(i,) for i in ids], "order_id long")
+    got = sorted(r.id for r in I.next_free_ids_large(df, 2500, chunk=97).collect())
+    assert got == free
+    assert sorted(r.id for r in I.next_free_ids_large(spark.createDataFrame([], "order_id long"), 5).collect()) == [1, 2, 3, 4, 5]

@@ -13,6 +13,7 @@ from washbay.functions.columns import (HOME_SURCHARGE, HOME_VISIT, WASH_CENTER,
                                        js_trim, norm_date, norm_phone, norm_text, norm_time,
                                        price_column_for)
 from washbay.operators.nested import unpivot_prices
+from washbay.plans.keyed import Scan, keyed_scan
 from washbay.plans.ranking import dense_index, small_side
 
 # fixed values: the staff price matrix (vehicle → service → price, None = not offered)
@@ -122,6 +123,37 @@ def next_free_ids(ids_df: DataFrame, k: int = 1, col: str = "order_id") -> DataF
                 .orderBy("id").limit(k))
 
 
+def next_free_ids_large(ids_df: DataFrame, k: int, col: str = "order_id",
+                        chunk: int = 1_000_000) -> DataFrame:
+    """Same result as ``next_free_ids`` for any k without a top-k in one task:
+    every free run is paired by rank (parallel dense ranking), a global running
+    sum of run sizes (skew-safe keyed scan without a key) says how much of each
+    run is still needed, and long runs are cut into ``chunk``-sized pieces before
+    they are expanded, so no task expands more than ``chunk`` ids."""
+    spark = ids_df.sparkSession
+    ids = ids_df.select(F.col(col).cast("bigint").alias("id")).filter(F.col("id").isNotNull()).distinct()
+    one = spark.range(1, 2).select(F.col("id").alias("s"))
+    starts = (one.unionByName(ids.select((F.col("id") + 1).alias("s"))).filter(F.col("s") >= 1).distinct()
+                 .join(ids, F.col("s") == F.col("id"), "left_anti"))
+    ends = (ids.select((F.col("id") - 1).alias("e")).filter(F.col("e") >= 1).distinct()
+               .join(ids, F.col("e") == F.col("id"), "left_anti"))
+    runs = dense_index(starts, ["s"], "i").join(dense_index(ends, ["e"], "i"), "i", "left")
+    size = F.coalesce(F.col("e") - F.col("s") + 1, F.lit(k).cast("bigint"))
+    runs = keyed_scan(runs.withColumn("size", size), [], ["s"],
+                      [Scan("before", "sum", F.col("size"), inclusive=False)])
+    need = runs.filter(F.col("before") < k).withColumn("take", F.least(F.col("size"), F.lit(k) - F.col("before")))
+    pieces = need.select("s", "take", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                           F.ceil(F.col("take") / chunk).cast("bigint") - 1)).alias("j"))
+    pieces = pieces.select((F.col("s") + F.col("j") * chunk).alias("p"),
+                           F.least(F.lit(chunk).cast("bigint"), F.col("take") - F.col("j") * chunk).alias("n"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return (pieces.repartition(n, "p")
+                  .select(F.explode(F.sequence(F.col("p"), F.col("p") + F.col("n") - 1)).alias("id")))
+
+
+LARGE_BATCH = 100_000
+
+
 def allocate_ids(batch: DataFrame, existing: DataFrame, order=("seq",), col: str = "order_id") -> DataFrame:
     """Give each row of ``batch`` (ordered by ``order``) the next smallest free id,
     all in one job instead of one read-then-insert per row (no collisions).
@@ -129,6 +161,7 @@ def allocate_ids(batch: DataFrame, existing: DataFrame, order=("seq",), col: str
     k = batch.count()
     if k == 0:
         return batch.withColumn(col, F.lit(None).cast("bigint"))
-    free = dense_index(next_free_ids(existing, k, col), ["id"], "_i")
+    free_ids = next_free_ids(existing, k, col) if k <= LARGE_BATCH else next_free_ids_large(existing, k, col)
+    free = dense_index(free_ids, ["id"], "_i")
     ranked = dense_index(batch, list(order), "_i")
     return ranked.join(free, "_i").withColumnRenamed("id", col).drop("_i")

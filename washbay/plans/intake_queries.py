@@ -483,6 +483,13 @@ def w2b(spark, sf):
     return I.next_free_ids(_ids(spark, sf), 5000)
 
 
+@register("w2_next_free_ids_large_path", sql_with(["change_requests"], """
+SELECT s AS id FROM range(1, (SELECT COALESCE(max(id), 0) FROM ids) + 5002) t(s)
+WHERE NOT EXISTS (SELECT 1 FROM ids WHERE ids.id = t.s) ORDER BY s LIMIT 5000""", ids=IDS_SQL))
+def w2c(spark, sf):
+    return I.next_free_ids_large(_ids(spark, sf), 5000, chunk=1000)
+
+
 E2_NOW = "2024-01-30 12:00:00"
 E2_CTES = {
     "clean": P19_SQL,

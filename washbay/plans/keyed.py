@@ -86,7 +86,7 @@ def keyed_scan(df: DataFrame, keys: list[str], order: list, scans: list[Scan],
 
     scanned = tagged.select("*", *local)
     runs = tagged.groupBy(*keys, "_pid").agg(*summary)
-    per_key = Window.partitionBy(*keys).orderBy("_pid")
+    per_key = (Window.partitionBy(*keys) if keys else Window).orderBy("_pid")   # ≤ partitions rows per key
     carry = []
     for s in scans:
         v = F.col(f"_s_{s.out}")
