@@ -196,3 +196,18 @@ def test_patch_and_upsert(spark):
     rows = {r.name: (r.bike, r.position, r.visible, r.description) for r in out.collect()}
     assert rows == {"B": (1, 1, True, "b"), "A": (5, 2, False, "d"), "C": (7, 3, True, "")}
     assert rej.count() == 1
+
+
+def test_price_label_like_js(spark):
+    got = one_col(spark, ["100", "99.5", None, "", "abc", " 7 "], C.price_label)
+    assert got == ["₹ 100", "₹ 99.5", "—", "—", "—", "₹ 7"]
+    assert one_col(spark, [150, None], C.price_label, "int") == ["₹ 150", "—"]
+
+
+def test_booking_list_limit_parsing(spark):
+    from washbay.operators import lists as L
+    bk = spark.createDataFrame([(i, f"2024-01-{i:02d}", dt.datetime(2024, 1, i)) for i in range(1, 21)],
+                               "order_id long, date string, created_at timestamp_ntz")
+    assert L.booking_list(bk, limit="5abc").count() == 5
+    assert L.booking_list(bk, limit="0").count() == 1
+    assert L.booking_list(bk, limit="junk").count() == 20

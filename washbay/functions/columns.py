@@ -164,10 +164,14 @@ def expiry_months(start, months) -> Column:
 
 # P16
 def price_label(v) -> Column:
-    """``₹ n`` or ``—`` when the price is missing."""
+    """``₹ n`` (n printed as JS prints a number: no ``.0`` on whole values) or
+    ``—`` when the price is missing, empty or not a finite number."""
     v = _c(v)
-    return F.when(v.isNull(), F.lit(MISSING_PRICE)).otherwise(
-        F.concat(F.lit(RUPEE_PREFIX), v.cast("bigint").cast("string")))
+    d = js_trim(v.cast("string")).try_cast("double")
+    whole = d == F.floor(d)
+    text = F.when(whole, d.cast("bigint").cast("string")).otherwise(d.cast("string"))
+    bad = d.isNull() | F.isnan(d) | (F.abs(d) == F.lit(float("inf")))
+    return F.when(bad, F.lit(MISSING_PRICE)).otherwise(F.concat(F.lit(RUPEE_PREFIX), text))
 
 
 # P17

@@ -7,6 +7,8 @@ of the table happens. Keys are always appended as a tie-break (deterministic).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +37,8 @@ def booking_list(bk: DataFrame, from_=None, to=None, service=None, search=None,
                  limit: int | str | None = DEFAULT_LIST) -> DataFrame:
     """Admin booking list: date range, service, name/phone search, newest first,
     ``limit`` clamped to 1..1000."""
-    try:
-        n = int(limit) if limit not in (None, "") else DEFAULT_LIST
-    except (TypeError, ValueError):
-        n = DEFAULT_LIST
-    n = min(MAX_LIST, max(1, n))
+    m = re.match(r"\s*([+-]?\d+)", str(limit)) if limit not in (None, "") else None   # parseInt
+    n = min(MAX_LIST, max(1, int(m.group(1)))) if m else DEFAULT_LIST
     out = search_people(with_service(in_date_range(bk, from_, to), service), search)
     return newest(project_bookings(out, "admin"), n)
 
