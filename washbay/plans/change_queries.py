@@ -109,14 +109,15 @@ def m3b(spark, sf):
     return CH.patch_rows(fixture(spark, sf, "settings"), fixture(spark, sf, "settings_patch"))[1]
 
 
-DELETE_KEYS = """SELECT CASE WHEN p_partkey % 100 = 5 THEN concat('ghost ', CAST(p_partkey AS VARCHAR))
- ELSE concat(p_name, ' ', CAST(p_partkey AS VARCHAR)) END AS name FROM part WHERE p_partkey % 10 IN (0, 5)"""
+# the delete batch: every ECONOMY service, plus names that do not exist (one per SMALL part)
+DELETE_KEYS = """SELECT CASE WHEN p_type = 'SMALL' THEN concat('ghost ', CAST(p_partkey AS VARCHAR))
+ ELSE concat(p_name, ' ', CAST(p_partkey AS VARCHAR)) END AS name FROM part WHERE p_type IN ('ECONOMY', 'SMALL')"""
 
 
 def _delete_keys(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet")
-    return p.filter((F.col("p_partkey") % 10).isin(0, 5)).select(
-        F.when(F.col("p_partkey") % 100 == 5, F.concat(F.lit("ghost "), F.col("p_partkey").cast("string")))
+    return p.filter(F.col("p_type").isin("ECONOMY", "SMALL")).select(
+        F.when(F.col("p_type") == "SMALL", F.concat(F.lit("ghost "), F.col("p_partkey").cast("string")))
          .otherwise(F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string"))).alias("name"))
 
 
