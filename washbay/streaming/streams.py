@@ -6,12 +6,13 @@
 * ``stream_attendance`` (X2, twin of W7): per-employee state holds the open
   clock-ins; an OUT closes all of them and emits Completed rows.
 * ``stream_code_cooldown`` (X3, twin of W10): per (phone, purpose) state holds
-  the last accepted request time; every request is emitted with ``accepted``.
+  the last accepted request time until an event-time timeout (watermark past
+  last + cooldown) drops it; every request is emitted with ``accepted``.
 
 X2/X3 keep per-key state with ``applyInPandasWithState`` and expect each key's
 events to arrive in time order across micro-batches (within a micro-batch they
 are sorted). State stays small: open clock-ins of one employee, one timestamp per
-code key.
+recently active code key.
 """
 
 from __future__ import annotations
@@ -80,8 +81,13 @@ def stream_attendance(events: DataFrame) -> DataFrame:
 
 def _cooldown_fn(cooldown: int):
     limit_us = cooldown * 1_000_000 - 500_000
+    cols = ["seq", "ts", "phone", "purpose"]
 
     def fn(key, pdfs, state):
+        if state.hasTimedOut:                       # watermark passed last + cooldown
+            state.remove()
+            yield pd.DataFrame(columns=cols + ["accepted"])
+            return
         last = state.get[0] if state.exists else None
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"])
         ts = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
@@ -91,19 +97,31 @@ def _cooldown_fn(cooldown: int):
             if ok:
                 last = int(t)
             acc.append(ok)
-        state.update((last,))
-        out = pdf[["seq", "ts", "phone", "purpose"]].copy()
+        # after last + cooldown any request is accepted, so the state can go then
+        expiry_ms = (last + limit_us) // 1000 + 1
+        if expiry_ms > state.getCurrentWatermarkMs():
+            state.update((last,))
+            state.setTimeoutTimestamp(expiry_ms)
+        else:
+            state.remove()
+        out = pdf[cols].copy()
         out["accepted"] = acc
         yield out
     return fn
 
 
 # X3
-def stream_code_cooldown(requests: DataFrame, cooldown: int = RESEND_COOLDOWN_SECONDS) -> DataFrame:
-    return (requests.groupBy("phone", "purpose")
-                    .applyInPandasWithState(_cooldown_fn(cooldown),
-                                            "seq long, ts timestamp_ntz, phone string, purpose string, accepted boolean",
-                                            "last_us long", "append", GroupStateTimeout.NoTimeout))
+def stream_code_cooldown(requests: DataFrame, cooldown: int = RESEND_COOLDOWN_SECONDS,
+                         lateness: str = "10 minutes") -> DataFrame:
+    """Per (phone, purpose) state = last accepted time, dropped by an event-time
+    timeout once the watermark passes it + cooldown (then no earlier request can
+    matter), so state stays bounded by the keys active within the cooldown plus
+    ``lateness``. Requests older than the watermark are late and dropped."""
+    ev = requests.withColumn("_t", _wall_clock_instant("ts")).withWatermark("_t", lateness)
+    return (ev.groupBy("phone", "purpose")
+              .applyInPandasWithState(_cooldown_fn(cooldown),
+                                      "seq long, ts timestamp_ntz, phone string, purpose string, accepted boolean",
+                                      "last_us long", "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def run_to_parquet(stream: DataFrame, out_dir: str, checkpoint: str, mode: str = "append") -> None:
