@@ -76,3 +76,12 @@ def test_append_sinks_add_rows(spark, sf_dir):
                                  "name string, phone string, email string, vehicle_number string, vehicle_type string")
     S.append_customers(cust, out + "/customers")
     assert spark.read.parquet(out + "/customers").first().asDict()["phone"] == "9199"
+
+
+def test_matrix_and_plan_lookups_broadcast(spark, sf_dir):
+    from washbay.operators.packs import open_memberships
+    j2 = I.price_from_matrix(fixture(spark, sf_dir, "edit_requests"))
+    assert "BroadcastHashJoin" in plan(j2) or "BroadcastExchange" in plan(j2)
+    req = fixture(spark, sf_dir, "memberships").select(F.col("id").alias("customer_id"), "plan_id")
+    j3 = open_memberships(req, fixture(spark, sf_dir, "plans"), "2024-01-30")
+    assert "BroadcastHashJoin" in plan(j3)
