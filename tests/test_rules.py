@@ -211,3 +211,9 @@ def test_booking_list_limit_parsing(spark):
     assert L.booking_list(bk, limit="5abc").count() == 5
     assert L.booking_list(bk, limit="0").count() == 1
     assert L.booking_list(bk, limit="junk").count() == 20
+
+
+def test_norm_date_offsets_like_js(spark):
+    got = one_col(spark, ["2024-01-05T01:00:00+05:30", "2024-01-05T23:30-02:00", "2024-01-05T10:00:00.123Z",
+                          "2024-01-05 10:00", "2024-01-05T10:00+0530", "2024-02-30T10:00Z"], C.norm_date)
+    assert got == ["2024-01-04", "2024-01-06", "2024-01-05", "2024-01-05", "2024-01-05", ""]

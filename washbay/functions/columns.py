@@ -103,11 +103,19 @@ def norm_text(c, max_len: int = 500) -> Column:
 
 # P7
 def norm_date(c) -> Column:
-    """ISO date or ISO date-time → ``YYYY-MM-DD``; anything else (or impossible) → ''."""
+    """ISO date or ISO date-time → ``YYYY-MM-DD`` of that instant in UTC (as JS
+    ``new Date(v).toISOString()`` on a UTC server: an explicit offset can move the
+    day); anything else, or an impossible date, → ''."""
     s = js_trim(_c(c))
-    iso = _full(ISO_DAY + r"([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?Z?)?")
+    iso = _full(ISO_DAY + r"(?:[T ]([0-9]{2}):([0-9]{2})(?::[0-9]{2}(?:\.[0-9]{1,9})?)?(Z|([+-])([0-9]{2}):?([0-9]{2}))?)?")
     day = F.when(s.rlike(iso), F.substring(s, 1, 10).try_cast("date"))
-    return F.coalesce(day.cast("string"), F.lit(""))
+    hh, mm = F.regexp_extract(s, iso, 1), F.regexp_extract(s, iso, 2)
+    sign, oh, om = F.regexp_extract(s, iso, 4), F.regexp_extract(s, iso, 5), F.regexp_extract(s, iso, 6)
+    local = F.concat(day.cast("string"), F.lit(" "), hh, F.lit(":"), mm).try_cast("timestamp_ntz")
+    offset_min = (oh.try_cast("int") * 60 + om.try_cast("int")) * F.when(sign == "-", -1).otherwise(1)
+    utc_day = F.to_date(F.timestamp_add("MINUTE", -offset_min, local))
+    shifted = F.when((sign != "") & day.isNotNull(), utc_day).otherwise(day)
+    return F.coalesce(shifted.cast("string"), F.lit(""))
 
 
 # P8
