@@ -218,3 +218,15 @@ def test_next_free_ids_large_path_matches_loop(spark):
     got = sorted(r.id for r in I.next_free_ids_large(df, 2500, chunk=97).collect())
     assert got == free
     assert sorted(r.id for r in I.next_free_ids_large(spark.createDataFrame([], "order_id long"), 5).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_keyed_scan_null_key_spanning_partitions(spark):
+    rows = [(i, T0 + dt.timedelta(minutes=i), None if i % 4 else "a", 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, "seq long, ts timestamp_ntz, k string, v int")
+    got = keyed_scan(df, ["k"], ["ts", "seq"], [Scan("n", "sum", F.col("v").cast("bigint"))], partitions=12)
+    counts = {}
+    exp = {}
+    for s, _, k, _v in rows:
+        counts[k] = counts.get(k, 0) + 1
+        exp[s] = counts[k]
+    assert {r.seq: r.n for r in got.collect()} == exp

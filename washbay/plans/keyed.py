@@ -8,8 +8,10 @@ instead:
    split over several partitions by its order columns;
 2. evaluates each scan inside every (key, partition) run with a window on
    (key, partition id): the hot key is now several balanced window groups;
-3. summarises each run (one row per key × partition, so tiny), scans those
-   summaries per key in partition order, and joins the carried value back.
+3. summarises the runs of keys that cross a partition boundary (each such run is
+   the first or last key of its partition, so at most two per partition), scans
+   those summaries per key in partition order, and broadcasts the carried values
+   back (a table bounded by 2 x partitions rows, whatever the number of keys).
 
 The result equals the per-key window over the whole key. Spec kinds:
 
@@ -85,8 +87,18 @@ def keyed_scan(df: DataFrame, keys: list[str], order: list, scans: list[Scan],
             raise ValueError(f"unknown scan kind {s.kind}")
 
     scanned = tagged.select("*", *local)
-    runs = tagged.groupBy(*keys, "_pid").agg(*summary)
-    per_key = (Window.partitionBy(*keys) if keys else Window).orderBy("_pid")   # ≤ partitions rows per key
+    # Only a key that crosses a partition boundary needs a carried value, and it
+    # is then the first or last key of each partition it touches (rows are range
+    # sorted by key). So summaries are built for those runs only: at most two per
+    # partition, which bounds every table below by 2 x partitions rows.
+    kstruct = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    ends = tagged.groupBy("_pid").agg(F.min_by(kstruct, F.col("_pos")).alias("_a"),
+                                      F.max_by(kstruct, F.col("_pos")).alias("_b"))
+    edge_keys = (ends.select("_pid", F.col("_a").alias("_e")).unionByName(ends.select("_pid", F.col("_b").alias("_e")))
+                     .distinct())
+    edge_rows = tagged.withColumn("_e", kstruct).join(F.broadcast(edge_keys), ["_pid", "_e"], "left_semi")
+    runs = edge_rows.groupBy(*keys, "_pid").agg(*summary)
+    per_key = (Window.partitionBy(*keys) if keys else Window).orderBy("_pid")   # ≤ 2 x partitions rows
     carry = []
     for s in scans:
         v = F.col(f"_s_{s.out}")
@@ -104,7 +116,7 @@ def keyed_scan(df: DataFrame, keys: list[str], order: list, scans: list[Scan],
     cond = F.col("_pid") == F.col("_k_pid")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = scanned.join(carried, cond, "left")
+    joined = scanned.join(F.broadcast(carried), cond, "left")     # ≤ 2 x partitions rows
     outs = []
     for s in scans:
         l, c = F.col(f"_l_{s.out}"), F.col(f"_c_{s.out}")
