@@ -15,6 +15,8 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoints pin layouts only for the life of the DataFrames that use them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
