@@ -56,9 +56,14 @@ def digest(columns, rows):
     return hashlib.sha256("\n".join(lines).encode()).hexdigest(), lines
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE",
+                 "timestamp_ntz": "TIMESTAMP", "double": "DOUBLE", "timestamp": "TIMESTAMP WITH TIME ZONE"}
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     sdf = fn(spark, sf_dir)
     s_cols = sdf.columns
+    s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
     s_rows = [tuple(r) for r in sdf.collect()]
     res = {"name": name, "spark_rows": len(s_rows)}
     if sql is None:
@@ -66,15 +71,18 @@ def compare(spark, con, name, fn, sql, sf_dir):
         return res
     rel = con.sql(sql)
     d_cols = list(rel.columns)
+    d_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
     d_rows = rel.fetchall()
     res["duck_rows"] = len(d_rows)
     sh, sl = digest(s_cols, s_rows)
     dh, dl = digest(d_cols, d_rows)
     res["cols_match"] = sorted(s_cols) == sorted(d_cols)
     res["hash_match"] = sh == dh
-    res["status"] = "ok" if (res["cols_match"] and res["hash_match"] and len(s_rows) == len(d_rows)) else "MISMATCH"
+    res["types_match"] = s_types == d_types
+    ok = res["cols_match"] and res["hash_match"] and res["types_match"] and len(s_rows) == len(d_rows)
+    res["status"] = "ok" if ok else "MISMATCH"
     if res["status"] != "ok":
-        res["spark_cols"], res["duck_cols"] = s_cols, d_cols
+        res["spark_cols"], res["duck_cols"] = s_types, d_types
         res["only_spark"] = sorted(set(sl) - set(dl))[:5]
         res["only_duck"] = sorted(set(dl) - set(sl))[:5]
     return res

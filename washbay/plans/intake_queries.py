@@ -272,9 +272,9 @@ _J = {"ignoreNullFields": "false"}
 
 @register("n1_price_struct", """
 SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, p_type AS description,
- to_json(struct_pack(bike := CAST(floor(p_retailprice) AS INTEGER),
+ CAST(to_json(struct_pack(bike := CAST(floor(p_retailprice) AS INTEGER),
                      hatchback := CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(floor(p_retailprice) AS INTEGER) + 50 END,
-                     sedan := CAST(floor(p_retailprice) AS INTEGER) + 100, suv := CAST(NULL AS INTEGER))) AS prices
+                     sedan := CAST(floor(p_retailprice) AS INTEGER) + 100, suv := CAST(NULL AS INTEGER))) AS VARCHAR) AS prices
 FROM part""")
 def n1(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet")
@@ -289,7 +289,7 @@ def n1(spark, sf):
 
 @register("n2_s6_catalog_as_packages", sql_with(["catalog"], """
 SELECT name AS id, name, COALESCE(NULLIF(description, ''), '') AS description,
- to_json(struct_pack(bike := bike, hatchback := sedan, sedan := sedan, suv := suv)) AS prices,
+ CAST(to_json(struct_pack(bike := bike, hatchback := sedan, sedan := sedan, suv := suv)) AS VARCHAR) AS prices,
  CAST(NULL AS TIMESTAMP) AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at
 FROM catalog WHERE visible = true"""))
 def n2(spark, sf):
@@ -298,7 +298,7 @@ def n2(spark, sf):
 
 
 @register("n3_price_map", sql_with(["catalog"], """
-SELECT name, to_json(MAP {'Bike': bike, 'Hatch/Sedan': sedan, 'SUV': suv}) AS prices FROM catalog"""))
+SELECT name, CAST(to_json(MAP {'Bike': bike, 'Hatch/Sedan': sedan, 'SUV': suv}) AS VARCHAR) AS prices FROM catalog"""))
 def n3(spark, sf):
     return N.price_map(fixture(spark, sf, "catalog")).withColumn("prices", F.to_json("prices", _J))
 
@@ -311,7 +311,7 @@ def n4(spark, sf):
 
 
 @register("n5_gallery_array", sql_with(["settings"], """
-SELECT id, CAST(len(g) AS BIGINT) AS n_images, to_json(g) AS gallery_json FROM (
+SELECT id, CAST(len(g) AS BIGINT) AS n_images, CAST(to_json(g) AS VARCHAR) AS gallery_json FROM (
  SELECT id, CASE WHEN json_valid(COALESCE(gallery_json, '[]')) THEN json_extract_string(COALESCE(gallery_json, '[]'), '$[*]')
             ELSE []::VARCHAR[] END AS g FROM settings) x"""))
 def n5(spark, sf):

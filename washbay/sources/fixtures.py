@@ -12,6 +12,8 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ADAPTERS: dict[str, str] = {
     # bookings: empty and impossible dates, bad times, NULL prices
@@ -176,7 +178,10 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The canonical test table ``name`` built by Spark from the driver parquet in ``sf_dir``."""
     text = ADAPTERS[name]
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in driver_tables(name)}
-    return spark.sql(text, **tables)
+    df = spark.sql(text, **tables)
+    # `CAST(NULL AS TIMESTAMP)` is zoned in Spark but naive in DuckDB: keep all stamps NTZ
+    return df.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name) if isinstance(f.dataType, T.TimestampType)
+                       else F.col(f.name) for f in df.schema.fields])
 
 
 def duck_sql(name: str) -> str:
