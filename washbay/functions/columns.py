@@ -21,6 +21,10 @@ FALSE_WORDS = ["0", "false", "no", "n", "off"]
 OPEN_MINUTE, CLOSE_MINUTE = 600, 1200   # 10:00 .. 20:00 inclusive
 RUPEE_PREFIX = "₹ "
 MISSING_PRICE = "—"
+# white space removed by JS String.prototype.trim: tab, LF, VT, FF, CR, space,
+# no-break space, U+1680, U+2000–U+200A, line/paragraph separators, U+202F,
+# U+205F, U+3000 and the byte-order mark
+JS_SPACE = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
 # ---------------------------------------------------------------------------
 
 ISO_DAY = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
@@ -39,7 +43,7 @@ def _full(pattern: str) -> str:
 
 def js_trim(c) -> Column:
     """Strip leading/trailing white space of any kind (JS String.prototype.trim)."""
-    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+\z", "")
+    return F.regexp_replace(_c(c), f"^[{JS_SPACE}]+|[{JS_SPACE}]+\\z", "")
 
 
 # P1
@@ -153,8 +157,9 @@ def home_surcharge(price, place) -> Column:
 def minutes_of_day(time) -> Column:
     """``H:MM`` → minutes after midnight (parseInt of each part; NULL when unparsable)."""
     parts = F.split(_c(time), ":")
-    h = F.regexp_extract(js_trim(parts.getItem(0)), r"^[+-]?[0-9]+", 0).try_cast("int")
-    m = F.regexp_extract(js_trim(parts.getItem(1)), r"^[+-]?[0-9]+", 0).try_cast("int")
+    # F.get: NULL for a missing part instead of an index error under ANSI mode
+    h = F.regexp_extract(js_trim(F.get(parts, 0)), r"^[+-]?[0-9]+", 0).try_cast("int")
+    m = F.regexp_extract(js_trim(F.get(parts, 1)), r"^[+-]?[0-9]+", 0).try_cast("int")
     return h * 60 + m
 
 

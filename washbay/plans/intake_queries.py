@@ -326,7 +326,7 @@ SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, ls[1] AS first_line, ls[-1] A
 def n6(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", N.split_lines("text").alias("ls"))
     return d.select("doc_id", F.size("ls").cast("bigint").alias("n_lines"), F.get(F.col("ls"), 0).alias("first_line"),
-                    F.element_at("ls", -1).alias("last_line"))
+                    F.try_element_at("ls", F.lit(-1)).alias("last_line"))
 
 
 # ---- J: intake and people joins ----------------------------------------------
