@@ -230,3 +230,45 @@ def test_keyed_scan_null_key_spanning_partitions(spark):
         counts[k] = counts.get(k, 0) + 1
         exp[s] = counts[k]
     assert {r.seq: r.n for r in got.collect()} == exp
+
+
+def test_upserts_match_one_by_one_application(spark):
+    from washbay.operators import changes as CH  # noqa: F401
+    rnd = random.Random(31)
+    cat = {f"svc{i:02d}": {"bike": i, "position": i + 1} for i in range(8)}          # a normalised catalogue
+    batch = []
+    for seq in range(60):
+        name = rnd.choice(list(cat) + [f"new{j}" for j in range(6)] + [" "])
+        batch.append((seq, name, str(rnd.randint(1, 500))))
+    # one request at a time: overwrite fields, new names are renumbered to the tail
+    state = {n: dict(v) for n, v in cat.items()}
+    for seq, name, bike in batch:
+        name = name.strip()
+        if not name:
+            continue
+        if name in state:
+            state[name]["bike"] = int(bike)
+        else:
+            state[name] = {"bike": int(bike), "position": max(v["position"] for v in state.values()) + 1}
+    cdf = spark.createDataFrame([(n, v["bike"], None, None, v["position"], True, "") for n, v in cat.items()],
+                                "name string, bike int, sedan int, suv int, position int, visible boolean, description string")
+    bdf = spark.createDataFrame(batch, "seq long, name string, bike string")
+    out, _ = CA.upsert_catalog(cdf, bdf, "2024-01-01 00:00:00")
+    assert {r.name: (r.bike, r.position) for r in out.collect()} == {n: (v["bike"], v["position"]) for n, v in state.items()}
+
+
+def test_patches_match_one_by_one_application(spark):
+    from washbay.operators import changes as CH
+    rnd = random.Random(41)
+    base = {i: {"color": f"c{i}", "tag": f"t{i}"} for i in range(10)}
+    patches = [(s, rnd.randint(0, 12), rnd.choice([None, f"x{s}"]), rnd.choice([None, f"y{s}"])) for s in range(80)]
+    state = {k: dict(v) for k, v in base.items()}
+    for _, k, color, tag in patches:
+        if k in state:
+            state[k]["color"] = color if color is not None else state[k]["color"]
+            state[k]["tag"] = tag if tag is not None else state[k]["tag"]
+    bdf = spark.createDataFrame([(k, v["color"], v["tag"]) for k, v in base.items()], "id long, color string, tag string")
+    pdf = spark.createDataFrame(patches, "seq long, id long, color string, tag string")
+    out, missing = CH.patch_rows(bdf, pdf)
+    assert {r.id: {"color": r.color, "tag": r.tag} for r in out.collect()} == state
+    assert {r.id for r in missing.collect()} == {k for _, k, _, _ in patches if k not in base}

@@ -18,17 +18,19 @@ from washbay.plans.ranking import dense_index
 POS_LAST = 1_000_000_000   # fixed value: the browser's stand-in for a missing position
 
 
-def list_order(positive_only: bool = False):
+def list_order(positive_only: bool = False, arrival: str | None = None):
     pos = F.col("position")
     if positive_only:       # non-positive positions count as missing
         pos = F.when(pos > 0, pos)
-    return [pos.asc_nulls_last(), F.col("name").asc_nulls_last()]
+    tail = [F.col(arrival).asc_nulls_first()] if arrival else []
+    return [pos.asc_nulls_last(), *tail, F.col("name").asc_nulls_last()]
 
 
 # W1
-def renumber(cat: DataFrame, positive_only: bool = False) -> DataFrame:
-    """Dense positions 1..n in list order; ``changed`` marks rows whose position moved."""
-    ranked = dense_index(cat, list_order(positive_only), "_rn")
+def renumber(cat: DataFrame, positive_only: bool = False, arrival: str | None = None) -> DataFrame:
+    """Dense positions 1..n in list order; ``changed`` marks rows whose position moved.
+    ``arrival`` orders unplaced rows by when they arrived (then by name)."""
+    ranked = dense_index(cat, list_order(positive_only, arrival), "_rn")
     return (ranked.withColumn("changed", ~F.col("position").eqNullSafe(F.col("_rn").cast("int")))
                   .withColumn("position", F.col("_rn").cast("int")).drop("_rn"))
 
@@ -95,7 +97,8 @@ def _norm_batch(batch: DataFrame) -> DataFrame:
     if "original_name" in batch.columns:
         cols.append(norm_text(F.coalesce(F.nullif(F.col("original_name"), F.lit("")), F.col("name")), 100)
                     .alias("original_name"))
-    cols += [first_int(F.col(c).cast("string")).alias(c) for c in ("bike", "sedan", "suv")]
+    cols += [first_int((F.col(c) if c in batch.columns else F.lit(None)).cast("string")).alias(c)
+             for c in ("bike", "sedan", "suv")]
     cols += [norm_bool(F.col("visible") if "visible" in batch.columns else F.lit(None).cast("string"), True).alias("visible"),
              norm_text(F.col("description") if "description" in batch.columns else F.lit(None).cast("string"), 1000)
              .alias("description")]
@@ -114,7 +117,9 @@ def upsert_catalog(cat: DataFrame, batch: DataFrame, now=None):
     rejected."""
     nb = _norm_batch(batch)
     rejected = nb.filter(F.col("name") == "").withColumn("reject_reason", F.lit("missing service name"))
-    last = _last_per_name(nb.filter(F.col("name") != "")).drop("seq", "original_name")
+    named = nb.filter(F.col("name") != "")
+    first_seen = named.groupBy("name").agg(F.min("seq").alias("_arrival"))
+    last = _last_per_name(named).drop("seq", "original_name").join(first_seen, "name")
     stamp = ntz(now) if now is not None else F.current_timestamp().cast("timestamp_ntz")
     has_ts = "updated_at" in cat.columns
     cur = cat if has_ts else cat.withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
@@ -124,8 +129,10 @@ def upsert_catalog(cat: DataFrame, batch: DataFrame, now=None):
             for c in ("bike", "sedan", "suv", "visible", "description")}
     merged = j.select("name", pick["bike"], pick["sedan"], pick["suv"], F.col("c.position").alias("position"),
                       pick["visible"], pick["description"],
-                      F.when(touched, stamp).otherwise(F.col("c.updated_at")).alias("updated_at"))
-    out = renumber(merged, positive_only=True).drop("changed")
+                      F.when(touched, stamp).otherwise(F.col("c.updated_at")).alias("updated_at"),
+                      F.when(F.col("c.name").isNull(), F.col("b._arrival")).alias("_arrival"))
+    # new names join the tail in the order they first arrived, as one-by-one inserts would
+    out = renumber(merged, positive_only=True, arrival="_arrival").drop("changed", "_arrival")
     return (out if has_ts else out.drop("updated_at")), rejected
 
 

@@ -24,12 +24,16 @@ def last_per_key(batch: DataFrame, keys, seq: str = "seq") -> DataFrame:
 
 # M3
 def patch_rows(base: DataFrame, patch: DataFrame, key: str = "id", seq: str = "seq"):
-    """(patched, not_found): each field takes the patch value when it is not NULL,
-    else keeps the current one."""
-    p = last_per_key(patch, key, seq) if seq in patch.columns else patch
-    fields = [c for c in p.columns if c not in (key, seq) and c in base.columns]
-    pp = p.select(key, *[F.col(c).alias(f"_p_{c}") for c in fields])
-    j = base.join(pp, key, "left")
+    """(patched, not_found): each field takes the newest non-NULL value any patch of
+    the key gave it (a NULL field leaves the value as it was), else keeps the
+    current one — the result of applying the patches one by one."""
+    fields = [c for c in patch.columns if c not in (key, seq) and c in base.columns]
+    if seq in patch.columns:
+        p = patch.groupBy(key).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(seq))).alias(f"_p_{c}")
+                                     for c in fields])
+    else:
+        p = patch.select(key, *[F.col(c).alias(f"_p_{c}") for c in fields])
+    j = base.join(p, key, "left")
     out = j.select(*[F.coalesce(F.col(f"_p_{c}"), F.col(c)).alias(c) if c in fields else F.col(c)
                      for c in base.columns])
     return out, patch.join(base.select(key), key, "left_anti")

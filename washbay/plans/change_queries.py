@@ -29,19 +29,22 @@ NORM_BATCH = f"""SELECT seq, {d_text('name', 100)} AS name, {d_first_int('bike')
 FROM catalog_changes"""
 UPSERT_CTES = {
     "nb": NORM_BATCH,
-    "lastb": "SELECT * FROM nb WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq DESC) = 1",
+    "lastb": """SELECT *, min(seq) OVER (PARTITION BY name) AS arrival FROM nb WHERE name <> ''
+ QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq DESC) = 1""",
     "merged": """SELECT COALESCE(c.name, b.name) AS name,
  CASE WHEN b.name IS NOT NULL THEN b.bike ELSE c.bike END AS bike, CASE WHEN b.name IS NOT NULL THEN b.sedan ELSE c.sedan END AS sedan,
  CASE WHEN b.name IS NOT NULL THEN b.suv ELSE c.suv END AS suv, c.position AS position,
  CASE WHEN b.name IS NOT NULL THEN b.visible ELSE c.visible END AS visible,
- CASE WHEN b.name IS NOT NULL THEN b.description ELSE c.description END AS description
+ CASE WHEN b.name IS NOT NULL THEN b.description ELSE c.description END AS description,
+ CASE WHEN c.name IS NULL THEN b.arrival END AS arrival
 FROM catalog c FULL OUTER JOIN lastb b ON c.name = b.name""",
 }
 
 
 @register("m1_upsert_catalog", sql_with(["catalog", "catalog_changes"], """
 SELECT name, bike, sedan, suv,
- CAST(row_number() OVER (ORDER BY CASE WHEN position > 0 THEN position END ASC NULLS LAST, name) AS INTEGER) AS position,
+ CAST(row_number() OVER (ORDER BY CASE WHEN position > 0 THEN position END ASC NULLS LAST, arrival ASC NULLS FIRST, name)
+      AS INTEGER) AS position,
  visible, description FROM merged""", **UPSERT_CTES))
 def m1(spark, sf):
     return CA.upsert_catalog(fixture(spark, sf, "catalog"), fixture(spark, sf, "catalog_changes"), NOW)[0]
@@ -71,7 +74,7 @@ RENAME_CTES = {
  CASE WHEN g.seq IS NOT NULL THEN g.visible ELSE c.visible END AS visible,
  CASE WHEN g.seq IS NOT NULL THEN g.description ELSE c.description END AS description
 FROM catalog c LEFT JOIN good g ON c.name = g.original_name""",
-    "lastb": """SELECT * FROM nb WHERE name <> '' AND seq NOT IN (SELECT seq FROM ex)
+    "lastb": """SELECT *, min(seq) OVER (PARTITION BY name) AS arrival FROM nb WHERE name <> '' AND seq NOT IN (SELECT seq FROM ex)
  QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq DESC) = 1""",
     "merged": UPSERT_CTES["merged"].replace("FROM catalog c", "FROM renamed c"),
 }
@@ -79,7 +82,8 @@ FROM catalog c LEFT JOIN good g ON c.name = g.original_name""",
 
 @register("m2_rename_items", sql_with(["catalog", "catalog_renames"], """
 SELECT name, bike, sedan, suv,
- CAST(row_number() OVER (ORDER BY CASE WHEN position > 0 THEN position END ASC NULLS LAST, name) AS INTEGER) AS position,
+ CAST(row_number() OVER (ORDER BY CASE WHEN position > 0 THEN position END ASC NULLS LAST, arrival ASC NULLS FIRST, name)
+      AS INTEGER) AS position,
  visible, description FROM merged""", **RENAME_CTES))
 def m2(spark, sf):
     return CA.rename_items(fixture(spark, sf, "catalog"), fixture(spark, sf, "catalog_renames"), NOW)[0]
@@ -98,7 +102,10 @@ def m2b(spark, sf):
 @register("m3_patch_rows", sql_with(["settings", "settings_patch"], """
 SELECT s.id, COALESCE(p.primary_color, s.primary_color) AS primary_color, COALESCE(p.tagline, s.tagline) AS tagline,
  COALESCE(p.gallery_json, s.gallery_json) AS gallery_json
-FROM settings s LEFT JOIN settings_patch p ON s.id = p.id"""))
+FROM settings s LEFT JOIN (SELECT id, arg_max(primary_color, seq) FILTER (WHERE primary_color IS NOT NULL) AS primary_color,
+  arg_max(tagline, seq) FILTER (WHERE tagline IS NOT NULL) AS tagline,
+  arg_max(gallery_json, seq) FILTER (WHERE gallery_json IS NOT NULL) AS gallery_json
+  FROM settings_patch GROUP BY id) p ON s.id = p.id"""))
 def m3(spark, sf):
     return CH.patch_rows(fixture(spark, sf, "settings"), fixture(spark, sf, "settings_patch"))[0]
 
