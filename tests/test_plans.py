@@ -85,3 +85,17 @@ def test_matrix_and_plan_lookups_broadcast(spark, sf_dir):
     req = fixture(spark, sf_dir, "memberships").select(F.col("id").alias("customer_id"), "plan_id")
     j3 = open_memberships(req, fixture(spark, sf_dir, "plans"), "2024-01-30")
     assert "BroadcastHashJoin" in plan(j3)
+
+
+def test_report_window_reaches_the_scan(spark, sf_dir):
+    from washbay.operators import reports as R
+    path = tempfile.mkdtemp(prefix="washbay-bk-") + "/bookings"
+    fixture(spark, sf_dir, "bookings").write.parquet(path)
+    bk = S.load_bookings(spark, path, "staff")
+    df = R.trend(bk, "month", "1997-03", "1997-05")
+    text = df._jdf.queryExecution().executedPlan().toString()
+    pushed = text.split("PushedFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(date,1997-03-01)" in pushed and "LessThan(date,1997-06-01)" in pushed
+    schema = text.split("ReadSchema: ")[1].split("\n")[0]
+    assert "name" not in schema and "phone" not in schema and "created_at" not in schema
+    assert df.count() == 3

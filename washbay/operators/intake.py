@@ -87,7 +87,8 @@ def price_from_matrix(bk: DataFrame, matrix: DataFrame | None = None) -> DataFra
     """Staff edit pricing: an explicit price wins (parsed like parseInt); otherwise
     the vehicle × service cell plus the surcharge; a missing cell gives NULL."""
     m = matrix if matrix is not None else price_matrix(bk.sparkSession)
-    m = F.broadcast(m.select(F.col("vehicle").alias("_v"), F.col("service").alias("_s"), F.col("cell")))
+    # the built-in matrix has 9 cells; a caller's matrix is broadcast only after a size check
+    m = small_side(m.select(F.col("vehicle").alias("_v"), F.col("service").alias("_s"), F.col("cell")), 1_000_000)
     j = bk.join(m, (bk["vehicle"] == F.col("_v")) & (bk["service"] == F.col("_s")), "left")
     given = F.col("price").cast("string")
     explicit = given.isNotNull() & (given != F.lit(""))
