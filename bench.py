@@ -45,6 +45,7 @@ def main():
     def run(dfs):
         for df in dfs:
             df.write.format("noop").mode("overwrite").save()
+        spark.catalog.clearCache()        # reports persist shared parts; each run starts clean
 
     def bk():
         return fixture(spark, SF_DIR, "bookings")

@@ -73,8 +73,11 @@ def growth_report(bk: DataFrame, as_of, persist: bool = True) -> dict[str, DataF
     }
 
 
-def owner_report(bk: DataFrame, att: DataFrame, as_of) -> dict[str, DataFrame]:
-    """A11 + A12 + the two newest-10 lists of the owner dashboard."""
+def owner_report(bk: DataFrame, att: DataFrame, as_of, persist: bool = True) -> dict[str, DataFrame]:
+    """A11 + A12 + the two newest-10 lists of the owner dashboard. Three parts read
+    the attendance rows, so they are persisted once (lost blocks recompute)."""
+    if persist:
+        att = att.persist(StorageLevel.MEMORY_AND_DISK)
     return {
         "kpis": R.day_kpis(bk, att, as_of),
         "recent": newest(bk.select("order_id", "name", "service", "vehicle", "price", "status", "created_at"),

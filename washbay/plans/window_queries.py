@@ -163,7 +163,8 @@ for _part, _sql in OWNER_PARTS.items():
         continue
     register(f"a14_owner_{_part}", _att_sql(_sql, fixtures=("attendance_events", "users", "bookings")))(
         lambda spark, sf, part=_part: P.owner_report(
-            fixture(spark, sf, "bookings").withColumnRenamed("visit", "status"), attendance(spark, sf), EVENTS_AS_OF)[part])
+            fixture(spark, sf, "bookings").withColumnRenamed("visit", "status"), attendance(spark, sf), EVENTS_AS_OF,
+            persist=False)[part])
 
 
 # ---- packs -------------------------------------------------------------------
