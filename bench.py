@@ -13,7 +13,6 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -34,9 +33,7 @@ def _sf_value(path: str):
 
 
 def main():
-    spark = get_spark(f"local[{CPUS}]", int(CPUS) * 2)
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-ckpt-"))
+    spark = get_spark(f"local[{CPUS}]", int(CPUS) * 2)      # also sets up the checkpoint folder
     from washbay.operators import attendance as AT, codes as CO, intake as I, packs as PK, people as PE
     from washbay.operators import reports as R
     from washbay.plans import reports as P

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -19,8 +18,8 @@ def spark():
          .config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="washbay-test-ckpt-"))
+    from washbay.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(s)          # the session's folder, or a temporary one when it names none
     yield s
 
 
