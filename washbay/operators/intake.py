@@ -60,8 +60,9 @@ def price_bookings(bk: DataFrame, catalog: DataFrame, max_broadcast_rows: int =
               .filter(F.col("price").isNotNull())
               .select(F.col("name").alias("_svc"), F.col("vehicle").alias("_key"),
                       F.col("price").cast("int").alias("_base")))
-    # a catalogue has one row per service name; keep the first if a source repeats one
-    offers = offers.groupBy("_svc", "_key").agg(F.first("_base").alias("_base"))
+    # a catalogue has one row per service name (its key); should a source repeat one,
+    # take the lowest price so the result does not depend on row order
+    offers = offers.groupBy("_svc", "_key").agg(F.min("_base").alias("_base"))
     joined = bk.join(small_side(offers, max_broadcast_rows),
                      (bk["service"] == F.col("_svc")) & (price_column_for(bk["vehicle"]) == F.col("_key")), "left")
     place = F.col("visit_place") if "visit_place" in bk.columns else F.col("visit")
