@@ -453,6 +453,25 @@ def s4(spark, sf):
     return S.prepare_booking_rows(valid.drop("seq"), "2024-01-30 12:00:00")
 
 
+CUSTOMER_INPUT = """SELECT concat(' ', c_name, '  ') AS name, concat('+91 ', lpad(CAST(c_custkey AS VARCHAR), 10, '9')) AS phone,
+ CAST(NULL AS VARCHAR) AS email, concat('KA-', CAST(c_nationkey AS VARCHAR), '-', CAST(c_custkey AS VARCHAR)) AS vehicle_number,
+ c_mktsegment AS vehicle_type FROM customer"""
+
+
+@register("s5_customer_rows", f"""
+SELECT {d_text('name', 200)} AS name, {d_phone('phone')} AS phone, email, vehicle_number, vehicle_type
+FROM ({CUSTOMER_INPUT}) c""")
+def s5(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    raw = c.select(F.concat(F.lit(" "), "c_name", F.lit("  ")).alias("name"),
+                   F.concat(F.lit("+91 "), F.lpad(F.col("c_custkey").cast("string"), 10, "9")).alias("phone"),
+                   F.lit(None).cast("string").alias("email"),
+                   F.concat(F.lit("KA-"), F.col("c_nationkey").cast("string"), F.lit("-"),
+                            F.col("c_custkey").cast("string")).alias("vehicle_number"),
+                   F.col("c_mktsegment").alias("vehicle_type"))
+    return S.prepare_customer_rows(raw)
+
+
 @register("s7_load_users", sql_with(["users"], """
 SELECT CAST(id AS VARCHAR) AS id, name, phone, username, role, is_active, CAST(NULL AS TIMESTAMP) AS created_at,
  CAST(NULL AS TIMESTAMP) AS last_login FROM users"""))

@@ -130,9 +130,14 @@ def append_bookings(df: DataFrame, path: str, now=None) -> DataFrame:
 
 
 # S5
-def append_customers(df: DataFrame, path: str) -> DataFrame:
-    rows = df.select(norm_text("name", 200).alias("name"), norm_phone("phone").alias("phone"),
+def prepare_customer_rows(df: DataFrame) -> DataFrame:
+    """Customer rows as stored: trimmed name, digits-only phone, the other fields as given."""
+    return df.select(norm_text("name", 200).alias("name"), norm_phone("phone").alias("phone"),
                      *[_col_or_null(df, c, T.StringType()) for c in ("email", "vehicle_number", "vehicle_type")])
+
+
+def append_customers(df: DataFrame, path: str) -> DataFrame:
+    rows = prepare_customer_rows(df)
     rows.write.mode("append").parquet(path)
     return rows
 
