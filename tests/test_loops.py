@@ -272,3 +272,23 @@ def test_patches_match_one_by_one_application(spark):
     out, missing = CH.patch_rows(bdf, pdf)
     assert {r.id: {"color": r.color, "tag": r.tag} for r in out.collect()} == state
     assert {r.id for r in missing.collect()} == {k for _, k, _, _ in patches if k not in base}
+
+
+def test_cooldown_replay_across_tiny_arrow_batches(spark):
+    rnd = random.Random(23)
+    rows, seq = [], 0
+    for key in ["a", "b", None, "c"]:
+        t = T0
+        for _ in range(rnd.randint(1, 40)):
+            t += dt.timedelta(seconds=rnd.choice([0, 1, 20, 59.4, 59.5, 61, 300]))
+            seq += 1
+            rows.append((seq, t, key))
+    df = spark.createDataFrame([(s, t, k, "p") for s, t, k in rows], "seq long, ts timestamp_ntz, phone string, purpose string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "3", "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = {r.seq: r.accepted for r in CO.code_cooldown(df, 60).collect()}
+            assert got == loop_cooldown(rows, 60), size
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)

@@ -6,6 +6,7 @@ Codes are the accepted requests: issued at the request time, valid for the TTL.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,24 +32,51 @@ def latest_per_key(df: DataFrame, keys=KEYS, ts: str = "ts", seq: str = "seq") -
 
 
 def _cooldown_partition(cooldown: int, group_cols: list[str]):
-    """mapInPandas body: rows arrive sorted by (group, ts, seq); the greedy rule is
-    applied row by row, carrying the last accepted time of the current group
-    across Arrow batches (memory stays one batch)."""
+    """mapInPandas body: rows arrive sorted by (group, ts, seq). A request at least
+    the cooldown after the previous request of its group is accepted whatever
+    came before (a head): heads are found with vectorised numpy, and only the rows
+    inside bursts walk the greedy rule in Python. The current group, its last
+    accepted and last seen times carry across Arrow batches (memory = one batch)."""
     limit_us = cooldown * 1_000_000 - 500_000      # round-half-up(diff) >= cooldown
 
     def run(batches):
-        cur, last = None, None
+        cur, last, seen = None, None, None         # group key, last accepted, last request (µs)
         for pdf in batches:
-            if pdf.empty:
+            n = len(pdf)
+            if n == 0:
                 continue
             ts = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-            groups = list(zip(*[pdf[c].to_numpy() for c in group_cols]))
-            acc = [False] * len(pdf)
-            for i in range(len(pdf)):
-                if groups[i] != cur:
-                    cur, last = groups[i], None
-                if last is None or ts[i] - last >= limit_us:
-                    acc[i], last = True, ts[i]
+            keys = [pdf[c].to_numpy(dtype=object) for c in group_cols]
+            same = np.ones(n, dtype=bool)           # row i continues the group of row i-1
+            for k in keys:
+                same[1:] &= k[1:] == k[:-1]
+            first_key = tuple(k[0] for k in keys)
+            same[0] = cur is not None and first_key == cur
+            prev = np.empty(n, dtype=np.int64)
+            prev[1:] = ts[:-1]
+            prev[0] = seen if same[0] else 0
+            head = ~same | (ts - prev >= limit_us)
+            idx = np.arange(n)
+            last_head = np.maximum.accumulate(np.where(head, idx, -1))
+            acc = head.copy()
+            burst_last = -1                          # latest accepted burst row in this batch
+            for i in np.flatnonzero(~head):
+                j = max(last_head[i], burst_last)
+                ref = ts[j] if j >= 0 else last      # no head yet: the carried group goes on
+                if ts[i] - ref >= limit_us:
+                    acc[i] = True
+                    burst_last = i
+            # carry the state of the batch's last group
+            tail_start = n - 1
+            while tail_start > 0 and same[tail_start]:
+                tail_start -= 1
+            accepted_tail = np.flatnonzero(acc[tail_start:])
+            if len(accepted_tail):
+                last = int(ts[tail_start + accepted_tail[-1]])
+            elif not same[tail_start]:
+                last = None
+            cur = tuple(k[n - 1] for k in keys)
+            seen = int(ts[n - 1])
             out = pdf.copy()
             out["accepted"] = acc
             yield out
