@@ -292,3 +292,62 @@ def test_cooldown_replay_across_tiny_arrow_batches(spark):
             assert got == loop_cooldown(rows, 60), size
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def ref_offers(rows, vehicle):
+    """The booking page's rule: list order (position, missing = 1e9; then name), offers
+    with a name and a price; a Bike gets the first 'basic' offer, else the cheapest."""
+    key = "bike" if vehicle == "Bike" else "suv" if vehicle == "SUV" else "sedan"
+    lst = sorted(rows, key=lambda r: (r["position"] if r["position"] is not None else 1e9, r["name"]))
+    offers = [r for r in lst if r["name"] and r[key] is not None]
+    if vehicle != "Bike":
+        return [(r["name"], r[key]) for r in offers]
+    basic = [r for r in offers if "basic" in r["name"].lower()]
+    if basic:
+        return [(basic[0]["name"], basic[0][key])]
+    return [(r["name"], r[key]) for r in sorted(offers, key=lambda r: r[key])[:1]]
+
+
+def test_offers_match_the_page_rule(spark):
+    rnd = random.Random(8)
+    for trial in range(4):
+        rows = [{"name": rnd.choice(["Wash", "Basic wash", "BASIC+", "Foam", "Polish", "Detail"]) + f" {i}",
+                 "bike": rnd.choice([None, 50, 80, 120]), "sedan": rnd.choice([None, 150, 200]),
+                 "suv": rnd.choice([None, 200, 250]), "position": rnd.choice([None, 1, 2, 3, 4, 5])}
+                for i in range(rnd.randint(3, 25))]
+        if trial == 3:
+            rows = [r for r in rows if "asic" not in r["name"].lower()] or rows
+        df = spark.createDataFrame([(r["name"], r["bike"], r["sedan"], r["suv"], r["position"], "") for r in rows],
+                                   "name string, bike int, sedan int, suv int, position int, description string")
+        for v in ("Bike", "SUV", "Hatch/Sedan"):
+            got = [(r.name, r.price) for r in CA.offers_for(df, v).collect()]
+            assert got == ref_offers(rows, v), (trial, v)
+
+
+def test_status_edit_and_delete_batches_match_one_by_one(spark):
+    from washbay.operators import changes as CH
+    rnd = random.Random(12)
+    bk = {i: {"status": "New", "price": 100 + i, "service": "Basic"} for i in range(20)}
+    events = [(s, rnd.randint(0, 24), rnd.choice(["cancel", "complete", "edit", "bogus"]),
+               rnd.randint(1, 999), rnd.choice([None, "Premium", "Detailing"])) for s in range(120)]
+    state = {k: dict(v) for k, v in bk.items()}
+    for _, k, action, price, service in events:
+        if k not in state:
+            continue
+        if action == "cancel":
+            state[k]["status"] = "Cancelled"
+        elif action == "complete":
+            state[k]["status"] = "Completed"
+        elif action == "edit":
+            state[k]["price"], state[k]["service"] = price, service
+    bdf = spark.createDataFrame([(k, v["status"], v["price"], v["service"]) for k, v in bk.items()],
+                                "order_id long, status string, price int, service string")
+    edf = spark.createDataFrame(events, "seq long, order_id long, action string, price int, service string")
+    after, rejected = CH.set_status(bdf, edf)
+    after = CH.edit_bookings(after, edf)
+    assert {r.order_id: {"status": r.status, "price": r.price, "service": r.service} for r in after.collect()} == state
+    assert rejected.count() == sum(1 for e in events if e[2] == "bogus")
+    gone = [k for k in range(0, 30, 3)]
+    rest, missing = CH.delete_rows(bdf, spark.createDataFrame([(k,) for k in gone], "order_id long"), "order_id")
+    assert {r.order_id for r in rest.collect()} == set(bk) - set(gone)
+    assert {r.order_id for r in missing.collect()} == set(gone) - set(bk)
