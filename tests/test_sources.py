@@ -75,3 +75,18 @@ def test_gallery_round_trip(spark):
     assert [r[0] for r in arr.select(N.gallery_json("a")).collect()] == ['["a.jpg","b.png"]', "[]", "[]"]
     lines = spark.createDataFrame([(" a \n\n b\t\n",)], "t string").select(N.split_lines("t")).first()[0]
     assert lines == ["a", "b"]
+
+
+def test_cli_jobs_write_every_part(spark, sf_dir):
+    import os
+    from washbay import cli
+    from washbay.sources.fixtures import fixture
+    d = tempfile.mkdtemp(prefix="washbay-cli-")
+    fixture(spark, sf_dir, "bookings").write.parquet(f"{d}/bookings")
+    fixture(spark, sf_dir, "attendance_events").write.parquet(f"{d}/events")
+    fixture(spark, sf_dir, "users").write.parquet(f"{d}/users")
+    cli.main(["stats", "--bookings", f"{d}/bookings", "--group", "year", "--out", f"{d}/stats"])
+    cli.main(["attendance", "--events", f"{d}/events", "--users", f"{d}/users", "--out", f"{d}/att"])
+    assert sorted(os.listdir(f"{d}/stats")) == ["by_dow", "by_hour", "by_service", "by_vehicle", "points", "totals"]
+    assert spark.read.parquet(f"{d}/stats/totals").first()["count"] > 0
+    assert spark.read.parquet(f"{d}/att/attendance").count() > 0
