@@ -217,3 +217,12 @@ def test_norm_date_offsets_like_js(spark):
     got = one_col(spark, ["2024-01-05T01:00:00+05:30", "2024-01-05T23:30-02:00", "2024-01-05T10:00:00.123Z",
                           "2024-01-05 10:00", "2024-01-05T10:00+0530", "2024-02-30T10:00Z"], C.norm_date)
     assert got == ["2024-01-04", "2024-01-06", "2024-01-05", "2024-01-05", "2024-01-05", ""]
+
+
+def test_strict_visit_time_raises_on_impossible_dates(spark):
+    from pyspark.errors import PySparkException
+    df = spark.createDataFrame([("2024-02-31", "09:30")], "date string, time string")
+    assert df.select(C.visit_ts()).first()[0] is None
+    if spark.conf.get("spark.sql.ansi.enabled") == "true":
+        with pytest.raises(PySparkException):
+            df.select(C.visit_ts(strict=True)).collect()
