@@ -55,10 +55,11 @@ class Scan:
 
 def keyed_scan(df: DataFrame, keys: list[str], order: list, scans: list[Scan],
                partitions: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     okeys = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
-    tagged = (frozen_layout(df.repartitionByRange(n, *okeys).sortWithinPartitions(*okeys))
+    # without an explicit count AQE may merge adjacent small ranges (order is kept),
+    # while ranges holding a hot key's rows stay apart
+    ranged = df.repartitionByRange(partitions, *okeys) if partitions else df.repartitionByRange(*okeys)
+    tagged = (frozen_layout(ranged.sortWithinPartitions(*okeys))
                 .withColumn("_mid", F.monotonically_increasing_id())
                 .withColumn("_pid", F.shiftright(F.col("_mid"), _SHIFT))
                 .withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid"), _SHIFT))

@@ -24,9 +24,8 @@ def dense_index(df: DataFrame, order_cols: list, out: str = "rn",
                 partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 1..n following ``order_cols`` (Columns or names; must be a total
     order for a deterministic result)."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = frozen_layout(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols))
+    ranged = df.repartitionByRange(partitions, *order_cols) if partitions else df.repartitionByRange(*order_cols)
+    ordered = frozen_layout(ranged.sortWithinPartitions(*order_cols))     # AQE may merge small ranges
     mid = F.monotonically_increasing_id()
     tagged = ordered.withColumn("_mid", mid).withColumn("_pid", F.shiftright(F.col("_mid"), _PID_SHIFT))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
