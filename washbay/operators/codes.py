@@ -143,9 +143,8 @@ def code_cooldown(requests: DataFrame, cooldown: int = RESEND_COOLDOWN_SECONDS,
     hot = small_side(counts.filter(F.col("_n") > hot_key_rows).select(*KEYS))
     cold = requests.join(hot, _null_safe_keys(requests, hot), "left_anti")
     hot_rows = requests.join(hot, _null_safe_keys(requests, hot), "left_semi")
-    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields) + ", accepted boolean"
-    replayed = (cold.repartition(n, *KEYS).sortWithinPartitions(*KEYS, "ts", "seq")
+    replayed = (cold.repartition(*KEYS).sortWithinPartitions(*KEYS, "ts", "seq")        # AQE sizes the shuffle
                     .mapInPandas(_cooldown_partition(cooldown, KEYS), schema))
     if hot.limit(1).count() == 0:
         return replayed
