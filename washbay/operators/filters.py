@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from washbay.functions.columns import CLOSE_MINUTE, OPEN_MINUTE, minutes_of_day
+from washbay.plans.ranking import small_side
 
 
 def ntz(value) -> Column:
@@ -124,7 +125,8 @@ def history_of(df: DataFrame, phones: DataFrame | list[str], phone: str = "phone
                ts: str = "created_at") -> DataFrame:
     """All bookings of the given phones (a DataFrame or a short list), newest first."""
     if isinstance(phones, DataFrame):
-        keys = phones.select(F.col(phone)).distinct()
+        # a short phone list is broadcast (after a size check), so the bookings are not shuffled
+        keys = small_side(phones.select(F.col(phone)).distinct())
         out = df.join(keys, on=phone, how="left_semi")
     else:
         out = df.filter(F.col(phone).isin(list(phones)))

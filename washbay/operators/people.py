@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from washbay.plans.ranking import small_side
+
 
 def _first_user_per(users: DataFrame, key: str, cols=("id", "name")) -> DataFrame:
     """One row per ``key`` value: the user with the smallest id (min over a struct,
@@ -19,7 +21,7 @@ def known_employees(events: DataFrame, users: DataFrame, key: str = "username"):
     """(ok, unknown): events whose username belongs to a user with role employee,
     with that user's id and name attached; the rest are unknown."""
     staff = _first_user_per(users.filter(F.col("role") == F.lit("employee")), key)
-    staff = staff.select(key, F.col("id").alias("employee_id"), F.col("name").alias("employee_name"))
+    staff = small_side(staff.select(key, F.col("id").alias("employee_id"), F.col("name").alias("employee_name")))
     ok = events.join(staff, key, "inner")
     unknown = events.join(staff, key, "left_anti")
     return ok, unknown
