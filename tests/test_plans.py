@@ -99,3 +99,13 @@ def test_report_window_reaches_the_scan(spark, sf_dir):
     schema = text.split("ReadSchema: ")[1].split("\n")[0]
     assert "name" not in schema and "phone" not in schema and "created_at" not in schema
     assert df.count() == 3
+
+
+def test_outcomes_written_in_one_job(spark, sf_dir):
+    out = tempfile.mkdtemp(prefix="washbay-outcomes-") + "/cleaned"
+    cleaned = I.clean_bookings(fixture(spark, sf_dir, "raw_requests"))
+    S.write_outcomes(cleaned, out)
+    back = spark.read.parquet(out)
+    assert back.count() == cleaned.count()
+    assert {r.outcome for r in back.select("outcome").distinct().collect()} == {"accepted", "rejected"}
+    assert back.filter("outcome = 'accepted' AND reject_reason IS NOT NULL").count() == 0

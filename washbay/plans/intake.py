@@ -5,18 +5,24 @@ concurrent requests can no longer collide on an order id."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from washbay.operators.intake import allocate_ids, clean_bookings, price_bookings, split_outcome
 from washbay.sources.tables import prepare_booking_rows
 
 
-def intake(raw: DataFrame, catalog: DataFrame, existing: DataFrame, now) -> dict[str, DataFrame]:
+def intake(raw: DataFrame, catalog: DataFrame, existing: DataFrame, now,
+           persist: bool = True) -> dict[str, DataFrame]:
     """``accepted``: canonical rows ready for ``append_bookings``; ``rejected``: the
-    request ``seq`` with the first failing rule (missing fields, or not offered)."""
+    request ``seq`` with the first failing rule (missing fields, or not offered).
+    The cleaned and priced batch is persisted once (``persist``), so counting it for
+    the id allocation and producing both outputs do not re-read the requests."""
     cleaned = clean_bookings(raw)
     valid, bad = split_outcome(cleaned)
     priced = price_bookings(valid, catalog)
+    if persist:
+        priced = priced.persist(StorageLevel.MEMORY_AND_DISK)
     ok, unpriced = split_outcome(priced)
     numbered = allocate_ids(ok, existing, order=("seq",))
     accepted = prepare_booking_rows(numbered, now)

@@ -532,7 +532,8 @@ SELECT f.id AS order_id, p.name, p.phone, p.vehicle, p.service, p."date", p."tim
 FROM (SELECT *, row_number() OVER (ORDER BY seq) AS rn FROM priced) p JOIN free f USING (rn)""", **E2_CTES))
 def e2(spark, sf):
     from washbay.plans.intake import intake
-    return intake(fixture(spark, sf, "raw_requests"), fixture(spark, sf, "catalog"), _ids(spark, sf), E2_NOW)["accepted"]
+    return intake(fixture(spark, sf, "raw_requests"), fixture(spark, sf, "catalog"), _ids(spark, sf), E2_NOW,
+                  persist=False)["accepted"]
 
 
 @register("e2_intake_rejected", sql_with(["raw_requests", "catalog"], """
@@ -543,4 +544,5 @@ SELECT c.seq, c.service || ' not available for ' || c.vehicle FROM clean c WHERE
                                          clean=P19_SQL, offers=E2_CTES["offers"]))
 def e2b(spark, sf):
     from washbay.plans.intake import intake
-    return intake(fixture(spark, sf, "raw_requests"), fixture(spark, sf, "catalog"), _ids(spark, sf), E2_NOW)["rejected"]
+    return intake(fixture(spark, sf, "raw_requests"), fixture(spark, sf, "catalog"), _ids(spark, sf), E2_NOW,
+                  persist=False)["rejected"]

@@ -129,6 +129,13 @@ def append_bookings(df: DataFrame, path: str, now=None) -> DataFrame:
     return rows
 
 
+def write_outcomes(df: DataFrame, path: str, reason: str = "reject_reason", mode: str = "append") -> None:
+    """Write accepted and rejected rows of one tagged DataFrame in ONE job, as
+    ``outcome=accepted`` / ``outcome=rejected`` folders (one scan, not two)."""
+    tagged = df.withColumn("outcome", F.when(F.col(reason).isNull(), F.lit("accepted")).otherwise(F.lit("rejected")))
+    tagged.write.mode(mode).partitionBy("outcome").parquet(path)
+
+
 # S5
 def prepare_customer_rows(df: DataFrame) -> DataFrame:
     """Customer rows as stored: trimmed name, digits-only phone, the other fields as given."""
