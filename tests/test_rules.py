@@ -226,3 +226,12 @@ def test_strict_visit_time_raises_on_impossible_dates(spark):
     if spark.conf.get("spark.sql.ansi.enabled") == "true":
         with pytest.raises(PySparkException):
             df.select(C.visit_ts(strict=True)).collect()
+
+
+def test_period_bounds_accept_unpadded_days():
+    import datetime as _dt
+    assert FL.period_bounds("day", "2024-1-5", "2024-01-31") == (_dt.date(2024, 1, 5), _dt.date(2024, 2, 1))
+    assert FL.period_bounds("month", "2023-12", "2024-2") == (_dt.date(2023, 12, 1), _dt.date(2024, 3, 1))
+    assert FL.period_bounds("year", "2020", None) == (_dt.date(2020, 1, 1), None)
+    with pytest.raises(ValueError):
+        FL.period_bounds("day", "5/1/2024", None)

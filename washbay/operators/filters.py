@@ -29,6 +29,13 @@ def _month_start(text: str) -> dt.date:
     return dt.date(int(m.group(1)), int(m.group(2)), 1)
 
 
+def _day(text: str) -> dt.date:
+    m = re.fullmatch(r"\s*(\d{4})-(\d{1,2})-(\d{1,2})\s*", text)
+    if not m:
+        raise ValueError(f"day bound must be YYYY-MM-DD, got {text!r}")
+    return dt.date(int(m.group(1)), int(m.group(2)), int(m.group(3)))
+
+
 def _next_month(d: dt.date) -> dt.date:
     return dt.date(d.year + (d.month == 12), d.month % 12 + 1, 1)
 
@@ -39,9 +46,9 @@ def period_bounds(group: str, from_: str | None, to: str | None):
     lo = hi = None
     if group == "day":
         if from_:
-            lo = dt.date.fromisoformat(from_.strip())
+            lo = _day(from_)
         if to:
-            hi = dt.date.fromisoformat(to.strip()) + dt.timedelta(days=1)
+            hi = _day(to) + dt.timedelta(days=1)
     elif group == "month":
         if from_:
             lo = _month_start(from_)
