@@ -472,6 +472,24 @@ def s5(spark, sf):
     return S.prepare_customer_rows(raw)
 
 
+SERVICES_SHEET = """SELECT p_partkey AS id, p_name AS name,
+ CASE p_size % 3 WHEN 0 THEN 'Bike' WHEN 1 THEN 'Hatch/Sedan' ELSE 'SUV' END AS vehicle_type,
+ CAST(floor(p_retailprice) AS INTEGER) AS price, p_brand AS category, p_size * 5 AS duration_minutes,
+ p_type AS description, p_partkey % 4 <> 0 AS active FROM part"""
+
+
+@register("s6_f8_t4_services_sheet", f"SELECT * FROM ({SERVICES_SHEET}) s WHERE active = true ORDER BY id")
+def s6_services(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    sheet = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"),
+                     F.when(F.col("p_size") % 3 == 0, "Bike").when(F.col("p_size") % 3 == 1, "Hatch/Sedan")
+                      .otherwise("SUV").alias("vehicle_type"),
+                     F.floor("p_retailprice").cast("int").alias("price"), F.col("p_brand").alias("category"),
+                     (F.col("p_size") * 5).alias("duration_minutes"), F.col("p_type").alias("description"),
+                     (F.col("p_partkey") % 4 != 0).alias("active"))
+    return S.load_price_sheets(spark, "services", services=sheet)["services"]
+
+
 @register("s7_load_users", sql_with(["users"], """
 SELECT CAST(id AS VARCHAR) AS id, name, phone, username, role, is_active, CAST(NULL AS TIMESTAMP) AS created_at,
  CAST(NULL AS TIMESTAMP) AS last_login FROM users"""))
