@@ -110,18 +110,68 @@ def _cooldown_fn(cooldown: int):
     return fn
 
 
+def _cooldown_hold_fn(cooldown: int):
+    """Variant that holds requests until the watermark passes them, then decides
+    them in event-time order: exact for out-of-order arrival within the lateness."""
+    limit_us = cooldown * 1_000_000 - 500_000
+    cols = ["seq", "ts", "phone", "purpose", "accepted"]
+
+    def fn(key, pdfs, state):
+        last, pseq, pts = (None, [], [])
+        if state.exists:
+            last, pseq, pts = state.get[0], list(state.get[1] or []), list(state.get[2] or [])
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                pseq += [int(x) for x in pdf["seq"]]
+                pts += [int(x) for x in pdf["ts"].astype("datetime64[us]").astype("int64")]
+        wm_us = state.getCurrentWatermarkMs() * 1000
+        order = sorted(range(len(pts)), key=lambda i: (pts[i], pseq[i]))
+        rows, rest = [], []
+        for i in order:
+            if pts[i] > wm_us:                 # a request before it may still arrive
+                rest.append(i)
+                continue
+            ok = last is None or pts[i] - last >= limit_us
+            if ok:
+                last = pts[i]
+            rows.append((pseq[i], pts[i], key[0], key[1], ok))
+        if rest:
+            state.update((last, [pseq[i] for i in rest], [pts[i] for i in rest]))
+            # wake up as soon as the watermark passes the earliest waiting request
+            state.setTimeoutTimestamp(min(pts[i] for i in rest) // 1000 + 1)
+        elif last is not None and last + limit_us > wm_us:
+            state.update((last, [], []))
+            state.setTimeoutTimestamp((last + limit_us) // 1000 + 1)
+        else:
+            state.remove()
+        out = pd.DataFrame(rows, columns=cols)
+        out["ts"] = pd.to_datetime(out["ts"].astype("int64"), unit="us")
+        yield out
+    return fn
+
+
 # X3
 def stream_code_cooldown(requests: DataFrame, cooldown: int = RESEND_COOLDOWN_SECONDS,
-                         lateness: str = "10 minutes") -> DataFrame:
+                         lateness: str = "10 minutes", hold_until_watermark: bool = False) -> DataFrame:
     """Per (phone, purpose) state = last accepted time, dropped by an event-time
     timeout once the watermark passes it + cooldown (then no earlier request can
     matter), so state stays bounded by the keys active within the cooldown plus
-    ``lateness``. Requests older than the watermark are late and dropped."""
+    ``lateness``. Requests older than the watermark are late and dropped.
+
+    By default each request is decided when it arrives (exact for in-order
+    arrival per key). With ``hold_until_watermark`` requests wait in state until
+    the watermark passes them and are decided in event-time order, which is exact
+    for any arrival order within ``lateness``; the newest ``lateness`` of requests
+    stays undecided until later data moves the watermark."""
     ev = requests.withColumn("_t", _wall_clock_instant("ts")).withWatermark("_t", lateness)
+    out_schema = "seq long, ts timestamp_ntz, phone string, purpose string, accepted boolean"
+    if hold_until_watermark:
+        return ev.groupBy("phone", "purpose").applyInPandasWithState(
+            _cooldown_hold_fn(cooldown), out_schema, "last_us long, pend_seq array<long>, pend_ts array<long>",
+            "append", GroupStateTimeout.EventTimeTimeout)
     return (ev.groupBy("phone", "purpose")
-              .applyInPandasWithState(_cooldown_fn(cooldown),
-                                      "seq long, ts timestamp_ntz, phone string, purpose string, accepted boolean",
-                                      "last_us long", "append", GroupStateTimeout.EventTimeTimeout))
+              .applyInPandasWithState(_cooldown_fn(cooldown), out_schema, "last_us long", "append",
+                                      GroupStateTimeout.EventTimeTimeout))
 
 
 def run_to_parquet(stream: DataFrame, out_dir: str, checkpoint: str, mode: str = "append") -> None:
