@@ -31,3 +31,26 @@ def test_cooldown_stream_with_late_arrivals(spark, sf_dir):
     assert got and all(want[s] == a for s, a in got.items())
     final_wm = t1 - dt.timedelta(days=8)
     assert set(got) == {r.seq for r in rows if r.ts <= final_wm}
+
+
+def test_attendance_stream_with_late_arrivals(spark, sf_dir):
+    from washbay.operators import attendance as AT, people as PE
+    ok, _ = PE.known_employees(fixture(spark, sf_dir, "attendance_events"), fixture(spark, sf_dir, "users"))
+    rows = ok.orderBy("ts", "seq").collect()
+    t0, t1 = rows[0].ts, rows[-1].ts
+    width = (t1 - t0) / 4
+    chunks = [[] for _ in range(5)]
+    for r in rows:
+        i = min(3, int((r.ts - t0) / width))
+        chunks[i + (1 if r.seq % 4 == 0 else 0)].append(r)      # every fourth event arrives a chunk late
+    base = checkpoint_path(spark, "late-attendance")
+    src, out, ck = f"{base}/src", f"{base}/out", f"{base}/ck"
+    for i, chunk in enumerate(chunks):
+        spark.createDataFrame(chunk, ok.schema).write.mode("overwrite").parquet(f"{src}/{i:02d}")
+        stream = spark.readStream.schema(ok.schema).option("recursiveFileLookup", "true").parquet(src)
+        X.run_to_parquet(X.stream_attendance(stream, hold_until_watermark=True, lateness="8 days"), out, ck)
+    final_wm = t1 - dt.timedelta(days=8)
+    got = {tuple(r) for r in spark.read.parquet(out).select("attendance_id", "check_in", "check_out").collect()}
+    want = {tuple(r) for r in AT.pair_attendance(ok).filter(F.col("check_out") <= F.lit(final_wm))
+            .select("attendance_id", "check_in", "check_out").collect()}
+    assert got == want and got

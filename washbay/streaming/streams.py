@@ -71,9 +71,63 @@ def _attendance_fn(key, pdfs, state):
                                       "check_out", "status", "created_at"])
 
 
+ATT_HOLD_STATE = ("open_ids array<long>, open_ts array<long>, name string, "
+                  "pend_seq array<long>, pend_ts array<long>, pend_type array<string>, pend_name array<string>")
+
+
+def _attendance_hold_fn(key, pdfs, state):
+    """Hold events until the watermark passes them, then pair them in event-time
+    order (exact for any arrival order within the lateness)."""
+    if state.exists:
+        g = state.get
+        open_ids, open_ts, name = list(g[0] or []), list(g[1] or []), g[2]
+        pseq, pts, ptype, pname = list(g[3] or []), list(g[4] or []), list(g[5] or []), list(g[6] or [])
+    else:
+        open_ids, open_ts, name, pseq, pts, ptype, pname = [], [], None, [], [], [], []
+    if not state.hasTimedOut:
+        for pdf in pdfs:
+            pseq += [int(x) for x in pdf["seq"]]
+            pts += [int(x) for x in pdf["ts"].astype("datetime64[us]").astype("int64")]
+            ptype += list(pdf["type"])
+            pname += list(pdf["employee_name"])
+    wm_us = state.getCurrentWatermarkMs() * 1000
+    rows, rest = [], []
+    for i in sorted(range(len(pts)), key=lambda i: (pts[i], pseq[i])):
+        if pts[i] > wm_us:
+            rest.append(i)
+            continue
+        name = pname[i]
+        if ptype[i] == "IN":
+            open_ids.append(pseq[i])
+            open_ts.append(pts[i])
+        elif ptype[i] == "OUT" and open_ids:
+            rows += [(a, int(key[0]), name, t, pts[i], "Completed", t) for a, t in zip(open_ids, open_ts)]
+            open_ids, open_ts = [], []
+    keep = [pseq[i] for i in rest], [pts[i] for i in rest], [ptype[i] for i in rest], [pname[i] for i in rest]
+    if open_ids or rest:
+        state.update((open_ids, open_ts, name, *keep))
+        if rest:
+            state.setTimeoutTimestamp(min(keep[1]) // 1000 + 1)
+    else:
+        state.remove()
+    out = pd.DataFrame(rows, columns=["attendance_id", "employee_id", "employee_name", "check_in",
+                                      "check_out", "status", "created_at"])
+    for c in ("check_in", "check_out", "created_at"):
+        out[c] = pd.to_datetime(out[c].astype("int64"), unit="us")
+    yield out
+
+
 # X2
-def stream_attendance(events: DataFrame) -> DataFrame:
-    """``events``: seq, ts, employee_id, employee_name, type (stream)."""
+def stream_attendance(events: DataFrame, hold_until_watermark: bool = False,
+                      lateness: str = "10 minutes") -> DataFrame:
+    """``events``: seq, ts, employee_id, employee_name, type (stream). By default an
+    OUT closes the open clock-ins as it arrives (exact for in-order arrival per
+    employee); with ``hold_until_watermark`` events wait until the watermark
+    passes them and are paired in event-time order (exact within ``lateness``)."""
+    if hold_until_watermark:
+        ev = events.withColumn("_t", _wall_clock_instant("ts")).withWatermark("_t", lateness)
+        return ev.groupBy("employee_id").applyInPandasWithState(
+            _attendance_hold_fn, ATT_OUT, ATT_HOLD_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return (events.groupBy("employee_id")
                   .applyInPandasWithState(_attendance_fn, ATT_OUT, ATT_STATE, "append",
                                           GroupStateTimeout.NoTimeout))
