@@ -54,8 +54,9 @@ def stats_report(bk: DataFrame, group: str = "month", from_=None, to=None,
         "by_service": by_service,
         "by_vehicle": part("vehicle").select(F.col("vehicle").alias("label"), "total", "count")
                                      .orderBy(F.col("total").desc_nulls_last(), F.col("label").asc_nulls_last()),
-        "by_hour": part("hour").select("hour", "total", "count").orderBy("hour"),
-        "by_dow": part("dow").select("dow", "total", "count").orderBy("dow"),
+        # at most 24 and 7 rows: ordered inside one partition, no range-sampling job
+        "by_hour": part("hour").select("hour", "total", "count").coalesce(1).sortWithinPartitions("hour"),
+        "by_dow": part("dow").select("dow", "total", "count").coalesce(1).sortWithinPartitions("dow"),
     }
 
 
