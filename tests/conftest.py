@@ -16,7 +16,8 @@ def spark():
     s = (SparkSession.builder.master("local[4]").appName("washbay-tests")
          .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
-         .config("spark.sql.adaptive.enabled", "true").getOrCreate())
+         .config("spark.sql.adaptive.enabled", "true")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     from washbay.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(s)          # the session's folder, or a temporary one when it names none
