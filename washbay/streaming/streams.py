@@ -9,10 +9,13 @@
   the last accepted request time until an event-time timeout (watermark past
   last + cooldown) drops it; every request is emitted with ``accepted``.
 
-X2/X3 keep per-key state with ``applyInPandasWithState`` and expect each key's
-events to arrive in time order across micro-batches (within a micro-batch they
-are sorted). State stays small: open clock-ins of one employee, one timestamp per
-recently active code key.
+X2/X3 keep per-key state with ``applyInPandasWithState``. By default they decide
+each event as it arrives, which is exact when a key's events arrive in time order
+across micro-batches (within a micro-batch they are sorted). With
+``hold_until_watermark=True`` events wait in state until the watermark passes
+them and are decided in event-time order, exact for any order within the allowed
+lateness. State stays small: open clock-ins of one employee, one timestamp per
+recently active code key, plus the events still inside the lateness window.
 """
 
 from __future__ import annotations
