@@ -109,3 +109,16 @@ def test_outcomes_written_in_one_job(spark, sf_dir):
     assert back.count() == cleaned.count()
     assert {r.outcome for r in back.select("outcome").distinct().collect()} == {"accepted", "rejected"}
     assert back.filter("outcome = 'accepted' AND reject_reason IS NOT NULL").count() == 0
+
+
+def test_keyed_log_lookup_prunes(spark, sf_dir):
+    path = tempfile.mkdtemp(prefix="washbay-log-") + "/requests"
+    req = fixture(spark, sf_dir, "code_requests")
+    S.write_keyed_log(req, path)
+    back = spark.read.parquet(path)
+    phone = req.first().phone
+    one = back.filter((F.col("phone") == phone) & (F.col("purpose") == "manage_booking"))
+    text = one._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(phone," in text.split("PushedFilters: [")[1].split("]")[0]
+    assert one.count() == req.filter(F.col("phone") == phone).count()
+    assert back.count() == req.count()

@@ -129,6 +129,19 @@ def append_bookings(df: DataFrame, path: str, now=None) -> DataFrame:
     return rows
 
 
+def write_keyed_log(df: DataFrame, path: str, keys=("phone", "purpose"), ts: str = "ts",
+                    mode: str = "append") -> None:
+    """Store an event log clustered by key, the role the (phone, purpose, created_at)
+    index plays for the code handlers: one folder per event day, rows range
+    partitioned and sorted by (day, keys, time), so each file covers a narrow key
+    range and parquet min/max statistics let a one-key lookup skip most row groups.
+    Range partitioning keeps a hot key spread over several files."""
+    order = ["event_day", *keys, ts]
+    (df.withColumn("event_day", F.to_date(F.col(ts)))
+       .repartitionByRange(*order).sortWithinPartitions(*order)
+       .write.mode(mode).partitionBy("event_day").parquet(path))
+
+
 def write_outcomes(df: DataFrame, path: str, reason: str = "reject_reason", mode: str = "append") -> None:
     """Write accepted and rejected rows of one tagged DataFrame in ONE job, as
     ``outcome=accepted`` / ``outcome=rejected`` folders (one scan, not two)."""
