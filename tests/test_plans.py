@@ -122,3 +122,16 @@ def test_keyed_log_lookup_prunes(spark, sf_dir):
     assert "EqualTo(phone," in text.split("PushedFilters: [")[1].split("]")[0]
     assert one.count() == req.filter(F.col("phone") == phone).count()
     assert back.count() == req.count()
+
+
+def test_small_side_falls_back_to_a_shuffle_join(spark):
+    from washbay.plans.ranking import small_side
+    big = spark.range(0, 5000).withColumnRenamed("id", "k")
+    side = spark.range(0, 50).withColumnRenamed("id", "k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")      # only explicit broadcasts
+    try:
+        assert "BroadcastHashJoin" in plan(big.join(small_side(side, 100), "k"))
+        over = big.join(small_side(side, 10), "k")                     # above the bound: no broadcast hint
+        assert "BroadcastHashJoin" not in plan(over) and over.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
