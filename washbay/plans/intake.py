@@ -14,7 +14,10 @@ from washbay.sources.tables import prepare_booking_rows
 
 def intake(raw: DataFrame, catalog: DataFrame, existing: DataFrame, now,
            persist: bool = True) -> dict[str, DataFrame]:
-    """``accepted``: canonical rows ready for ``append_bookings``; ``rejected``: the
+    """``raw`` holds the request fields (name, phone, vehicle, service, date, time,
+    visit, address) and a unique ``seq`` giving arrival order, which is also the
+    order in which free order ids are handed out.
+    ``accepted``: canonical rows ready for ``append_bookings``; ``rejected``: the
     request ``seq`` with the first failing rule (missing fields, or not offered).
     The cleaned and priced batch is persisted once (``persist``), so counting it for
     the id allocation and producing both outputs do not re-read the requests."""
