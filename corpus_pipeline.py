@@ -1,4 +1,5 @@
-"""Corpus pipeline: quality rules, line dedup, n-gram Jaccard join, best-fit packing over the documents table.
+"""Corpus pipeline: quality rules, line dedup, n-gram Jaccard join, suffix-array dedup,
+best-fit packing over the documents table.
 
 ``run`` applies STAGES to ``documents``; each stage's rows are written as Parquet below the
 shared checkpoint folder and read again as the next one's input. All but the last return the
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from washbay.llm import line_dedup, ngram_join, packing, quality
+from washbay.llm import line_dedup, ngram_join, packing, quality, suffix_dedup
 from washbay.llm.common import ship_package, staged
 from washbay.llm.registry import tokenizer_path
 
@@ -41,6 +42,13 @@ def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ngram_join.one_per_group(docs.select(*COLUMNS), size=5, num=8, den=10)
 
 
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes or more that a smaller doc_id holds are removed; a character that
+    a removed run splits goes with it."""
+    ship_package(spark)
+    return _with_text(suffix_dedup.remove_repeats(docs, carry=("lang", "source")), "kept_text")
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequence and place."""
     ship_package(spark)
@@ -51,6 +59,7 @@ STAGES = [
     ("quality rules", quality_stage),
     ("line dedup", line_stage),
     ("ngram jaccard join", ngram_stage),
+    ("suffix array dedup", suffix_stage),
     ("best fit packing", packing_stage),
 ]
 

@@ -17,7 +17,7 @@ from washbay.session import ensure_checkpoint_dir
 #: Stands for a NULL doc_id inside the operators (restored on output).
 NULL_ID = -(1 << 63)
 #: Bytes of text that one numpy pass holds at a time (a longer single text is one pass).
-PASS_BYTES = 4 << 20
+PASS_BYTES = 2 << 20
 
 
 def doc_rows(docs: DataFrame, *more: str) -> DataFrame:
@@ -50,9 +50,10 @@ def staged_path(spark: SparkSession, name: str) -> str:
 # --- sorted groups -----------------------------------------------------------------
 
 def map_sorted_groups(df: DataFrame, keys: list[str], within: list[str], schema: str,
-                      fn: Callable[[pa.Table], pa.Table | None], spread: list[str] | None = None) -> DataFrame:
+                      fn: Callable[[pa.Table], pa.Table | None], spread: list[str] | None = None,
+                      at_once: int = 8 << 20) -> DataFrame:
     """Shuffle by ``spread`` (default ``keys``), sort, and hand ``fn`` tables that hold
-    whole groups of ``keys`` (many small groups at a time, so small groups cost no call each)."""
+    whole groups of ``keys`` (many small groups at a time, about ``at_once`` bytes of them)."""
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +70,7 @@ def map_sorted_groups(df: DataFrame, keys: list[str], within: list[str], schema:
                 continue
             held.append(batch)
             rows += batch.num_rows
-            if rows < 20_000 and sum(b.nbytes for b in held) < (8 << 20):
+            if rows < 20_000 and sum(b.nbytes for b in held) < at_once:
                 continue
             table = pa.Table.from_batches(held)
             cut = _last_group_start(table, keys)
@@ -120,17 +121,15 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**0..n-1 and its inverses modulo 2**64 (kept and grown by doubling)."""
+    """base**0..n-1 and its inverses modulo 2**64 (kept; grown when a longer text comes)."""
     have = _powers.get("p")
     if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        p, q = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
-        step, back = _BASE, _BASE_INV
+        size = max(PASS_BYTES + (1 << 16), n)
         with np.errstate(over="ignore"):
-            while len(p) < size:
-                p, q = np.concatenate([p, p * step]), np.concatenate([q, q * back])
-                step, back = step * step, back * back
-        _powers["p"], _powers["q"] = p, q
+            for name, base in (("p", _BASE), ("q", _BASE_INV)):
+                table = np.full(size, base, dtype=np.uint64)
+                table[0] = 1
+                _powers[name] = np.cumprod(table, out=table)
     return _powers["p"], _powers["q"]
 
 
