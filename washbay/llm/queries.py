@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from washbay.llm import bpe, hamming, licenses, line_dedup, ngram_join, packing, quality, suffix_dedup, token_files
+from washbay.llm import bpe, hamming, licenses, line_dedup, maxent_lm, ngram_join, packing, quality, suffix_dedup, token_files
 from washbay.llm.common import staged_path
 from washbay.llm.registry import register, table, tokenizer_path
 
@@ -66,6 +66,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.kept_digests(table(spark, sf_dir, "documents"))
 
 
+@register("op5_maxent_lm")
+def op5_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 @register("op6_bpe_round_trip")
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path())
