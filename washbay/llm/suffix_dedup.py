@@ -141,7 +141,7 @@ def _min_holders(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, n
 
 # --- step 1 --------------------------------------------------------------------------
 
-def _parse_blocks(rows: DataFrame, buckets: int) -> DataFrame:
+def _parse_blocks(rows: DataFrame, buckets: int, task_hot: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         count = 0
@@ -151,8 +151,8 @@ def _parse_blocks(rows: DataFrame, buckets: int) -> DataFrame:
             phrase = phrase & _U((1 << 40) - 1)
             first, later = _min_holders([trigger, phrase], ids)
             runs = group_bounds(trigger[first])
-            many = np.repeat(np.diff(runs) >= TASK_HOT, np.diff(runs))
-            note = first[runs[:-1]][np.diff(runs) >= TASK_HOT]
+            many = np.repeat(np.diff(runs) >= task_hot, np.diff(runs))
+            note = first[runs[:-1]][np.diff(runs) >= task_hot]
             spread = mix(trigger ^ phrase)
             place = np.concatenate([_bucket(trigger[first[~many]], buckets), _bucket(spread[first[many]], buckets),
                                     _bucket(trigger[note], buckets), _bucket(spread[later], buckets)])
@@ -183,7 +183,7 @@ def _parse_blocks(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, block binary")
 
 
-def _phrase_hits(table: pa.Table) -> pa.Table | None:
+def _phrase_hits(table: pa.Table, hot_from: int = HOT) -> pa.Table | None:
     """(doc_id, key with what it says) of one or more whole buckets of phrase entries."""
     parts = []
     for bucket, block in zip(table["bucket"].to_pylist(), table["block"].to_pylist()):
@@ -212,7 +212,7 @@ def _phrase_hits(table: pa.Table) -> pa.Table | None:
             n_phrases = np.diff(np.searchsorted(head, trigger_at))
             several = np.minimum.reduceat(dd, trigger_at[:-1]) < np.maximum.reduceat(dd, trigger_at[:-1])
             noted = _noted(b[trigger_at[:-1]], tt[trigger_at[:-1]], bucket[kind == _NOTE], t[kind == _NOTE])
-            hot = noted | (n_phrases > HOT)
+            hot = noted | (n_phrases > hot_from)
             says = np.where(hot, ASK_WINDOWS, np.where((n_phrases > 1) & several, ASK, -1))
             says = np.repeat(says, n_phrases)
         head, says = head[says >= 0], says[says >= 0]
@@ -387,13 +387,14 @@ def _window_hits(table: pa.Table) -> pa.Table | None:
 
 # --- step 3 --------------------------------------------------------------------------
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), task_hot: int = TASK_HOT, hot: int = HOT) -> DataFrame:
     """doc_id, kept (bytes), kept_text (characters that are cut through go), n_bytes,
     n_removed, n_spans, and ``given`` (the columns of ``carry``)."""
     spark = docs.sparkSession
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = doc_rows(docs, *([F.struct(*carry).alias("given")] if carry else []))
-    hits = map_sorted_groups(_parse_blocks(rows, buckets), ["bucket"], [], "doc_id bigint, hit bigint", _phrase_hits)
+    hits = map_sorted_groups(_parse_blocks(rows, buckets, task_hot), ["bucket"], [], "doc_id bigint, hit bigint",
+                             lambda table: _phrase_hits(table, hot))
     hits = staged(hits, "phrase-hits")
     by_doc = hits.groupBy("doc_id").agg(F.collect_list("hit").alias("hits"))              # one document's phrases
     asking = hits.where(f"(hit & 3) <> {WHOLE}").groupBy("doc_id").agg(F.collect_list("hit").alias("hits"))
@@ -459,6 +460,6 @@ def _removed(t: Texts, col: dict[str, pa.Array]) -> np.ndarray:
     return np.cumsum(change[:t.size]) > 0
 
 
-def kept_digests(docs: DataFrame) -> DataFrame:
+def kept_digests(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_repeats(docs, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
