@@ -3,14 +3,16 @@
 1.  Documents with the same shingle set are one *node* (hash of the sorted set), so exact
     copies are joined without pairs.
 2.  A shared total order puts rare shingles first: a table of ``ORDER_CELLS`` counters
-    over shingle hashes, summed over all documents, ranks shingles by their counter and
-    then their hash. Its size is fixed, so it is broadcast at any scale; the order only
-    steers how many candidates there are, never which links are found.
+    over word hashes, summed over all documents, ranks a shingle by its rarest word's
+    counter and then its hash (a shingle with a rare word is rare, and words stay countable
+    in a fixed table long after shingles do not). The table is broadcast at any scale; the
+    order only steers how many candidates there are, never which links are found. A shingle
+    is one 64-bit number, its rank above 56 bits of its hash, so a sorted set is in order.
 3.  Prefix filter: two sets with Jaccard >= t share one of their first |x| - ceil(t|x|) + 1
     shingles. Prefix entries (shingle, node, size, position) are shuffled by shingle;
     shingles of one node stop there.
 4.  Entries that met others carry a bitmap of the set (parity of hashed elements, two to
-    four bits per element). Inside a shingle's bucket the length, positional and suffix filters
+    four bits per element, ``MAP_BITS`` at most). Inside a shingle's bucket the length, positional and suffix filters
     (the bitmaps' differing bits bound the symmetric difference from below) discard pairs.
     Buckets larger than ``BLOCK`` are cut into blocks, and each pair of blocks is a group
     of its own, so a shingle of very many nodes is spread over tasks.
@@ -38,13 +40,21 @@ from washbay.llm.components import components
 
 ORDER_CELLS = 1 << 22
 BLOCK = 1024
+MAP_BITS = 1024                        # the most bits of a set's bitmap, which travels with its prefix entries
 _SLICE = 1 << 16                       # counters per shuffled row
 _FILTER_BITS = 1 << 23                 # bits of the filter over nodes whose sets are wanted
 
 
-def _sets(t, size: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sorted distinct shingle hashes per row, and the node of each row (0: no words)."""
-    h, row, _ = shingles(Words(t), size)
+def _sets(t, size: int, order: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct shingles per row, rare ones first, and the node of each row (0: no words)."""
+    w = Words(t)
+    h, row, at = shingles(w, size)
+    word_rank = order[_cell(w.hash)]
+    rank, length = word_rank[at], np.minimum(w.count(), size)[row]
+    for j in range(1, size):
+        use = length > j
+        rank[use] = np.minimum(rank[use], word_rank[at[use] + j])
+    h = (rank.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
     bounds = np.searchsorted(row, np.arange(t.n + 1))
     sets = [np.unique(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
     with np.errstate(over="ignore"):
@@ -65,13 +75,12 @@ def _cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(20)).astype(np.int64) & (ORDER_CELLS - 1)
 
 
-def shingle_order(rows: DataFrame, size: int) -> np.ndarray:
-    """uint8 rank of every counter cell: the logarithm of its count over all documents."""
+def word_order(rows: DataFrame) -> np.ndarray:
+    """uint8 rank of every counter cell: the logarithm of its count of words over all documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(ORDER_CELLS, dtype=np.uint32)
         for _, t in passes(batches):
-            h, row, _ = shingles(Words(t), size)
-            cells += np.bincount(_cell(h), minlength=ORDER_CELLS).astype(np.uint32)
+            cells += np.bincount(_cell(Words(t).hash), minlength=ORDER_CELLS).astype(np.uint32)
         yield from send({i: cells[i * _SLICE:(i + 1) * _SLICE] for i in range(ORDER_CELLS // _SLICE)})
 
     def send(parts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -103,13 +112,8 @@ def shingle_order(rows: DataFrame, size: int) -> np.ndarray:
     return order
 
 
-def _ordered(s: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The set, rare shingles first."""
-    return s[np.lexsort((s, order[_cell(s)]))]
-
-
 def _bitmap_bits(n: int) -> int:
-    return max(64, 2 << (n - 1).bit_length())
+    return min(MAP_BITS, max(64, 2 << (n - 1).bit_length()))
 
 
 def _bitmap(s: np.ndarray) -> bytes:
@@ -136,12 +140,12 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
     """doc_id, n_shingles, component_id (smallest doc_id of the group) per document; links
     are pairs with den * intersection >= num * union."""
     spark, rows = docs.sparkSession, doc_rows(docs)
-    order = spark.sparkContext.broadcast(shingle_order(rows, size))
+    order = spark.sparkContext.broadcast(word_order(rows))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for part, t in passes(batches):
-            sets, node = _sets(t, size)
+            sets, node = _sets(t, size, order.value)
             n = [len(s) for s in sets]
             entries, places = [], []
             for s, v in zip(sets, node.tolist()):
@@ -150,7 +154,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
                     continue
                 met.add(v)
                 p = len(s) - -(-num * len(s) // den) + 1
-                entries.append(as_signed(_ordered(s, order.value)[:p]))
+                entries.append(as_signed(s[:p]))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array(n, pa.int64()),
                                               pa.array(entries, pa.list_(pa.int64()))],
                                              names=["doc_id", "node", "n_shingles", "prefix"])
@@ -162,7 +166,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
     met = map_sorted_groups(entries, ["gram"], ["node"], "gram bigint, node bigint, n bigint, pos int, many bigint", _met)
     met = staged(met, "prefix-entries")
     holders = staged(listed.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "holders")
-    maps = _node_values(rows, holders, met.select("node"), size, "map binary", _bitmap)
+    maps = _node_values(rows, holders, met.select("node"), size, order, "map binary", _bitmap)
     spread = (met.join(maps, "node")
               .withColumn("blocks", F.ceil(F.col("many") / block).cast("int"))
               .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -177,12 +181,12 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
 
     keys = ["gram", "i", "j"]
     first = map_sorted_groups(spread, keys, ["node"], "a bigint, b bigint", candidates(True, False)).distinct()
-    first = staged(_verify(rows, holders, staged(first, "pairs-1"), size, num, den), "checked-1")
+    first = staged(_verify(rows, holders, staged(first, "pairs-1"), size, order, num, den), "checked-1")
     roots = components(first.where("linked").select("a", "b"))
     rooted = spread.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     second = map_sorted_groups(rooted, keys, ["node"], "a bigint, b bigint", candidates(False, True)).distinct()
     second = staged(second.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs-2")
-    checked = _verify(rows, holders, second, size, num, den)
+    checked = _verify(rows, holders, second, size, order, num, den)
     links = staged(first.union(checked).where("linked").select("a", "b"), "links")
     roots = staged(components(links), "roots")
     sets = members.select("doc_id", "node", "n_shingles").join(roots, "node", "left")
@@ -204,7 +208,7 @@ def _met(table: pa.Table) -> pa.Table | None:
     return out.append_column("many", pa.array(many.astype(np.int64)))
 
 
-def _node_values(rows: DataFrame, holders: DataFrame, nodes: DataFrame, size: int, column: str, value) -> DataFrame:
+def _node_values(rows: DataFrame, holders: DataFrame, nodes: DataFrame, size: int, order, column: str, value) -> DataFrame:
     """node and one value of its set, for every node in ``nodes``: a scan that computes
     the sets of the nodes' holders again, found by a fixed-size filter over their ids."""
     bits, nodes = _FILTER_BITS, nodes.distinct()
@@ -236,7 +240,7 @@ def _node_values(rows: DataFrame, holders: DataFrame, nodes: DataFrame, size: in
         done: set[int] = set()
         kept = (b.filter(pa.array(_probe(wanted.value, b.column(0).to_numpy(), False))) for b in batches)
         for _, t in passes(kept):
-            sets, node = _sets(t, size)
+            sets, node = _sets(t, size, order.value)
             out_nodes, out = [], []
             for i, v in enumerate(node.tolist()):
                 if v and v not in done:
@@ -321,10 +325,10 @@ def _find(up: dict[int, int], x: int) -> int:
     return x
 
 
-def _verify(rows: DataFrame, holders: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def _verify(rows: DataFrame, holders: DataFrame, pairs: DataFrame, size: int, order, num: int, den: int) -> DataFrame:
     """a, b, linked: the exact test of every pair on the whole sets."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    sets = staged(_node_values(rows, holders, ends, size, "shingles binary", lambda s: s.tobytes()), "sets")
+    sets = staged(_node_values(rows, holders, ends, size, order, "shingles binary", lambda s: s.tobytes()), "sets")
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y"))
 
