@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 
 from washbay.llm.common import doc_rows, given_id
 
-#: Distinct runs a worker keeps; the table is emptied when full (memory bound, not a limit on input).
-KEPT_RUNS = 400_000
+#: Distinct runs in each of a worker's two tables (a memory bound, not a limit on input).
+KEPT_RUNS = 120_000
 
 
 def byte_symbols() -> list[str]:
@@ -127,23 +127,26 @@ _ODD = "\x1c\x1d\x1e\x1f"
 
 
 class RunTable:
-    """run -> value(run), made on demand; at most KEPT_RUNS at a time."""
+    """run -> value(run), made on demand. Two generations of at most KEPT_RUNS: when the
+    young one is full it becomes the old one, so runs in use stay and memory is bounded."""
 
     def __init__(self, value):
-        self.value, self.table = value, {}
+        self.value, self.young, self.old = value, {}, {}
 
     def of(self, runs: list[str]) -> list:
-        table = self.table
+        young = self.young
         try:
-            return [table[r] for r in runs]
+            return [young[r] for r in runs]
         except KeyError:
             pass
-        if len(table) > KEPT_RUNS:
-            table.clear()
+        if len(young) > KEPT_RUNS:
+            self.old, self.young = young, (young := {})
+        old, value = self.old, self.value
         for r in runs:
-            if r not in table:
-                table[r] = self.value(r)
-        return [table[r] for r in runs]
+            if r not in young:
+                v = old.get(r)
+                young[r] = value(r) if v is None else v
+        return [young[r] for r in runs]
 
 
 def runs_of(text: str) -> list[str] | None:
