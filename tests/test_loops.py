@@ -3,8 +3,10 @@ loops (tests only) versus the set-based operators on random input."""
 
 import datetime as dt
 import random
+import time
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from washbay.operators import catalog as CA
@@ -138,7 +140,7 @@ def test_next_free_ids_match_loop(spark):
             free.append(x)
         x += 1
     df = spark.createDataFrame([(i,) for i in ids], "order_id long")
-    assert [r.id for r in I.next_free_ids(df, 7).collect()] == free
+    assert sorted(r.id for r in I.next_free_ids(df, 7).collect()) == free
 
 
 def loop_outcomes(codes, verifications, max_attempts=5):
@@ -187,26 +189,128 @@ def test_code_outcomes_match_loop(spark):
     assert got == loop_outcomes(codes, vers)
 
 
-def test_moves_match_loop(spark):
-    rnd = random.Random(4)
-    names = [f"s{i:02d}" for i in range(12)]
-    rows = [(n, rnd.choice([None, 1, 2, 3, 4])) for n in names]
-    cat = spark.createDataFrame(rows, "name string, position int")
-    order = [n for n, _ in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))]
-    for target in ["s00", "s05", "s11", "zz"]:
-        for direction in ["up", "down"]:
-            lst = list(order)
-            if target in lst:
-                i = lst.index(target)
-                j = i - 1 if direction == "up" else i + 1
-                if 0 <= j < len(lst):
-                    lst[i], lst[j] = lst[j], lst[i]
-            moves = spark.createDataFrame([(1, target, direction)], "seq long, name string, direction string")
-            out, _ = CA.move_items(cat, moves)
-            assert {r.name: r.position for r in out.collect()} == {n: k + 1 for k, n in enumerate(lst)}
-
-
-def test_next_free_ids_large_path_matches_loop(spark):
+def list_sorted(rows):
+    return sorted(rows, key=lambda r: (r["position"] is None, r["position"] or 0, r["name"]))
+
+
+def normalise(rows, now):
+    """The one-by-one renumbering: dense positions in list order, moved rows stamped."""
+    for k, r in enumerate(list_sorted(rows), 1):
+        if r["position"] != k:
+            r.update(position=k, updated_at=now)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_moves_match_loop(spark, seed):
+    rnd = random.Random(seed)
+    names = [f"s{i:03d}" for i in range(120)]
+    rows = [{"name": n, "position": rnd.choice([None, -3, 0, 5, rnd.randint(1, 200)]), "updated_at": None} for n in names]
+    cat = spark.createDataFrame([(r["name"], r["position"], None) for r in rows], "name string, position int, updated_at timestamp_ntz")
+    few = rnd.sample(names, 12)
+    moves = [(q, rnd.choice([*few, *few, *few, rnd.choice(names), "zz", " "]), rnd.choice(["up", "down", "up", "down", "left", None]))
+             for q in range(80)]
+    normalise(rows, T0)
+    order, rejected = [r["name"] for r in list_sorted(rows)], {}
+    for q, name, way in moves:
+        if not name.strip():
+            rejected[q] = "missing service name"
+        elif way not in ("up", "down"):
+            rejected[q] = "invalid direction"
+        elif name not in order:
+            rejected[q] = "service not found"
+        else:
+            i = order.index(name)
+            j = i - 1 if way == "up" else i + 1
+            if 0 <= j < len(order):
+                order[i], order[j] = order[j], order[i]
+    out, rej = CA.move_items(cat, spark.createDataFrame(moves, "seq long, name string, direction string"), T0)
+    got = {r.name: (r.position, r.updated_at) for r in out.collect()}
+    stamps = {r["name"]: r["updated_at"] for r in rows}
+    assert got == {n: (k + 1, stamps[n]) for k, n in enumerate(order)}
+    assert {r.seq: r.reject_reason for r in rej.collect()} == rejected
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_renames_and_upserts_match_loop(spark, seed):
+    rnd = random.Random(seed)
+    now = T0 + dt.timedelta(days=9)
+    pool = [f"n{i:02d}" for i in range(14)]
+    rows = [{"name": n, "position": rnd.choice([None, None, 0, -2, rnd.randint(1, 30)]), "bike": 1, "updated_at": T0} for n in pool[:9]]
+    cat = spark.createDataFrame([(r["name"], 1, None, None, r["position"], True, "", T0) for r in rows],
+                                "name string, bike int, sedan int, suv int, position int, visible boolean, description string, "
+                                "updated_at timestamp_ntz")
+    batch = [(q, rnd.choice([None, *pool]), rnd.choice([*pool, *pool, " "]), rnd.randint(10, 99)) for q in range(3, 60)]
+    rejected, state = {}, rows
+    for q, old, name, bike in batch:
+        name = name.strip()
+        if not name:
+            rejected[q] = "missing service name"
+            continue
+        by = {r["name"]: r for r in state}
+        old = old or name
+        if old != name and old in by:
+            if name in by:
+                rejected[q] = "name already in use"
+                continue
+            by[old].update(name=name, bike=bike, updated_at=now)
+        elif name in by:
+            by[name].update(bike=bike, updated_at=now)
+        else:
+            state.append({"name": name, "position": None, "bike": bike, "updated_at": now})
+        normalise(state, now)
+    frame = spark.createDataFrame([(q, o, n, str(b)) for q, o, n, b in batch], "seq long, original_name string, name string, bike string")
+    out, rej = CA.rename_items(cat, frame, now)
+    assert {r.name: (r.bike, r.position, r.updated_at) for r in out.collect()} == \
+        {r["name"]: (r["bike"], r["position"], r["updated_at"]) for r in state}
+    assert {r.seq: r.reject_reason for r in rej.collect()} == rejected
+
+
+def test_upserts_of_an_unplaced_list_match_loop(spark):
+    now = T0 + dt.timedelta(days=9)
+    rows = [{"name": n, "position": p, "bike": 1, "updated_at": None} for n, p in [("m", None), ("z", 0), ("b", 2), ("q", -4)]]
+    cat = spark.createDataFrame([(r["name"], 1, None, None, r["position"], True, "", None) for r in rows],
+                                "name string, bike int, sedan int, suv int, position int, visible boolean, description string, "
+                                "updated_at timestamp_ntz")
+    batch = [(1, "a", "5"), (2, "z", "6"), (3, "0new", "7"), (4, "a", "8")]
+    for _, name, bike in batch:
+        hit = next((r for r in rows if r["name"] == name), None)
+        if hit is None:
+            rows.append(hit := {"name": name, "position": None})
+        hit.update(bike=int(bike), updated_at=now)
+        normalise(rows, now)
+    out, _ = CA.upsert_catalog(cat, spark.createDataFrame(batch, "seq long, name string, bike string"), now)
+    assert {r.name: (r.bike, r.position, r.updated_at) for r in out.collect()} == \
+        {r["name"]: (r["bike"], r["position"], r["updated_at"]) for r in rows}
+    assert [r.name for r in out.orderBy("position").collect()] == ["q", "z", "b", "a", "m", "0new"]
+
+
+def test_one_key_of_many_events_is_linear(spark):
+    n = 200_000
+    ev = spark.range(n).select(F.col("id").alias("seq"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)").alias("ts"),
+                               F.lit(1).cast("bigint").alias("employee_id"), F.lit("e").alias("employee_name"),
+                               F.when(F.col("id") % 3 == 2, "OUT").otherwise("IN").alias("type"))
+    t = time.monotonic()
+    r = pair_attendance(ev).agg(F.count(F.lit(1)).alias("n"), F.count("check_out").alias("closed")).first()
+    assert r.n == n - n // 3 and r.closed >= r.n - 2
+    assert time.monotonic() - t < 60
+
+
+def test_cooldown_with_a_seq_per_key_is_the_same_on_both_paths(spark):
+    rnd = random.Random(6)
+    rows = []
+    for k in range(3):
+        t = T0
+        for seq in range(1, 41):
+            t += dt.timedelta(seconds=rnd.choice([0, 5, 20, 59.4, 59.5, 70, 200]))
+            rows.append((seq, t, f"k{k}", "p"))
+    df = spark.createDataFrame(rows, "seq long, ts timestamp_ntz, phone string, purpose string")
+    want = {(k, q): a for k in range(3) for q, a in loop_cooldown([(q, t, p) for q, t, p, _ in rows if p == f"k{k}"], 60).items()}
+    for limit in (5, 1000):
+        got = {(int(r.phone[1:]), r.seq): r.accepted for r in CO.code_cooldown(df, 60, hot_key_rows=limit).collect()}
+        assert got == want
+
+
+def test_many_next_free_ids_match_loop(spark):
     rnd = random.Random(17)
     ids = sorted(set(rnd.randint(-3, 3000) for _ in range(2000)))
     taken, free, x = set(ids), [], 1
@@ -215,9 +319,9 @@ def test_next_free_ids_large_path_matches_loop(spark):
             free.append(x)
         x += 1
     df = spark.createDataFrame([(i,) for i in ids], "order_id long")
-    got = sorted(r.id for r in I.next_free_ids_large(df, 2500, chunk=97).collect())
+    got = sorted(r.id for r in I.next_free_ids(df, 2500, chunk=97).collect())
     assert got == free
-    assert sorted(r.id for r in I.next_free_ids_large(spark.createDataFrame([], "order_id long"), 5).collect()) == [1, 2, 3, 4, 5]
+    assert sorted(r.id for r in I.next_free_ids(spark.createDataFrame([], "order_id long"), 5).collect()) == [1, 2, 3, 4, 5]
 
 
 def test_keyed_scan_null_key_spanning_partitions(spark):

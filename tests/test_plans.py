@@ -75,7 +75,7 @@ def test_append_sinks_add_rows(spark, sf_dir):
     cust = spark.createDataFrame([(" Asha ", "+91 99", None, None, "SUV")],
                                  "name string, phone string, email string, vehicle_number string, vehicle_type string")
     S.append_customers(cust, out + "/customers")
-    assert spark.read.parquet(out + "/customers").first().asDict()["phone"] == "9199"
+    assert spark.read.parquet(out + "/customers").first().asDict()["phone"] == "+91 99"
 
 
 def test_matrix_and_plan_lookups_broadcast(spark, sf_dir):
@@ -83,7 +83,7 @@ def test_matrix_and_plan_lookups_broadcast(spark, sf_dir):
     j2 = I.price_from_matrix(fixture(spark, sf_dir, "edit_requests"))
     assert "BroadcastHashJoin" in plan(j2) or "BroadcastExchange" in plan(j2)
     req = fixture(spark, sf_dir, "memberships").select(F.col("id").alias("customer_id"), "plan_id")
-    j3 = open_memberships(req, fixture(spark, sf_dir, "plans"), "2024-01-30")
+    j3, _ = open_memberships(req, fixture(spark, sf_dir, "plans"), "2024-01-30")
     assert "BroadcastHashJoin" in plan(j3)
 
 
@@ -124,14 +124,28 @@ def test_keyed_log_lookup_prunes(spark, sf_dir):
     assert back.count() == req.count()
 
 
-def test_small_side_falls_back_to_a_shuffle_join(spark):
-    from washbay.plans.ranking import small_side
-    big = spark.range(0, 5000).withColumnRenamed("id", "k")
-    side = spark.range(0, 50).withColumnRenamed("id", "k")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")      # only explicit broadcasts
-    try:
-        assert "BroadcastHashJoin" in plan(big.join(small_side(side, 100), "k"))
-        over = big.join(small_side(side, 10), "k")                     # above the bound: no broadcast hint
-        assert "BroadcastHashJoin" not in plan(over) and over.count() == 50
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+def test_keyed_scan_shuffles_rows_once_and_needs_no_checkpoint(spark, sf_dir):
+    from washbay.operators.packs import wash_ledger
+    from washbay.plans.keyed import Scan, keyed_scan
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"))
+    p = plan(keyed_scan(df, ["k"], ["t"], [Scan("n", "sum", F.lit(1)), Scan("v", "next", F.col("t"), False)]))
+    main = p.split("Subquery")[0]
+    assert "ExistingRDD" not in p and main.count("Exchange hashpartitioning(k") <= 3      # rows, and the split keys' summaries
+    w8 = plan(wash_ledger(fixture(spark, sf_dir, "memberships"), fixture(spark, sf_dir, "washes")))
+    assert "ExistingRDD" not in w8 and "rangepartitioning" not in w8
+
+
+def test_day_filter_prunes_partitions_of_the_sink(spark, sf_dir):
+    out = tempfile.mkdtemp(prefix="washbay-sink-") + "/bookings"
+    rows = spark.range(200).select(
+        *[F.lit(None).cast("string").alias(c) for c in ("name", "phone", "vehicle", "service", "time")],
+        F.when(F.col("id") % 10 == 0, "soon").otherwise(F.concat(F.lit("2024-01-"), F.lpad((F.col("id") % 5 + 1).cast("string"), 2, "0"))).alias("date"))
+    S.append_bookings(rows, out, "2024-01-30 12:00:00")
+    import glob
+    assert len(glob.glob(out + "/*/*.parquet")) <= 12                     # a day is a few files, not one per task
+    bk = S.load_bookings(spark, out, "staff")
+    assert dict(bk.dtypes)["visit_day"] == "date"
+    day = FL.in_date_range(bk, "2024-01-03", "2024-01-04")
+    text = plan(day)
+    assert "visit_day" in text.split("PartitionFilters: [")[1].split("]")[0]
+    assert day.count() == sum(1 for i in range(200) if i % 10 and i % 5 + 1 in (3, 4))

@@ -98,7 +98,7 @@ def test_next_free_id(spark, ids, expected):
 
 def test_next_free_ids_many(spark):
     df = spark.createDataFrame([(i,) for i in [1, 2, 4, 7, 8, 10]], "order_id long")
-    assert [r.id for r in I.next_free_ids(df, 5).collect()] == [3, 5, 6, 9, 11]
+    assert sorted(r.id for r in I.next_free_ids(df, 5).collect()) == [3, 5, 6, 9, 11]
 
 
 def test_allocate_ids_batch(spark):
@@ -156,11 +156,49 @@ def test_move_edges(spark):
     moves = spark.createDataFrame([(1, "a", "up")], "seq long, name string, direction string")
     out, rej = CA.move_items(cat, moves)
     assert {r.name: r.position for r in out.collect()} == {"a": 1, "b": 2, "c": 3}
-    moves = spark.createDataFrame([(1, "c", "up"), (2, "a", "down"), (3, "zz", "up")],
+    moves = spark.createDataFrame([(0, "zz", "up"), (1, "c", "up"), (2, "a", "down"), (3, "c", None)],
                                   "seq long, name string, direction string")
     out, rej = CA.move_items(cat, moves)
-    assert {r.name: r.position for r in out.collect()} == {"a": 1, "b": 3, "c": 2}
-    assert {r.seq: r.reject_reason for r in rej.collect()} == {2: "one move per batch", 3: "service not found"}
+    assert {r.name: r.position for r in out.collect()} == {"c": 1, "a": 2, "b": 3}
+    assert {r.seq: r.reject_reason for r in rej.collect()} == {0: "service not found", 3: "invalid direction"}
+
+
+def test_customer_edit_rules(spark):
+    bk = spark.createDataFrame([(1, "Asha", "99", "Bike", "Basic", "2024-01-01", "09:00", "x", "New", "a", 50, None)],
+                               "order_id long, name string, phone string, vehicle string, service string, date string, time string, "
+                               "visit_place string, status string, address string, price int, created_at timestamp_ntz")
+    cat = spark.createDataFrame([("Basic", 60, 150, 200, True)], "name string, bike int, sedan int, suv int, visible boolean")
+    req = [(1, 1, "99", "2024-02-31", "10:00", "Bike", "Basic"), (2, 1, "99", "2024-02-03", "junk", "Bike", "Basic"),
+           (3, 1, "98", "2024-02-03", "10:00", "Bike", "Gold"), (4, 1, "98", "2024-02-03", "10:00", "Bike", "Basic"),
+           (5, None, "99", "2024-02-03", "10:00", "Bike", "Basic"), (6, 1, "99", "2024-02-03", " 7:30 ", "Bike", "Basic")]
+    batch = spark.createDataFrame([(*r, None, None) for r in req], "seq long, order_id long, phone string, date string, time string, "
+                                  "vehicle string, service string, visit string, address string")
+    out, rej = CH.replace_bookings(bk, batch, "customer", catalog=cat)
+    assert {r.seq: r.reject_reason for r in rej.collect()} == {
+        1: "invalid date/time", 2: "invalid date/time", 3: "Gold not available for Bike", 4: "booking not found", 5: "missing phone/order_id"}
+    r = out.first()
+    assert (r.name, r.phone, r.date, r.time, r.visit_place, r.price) == ("Asha", "99", "2024-02-03", "07:30", "Wash Center", 60)
+
+
+def test_no_request_is_lost(spark):
+    ev = spark.createDataFrame([(1, 1, "cancel"), (2, 1, None), (3, 1, "edit"), (4, 1, "archive")], "seq long, order_id long, action string")
+    bk = spark.createDataFrame([(1, "New")], "order_id long, status string")
+    out, rej = CH.set_status(bk, ev)
+    assert out.first().status == "Cancelled" and sorted(r.seq for r in rej.collect()) == [2, 4]
+    from washbay.operators.attendance import clock_events
+    types = spark.createDataFrame([("IN",), ("OUT",), (None,), ("x",)], "type string")
+    ok, bad = clock_events(types)
+    assert ok.count() == 2 and bad.count() == 2
+    from washbay.operators.packs import open_memberships
+    plans = spark.createDataFrame([(1, 30, 7)], "id int, validity_days int, total_washes int")
+    req = spark.createDataFrame([(1, 1), (2, 9), (3, None)], "customer_id long, plan_id int")
+    opened, unknown = open_memberships(req, plans, "2024-01-30")
+    assert opened.count() == 1 and sorted(r.customer_id for r in unknown.collect()) == [2, 3]
+
+
+def test_search_with_an_empty_query(spark):
+    df = spark.createDataFrame([("a", None), (None, None)], "name string, phone string")
+    assert FL.search_people(df, "").count() == 2 and FL.search_people(df, "", skip_empty=False).count() == 1
 
 
 def test_bike_offer_prefers_basic_then_cheapest(spark):

@@ -1,6 +1,8 @@
 """The shared checkpoint folder is read from the session; one is only created when
 the session names none (the setting is static, so it is never changed at run time)."""
 
+import pytest
+
 from washbay.session import checkpoint_path, ensure_checkpoint_dir
 
 
@@ -18,8 +20,8 @@ class _Conf:
 
 
 class _Context:
-    def __init__(self):
-        self.dir = None
+    def __init__(self, master):
+        self.dir, self.master = None, master
 
     def getCheckpointDir(self):
         return self.dir
@@ -29,8 +31,8 @@ class _Context:
 
 
 class _Session:
-    def __init__(self):
-        self.conf, self.sparkContext = _Conf(), _Context()
+    def __init__(self, master="local[2]"):
+        self.conf, self.sparkContext = _Conf(), _Context(master)
 
 
 def test_missing_checkpoint_dir_is_created_once():
@@ -38,3 +40,9 @@ def test_missing_checkpoint_dir_is_created_once():
     d = ensure_checkpoint_dir(s)
     assert d and s.sparkContext.dir == d
     assert ensure_checkpoint_dir(s) == d
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://https://host"])
+def test_missing_checkpoint_dir_is_an_error_on_a_cluster(master):
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(_Session(master))

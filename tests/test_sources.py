@@ -62,10 +62,8 @@ def test_collated_order_and_single_map(spark):
                                 "name string, bike int, sedan int, suv int, position int")
     assert [r.name for r in L.catalog_order(cat).collect()] == ["A", "b"]
     assert [r.name for r in L.catalog_order(cat, "UNICODE_CI").collect()] == ["A", "b"]
-    m = N.price_map_single(cat).first().map
+    m = {r.name: r.prices for r in N.price_map(cat).collect()}
     assert m["A"] == {"Bike": 1, "Hatch/Sedan": None, "SUV": 3}
-    with pytest.raises(ValueError):
-        N.price_map_single(cat, max_rows=1)
 
 
 def test_gallery_round_trip(spark):

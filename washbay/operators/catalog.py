@@ -1,76 +1,122 @@
 """Service catalogue maintenance.
 
 A catalogue is (name, bike, sedan, suv, position, visible, description[, updated_at]).
-List order is position ascending with missing positions last, then name. Every
-operator returns a new table version; positions are renumbered densely with the
-parallel ``dense_index`` (no single-partition window).
+List order is position ascending with missing positions last, then name; zero and
+negative positions come first. Every operator returns a new table version; positions
+are renumbered densely with the parallel ``dense_index`` (no single-partition window),
+and rows that a request or a renumbering changed get ``updated_at`` = ``now`` where the
+table has that column.
+
+A batch equals its requests applied one by one in ``seq`` order. The first request that
+succeeds renumbers the list with its own new row among the unplaced ones (by name); rows
+that later requests add join the tail in order of arrival.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from washbay.functions.columns import first_int, norm_bool, norm_text
 from washbay.operators.filters import ntz
+from washbay.plans.components import components
 from washbay.plans.ranking import dense_index
 
 POS_LAST = 1_000_000_000   # fixed value: the browser's stand-in for a missing position
+FIELDS = ("bike", "sedan", "suv", "visible", "description")
+
+
+def _stamp(now):
+    return ntz(now) if now is not None else F.current_timestamp().cast("timestamp_ntz")
 
 
-def list_order(positive_only: bool = False, arrival: str | None = None):
-    pos = F.col("position")
-    if positive_only:       # non-positive positions count as missing
-        pos = F.when(pos > 0, pos)
-    tail = [F.col(arrival).asc_nulls_first()] if arrival else []
-    return [pos.asc_nulls_last(), *tail, F.col("name").asc_nulls_last()]
+def _placed(rows: DataFrame, order: list, now) -> DataFrame:
+    """Dense positions in ``order``; ``changed`` marks moved rows, which are stamped."""
+    ranked = dense_index(rows, order, "_rn")
+    ranked = ranked.withColumn("changed", ~F.col("position").eqNullSafe(F.col("_rn").cast("int")))
+    if "updated_at" in rows.columns:
+        ranked = ranked.withColumn("updated_at", F.when(F.col("changed"), _stamp(now)).otherwise(F.col("updated_at")))
+    return ranked.withColumn("position", F.col("_rn").cast("int")).drop("_rn")
+
+
+def list_order(name: str = "name") -> list:
+    return [F.col("position").isNull(), F.col("position"), F.col(name).isNull(), F.col(name)]
 
 
 # W1
-def renumber(cat: DataFrame, positive_only: bool = False, arrival: str | None = None) -> DataFrame:
-    """Dense positions 1..n in list order; ``changed`` marks rows whose position moved.
-    ``arrival`` orders unplaced rows by when they arrived (then by name)."""
-    ranked = dense_index(cat, list_order(positive_only, arrival), "_rn")
-    return (ranked.withColumn("changed", ~F.col("position").eqNullSafe(F.col("_rn").cast("int")))
-                  .withColumn("position", F.col("_rn").cast("int")).drop("_rn"))
+def renumber(cat: DataFrame, now=None) -> DataFrame:
+    """Dense positions 1..n in list order; ``changed`` marks rows whose position moved."""
+    return _placed(cat, list_order(), now)
 
 
 # W4
-def append_at_tail(cat: DataFrame, new: DataFrame) -> DataFrame:
-    """Add items that have no positive position after the listed ones, by name."""
+def append_at_tail(cat: DataFrame, new: DataFrame, now=None) -> DataFrame:
+    """Add the unlisted items of ``new`` without a position, one by one in name order."""
     fresh = new.join(cat.select("name"), "name", "left_anti").withColumn("position", F.lit(None).cast("int"))
-    both = cat.unionByName(fresh.select(*cat.columns))
-    return renumber(both, positive_only=True)
+    if "updated_at" in cat.columns:
+        fresh = fresh.withColumn("updated_at", _stamp(now))
+    late = F.col("name") > fresh.agg(F.min("name")).scalar()
+    both = (cat.withColumn("_late", F.lit(False))
+            .unionByName(fresh.select(*cat.columns, F.coalesce(late, F.lit(False)).alias("_late"))))
+    return _placed(both, [F.col("_late"), *list_order()], now).drop("_late")
 
 
 # W3
-def move_items(cat: DataFrame, moves: DataFrame):
-    """(catalogue, rejected moves). A batch carries one move (name, direction up/down):
-    the item swaps places with its neighbour in list order; at an edge nothing
-    changes. Further moves in the batch, unknown names and bad directions are
-    rejected with a reason."""
-    ranked = renumber(cat).drop("changed")
-    delta = F.when(F.col("direction") == "up", F.lit(-1)).when(F.col("direction") == "down", F.lit(1))
-    m = moves.withColumn("_delta", delta)
-    first = m.filter(F.col("_delta").isNotNull()).orderBy("seq").limit(1)       # one row
-    hit = F.broadcast(first).join(ranked.select("name", F.col("position").alias("_t")), "name")
-    # the neighbour must exist (an edge move changes nothing)
-    ok = hit.join(ranked.select(F.col("position").alias("_nb")), F.col("_nb") == F.col("_t") + F.col("_delta"), "left_semi")
-    swaps = (ok.select(F.col("_t").alias("_from"), (F.col("_t") + F.col("_delta")).alias("_to"))
-               .unionByName(ok.select((F.col("_t") + F.col("_delta")).alias("_from"), F.col("_t").alias("_to"))))
-    out = (ranked.join(F.broadcast(swaps), ranked["position"] == swaps["_from"], "left")   # ≤ 2 rows
-                 .withColumn("position", F.coalesce(F.col("_to"), F.col("position")).cast("int"))
-                 .drop("_from", "_to"))
-    applied = first.select("seq")
-    reason = (F.when(F.col("_delta").isNull(), F.lit("invalid direction"))
-               .when(F.col("_known").isNull(), F.lit("service not found"))
-               .when(F.col("_applied").isNull(), F.lit("one move per batch")))
-    known = ranked.select("name", F.lit(True).alias("_known"))
-    rejected = (m.join(known, "name", "left")
-                 .join(applied.withColumn("_applied", F.lit(True)), "seq", "left")
-                 .withColumn("reject_reason", reason).filter(F.col("reject_reason").isNotNull())
-                 .select(*moves.columns, "reject_reason"))
-    return out, rejected
+def move_items(cat: DataFrame, moves: DataFrame, now=None):
+    """(catalogue, rejected moves). Moves (seq, name, direction up/down) are applied in
+    ``seq`` order: the item swaps places with its neighbour in list order; at an edge
+    nothing changes. Empty and unknown names and bad directions are rejected.
+
+    Moves far apart cannot meet, so the moved items are cut into clusters whose reach does
+    not touch, and the clusters are replayed in parallel, each over the rows within its
+    reach. Only one row per moved item (its place and number of moves) is looked at
+    together to find the clusters."""
+    ranked = renumber(cat, now).drop("changed")
+    m = moves.withColumn("_name", norm_text("name", 100))
+    known = ranked.select(F.col("name").alias("_name"), F.col("position").alias("_at"))
+    m = m.join(known, "_name", "left")
+    reason = (F.when(F.col("_name") == "", F.lit("missing service name"))
+               .when(~F.coalesce(F.col("direction").isin("up", "down"), F.lit(False)), F.lit("invalid direction"))
+               .when(F.col("_at").isNull(), F.lit("service not found")))
+    m = m.withColumn("reject_reason", reason)
+    valid = m.filter(F.col("reject_reason").isNull()).select("seq", F.col("_name").alias("name"), "direction", "_at")
+    items = valid.groupBy("name").agg(F.first("_at").alias("at"), F.count(F.lit(1)).alias("n"))
+
+    def clusters(batches):
+        held = pd.concat(list(batches), ignore_index=True).sort_values("at", ignore_index=True)
+        total = held.n.cumsum()
+        right = total + (held["at"] - (total - held.n)).cummax()            # how far right the items so far can reach
+        left = (total - held.n) + (held["at"] - total)[::-1].cummin()[::-1]   # how far left those from here on can
+        new = left > right.shift(1, fill_value=-10**15) + 2
+        held["cluster"] = new.cumsum()
+        held["lo"] = left.groupby(held.cluster).transform("min") - 1
+        held["hi"] = right.groupby(held.cluster).transform("max") + 1
+        yield held
+
+    placed = (items.coalesce(1).mapInPandas(clusters, "name string, at int, n bigint, cluster bigint, lo bigint, hi bigint"))
+    reach = placed.select("cluster", "lo", "hi").distinct().select("cluster", F.explode(F.sequence("lo", "hi")).alias("position"))
+    rows = ranked.select("name", F.col("position").cast("bigint").alias("position")).join(reach, "position")
+    steps = valid.join(placed.select("name", "cluster"), "name")
+    both = (rows.select("cluster", F.lit(0).alias("kind"), "position", "name", F.lit(None).cast("string").alias("direction"))
+            .unionByName(steps.select("cluster", F.lit(1).alias("kind"), F.col("seq").cast("bigint").alias("position"), "name", "direction")))
+
+    def replay(pdf):
+        r = pdf[pdf.kind == 0].sort_values("position")
+        names, base = list(r.name), int(r.position.min())
+        at = {n: i for i, n in enumerate(names)}
+        for name, way in pdf[pdf.kind == 1].sort_values("position")[["name", "direction"]].itertuples(index=False):
+            i = at[name]
+            j = i - 1 if way == "up" else i + 1
+            if 0 <= j < len(names):                        # a cluster's own ends are list ends or out of reach
+                names[i], names[j] = names[j], names[i]
+                at[names[i]], at[names[j]] = i, j
+        return pd.DataFrame({"name": names, "_to": range(base, base + len(names))})
+
+    moved = both.groupBy("cluster").applyInPandas(replay, "name string, _to int")
+    out = ranked.join(moved, "name", "left").withColumn("position", F.coalesce("_to", "position")).drop("_to")
+    rejected = m.filter(F.col("reject_reason").isNotNull()).select(*moves.columns, "reject_reason")
+    return out.select(*cat.columns), rejected
 
 
 # W6
@@ -110,73 +156,115 @@ def _last_per_name(b: DataFrame, key: str = "name") -> DataFrame:
     return b.groupBy(key).agg(F.max_by(F.struct(*others), F.col("seq")).alias("_r")).select(key, "_r.*")
 
 
+def _with_stamp(cat: DataFrame) -> DataFrame:
+    return cat if "updated_at" in cat.columns else cat.withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+
+
+def _upserted(cat: DataFrame, named: DataFrame, now) -> DataFrame:
+    """Catalogue with the last request per name applied. ``_arrival``: first request of a
+    new name; ``_sort``: the name that orders unplaced rows; positions are not yet renumbered."""
+    first_seen = named.groupBy("name").agg(F.min("seq").alias("_arrival"))
+    last = _last_per_name(named.select("seq", "name", *FIELDS)).drop("seq").join(first_seen, "name")
+    j = cat.alias("c").join(last.alias("b"), "name", "full_outer")
+    touched = F.col("b.visible").isNotNull()     # a batch row is present (visible is never NULL there)
+    pick = {c: F.when(touched, F.col(f"b.{c}")).otherwise(F.col(f"c.{c}")).alias(c) for c in FIELDS}
+    return j.select("name", pick["bike"], pick["sedan"], pick["suv"], F.col("c.position").alias("position"),
+                    pick["visible"], pick["description"],
+                    F.when(touched, _stamp(now)).otherwise(F.col("c.updated_at")).alias("updated_at"),
+                    F.when(F.col("c.name").isNull(), F.col("b._arrival")).alias("_arrival"), F.col("name").alias("_sort"))
+
+
+def _relisted(rows: DataFrame, first, now) -> DataFrame:
+    """Renumber after a batch whose first successful request has ``seq`` = ``first``."""
+    late = F.coalesce(F.col("_arrival") > first, F.lit(False))
+    order = [late, F.col("position").isNull(), F.col("position"), F.when(late, F.col("_arrival")), F.col("_sort").isNull(), F.col("_sort")]
+    return _placed(rows, order, now).drop("changed", "_arrival", "_sort")
+
+
 # M1
 def upsert_catalog(cat: DataFrame, batch: DataFrame, now=None):
-    """(catalogue, rejected). Insert or overwrite every field but the position;
-    the last change per name wins; new names go to the tail; an empty name is
-    rejected."""
+    """(catalogue, rejected). Insert or overwrite every field but the position; the last
+    change per name wins; new names are placed as described above; an empty name is rejected."""
     nb = _norm_batch(batch)
     rejected = nb.filter(F.col("name") == "").withColumn("reject_reason", F.lit("missing service name"))
     named = nb.filter(F.col("name") != "")
-    first_seen = named.groupBy("name").agg(F.min("seq").alias("_arrival"))
-    last = _last_per_name(named).drop("seq", "original_name").join(first_seen, "name")
-    stamp = ntz(now) if now is not None else F.current_timestamp().cast("timestamp_ntz")
-    has_ts = "updated_at" in cat.columns
-    cur = cat if has_ts else cat.withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
-    j = cur.alias("c").join(last.alias("b"), "name", "full_outer")
-    touched = F.col("b.visible").isNotNull()     # a batch row is present (visible is never NULL there)
-    pick = {c: F.when(touched, F.col(f"b.{c}")).otherwise(F.col(f"c.{c}")).alias(c)
-            for c in ("bike", "sedan", "suv", "visible", "description")}
-    merged = j.select("name", pick["bike"], pick["sedan"], pick["suv"], F.col("c.position").alias("position"),
-                      pick["visible"], pick["description"],
-                      F.when(touched, stamp).otherwise(F.col("c.updated_at")).alias("updated_at"),
-                      F.when(F.col("c.name").isNull(), F.col("b._arrival")).alias("_arrival"))
-    # new names join the tail in the order they first arrived, as one-by-one inserts would
-    out = renumber(merged, positive_only=True, arrival="_arrival").drop("changed", "_arrival")
-    return (out if has_ts else out.drop("updated_at")), rejected
+    merged = _upserted(_with_stamp(cat), named, now)
+    return _relisted(merged, named.agg(F.min("seq")).scalar(), now).select(*cat.columns), rejected
 
 
 # M2
 def rename_items(cat: DataFrame, batch: DataFrame, now=None):
-    """(catalogue, rejected). Rows whose original name differs from the new one
-    rewrite the key and fields and keep the position; when the original is absent
-    they fall through to an upsert. A new name already in use is rejected (the
-    primary key would refuse it); so is a batch whose renames chain (a target is
-    another rename's source) or collide (two renames to one name). Empty names
-    are rejected."""
+    """(catalogue, rejected). A request whose original name differs from the new one
+    rewrites the key and fields of that row and keeps its position; when the original is
+    absent at that moment it falls through to an upsert of the new name. A new name in use
+    at that moment is rejected (the primary key would refuse it), as are empty names.
+
+    Requests meet only through the names they mention, so the names of renames are grouped
+    into connected components and each component's requests are replayed in ``seq`` order;
+    requests on all other names are plain upserts (the last one per name, no replay)."""
     nb_all = _norm_batch(batch)
     empty = nb_all.filter(F.col("name") == "").withColumn("reject_reason", F.lit("missing service name"))
     nb = nb_all.filter(F.col("name") != "")
-    names = cat.select(F.col("name").alias("_n"))
-    ren = nb.filter(F.col("original_name") != F.col("name"))
-    exists = ren.join(names, ren["original_name"] == names["_n"], "left_semi")
-    taken = (exists.join(names, exists["name"] == names["_n"], "left_semi")
-                   .withColumn("reject_reason", F.lit("name already in use")))
-    srcs = exists.select(F.col("original_name").alias("_src"))
-    multi = exists.groupBy(F.col("name").alias("_t")).agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1")
-    clash = (exists.join(srcs, exists["name"] == srcs["_src"], "left_semi")
-                   .unionByName(exists.join(multi, exists["name"] == multi["_t"], "left_semi"))
-                   .join(taken.select("seq"), "seq", "left_anti").dropDuplicates(["seq"])
-                   .withColumn("reject_reason", F.lit("renames chain or collide")))
-    bad = taken.unionByName(clash)
-    good = exists.join(bad.select("seq"), "seq", "left_anti")
-    good = _last_per_name(good.withColumnRenamed("name", "_new").withColumnRenamed("original_name", "name"))
-    stamp = ntz(now) if now is not None else F.current_timestamp().cast("timestamp_ntz")
-    has_ts = "updated_at" in cat.columns
-    cur = cat if has_ts else cat.withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
-    fields = ("bike", "sedan", "suv", "visible", "description")
-    g = good.select(F.col("name").alias("_src"), "_new", *[F.col(c).alias(f"_{c}") for c in fields])
-    j = cur.join(g, cur["name"] == g["_src"], "left")
-    hit = F.col("_src").isNotNull()
-    renamed = j.select(F.when(hit, F.col("_new")).otherwise(F.col("name")).alias("name"),
-                       *[F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("bike", "sedan", "suv")],
-                       "position",
-                       *[F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("visible", "description")],
-                       F.when(hit, stamp).otherwise(F.col("updated_at")).alias("updated_at"))
-    # plain updates, and renames whose original does not exist: an upsert of the name
-    fallthrough = nb.join(exists.select("seq"), "seq", "left_anti").drop("original_name")
-    out, _ = upsert_catalog(renamed, fallthrough, now)
-    if not has_ts:
-        out = out.drop("updated_at")
-    rejected = bad.drop("original_name").unionByName(empty.drop("original_name"))
-    return out, rejected
+    renames = nb.filter(F.col("original_name") != F.col("name"))
+    groups = components(renames.select(F.col("original_name").alias("a"), F.col("name").alias("b")))
+    cur = _with_stamp(cat)
+    grouped = cur.join(groups, cur["name"] == groups["node"], "left").drop("node")
+    asked = nb.join(groups, nb["name"] == groups["node"], "left").drop("node")
+    plain = _upserted(grouped.filter(F.col("root").isNull()).drop("root"), asked.filter(F.col("root").isNull()), now)
+
+    cols = ["root", "kind", "seq", "original_name", "name", "bike", "sedan", "suv", "visible", "description", "position", "updated_at"]
+    old = grouped.filter(F.col("root").isNotNull()).select(
+        "root", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("original_name"),
+        "name", *FIELDS, "position", "updated_at").select(*cols)
+    req = asked.filter(F.col("root").isNotNull()).select(
+        "root", F.lit(1).alias("kind"), F.col("seq").cast("bigint").alias("seq"), "original_name", "name", *FIELDS,
+        F.lit(None).cast("int").alias("position"), F.lit(None).cast("timestamp_ntz").alias("updated_at")).select(*cols)
+    kinds = "bike int, sedan int, suv int, visible boolean, description string, position int, updated_at timestamp_ntz"
+    schema = f"seq bigint, name string, {kinds}, touched boolean, first bigint, _arrival bigint, _sort string, reject_reason string"
+
+    def replay(pdf):
+        blank = {"touched": False, "first": None, "_arrival": None, "_sort": None, "reject_reason": None}
+        rows, out = {}, []
+        fields = ["bike", "sedan", "suv", "visible", "description"]
+        for r in pdf.sort_values(["kind", "seq"]).astype(object).where(pdf.notna(), None).to_dict("records"):
+            if r["kind"] == 0:
+                rows[r["name"]] = {k: r[k] for k in ["name", *fields, "position", "updated_at"]} | blank | {"_sort": r["name"]}
+                continue
+            new, old_name = {k: r[k] for k in fields}, r["original_name"]
+            if old_name != r["name"] and old_name in rows:
+                if r["name"] in rows:
+                    out.append({"seq": r["seq"], "name": r["name"], **new, **blank, "reject_reason": "name already in use"})
+                    continue
+                row = rows.pop(old_name)
+                row["name"] = r["name"]
+                if row["first"] is None and row["_arrival"] is None:
+                    row["_sort"], row["first"] = f"{row['_sort']}\0{r['name']}", r["seq"]     # both names, told apart below
+            else:
+                row = rows.get(r["name"]) or {"name": r["name"], "position": None, "updated_at": None} | blank | {
+                    "_arrival": r["seq"], "_sort": r["name"]}
+            row.update(new)
+            row["touched"] = True
+            row.setdefault("seq", r["seq"])
+            rows[r["name"]] = row
+        table = pd.DataFrame([{"seq": None, **x} for x in [*rows.values(), *out]],
+                             columns=["seq", "name", *fields, "position", "updated_at", "touched", "first", "_arrival", "_sort", "reject_reason"])
+        for c in ("seq", "bike", "sedan", "suv", "position", "first", "_arrival"):
+            table[c] = table[c].astype("Int64")
+        table["visible"], table["touched"] = table["visible"].astype("boolean"), table["touched"].astype("boolean")
+        table["updated_at"] = pd.to_datetime(table["updated_at"])
+        return table
+
+    replayed = old.unionByName(req).groupBy("root").applyInPandas(replay, schema)
+    done = replayed.filter(F.col("reject_reason").isNull())
+    # the first request that succeeds (of either kind) renumbers the list
+    first = F.least(done.filter("touched").agg(F.min("seq")).scalar(),
+                    asked.filter(F.col("root").isNull()).agg(F.min("seq")).scalar())
+    names = F.split("_sort", "\0")
+    sort = F.when(F.col("first").isNotNull(), F.when(F.col("first") == first, F.element_at(names, 2)).otherwise(F.element_at(names, 1))) \
+            .otherwise(F.col("_sort"))
+    done = done.select("name", "bike", "sedan", "suv", "position", "visible", "description",
+                       F.when(F.col("touched"), _stamp(now)).otherwise(F.col("updated_at")).alias("updated_at"),
+                       "_arrival", sort.alias("_sort"))
+    out = _relisted(plain.unionByName(done), first, now).select(*cat.columns)
+    taken = replayed.filter(F.col("reject_reason").isNotNull()).select("seq", "name", *FIELDS, "reject_reason")
+    return out, taken.unionByName(empty.select("seq", "name", *FIELDS, "reject_reason"))

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from washbay.functions.columns import seconds_since
 from washbay.operators.filters import ntz
-from washbay.plans.keyed import Scan, frozen_layout, keyed_scan
-from washbay.plans.ranking import small_side
+from washbay.plans.keyed import Pieces, Scan, frozen_layout, keyed_scan
 
 # fixed values of the code rules
 CODE_TTL_SECONDS = 5 * 60
@@ -31,11 +30,19 @@ def latest_per_key(df: DataFrame, keys=KEYS, ts: str = "ts", seq: str = "seq") -
     return df.groupBy(*keys).agg(best).select(*keys, "_row.*")
 
 
+def _jump(ts, acc, start: int, end: int, ref: int, limit_us: int) -> None:
+    """Accept the greedy chain after ``ref`` in the sorted ts[start:end], by binary search."""
+    at = start + int(np.searchsorted(ts[start:end], ref + limit_us))
+    while at < end:
+        acc[at] = True
+        at = at + 1 + int(np.searchsorted(ts[at + 1:end], ts[at] + limit_us))
+
+
 def _cooldown_partition(cooldown: int, group_cols: list[str]):
     """mapInPandas body: rows arrive sorted by (group, ts, seq). A request at least
     the cooldown after the previous request of its group is accepted whatever
-    came before (a head): heads are found with vectorised numpy, and only the rows
-    inside bursts walk the greedy rule in Python. The current group, its last
+    came before (a head): heads are found with vectorised numpy, and only bursts as long
+    as the cooldown are walked, by binary search from one accepted request to the next. The current group, its last
     accepted and last seen times carry across Arrow batches (memory = one batch)."""
     limit_us = cooldown * 1_000_000 - 500_000      # round-half-up(diff) >= cooldown
 
@@ -56,16 +63,18 @@ def _cooldown_partition(cooldown: int, group_cols: list[str]):
             prev[1:] = ts[:-1]
             prev[0] = seen if same[0] else 0
             head = ~same | (ts - prev >= limit_us)
-            idx = np.arange(n)
-            last_head = np.maximum.accumulate(np.where(head, idx, -1))
             acc = head.copy()
-            burst_last = -1                          # latest accepted burst row in this batch
-            for i in np.flatnonzero(~head):
-                j = max(last_head[i], burst_last)
-                ref = ts[j] if j >= 0 else last      # no head yet: the carried group goes on
-                if ts[i] - ref >= limit_us:
-                    acc[i] = True
-                    burst_last = i
+            if not same[0] or head[0]:
+                opened = 0
+            else:                                    # the carried group's burst goes on
+                opened = int(np.argmax(head)) if head.any() else n
+                _jump(ts, acc, 0, opened, last, limit_us)
+            starts = opened + np.flatnonzero(head[opened:])
+            ends = np.append(starts[1:], n)
+            # only bursts that last at least the cooldown can accept a second request
+            for a, b in zip(starts, ends):
+                if b > a + 1 and ts[b - 1] - ts[a] >= limit_us:
+                    _jump(ts, acc, a + 1, b, ts[a], limit_us)
             # carry the state of the batch's last group
             tail_start = n - 1
             while tail_start > 0 and same[tail_start]:
@@ -92,38 +101,40 @@ def _null_safe_keys(left: DataFrame, right: DataFrame):
 
 
 def _chain_from_heads(rows: DataFrame, cooldown: int) -> DataFrame:
-    """Exact parallel form of the greedy rule for hot keys (seq must be unique).
+    """Exact parallel form of the greedy rule for hot keys.
 
     nxt(i) = first request at/after ts_i + (cooldown - 0.5 s): the next request
     the rule would accept if i is accepted. Heads = requests whose previous request
     is at least ``cooldown`` earlier (always accepted). The accepted set is every
     request reachable from a head through nxt. Pointer doubling finds it with
-    joins on the unique ``seq`` (no key skew): R ← R ∪ J(R), J ← J∘J, until J(R) ⊆ R,
-    i.e. about log2(longest chain) rounds, each pinned by a checkpoint."""
+    joins on a row number given here (unique whatever ``seq`` holds, no key skew):
+    R ← R ∪ J(R), J ← J∘J, until J(R) ⊆ R, i.e. about log2(longest chain) rounds, each
+    pinned by a checkpoint."""
     limit_us = cooldown * 1_000_000 - 500_000
-    base = rows.select(*KEYS, "ts", "seq")
-    prev = keyed_scan(base, KEYS, ["ts", "seq"], [Scan("_prev", "last", F.col("ts"), inclusive=False)])
+    rows = frozen_layout(rows.withColumn("_rid", F.monotonically_increasing_id()))
+    base = rows.select(*KEYS, "ts", "seq", "_rid")
+    prev = keyed_scan(base, KEYS, ["ts", "seq", "_rid"], [Scan("_prev", "last", F.col("ts"), inclusive=False)])
     heads = prev.filter(F.col("_prev").isNull() | (seconds_since("_prev", "ts") >= F.lit(cooldown))) \
-                .select(F.col("seq").alias("node"))
+                .select(F.col("_rid").alias("node"))
     probes = base.select(*KEYS, F.timestamp_add("MICROSECOND", F.lit(limit_us), F.col("ts")).alias("ts"),
-                         F.col("seq"), F.lit(0).alias("_kind"))
+                         "seq", "_rid", F.lit(0).alias("_kind"))
     timeline = base.withColumn("_kind", F.lit(1)).unionByName(probes)
-    scanned = keyed_scan(timeline, KEYS, ["ts", "_kind", "seq"],
-                         [Scan("_to", "next", F.when(F.col("_kind") == 1, F.col("seq")))])
-    jump = frozen_layout(scanned.filter(F.col("_kind") == 0).select(F.col("seq").alias("node"), F.col("_to").alias("to")))
+    scanned = keyed_scan(timeline, KEYS, ["ts", "_kind", "seq", "_rid"],
+                         [Scan("_to", "next", F.when(F.col("_kind") == 1, F.col("_rid")))])
+    jump = frozen_layout(scanned.filter(F.col("_kind") == 0).select(F.col("_rid").alias("node"), F.col("_to").alias("to")))
     reached = frozen_layout(heads.distinct())
     while True:
         step = reached.join(jump, "node").select(F.col("to").alias("node")).filter(F.col("node").isNotNull())
-        new = step.distinct().join(reached, "node", "left_anti")
-        if new.limit(1).count() == 0:                 # J(R) ⊆ R: nothing more is reachable
+        new = frozen_layout(step.distinct().join(reached, "node", "left_anti"))
+        if new.isEmpty():                                 # J(R) ⊆ R: nothing more is reachable
             break
         reached = frozen_layout(reached.unionByName(new))
         a, b = jump.alias("a"), jump.alias("b")
         jump = frozen_layout(a.join(b, F.col("a.to") == F.col("b.node"), "left")
                               .select(F.col("a.node").alias("node"), F.col("b.to").alias("to")))
-    flags = reached.select(F.col("node").alias("_acc_seq"), F.lit(True).alias("_acc"))
-    out = rows.join(flags, rows["seq"] == flags["_acc_seq"], "left")
-    return out.withColumn("accepted", F.coalesce(F.col("_acc"), F.lit(False))).drop("_acc_seq", "_acc")
+    flags = reached.select(F.col("node").alias("_rid"), F.lit(True).alias("_acc"))
+    out = rows.join(flags, "_rid", "left")
+    return out.withColumn("accepted", F.coalesce(F.col("_acc"), F.lit(False))).drop("_rid", "_acc")
 
 
 # W10
@@ -135,20 +146,23 @@ def code_cooldown(requests: DataFrame, cooldown: int = RESEND_COOLDOWN_SECONDS,
     The rule is recursive, so ``lag`` alone is wrong. Keys with at most
     ``hot_key_rows`` requests are replayed in order, one key per group, inside
     ``mapInPandas`` after a hash shuffle on the key (bounded group size, streaming
-    memory). Hotter keys — at most rows / hot_key_rows of them, so their list is
-    size-bounded — take the exact parallel path of ``_chain_from_heads``."""
+    memory). Hotter keys take the exact parallel path of ``_chain_from_heads``; both
+    give the same answer, requests at one time of one key being taken in ``seq`` order."""
     if cooldown <= 0:                       # a rounded non-negative gap always passes
         return requests.withColumn("accepted", F.lit(True))
     counts = requests.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
-    hot = small_side(counts.filter(F.col("_n") > hot_key_rows).select(*KEYS))
-    cold = requests.join(hot, _null_safe_keys(requests, hot), "left_anti")
-    hot_rows = requests.join(hot, _null_safe_keys(requests, hot), "left_semi")
+    hot = counts.filter(F.col("_n") > hot_key_rows).select(*KEYS)       # at most rows / hot_key_rows keys
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields) + ", accepted boolean"
-    replayed = (cold.repartition(*KEYS).sortWithinPartitions(*KEYS, "ts", "seq")        # AQE sizes the shuffle
+
+    def replayed(rows: DataFrame) -> DataFrame:
+        return (rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "ts", "seq")        # AQE sizes the shuffle
                     .mapInPandas(_cooldown_partition(cooldown, KEYS), schema))
-    if hot.limit(1).count() == 0:
-        return replayed
-    return replayed.unionByName(_chain_from_heads(hot_rows, cooldown).select(*requests.columns, "accepted"))
+
+    if hot.isEmpty():
+        return replayed(requests)
+    cold = requests.join(hot, _null_safe_keys(requests, hot), "left_anti")
+    hot_rows = requests.join(hot, _null_safe_keys(requests, hot), "left_semi")
+    return replayed(cold).unionByName(_chain_from_heads(hot_rows, cooldown).select(*requests.columns, "accepted"))
 
 
 def issued_codes(requests: DataFrame, cooldown: int = RESEND_COOLDOWN_SECONDS,
@@ -159,23 +173,30 @@ def issued_codes(requests: DataFrame, cooldown: int = RESEND_COOLDOWN_SECONDS,
                       (F.col("ts") + F.make_dt_interval(secs=F.lit(ttl))).alias("expires_at"))
 
 
+def _code_timeline(verifications: DataFrame, codes: DataFrame, carried: list[str]) -> DataFrame:
+    """Codes (_kind 0, before verifications at a tie) and verifications (_kind 1) in one table."""
+    v = verifications.select(*verifications.columns, F.lit(1).alias("_kind"),
+                             *[F.lit(None).cast(codes.schema[c].dataType).alias(c) for c in carried])
+    c = codes.select(*KEYS, F.col("created_at").alias("ts"), F.col("code_id").alias("seq"),
+                     *[F.lit(None).cast(verifications.schema[x].dataType).alias(x)
+                       for x in verifications.columns if x not in KEYS + ["ts", "seq"]],
+                     F.lit(0).alias("_kind"), *carried)
+    return v.unionByName(c)
+
+
+CODE_COLUMNS = ["code_id", "created_at", "expires_at"]
+TIMELINE = ["ts", "_kind", "seq"]
+
+
 # J8
 def code_as_of(verifications: DataFrame, codes: DataFrame) -> DataFrame:
     """Backward as-of join: each verification gets the newest code of its key
     issued at or before it. Both timelines are unioned and the code is carried
     forward by a skew-safe keyed scan (codes sort before verifications at a tie)."""
-    code_cols = ["code_id", "created_at", "expires_at"]
-    v = verifications.select(*verifications.columns, F.lit(1).alias("_kind"),
-                             *[F.lit(None).cast(codes.schema[c].dataType).alias(c) for c in code_cols])
-    c = codes.select(*KEYS, F.col("created_at").alias("ts"), F.col("code_id").alias("seq"),
-                     *[F.lit(None).cast(verifications.schema[x].dataType).alias(x)
-                       for x in verifications.columns if x not in KEYS + ["ts", "seq"]],
-                     F.lit(0).alias("_kind"), *code_cols)
-    u = v.unionByName(c)
-    carried = keyed_scan(u, KEYS, ["ts", "_kind", "seq"],
-                         [Scan("_code", "last", F.when(F.col("_kind") == 0, F.struct(*code_cols)))])
+    u = _code_timeline(verifications, codes, CODE_COLUMNS)
+    carried = keyed_scan(u, KEYS, TIMELINE, [Scan("_code", "last", F.when(F.col("_kind") == 0, F.struct(*CODE_COLUMNS)))])
     return (carried.filter(F.col("_kind") == 1)
-                   .select(*verifications.columns, *[F.col(f"_code.{x}").alias(x) for x in code_cols]))
+                   .select(*verifications.columns, *[F.col(f"_code.{x}").alias(x) for x in CODE_COLUMNS]))
 
 
 # W11
@@ -186,23 +207,31 @@ def code_outcomes(verifications: DataFrame, codes: DataFrame, max_attempts: int
     Per code, in time order: ``m`` = earlier mismatches; a row succeeds iff it
     matches, is not expired, ``m < max`` and no earlier row succeeded. Attempts
     only grow on counted mismatches, which equals min(m, max) before the first
-    success, so running sums/maxes over earlier rows give the sequential answer."""
-    j = code_as_of(verifications, codes)
-    found = j.filter(F.col("code_id").isNotNull())
-    lost = j.filter(F.col("code_id").isNull())
-    expired = F.col("ts") > F.col("expires_at")
-    s1 = keyed_scan(found, ["code_id"], ["ts", "seq"],
-                    [Scan("_m", "sum", F.when(~F.col("matches"), 1).otherwise(0).cast("bigint"), inclusive=False)])
-    cand = F.col("matches") & ~expired & (F.col("_m") < max_attempts)
-    s2 = keyed_scan(s1.withColumn("_cand", cand.cast("int")), ["code_id"], ["ts", "seq"],
-                    [Scan("_used", "max", F.col("_cand"), inclusive=False)])
-    outcome = (F.when(F.coalesce(F.col("_used"), F.lit(0)) == 1, F.lit("already used"))
+    success, so running sums/maxes over earlier rows give the sequential answer.
+
+    A code's rows are consecutive in its key's timeline, so every "per code" value is a
+    running value of the key less the value carried from the code's own row: three scans
+    over one set of pieces, whose windows share one shuffle and one order."""
+    u = _code_timeline(verifications, codes, CODE_COLUMNS)
+    p = Pieces(u, KEYS, TIMELINE)
+    is_code = F.col("_kind") == 0
+    wrong = F.when(~is_code & ~F.col("matches"), 1).otherwise(0).cast("bigint")
+    s1 = keyed_scan(u, KEYS, TIMELINE, [Scan("_code", "last", F.when(is_code, F.struct(*CODE_COLUMNS))),
+                                        Scan("_wrong", "sum", wrong, inclusive=False)], pieces=p)
+    s2 = keyed_scan(s1, KEYS, TIMELINE, [Scan("_wrong0", "last", F.when(is_code, F.col("_wrong")))], pieces=p)
+    m = F.col("_wrong") - F.col("_wrong0")
+    expired = F.col("ts") > F.col("_code.expires_at")
+    # per key at most one success a code counts; the newest success is this code's iff it is not older than the code's row
+    cand = ~is_code & F.col("_code").isNotNull() & F.col("matches") & ~expired & (m < max_attempts)
+    s3 = keyed_scan(s2, KEYS, TIMELINE, [Scan("_used", "last", F.when(cand, F.col("_code.code_id")), inclusive=False)], pieces=p)
+    outcome = (F.when(F.col("_code").isNull(), F.lit("not found"))
+                .when(F.col("_used") == F.col("_code.code_id"), F.lit("already used"))
                 .when(expired, F.lit("expired"))
-                .when(F.col("_m") >= max_attempts, F.lit("too many attempts"))
+                .when(m >= max_attempts, F.lit("too many attempts"))
                 .when(~F.col("matches"), F.lit("invalid"))
                 .otherwise(F.lit("ok")))
-    done = s2.withColumn("outcome", outcome).drop("_m", "_cand", "_used")
-    return done.unionByName(lost.withColumn("outcome", F.lit("not found")))
+    return (s3.filter(~is_code)
+              .select(*verifications.columns, *[F.col(f"_code.{x}").alias(x) for x in CODE_COLUMNS], outcome.alias("outcome")))
 
 
 # W12

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from washbay.functions.columns import CLOSE_MINUTE, OPEN_MINUTE, minutes_of_day
-from washbay.plans.ranking import small_side
 
 
 def ntz(value) -> Column:
@@ -88,8 +87,10 @@ def in_period(df: DataFrame, group: str = "month", from_: str | None = None,
 # F2
 def in_date_range(df: DataFrame, from_: str | None = None, to: str | None = None,
                   date: str = "date") -> DataFrame:
-    """Text date cast to DATE ('' → NULL → excluded), inclusive on both ends."""
-    d = F.nullif(F.col(date), F.lit("")).try_cast("date")
+    """Text date cast to DATE ('' → NULL → excluded), inclusive on both ends. A
+    ``visit_day`` column (the sink's partition column, NULL where the text is no date) has
+    the same day as a DATE; filtering on it prunes partitions."""
+    d = F.col("visit_day") if "visit_day" in df.columns else F.nullif(F.col(date), F.lit("")).try_cast("date")
     cond = F.lit(True)
     if from_:
         cond = cond & (d >= F.lit(from_).cast("date"))
@@ -104,11 +105,14 @@ def _like_escape(q: str) -> str:
 
 # F3
 def search_people(df: DataFrame, q: str | None, literal: bool = False,
-                  cols=("name", "phone")) -> DataFrame:
+                  cols=("name", "phone"), skip_empty: bool = True) -> DataFrame:
     """Case-insensitive substring match on any of ``cols``; NULLs never match.
-    By default ``%``/``_`` in ``q`` act as wildcards (as in the reference)."""
-    if not q:
+    By default ``%``/``_`` in ``q`` act as wildcards (as in the reference). An empty query
+    keeps every row (the admin list) or, without ``skip_empty``, still asks for a non-NULL
+    column (the owner's list)."""
+    if not q and skip_empty:
         return df
+    q = q or ""
     pat = "%" + (_like_escape(q) if literal else q) + "%"
     cond = None
     for c in cols:
@@ -132,9 +136,8 @@ def history_of(df: DataFrame, phones: DataFrame | list[str], phone: str = "phone
                ts: str = "created_at") -> DataFrame:
     """All bookings of the given phones (a DataFrame or a short list), newest first."""
     if isinstance(phones, DataFrame):
-        # a short phone list is broadcast (after a size check), so the bookings are not shuffled
-        keys = small_side(phones.select(F.col(phone)).distinct())
-        out = df.join(keys, on=phone, how="left_semi")
+        # Spark broadcasts a phone list that its statistics show to be short
+        out = df.join(phones.select(F.col(phone)).distinct(), on=phone, how="left_semi")
     else:
         out = df.filter(F.col(phone).isin(list(phones)))
     return out.orderBy(F.col(ts).desc_nulls_first(), F.col("order_id").asc_nulls_last())

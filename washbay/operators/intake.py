@@ -6,7 +6,7 @@ fail, so valid and rejected rows come out of the same scan (``split_outcome``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from washbay.functions.columns import (HOME_SURCHARGE, HOME_VISIT, WASH_CENTER, home_surcharge,
@@ -14,7 +14,8 @@ from washbay.functions.columns import (HOME_SURCHARGE, HOME_VISIT, WASH_CENTER,
                                        price_column_for)
 from washbay.operators.nested import unpivot_prices
 from washbay.plans.keyed import Scan, keyed_scan
-from washbay.plans.ranking import dense_index, small_side
+from washbay.plans.ranking import dense_index
+from washbay.plans.staging import staged
 
 # fixed values: the staff price matrix (vehicle → service → price, None = not offered)
 PRICE_MATRIX = [
@@ -52,7 +53,7 @@ def clean_bookings(raw: DataFrame, keep=("seq",)) -> DataFrame:
 
 
 # J1
-def price_bookings(bk: DataFrame, catalog: DataFrame, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def price_bookings(bk: DataFrame, catalog: DataFrame) -> DataFrame:
     """Price each booking from the catalogue row of its service and the vehicle's
     price column, plus the home-visit surcharge. Unknown, hidden (visible = false;
     NULL counts as bookable) and not-offered services get a ``reject_reason``."""
@@ -63,7 +64,7 @@ def price_bookings(bk: DataFrame, catalog: DataFrame, max_broadcast_rows: int =
     # a catalogue has one row per service name (its key); should a source repeat one,
     # take the lowest price so the result does not depend on row order
     offers = offers.groupBy("_svc", "_key").agg(F.min("_base").alias("_base"))
-    joined = bk.join(small_side(offers, max_broadcast_rows),
+    joined = bk.join(offers,
                      (bk["service"] == F.col("_svc")) & (price_column_for(bk["vehicle"]) == F.col("_key")), "left")
     place = F.col("visit_place") if "visit_place" in bk.columns else F.col("visit")
     return (joined.withColumn("price", F.when(F.col("_base").isNotNull(), home_surcharge(F.col("_base"), place)))
@@ -87,9 +88,8 @@ def price_matrix(spark) -> DataFrame:
 def price_from_matrix(bk: DataFrame, matrix: DataFrame | None = None) -> DataFrame:
     """Staff edit pricing: an explicit price wins (parsed like parseInt); otherwise
     the vehicle × service cell plus the surcharge; a missing cell gives NULL."""
-    m = matrix if matrix is not None else price_matrix(bk.sparkSession)
-    # the built-in matrix has 9 cells; a caller's matrix is broadcast only after a size check
-    m = small_side(m.select(F.col("vehicle").alias("_v"), F.col("service").alias("_s"), F.col("cell")), 1_000_000)
+    m = matrix if matrix is not None else F.broadcast(price_matrix(bk.sparkSession))      # 9 cells
+    m = m.select(F.col("vehicle").alias("_v"), F.col("service").alias("_s"), F.col("cell"))
     j = bk.join(m, (bk["vehicle"] == F.col("_v")) & (bk["service"] == F.col("_s")), "left")
     given = F.col("price").cast("string")
     explicit = given.isNotNull() & (given != F.lit(""))
@@ -100,50 +100,28 @@ def price_from_matrix(bk: DataFrame, matrix: DataFrame | None = None) -> DataFra
 
 
 # W2
-def next_free_ids(ids_df: DataFrame, k: int = 1, col: str = "order_id") -> DataFrame:
-    """The ``k`` smallest positive ids not in ``ids_df[col]`` (column ``id``).
-
-    Free ids form runs [start, end]: a start is 1 or id+1, an end is id-1, each
-    not itself taken. The i-th start pairs with the i-th end (the last run is
-    open). Only the first k runs can matter, so at most k starts/ends are kept
-    (top-k per task, no full sort), paired and expanded."""
-    spark = ids_df.sparkSession
-    ids = ids_df.select(F.col(col).cast("bigint").alias("id")).filter(F.col("id").isNotNull())
-    one = spark.range(1, 2).select(F.col("id").alias("s"))   # an attribute, not a literal: stays an equi join
-    starts = (one.unionByName(ids.select((F.col("id") + 1).alias("s"))).filter(F.col("s") >= 1)
-                 .join(ids, F.col("s") == F.col("id"), "left_anti").distinct()
-                 .orderBy("s").limit(k))
-    ends = (ids.select((F.col("id") - 1).alias("e")).filter(F.col("e") >= 1)
-               .join(ids, F.col("e") == F.col("id"), "left_anti").distinct()
-               .orderBy("e").limit(k))
-    w_s, w_e = Window.orderBy("s"), Window.orderBy("e")      # ≤ k rows each
-    runs = (starts.withColumn("i", F.row_number().over(w_s))
-                  .join(ends.withColumn("i", F.row_number().over(w_e)), "i", "left"))
-    size = F.coalesce(F.col("e") - F.col("s") + 1, F.lit(k).cast("bigint"))
-    runs = runs.withColumn("take", F.least(size, F.lit(k).cast("bigint")))
-    return (runs.select(F.explode(F.sequence(F.col("s"), F.col("s") + F.col("take") - 1)).alias("id"))
-                .orderBy("id").limit(k))
-
-
-def next_free_ids_large(ids_df: DataFrame, k: int, col: str = "order_id",
-                        chunk: int = 1_000_000) -> DataFrame:
-    """Same result as ``next_free_ids`` for any k without a top-k in one task:
-    every free run is paired by rank (parallel dense ranking), a global running
-    sum of run sizes (skew-safe keyed scan without a key) says how much of each
-    run is still needed, and long runs are cut into ``chunk``-sized pieces before
-    they are expanded, so no task expands more than ``chunk`` ids."""
+def next_free_ids(ids_df: DataFrame, k, col: str = "order_id", chunk: int = 1_000_000) -> DataFrame:
+    """The ``k`` (a number, or a Column holding one) smallest positive ids not in
+    ``ids_df[col]`` (column ``id``).
+
+    Free ids form runs [start, end]: a start is 1 or id+1, an end is id-1, each not itself
+    taken. The i-th start pairs with the i-th end (the last run is open) by parallel dense
+    ranking; a global running sum of run sizes says how much of each run is still needed,
+    and long runs are cut into ``chunk``-sized pieces before they are expanded, so no task
+    ranks all runs or expands more than ``chunk`` ids. The paired runs are staged: both the
+    running sum and its borders read them."""
     spark = ids_df.sparkSession
+    k = (F.lit(k) if isinstance(k, int) else k).cast("bigint")
     ids = ids_df.select(F.col(col).cast("bigint").alias("id")).filter(F.col("id").isNotNull()).distinct()
-    one = spark.range(1, 2).select(F.col("id").alias("s"))
+    one = spark.range(1, 2).select(F.col("id").alias("s"))   # an attribute, not a literal: stays an equi join
     starts = (one.unionByName(ids.select((F.col("id") + 1).alias("s"))).filter(F.col("s") >= 1).distinct()
                  .join(ids, F.col("s") == F.col("id"), "left_anti"))
     ends = (ids.select((F.col("id") - 1).alias("e")).filter(F.col("e") >= 1).distinct()
                .join(ids, F.col("e") == F.col("id"), "left_anti"))
     runs = dense_index(starts, ["s"], "i").join(dense_index(ends, ["e"], "i"), "i", "left")
-    size = F.coalesce(F.col("e") - F.col("s") + 1, F.lit(k).cast("bigint"))
-    runs = keyed_scan(runs.withColumn("size", size), [], ["s"],
-                      [Scan("before", "sum", F.col("size"), inclusive=False)])
-    need = runs.filter(F.col("before") < k).withColumn("take", F.least(F.col("size"), F.lit(k) - F.col("before")))
+    runs = staged(runs.withColumn("size", F.coalesce(F.col("e") - F.col("s") + 1, k)), "free-runs")
+    runs = keyed_scan(runs, [], ["s"], [Scan("before", "sum", F.col("size"), inclusive=False)])
+    need = runs.filter(F.col("before") < k).withColumn("take", F.least(F.col("size"), k - F.col("before")))
     pieces = need.select("s", "take", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                            F.ceil(F.col("take") / chunk).cast("bigint") - 1)).alias("j"))
     pieces = pieces.select((F.col("s") + F.col("j") * chunk).alias("p"),
@@ -153,17 +131,11 @@ def next_free_ids_large(ids_df: DataFrame, k: int, col: str = "order_id",
                   .select(F.explode(F.sequence(F.col("p"), F.col("p") + F.col("n") - 1)).alias("id")))
 
 
-LARGE_BATCH = 100_000
-
-
 def allocate_ids(batch: DataFrame, existing: DataFrame, order=("seq",), col: str = "order_id") -> DataFrame:
     """Give each row of ``batch`` (ordered by ``order``) the next smallest free id,
     all in one job instead of one read-then-insert per row (no collisions).
-    The id count equals the batch size, known only at run time, so it is counted."""
-    k = batch.count()
-    if k == 0:
-        return batch.withColumn(col, F.lit(None).cast("bigint"))
-    free_ids = next_free_ids(existing, k, col) if k <= LARGE_BATCH else next_free_ids_large(existing, k, col)
-    free = dense_index(free_ids, ["id"], "_i")
+    The number of ids needed is a scalar subquery over the batch."""
+    k = batch.agg(F.count(F.lit(1))).scalar()
+    free = dense_index(staged(next_free_ids(existing, k, col), "free-ids"), ["id"], "_i")
     ranked = dense_index(batch, list(order), "_i")
     return ranked.join(free, "_i").withColumnRenamed("id", col).drop("_i")

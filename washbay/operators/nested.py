@@ -49,17 +49,6 @@ def price_map(cat: DataFrame) -> DataFrame:
     return cat.select("name", F.create_map(*entries).alias("prices"))
 
 
-def price_map_single(cat: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """The whole catalogue as ONE map (the reference's JSON object). This gathers
-    the table into one row, so it is only for catalogue-sized input: the size is
-    checked first and larger input raises instead of overloading one task."""
-    n = cat.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"price_map_single is for small catalogues; got more than {max_rows} rows")
-    per = price_map(cat)
-    return per.agg(F.map_from_entries(F.collect_list(F.struct("name", "prices"))).alias("map"))
-
-
 # N4
 def unpivot_prices(cat: DataFrame, cols=("bike", "sedan", "suv")) -> DataFrame:
     """Wide prices → (name, vehicle, price) rows; missing prices stay as NULL rows."""

@@ -8,21 +8,23 @@ from pyspark.sql import functions as F
 from washbay.functions.columns import expiry_date
 from washbay.operators.filters import ntz
 from washbay.plans.keyed import keyed_row_number
-from washbay.plans.ranking import small_side
 
 # fixed values: browser-side packs (washes, months)
 PACKS = [("starter", 7, 2), ("three", 15, 3), ("nine", 31, 9)]
 
 
 # J3
-def open_memberships(requests: DataFrame, plans: DataFrame, as_of) -> DataFrame:
-    """Attach the plan of each request: expiry = as_of + validity days, starting
-    balance = the plan's washes. Requests for an unknown plan get no row."""
-    p = small_side(plans.select(F.col("id").alias("plan_id"), "validity_days", "total_washes"), 100_000)
+def open_memberships(requests: DataFrame, plans: DataFrame, as_of):
+    """(memberships, rejected). Attach the plan of each request: expiry = as_of + validity
+    days, starting balance = the plan's washes. Requests for an unknown (or NULL) plan are
+    rejected."""
+    p = plans.select(F.col("id").alias("plan_id"), "validity_days", "total_washes")
     day = F.to_date(ntz(as_of))
-    return (requests.join(p, "plan_id", "inner")
-                    .select(*requests.columns, expiry_date(day, F.col("validity_days")).alias("expiry_date"),
-                            F.col("total_washes").cast("int").alias("remaining_washes")))
+    opened = (requests.join(p, "plan_id", "inner")
+                      .select(*requests.columns, expiry_date(day, F.col("validity_days")).alias("expiry_date"),
+                              F.col("total_washes").cast("int").alias("remaining_washes")))
+    rejected = requests.join(p, "plan_id", "left_anti").select(*requests.columns, F.lit("plan not found").alias("reject_reason"))
+    return opened, rejected
 
 
 # W8
@@ -33,7 +35,7 @@ def wash_ledger(memberships: DataFrame, washes: DataFrame, key: str = "membershi
     a row number per membership (skew-safe keyed scan, so one busy membership is
     spread over several tasks), no row-by-row state."""
     bal = memberships.select(F.col("id").alias(key), F.col("remaining_washes").alias("_start"))
-    numbered = keyed_row_number(washes, [key], [F.col("ts").asc_nulls_last(), F.col("seq")], "_rn")
+    numbered = keyed_row_number(washes, [key], [F.col("ts").isNull(), F.col("ts"), F.col("seq")], "_rn")
     j = numbered.join(bal, key, "left")
     start = F.coalesce(F.col("_start"), F.lit(0))
     return (j.withColumn("accepted", F.col("_rn") <= start)

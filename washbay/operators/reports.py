@@ -95,16 +95,19 @@ def recent_active_days(bk: DataFrame, n: int = 7, exclude_status=()) -> DataFram
 
 
 # A8
-def repeat_customers(bk: DataFrame, keys=("phone",)) -> DataFrame:
-    """Number of customers (by ``keys``; NULL is one group) with more than one booking."""
-    per = bk.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+def repeat_customers(bk: DataFrame, keys=("phone",), activity: DataFrame | None = None) -> DataFrame:
+    """Number of customers (by ``keys``; NULL is one group) with more than one booking;
+    rolled up from ``activity`` where it is given."""
+    n = F.count(F.lit(1)) if activity is None else F.sum("visits")
+    per = (bk if activity is None else activity).groupBy(*keys).agg(n.alias("n")).filter(F.col("n") > 1)
     return per.agg(F.count(F.lit(1)).alias("total"))
 
 
 def customer_activity(bk: DataFrame, keys=("name", "phone")) -> DataFrame:
-    """One row per customer with last visit and spend: the shared exchange of A9/A10."""
+    """One row per customer with last visit, spend and visits: the shared exchange of A8-A10."""
     return bk.groupBy(*keys).agg(F.max("created_at").alias("last_visit"),
-                                 F.sum("price").cast("bigint").alias("spend"))
+                                 F.sum("price").cast("bigint").alias("spend"),
+                                 F.count(F.lit(1)).alias("visits"))
 
 
 def _key_order(keys):

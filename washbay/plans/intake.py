@@ -5,10 +5,10 @@ concurrent requests can no longer collide on an order id."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from washbay.operators.intake import allocate_ids, clean_bookings, price_bookings, split_outcome
+from washbay.plans.staging import staged
 from washbay.sources.tables import prepare_booking_rows
 
 
@@ -19,13 +19,14 @@ def intake(raw: DataFrame, catalog: DataFrame, existing: DataFrame, now,
     order in which free order ids are handed out.
     ``accepted``: canonical rows ready for ``append_bookings``; ``rejected``: the
     request ``seq`` with the first failing rule (missing fields, or not offered).
-    The cleaned and priced batch is persisted once (``persist``), so counting it for
-    the id allocation and producing both outputs do not re-read the requests."""
+    The cleaned batch is staged once (``persist``), so counting it for the id allocation
+    and producing both outputs do not read and clean the requests again; the staged table
+    lies in the shared checkpoint folder and needs no release."""
     cleaned = clean_bookings(raw)
+    if persist:
+        cleaned = staged(cleaned, "cleaned-requests")
     valid, bad = split_outcome(cleaned)
     priced = price_bookings(valid, catalog)
-    if persist:
-        priced = priced.persist(StorageLevel.MEMORY_AND_DISK)
     ok, unpriced = split_outcome(priced)
     numbered = allocate_ids(ok, existing, order=("seq",))
     accepted = prepare_booking_rows(numbered, now)

@@ -12,9 +12,9 @@ from washbay.operators import lists as L
 from washbay.operators import nested as N
 from washbay.operators import people as PE
 from washbay.operators.packs import open_memberships
-from washbay.plans.registry import register, sql_with
+from washbay.plans.registry import in_place, register, sql_with
 from washbay.sources import tables as S
-from washbay.sources.fixtures import fixture
+from washbay.sources.fixtures import adapted, duck_text, fixture
 
 EVENTS_AS_OF = "2024-01-30"
 
@@ -200,11 +200,11 @@ def f4_f5(spark, sf):
 
 
 @register("f6_history_of", sql_with(["bookings", "users"], """
-SELECT order_id, phone, created_at FROM bookings
+SELECT order_id, phone, created_at, row_number() OVER (ORDER BY created_at DESC NULLS FIRST, order_id) - 1 AS place FROM bookings
 WHERE phone IN (SELECT phone FROM users WHERE role = 'employee' AND NOT is_active)"""))
 def f6(spark, sf):
     users = fixture(spark, sf, "users").filter((F.col("role") == "employee") & ~F.col("is_active"))
-    return FL.history_of(fixture(spark, sf, "bookings"), users).select("order_id", "phone", "created_at")
+    return in_place(FL.history_of(fixture(spark, sf, "bookings"), users).select("order_id", "phone", "created_at"))
 
 
 @register("f7_on_day", sql_with(["bookings"], """
@@ -245,9 +245,10 @@ def t1(spark, sf):
     return L.newest(fixture(spark, sf, "bookings"), 10)
 
 
-@register("t2_catalog_order", sql_with(["catalog"], "SELECT * FROM catalog ORDER BY position ASC NULLS LAST, name"))
+@register("t2_catalog_order", sql_with(["catalog"], """
+SELECT *, row_number() OVER (ORDER BY position ASC NULLS LAST, name) - 1 AS place FROM catalog"""))
 def t2(spark, sf):
-    return L.catalog_order(fixture(spark, sf, "catalog"))
+    return in_place(L.catalog_order(fixture(spark, sf, "catalog")))
 
 
 @register("t3_booking_list", sql_with(["bookings"], """
@@ -261,9 +262,10 @@ def t3(spark, sf):
     return L.booking_list(bk, "1997-01-01", "1997-12-31", "2-HIGH", "customer#00000", "20")
 
 
-@register("t4_public_sheet", sql_with(["catalog"], "SELECT name, bike, sedan, suv FROM catalog ORDER BY name"))
+@register("t4_public_sheet", sql_with(["catalog"], """
+SELECT name, bike, sedan, suv, row_number() OVER (ORDER BY name) - 1 AS place FROM catalog"""))
 def t4(spark, sf):
-    return L.sheet_order(fixture(spark, sf, "catalog").select("name", "bike", "sedan", "suv"), "public")
+    return in_place(L.sheet_order(fixture(spark, sf, "catalog").select("name", "bike", "sedan", "suv"), "public"))
 
 
 # ---- N: nested shapes (JSON text of the nested value is compared) ------------
@@ -365,7 +367,17 @@ FROM (SELECT id AS customer_id, CAST(id % 4 AS INTEGER) AS plan_id FROM membersh
 def j3(spark, sf):
     req = fixture(spark, sf, "memberships").select(F.col("id").alias("customer_id"),
                                                    (F.col("id") % 4).cast("int").alias("plan_id"))
-    return open_memberships(req, fixture(spark, sf, "plans"), EVENTS_AS_OF)
+    return open_memberships(req, fixture(spark, sf, "plans"), EVENTS_AS_OF)[0]
+
+
+@register("j3_unknown_plans", sql_with(["memberships", "plans"], """
+SELECT customer_id, plan_id, 'plan not found' AS reject_reason
+FROM (SELECT id AS customer_id, CAST(id % 4 AS INTEGER) AS plan_id FROM memberships) r
+WHERE NOT EXISTS (SELECT 1 FROM plans p WHERE p.id = r.plan_id)"""))
+def j3b(spark, sf):
+    req = fixture(spark, sf, "memberships").select(F.col("id").alias("customer_id"),
+                                                   (F.col("id") % 4).cast("int").alias("plan_id"))
+    return open_memberships(req, fixture(spark, sf, "plans"), EVENTS_AS_OF)[1]
 
 
 _STAFF = """SELECT username, min(id) AS employee_id, arg_min(name, id) AS employee_name
@@ -458,9 +470,7 @@ CUSTOMER_INPUT = """SELECT concat(' ', c_name, '  ') AS name, concat('+91 ', lpa
  c_mktsegment AS vehicle_type FROM customer"""
 
 
-@register("s5_customer_rows", f"""
-SELECT {d_text('name', 200)} AS name, {d_phone('phone')} AS phone, email, vehicle_number, vehicle_type
-FROM ({CUSTOMER_INPUT}) c""")
+@register("s5_customer_rows", CUSTOMER_INPUT)
 def s5(spark, sf):
     c = spark.read.parquet(f"{sf}/customer.parquet")
     raw = c.select(F.concat(F.lit(" "), "c_name", F.lit("  ")).alias("name"),
@@ -478,7 +488,7 @@ SERVICES_SHEET = """SELECT p_partkey AS id, p_name AS name,
  p_type AS description, p_partkey % 4 <> 0 AS active FROM part"""
 
 
-@register("s6_f8_t4_services_sheet", f"SELECT * FROM ({SERVICES_SHEET}) s WHERE active = true ORDER BY id")
+@register("s6_f8_t4_services_sheet", f"SELECT * EXCLUDE (active) FROM ({SERVICES_SHEET}) s WHERE active = true ORDER BY id")
 def s6_services(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet")
     sheet = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"),
@@ -498,6 +508,56 @@ def s7(spark, sf):
     return S.load_operations(spark, {"users": users})["users"]
 
 
+# the other operations tables, with a secret column that must not be read, and the sheets of S6
+_OPS = {
+    "attendance": ("""SELECT event_id AS id, user_id AS employee_id, event_type AS employee_name, ts AS check_in, ts AS created_at,
+ 'Present' AS status, 'x' AS nonce FROM {events}""",
+                   """SELECT CAST(id AS VARCHAR) AS id, CAST(employee_id AS VARCHAR) AS employee_id, employee_name, check_in,
+ CAST(NULL AS TIMESTAMP) AS check_out, status, created_at FROM src"""),
+    "plans": ("SELECT p_partkey AS id, p_size AS validity_days, p_size * 2 AS total_washes, 'x' AS note FROM {part}",
+              "SELECT CAST(id AS INTEGER) AS id, CAST(validity_days AS INTEGER) AS validity_days, CAST(total_washes AS INTEGER) AS total_washes FROM src"),
+    "memberships": ("""SELECT c_custkey AS id, c_custkey AS customer_id, c_nationkey AS plan_id, DATE '2024-05-06' AS expiry_date,
+ c_nationkey AS remaining_washes FROM {customer}""",
+                    """SELECT id, customer_id, CAST(plan_id AS INTEGER) AS plan_id, expiry_date, CAST(remaining_washes AS INTEGER) AS remaining_washes FROM src"""),
+    "customer_otps": ("""SELECT event_id AS id, lpad(CAST(user_id AS STRING),10,'9') AS phone, 'manage_booking' AS purpose, 1 AS attempts,
+ event_id % 2 = 0 AS consumed, ts AS created_at, 'secret' AS code_hash FROM {events}""",
+                      """SELECT id, phone, purpose, attempts, consumed, CAST(NULL AS TIMESTAMP) AS expires_at, created_at,
+ CAST(NULL AS TIMESTAMP) AS last_sent_at FROM src"""),
+    "site_settings": ("SELECT p_partkey % 2 = 0 AS id, p_brand AS primary_color, p_type AS tagline FROM {part}",
+                      """SELECT id, primary_color, CAST(NULL AS VARCHAR) AS accent_color, CAST(NULL AS VARCHAR) AS text_color,
+ CAST(NULL AS VARCHAR) AS hero_image, CAST(NULL AS VARCHAR) AS gallery_json, tagline, CAST(NULL AS TIMESTAMP) AS updated_at FROM src"""),
+}
+
+
+def _ops(spark, sf, name):
+    src = adapted(spark, sf, _OPS[name][0])
+    return S.load_operations(spark, {name: src})[name]
+
+
+for _name, (_src, _sql) in _OPS.items():
+    register(f"s7_load_{_name}", f"WITH src AS ({duck_text(_src)}) {_sql}")(lambda spark, sf, name=_name: _ops(spark, sf, name))
+
+
+_SHEET_SQL = """SELECT id, name, description,
+ CAST(json_object('bike', bike, 'hatchback', hatchback, 'sedan', sedan, 'suv', suv) AS VARCHAR) AS prices, created_at, updated_at,
+ row_number() OVER (ORDER BY created_at ASC NULLS LAST, id) - 1 AS place FROM stamped"""
+_STAMPED = """SELECT id, name, description, bike, hatchback, sedan, suv,
+ CASE WHEN id % 5 <> 0 THEN CAST('2023-01-01 00:00:00' AS TIMESTAMP) + INTERVAL '1' HOUR * (id % 100) END AS created_at, updated_at
+FROM price_sheet"""
+
+
+def _sheet(spark, sf, which):
+    sheet = fixture(spark, sf, "price_sheet").withColumn("created_at", F.expr(
+        "CASE WHEN id % 5 <> 0 THEN CAST('2023-01-01 00:00:00' AS TIMESTAMP_NTZ) + make_dt_interval(0, CAST(id % 100 AS INT)) END"))
+    out = S.load_price_sheets(spark, which, **{which: sheet})[which]
+    return in_place(out).withColumn("prices", F.to_json("prices", _J))
+
+
+for _which in ("packages", "alacarte"):
+    register(f"s6_{_which}_sheet", sql_with(["price_sheet"], _SHEET_SQL, stamped=_STAMPED))(
+        lambda spark, sf, which=_which: _sheet(spark, sf, which))
+
+
 # ---- W2 and the intake job (E2) ------------------------------------------------
 IDS_SQL = "SELECT DISTINCT order_id AS id FROM change_requests"
 
@@ -524,7 +584,7 @@ def w2b(spark, sf):
 SELECT s AS id FROM range(1, (SELECT COALESCE(max(id), 0) FROM ids) + 5002) t(s)
 WHERE NOT EXISTS (SELECT 1 FROM ids WHERE ids.id = t.s) ORDER BY s LIMIT 5000""", ids=IDS_SQL))
 def w2c(spark, sf):
-    return I.next_free_ids_large(_ids(spark, sf), 5000, chunk=1000)
+    return I.next_free_ids(_ids(spark, sf), 5000, chunk=1000)
 
 
 E2_NOW = "2024-01-30 12:00:00"

@@ -4,20 +4,23 @@ A plain ``Window.partitionBy(key).orderBy(ts)`` sends every row of one key to on
 task, so a key holding a third of the rows would run on one core. ``keyed_scan``
 instead:
 
-1. range-partitions on (key, order) and sorts inside partitions, so a hot key is
-   split over several partitions by its order columns;
-2. evaluates each scan inside every (key, partition) run with a window on
-   (key, partition id): the hot key is now several balanced window groups;
-3. summarises the runs of keys that cross a partition boundary (each such run is
-   the first or last key of its partition, so at most two per partition), scans
-   those summaries per key in partition order, and broadcasts the carried values
-   back (a table bounded by 2 x partitions rows, whatever the number of keys).
+1. takes a deterministic sample of the (key, order) tuples (a hash condition whose
+   rate follows from the row count, about ``SAMPLE`` rows per piece) and picks the
+   piece borders from it: a scalar subquery, so nothing runs while the plan is built;
+2. gives every row its piece, a pure expression of (key, order), and evaluates each
+   scan in a window on (key, piece): one shuffle, and a hot key is several balanced
+   window groups. Small keys lie in one piece and are ordinary window groups;
+3. summarises only the keys that hold a border (at most one per border) per piece by a
+   partial aggregate, scans those summaries in piece order, and broadcasts the carried
+   values back (at most 2 x pieces rows, whatever the number of keys).
 
 The result equals the per-key window over the whole key. Spec kinds:
 
 * ``sum`` / ``max``  running aggregate up to the row (``inclusive``) or before it;
 * ``last``           the last non-NULL value at/before the row (forward fill);
 * ``next``           the first non-NULL value at/after the row (backward fill).
+
+``order`` is ascending with NULLs first; for NULLs last put ``col.isNull()`` before it.
 """
 
 from __future__ import annotations
@@ -29,18 +32,13 @@ from pyspark.sql import functions as F
 
 from washbay.session import ensure_checkpoint_dir
 
-_SHIFT = 33   # monotonically_increasing_id = partition id << 33 | position in partition
-U_PREC, U_FOLL = Window.unboundedPreceding, Window.unboundedFollowing
+U_PREC = Window.unboundedPreceding
+SAMPLE = 32          # sampled tuples per piece
 
 
 def frozen_layout(df: DataFrame) -> DataFrame:
-    """Write the partitioned, sorted rows once to the shared checkpoint folder.
-
-    Both the per-row branch and the per-partition summary branch must see the
-    same partitions in the same order. Re-evaluating a range partitioning is not
-    guaranteed to give that (its sample depends on upstream row order, which a
-    shuffle does not fix), and a lost executor would recompute it the same way.
-    A reliable checkpoint pins the layout and cuts the lineage."""
+    """Write the rows once to the shared checkpoint folder, for iterative algorithms that
+    read them in every round (reliable, so a lost executor does not recompute them)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -53,71 +51,87 @@ class Scan:
     inclusive: bool = True
 
 
-def keyed_scan(df: DataFrame, keys: list[str], order: list, scans: list[Scan],
-               partitions: int | None = None) -> DataFrame:
-    okeys = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
-    # without an explicit count AQE may merge adjacent small ranges (order is kept),
-    # while ranges holding a hot key's rows stay apart
-    ranged = df.repartitionByRange(partitions, *okeys) if partitions else df.repartitionByRange(*okeys)
-    tagged = (frozen_layout(ranged.sortWithinPartitions(*okeys))
-                .withColumn("_mid", F.monotonically_increasing_id())
-                .withColumn("_pid", F.shiftright(F.col("_mid"), _SHIFT))
-                .withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid"), _SHIFT))
-                .drop("_mid"))
-    for s in scans:
-        tagged = tagged.withColumn(f"_v_{s.out}", s.expr)
+class Pieces:
+    """Piece borders of the (keys, order) tuples of ``df``. One object serves several
+    scans over frames that still hold these columns."""
+
+    def __init__(self, df: DataFrame, keys: list[str], order: list, pieces: int | None = None):
+        self.keys = keys
+        self.order = [F.col(o) if isinstance(o, str) else o for o in order]
+        self.n = n = max(2, pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        parts = [F.col(k) for k in keys] + self.order
+        # keys as a struct of their own: NULL keys compare like values
+        self.key = F.struct(F.lit(0).alias("x"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+        self.tuple = F.struct(self.key.alias("k"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(self.order)]).alias("o"))
+        rate = F.greatest(F.lit(1), F.floor(df.agg(F.count(F.lit(1))).scalar() / F.lit(n * SAMPLE)).cast("bigint"))
+        sample = df.where(F.pmod(F.xxhash64(*parts), rate) == 0).select(self.tuple.alias("t")).distinct()
+        self.borders = (sample.agg(F.array_sort(F.collect_list("t")).alias("s"))       # about n * SAMPLE tuples
+                        .select(F.expr(f"""array_distinct(transform(filter(sequence(1, {n - 1}), i -> size(s) > 0),
+                                           i -> s[cast(i * size(s) div {n} as int)]))""").alias("b")))
+
+    def tag(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``_pid``, the number of borders at or before the row, and ``_split``,
+        whether the row's key holds a border."""
+        width = max(2, round(self.n ** 0.5))             # borders are counted in two steps
+
+        def reached(i) -> Column:
+            return F.coalesce(F.get("_b", i) <= F.col("_t"), F.lit(False)).cast("int")
+
+        coarse = sum((reached(F.lit(i)) for i in range(width - 1, self.n - 1, width)), F.lit(0))
+        fine = sum((reached(F.col("_from") + j) for j in range(width - 1)), F.col("_from"))
+        mine = [F.coalesce(F.get("_b", i)["k"] == F.col("_t")["k"], F.lit(False)) for i in (F.col("_pid") - 1, F.col("_pid"))]
+        return (df.select("*", self.tuple.alias("_t"), self.borders.scalar().alias("_b"))
+                  .select("*", (coarse * width).alias("_from")).select("*", fine.alias("_pid"))
+                  .select(*[F.col(f"`{c}`") for c in df.columns], "_pid",
+                          (F.when(F.col("_pid") > 0, mine[0]).otherwise(F.lit(False)) | mine[1]).alias("_split")))
+
 
-    run = Window.partitionBy(*keys, "_pid").orderBy("_pos")
+def keyed_scan(df: DataFrame, keys: list[str], order: list, scans: list[Scan],
+               partitions: int | None = None, pieces: Pieces | None = None) -> DataFrame:
+    """``df`` with one column per scan. ``partitions``: pieces to aim for (default: the
+    session's shuffle partitions); ``pieces``: borders to share with other scans."""
+    p = pieces or Pieces(df, keys, order, partitions)
+    named = [f"_o_{i}" for i in range(len(p.order))]
+    tagged = p.tag(df).select("*", *[o.alias(n) for o, n in zip(p.order, named)],
+                              *[s.expr.alias(f"_v_{s.out}") for s in scans])
+    run = Window.partitionBy(*keys, "_pid").orderBy(*named)
+    back = Window.partitionBy(*keys, "_pid").orderBy(*[F.col(n).desc() for n in named])
+    place = F.struct(*named)
     local, summary = [], []
     for s in scans:
-        v = F.col(f"_v_{s.out}")
+        v, end = F.col(f"_v_{s.out}"), 0 if s.inclusive else -1
         if s.kind in ("sum", "max"):
             agg = F.sum if s.kind == "sum" else F.max
-            frame = run.rowsBetween(U_PREC, 0 if s.inclusive else -1)
-            local.append(agg(v).over(frame).alias(f"_l_{s.out}"))
+            local.append(agg(v).over(run.rowsBetween(U_PREC, end)).alias(f"_l_{s.out}"))
             summary.append(agg(v).alias(f"_s_{s.out}"))
         elif s.kind == "last":
-            local.append(F.last(v, ignorenulls=True).over(run.rowsBetween(U_PREC, 0 if s.inclusive else -1))
-                         .alias(f"_l_{s.out}"))
-            summary.append(F.max_by(v, F.when(v.isNotNull(), F.col("_pos"))).alias(f"_s_{s.out}"))
-        elif s.kind == "next":
-            local.append(F.first(v, ignorenulls=True).over(run.rowsBetween(0 if s.inclusive else 1, U_FOLL))
-                         .alias(f"_l_{s.out}"))
-            summary.append(F.min_by(v, F.when(v.isNotNull(), F.col("_pos"))).alias(f"_s_{s.out}"))
+            local.append(F.last(v, ignorenulls=True).over(run.rowsBetween(U_PREC, end)).alias(f"_l_{s.out}"))
+            summary.append(F.max_by(v, F.when(v.isNotNull(), place)).alias(f"_s_{s.out}"))
+        elif s.kind == "next":            # a running frame in reverse order: linear, unlike ... AND UNBOUNDED FOLLOWING
+            local.append(F.last(v, ignorenulls=True).over(back.rowsBetween(U_PREC, end)).alias(f"_l_{s.out}"))
+            summary.append(F.min_by(v, F.when(v.isNotNull(), place)).alias(f"_s_{s.out}"))
         else:
             raise ValueError(f"unknown scan kind {s.kind}")
-
     scanned = tagged.select("*", *local)
-    # Only a key that crosses a partition boundary needs a carried value, and it
-    # is then the first or last key of each partition it touches (rows are range
-    # sorted by key). So summaries are built for those runs only: at most two per
-    # partition, which bounds every table below by 2 x partitions rows.
-    kstruct = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
-    ends = tagged.groupBy("_pid").agg(F.min_by(kstruct, F.col("_pos")).alias("_a"),
-                                      F.max_by(kstruct, F.col("_pos")).alias("_b"))
-    edge_keys = (ends.select("_pid", F.col("_a").alias("_e")).unionByName(ends.select("_pid", F.col("_b").alias("_e")))
-                     .distinct())
-    edge_rows = tagged.withColumn("_e", kstruct).join(F.broadcast(edge_keys), ["_pid", "_e"], "left_semi")
-    runs = edge_rows.groupBy(*keys, "_pid").agg(*summary)
-    per_key = (Window.partitionBy(*keys) if keys else Window).orderBy("_pid")   # ≤ 2 x partitions rows
+
+    runs = tagged.where("_split").groupBy(*keys, "_pid").agg(*summary)          # <= 2 x pieces rows
+    per_key = (Window.partitionBy(*keys) if keys else Window).orderBy("_pid")
+    per_key_back = (Window.partitionBy(*keys) if keys else Window).orderBy(F.desc("_pid"))
     carry = []
     for s in scans:
         v = F.col(f"_s_{s.out}")
-        if s.kind == "sum":
-            c = F.sum(v).over(per_key.rowsBetween(U_PREC, -1))
-        elif s.kind == "max":
-            c = F.max(v).over(per_key.rowsBetween(U_PREC, -1))
-        elif s.kind == "last":
-            c = F.last(v, ignorenulls=True).over(per_key.rowsBetween(U_PREC, -1))
+        if s.kind in ("sum", "max"):
+            c = (F.sum if s.kind == "sum" else F.max)(v).over(per_key.rowsBetween(U_PREC, -1))
         else:
-            c = F.first(v, ignorenulls=True).over(per_key.rowsBetween(1, U_FOLL))
+            side = per_key if s.kind == "last" else per_key_back
+            c = F.last(v, ignorenulls=True).over(side.rowsBetween(U_PREC, -1))
         carry.append(c.alias(f"_c_{s.out}"))
     carried = runs.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_pid").alias("_k_pid"), *carry)
 
     cond = F.col("_pid") == F.col("_k_pid")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = scanned.join(F.broadcast(carried), cond, "left")     # ≤ 2 x partitions rows
+    joined = scanned.join(F.broadcast(carried), cond, "left")
     outs = []
     for s in scans:
         l, c = F.col(f"_l_{s.out}"), F.col(f"_c_{s.out}")
@@ -128,8 +142,7 @@ def keyed_scan(df: DataFrame, keys: list[str], order: list, scans: list[Scan],
         else:
             val = F.coalesce(l, c)
         outs.append(val.alias(s.out))
-    drop = [c for c in joined.columns if c.startswith(("_v_", "_l_", "_c_", "_k_"))] + ["_pid", "_pos"]
-    return joined.select("*", *outs).drop(*drop)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *outs)
 
 
 def keyed_row_number(df: DataFrame, keys: list[str], order: list, out: str = "rn",

@@ -1,42 +1,19 @@
-"""Global ordering helpers that do not funnel a table through one task.
+"""Global ordering that does not funnel a table through one task.
 
-``dense_index`` numbers rows 1..n in a total order. A window ``row_number()``
-without PARTITION BY moves every row into a single partition; instead the rows
-are range-partitioned and sorted (a parallel sort), each row gets its position
-inside its partition, and a per-partition count table (one row per partition, so
-its size is bounded by the partition count) turns positions into global numbers.
-
-``small_side`` broadcasts a join side only after checking its row count; above
-the bound the join stays a shuffle join (with AQE's skew splitting).
-"""
+``dense_index`` numbers rows 1..n in a total order. A window ``row_number()`` without
+PARTITION BY moves every row into a single partition; here the order is cut into pieces
+(see ``keyed``), each is numbered by its own window, and the piece totals (one row per
+piece) shift the numbers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from washbay.plans.keyed import frozen_layout
+from pyspark.sql import DataFrame
 
-_PID_SHIFT = 33   # monotonically_increasing_id = partition id << 33 | row in partition
+from washbay.plans.keyed import keyed_row_number
 
 
 def dense_index(df: DataFrame, order_cols: list, out: str = "rn",
                 partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = 1..n following ``order_cols`` (Columns or names; must be a total
-    order for a deterministic result)."""
-    ranged = df.repartitionByRange(partitions, *order_cols) if partitions else df.repartitionByRange(*order_cols)
-    ordered = frozen_layout(ranged.sortWithinPartitions(*order_cols))     # AQE may merge small ranges
-    mid = F.monotonically_increasing_id()
-    tagged = ordered.withColumn("_mid", mid).withColumn("_pid", F.shiftright(F.col("_mid"), _PID_SHIFT))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid"), _PID_SHIFT)
-    return (tagged.join(F.broadcast(offsets), "_pid")          # ≤ one row per partition
-                  .withColumn(out, F.col("_off") + local + 1)
-                  .drop("_mid", "_pid", "_off"))
-
-
-def small_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    """Add ``out`` = 1..n following ``order_cols`` (names or Columns, ascending, NULLs first;
+    must be a total order for a deterministic result)."""
+    return keyed_row_number(df, [], order_cols, out, partitions)

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from washbay.sources.fixtures import duck_sql
 
@@ -26,6 +27,18 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+def in_place(df: DataFrame) -> DataFrame:
+    """Adds ``place`` = 0, 1, … in the order that the (globally sorted) rows come in, so that
+    the comparison, which ignores order, sees it."""
+    part = F.spark_partition_id()
+    tagged = df.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", part)
+    before = tagged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")) \
+                   .select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))    # a row per partition
+    return (tagged.join(F.broadcast(before), "_p")
+                  .withColumn("place", F.col("_b") + F.col("_m") - F.shiftleft(F.col("_p").cast("bigint"), 33))
+                  .drop("_m", "_p", "_b"))
+
+
 def sql_with(fixtures: list[str] | tuple[str, ...], body: str, recursive: bool = False, **ctes: str) -> str:
     """DuckDB text: fixture adapters and extra CTEs (in order), then ``body``."""
     parts = [f"{n} AS ({duck_sql(n)})" for n in fixtures]

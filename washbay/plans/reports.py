@@ -9,13 +9,13 @@ reference instead ran six statements, each re-reading the table.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from washbay.functions.columns import dow_of, hour_of, period_label
 from washbay.operators import reports as R
 from washbay.operators.lists import newest
+from washbay.plans.staging import staged
 
 _KEYS = ["label", "service", "vehicle", "hour", "dow"]
 # grouping_id bit is 1 for every key *not* grouped; label is the highest bit
@@ -37,8 +37,7 @@ def stats_report(bk: DataFrame, group: str = "month", from_=None, to=None,
                  persist: bool = True) -> dict[str, DataFrame]:
     agg = stats_aggregate(bk, group, from_, to)
     if persist:
-        # small (bounded by distinct group values); lost blocks recompute from lineage
-        agg = agg.persist(StorageLevel.MEMORY_AND_DISK)
+        agg = staged(agg, "stats-parts")              # small: bounded by distinct group values
 
     def part(key: str) -> DataFrame:
         return agg.filter(F.col("gid") == _GID[key])
@@ -61,14 +60,14 @@ def stats_report(bk: DataFrame, group: str = "month", from_=None, to=None,
 
 
 def growth_report(bk: DataFrame, as_of, persist: bool = True) -> dict[str, DataFrame]:
-    """A7–A10 together; lapsed customers and top spenders share one per-customer
-    aggregate (one shuffle of the bookings instead of two)."""
+    """A7–A10 together; repeat and lapsed customers and top spenders share one
+    per-customer aggregate (one shuffle of the bookings instead of three)."""
     act = R.customer_activity(bk)
     if persist:
-        act = act.persist(StorageLevel.MEMORY_AND_DISK)
+        act = staged(act, "customer-activity")
     return {
         "revenue": R.recent_active_days(bk),
-        "repeat": R.repeat_customers(bk),
+        "repeat": R.repeat_customers(bk, activity=act),
         "inactive": R.lapsed_customers(bk, as_of, activity=act),
         "vip": R.top_spenders(bk, activity=act),
     }
@@ -76,9 +75,9 @@ def growth_report(bk: DataFrame, as_of, persist: bool = True) -> dict[str, DataF
 
 def owner_report(bk: DataFrame, att: DataFrame, as_of, persist: bool = True) -> dict[str, DataFrame]:
     """A11 + A12 + the two newest-10 lists of the owner dashboard. Three parts read
-    the attendance rows, so they are persisted once (lost blocks recompute)."""
+    the attendance rows, so they are staged once."""
     if persist:
-        att = att.persist(StorageLevel.MEMORY_AND_DISK)
+        att = staged(att, "attendance")
     return {
         "kpis": R.day_kpis(bk, att, as_of),
         "recent": newest(bk.select("order_id", "name", "service", "vehicle", "price", "status", "created_at"),

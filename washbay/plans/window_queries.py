@@ -12,64 +12,88 @@ from washbay.operators import packs as PK
 from washbay.operators import people as PE
 from washbay.operators import reports as R
 from washbay.plans import reports as P
-from washbay.plans.registry import register, sql_with
+from washbay.plans.keyed import keyed_row_number
+from washbay.plans.registry import in_place, register, sql_with
 from washbay.sources.fixtures import fixture
 
 EVENTS_AS_OF = "2024-01-30"
-CAT_RANKED = """SELECT *, CAST(row_number() OVER (ORDER BY position ASC NULLS LAST, name) AS INTEGER) AS rn FROM catalog"""
+NOW = "2024-01-30 12:00:00"
+CAT_RANKED = f"""SELECT * REPLACE (CASE WHEN position IS DISTINCT FROM rn THEN TIMESTAMP '{NOW}' ELSE updated_at END AS updated_at)
+FROM (SELECT *, CAST(row_number() OVER (ORDER BY position ASC NULLS LAST, name) AS INTEGER) AS rn FROM catalog_edited) x"""
+
+
+def _edited(spark, sf):
+    return fixture(spark, sf, "catalog_edited")
 
 
 # ---- catalogue ---------------------------------------------------------------
-@register("w1_renumber", sql_with(["catalog"], """
-SELECT name, bike, sedan, suv, rn AS position, visible, description, position IS DISTINCT FROM rn AS changed FROM ranked""",
+@register("w1_renumber", sql_with(["catalog_edited"], """
+SELECT name, bike, sedan, suv, rn AS position, visible, description, updated_at, position IS DISTINCT FROM rn AS changed FROM ranked""",
                                   ranked=CAT_RANKED))
 def w1(spark, sf):
-    return CA.renumber(fixture(spark, sf, "catalog"))
+    return CA.renumber(_edited(spark, sf), NOW)
+
+
+# (seq, place of the item before the batch or 0 for an unknown name, direction)
+MOVES = [(1, 10, "up"), (2, 20, "down"), (0, 30, "left"), (3, 0, "up"), (4, 10, "up"), (5, 9, "down"), (6, 1, "up"), (7, 1, "down"),
+         (8, 20, "down"), (9, 22, "up"), (10, 40, None), (11, 8, "down"), (12, 60, "up")]
 
 
 def _moves(spark, sf):
-    ranked = CA.renumber(fixture(spark, sf, "catalog"))
-    at = lambda k: ranked.filter(F.col("position") == k).select("name")
-    return (at(10).select(F.lit(1).alias("seq"), "name", F.lit("up").alias("direction"))
-            .unionByName(at(20).select(F.lit(2).alias("seq"), "name", F.lit("down").alias("direction")))
-            .unionByName(at(30).select(F.lit(0).alias("seq"), "name", F.lit("left").alias("direction")))
-            .unionByName(at(1).select(F.lit(3).alias("seq"), F.lit("no such service").alias("name"),
-                                      F.lit("up").alias("direction"))))
+    m = spark.createDataFrame(MOVES, "seq int, at int, direction string")
+    ranked = CA.renumber(_edited(spark, sf), NOW).select(F.col("position").alias("at"), "name")
+    return m.join(ranked, "at", "left").select("seq", F.coalesce("name", F.lit("no such service")).alias("name"), "direction")
 
 
 MOVES_SQL = """
-SELECT 1 AS seq, name, 'up' AS direction FROM ranked WHERE rn = 10 UNION ALL
-SELECT 2, name, 'down' FROM ranked WHERE rn = 20 UNION ALL SELECT 0, name, 'left' FROM ranked WHERE rn = 30 UNION ALL
-SELECT 3, 'no such service', 'up' FROM ranked WHERE rn = 1"""
+SELECT m.seq, COALESCE(r.name, 'no such service') AS name, m.direction
+FROM (VALUES """ + ", ".join(f"({q}, {at}, {repr(d) if d else 'NULL'})" for q, at, d in MOVES) + """) m(seq, spot, direction)
+LEFT JOIN ranked r ON r.rn = m.spot"""
+MOVES_CTES = {
+    "ranked": CAT_RANKED,
+    "moves": MOVES_SQL,
+    "steps": """SELECT row_number() OVER (ORDER BY seq) AS k, name, CASE direction WHEN 'up' THEN -1 ELSE 1 END AS d
+FROM moves WHERE direction IN ('up', 'down') AND name IN (SELECT name FROM ranked)""",
+    "lists(k, l)": """
+SELECT CAST(0 AS BIGINT), (SELECT list(name ORDER BY rn) FROM ranked)
+UNION ALL
+SELECT s.k, CASE WHEN p + d < 1 OR p + d > len(l) THEN l ELSE list_concat(list_concat(l[1:least(p, p + d) - 1],
+   [l[greatest(p, p + d)], l[least(p, p + d)]]), l[greatest(p, p + d) + 1:]) END
+FROM (SELECT s.k, s.d, t.l, list_position(t.l, s.name) AS p FROM lists t JOIN steps s ON s.k = t.k + 1) s""",
+    "final": "SELECT unnest(l) AS name, generate_subscripts(l, 1) AS place FROM lists WHERE k = (SELECT max(k) FROM lists)",
+}
 
 
-@register("w3_move_items", sql_with(["catalog"], """
-SELECT name, bike, sedan, suv, CASE rn WHEN 10 THEN 9 WHEN 9 THEN 10 ELSE rn END AS position, visible, description
-FROM ranked""", ranked=CAT_RANKED))
+@register("w3_move_items", sql_with(["catalog_edited"], """
+SELECT r.name, bike, sedan, suv, CAST(f.place AS INTEGER) AS position, visible, description, updated_at
+FROM ranked r JOIN final f USING (name)""", recursive=True, **MOVES_CTES))
 def w3(spark, sf):
-    return CA.move_items(fixture(spark, sf, "catalog"), _moves(spark, sf))[0]
+    return CA.move_items(_edited(spark, sf), _moves(spark, sf), NOW)[0]
 
 
-@register("w3_rejected_moves", sql_with(["catalog"], """
-SELECT seq, name, direction, CASE seq WHEN 0 THEN 'invalid direction' WHEN 2 THEN 'one move per batch'
- ELSE 'service not found' END AS reject_reason FROM moves WHERE seq <> 1""", ranked=CAT_RANKED, moves=MOVES_SQL))
+@register("w3_rejected_moves", sql_with(["catalog_edited"], """
+SELECT seq, name, direction, CASE WHEN direction IN ('up', 'down') THEN 'service not found' ELSE 'invalid direction' END AS reject_reason
+FROM moves WHERE direction IS NULL OR direction NOT IN ('up', 'down') OR name NOT IN (SELECT name FROM ranked)""",
+                                        ranked=CAT_RANKED, moves=MOVES_SQL))
 def w3b(spark, sf):
-    return CA.move_items(fixture(spark, sf, "catalog"), _moves(spark, sf))[1]
+    return CA.move_items(_edited(spark, sf), _moves(spark, sf), NOW)[1]
 
 
-@register("w4_append_at_tail", sql_with(["catalog"], """
-SELECT name, bike, sedan, suv, rn AS position, visible, description, position IS DISTINCT FROM rn AS changed FROM (
- SELECT *, CAST(row_number() OVER (ORDER BY CASE WHEN position > 0 THEN position END ASC NULLS LAST, name) AS INTEGER) AS rn
- FROM (SELECT * FROM catalog UNION ALL
-       SELECT n, CAST(NULL AS INTEGER), CAST(NULL AS INTEGER), CAST(NULL AS INTEGER), CAST(NULL AS INTEGER), true, ''
+@register("w4_append_at_tail", sql_with(["catalog_edited"], f"""
+SELECT name, bike, sedan, suv, rn AS position, visible, description, CASE WHEN position IS DISTINCT FROM rn THEN TIMESTAMP '{NOW}'
+ ELSE updated_at END AS updated_at, position IS DISTINCT FROM rn AS changed FROM (
+ SELECT *, CAST(row_number() OVER (ORDER BY late, position ASC NULLS LAST, name) AS INTEGER) AS rn
+ FROM (SELECT *, false AS late FROM catalog_edited UNION ALL
+       SELECT n, CAST(NULL AS INTEGER), CAST(NULL AS INTEGER), CAST(NULL AS INTEGER), CAST(NULL AS INTEGER), true, '',
+        TIMESTAMP '{NOW}', n > min(n) OVER ()
        FROM (SELECT DISTINCT concat(p_brand, ' pack') AS n FROM part) x
-       WHERE NOT EXISTS (SELECT 1 FROM catalog c WHERE c.name = x.n)) u) r"""))
+       WHERE NOT EXISTS (SELECT 1 FROM catalog_edited c WHERE c.name = x.n)) u) r"""))
 def w4(spark, sf):
     part = spark.read.parquet(f"{sf}/part.parquet")
     new = part.select(F.concat("p_brand", F.lit(" pack")).alias("name")).distinct().select(
         "name", *[F.lit(None).cast("int").alias(c) for c in ("bike", "sedan", "suv")],
         F.lit(True).alias("visible"), F.lit("").alias("description"))
-    return CA.append_at_tail(fixture(spark, sf, "catalog"), new)
+    return CA.append_at_tail(_edited(spark, sf), new, NOW)
 
 
 OFFERS_SQL = """SELECT name, CASE WHEN regexp_matches(CAST({col} AS VARCHAR), '[0-9]')
@@ -97,10 +121,10 @@ def w6b(spark, sf):
 
 
 @register("w6_suv_offers", sql_with(["catalog"], """
-SELECT name, price, description FROM o WHERE COALESCE(name, '') <> '' AND price IS NOT NULL""",
-                                    o=OFFERS_SQL.format(col="suv", cat="catalog")))
+SELECT name, price, description, row_number() OVER (ORDER BY pos, name) - 1 AS place FROM o
+WHERE COALESCE(name, '') <> '' AND price IS NOT NULL""", o=OFFERS_SQL.format(col="suv", cat="catalog")))
 def w6c(spark, sf):
-    return CA.offers_for(fixture(spark, sf, "catalog"), "SUV")
+    return in_place(CA.offers_for(fixture(spark, sf, "catalog"), "SUV"))
 
 
 # ---- attendance --------------------------------------------------------------
@@ -129,6 +153,21 @@ def w7(spark, sf):
     return attendance(spark, sf)
 
 
+@register("w7_rejected_events", sql_with(["attendance_events"], """
+SELECT *, 'invalid type' AS reject_reason FROM attendance_events WHERE type IS NULL OR type NOT IN ('IN', 'OUT')"""))
+def w7b(spark, sf):
+    return AT.clock_events(fixture(spark, sf, "attendance_events"))[1]
+
+
+@register("w7_clock_counts", sql_with(["attendance_events"], """
+SELECT count(*) AS events, count(*) FILTER (WHERE type IN ('IN', 'OUT')) AS valid FROM attendance_events"""))
+def w7c(spark, sf):
+    ev = fixture(spark, sf, "attendance_events")
+    ok, bad = AT.clock_events(ev)
+    n = lambda df: df.agg(F.count(F.lit(1)))
+    return n(ok.select("seq").unionByName(bad.select("seq"))).select(F.col("count(1)").alias("events"), n(ok).scalar().alias("valid"))
+
+
 @register("a12_attendance_ranking", _att_sql("""
 SELECT employee_name, COUNT(*) AS days_present FROM att GROUP BY employee_name
 ORDER BY days_present DESC, employee_name ASC NULLS LAST LIMIT 5"""))
@@ -150,7 +189,10 @@ for _name, _day in {"a11_day_kpis_staff": "2024-01-15", "a11_day_kpis_bookings":
                                                attendance(spark, sf), day))
 
 OWNER_PARTS = {
-    "kpis": None,
+    "kpis": f"""
+SELECT (SELECT COUNT(*) FROM bookings WHERE CAST(created_at AS DATE) = DATE '{EVENTS_AS_OF}') AS bookings_today,
+ (SELECT CAST(COALESCE(SUM(price), 0) AS BIGINT) FROM bookings WHERE CAST(created_at AS DATE) = DATE '{EVENTS_AS_OF}') AS revenue_today,
+ (SELECT COUNT(DISTINCT employee_id) FROM att WHERE CAST(created_at AS DATE) = DATE '{EVENTS_AS_OF}') AS staff_present""",
     "recent": """SELECT order_id, name, service, vehicle, price, visit AS status, created_at FROM bookings
 ORDER BY created_at DESC NULLS FIRST, order_id LIMIT 10""",
     "logs": """SELECT employee_name, status, check_in, check_out FROM att
@@ -159,8 +201,6 @@ ORDER BY created_at DESC NULLS FIRST, attendance_id LIMIT 10""",
 ORDER BY days_present DESC, employee_name ASC NULLS LAST LIMIT 5""",
 }
 for _part, _sql in OWNER_PARTS.items():
-    if _sql is None:
-        continue
     register(f"a14_owner_{_part}", _att_sql(_sql, fixtures=("attendance_events", "users", "bookings")))(
         lambda spark, sf, part=_part: P.owner_report(
             fixture(spark, sf, "bookings").withColumnRenamed("visit", "status"), attendance(spark, sf), EVENTS_AS_OF,
@@ -236,6 +276,19 @@ register("w10_code_cooldown_hot_path", sql_with(["code_requests"], "SELECT seq,
                                               recursive=True, **_walk(SCALED["cooldown"])))(
     lambda spark, sf: CO.code_cooldown(fixture(spark, sf, "code_requests"), SCALED["cooldown"], hot_key_rows=5))
 
+PER_KEY = {"r0": "SELECT ts, phone, purpose, row_number() OVER (PARTITION BY phone, purpose ORDER BY ts, seq) AS seq, "
+                 "row_number() OVER (PARTITION BY phone, purpose ORDER BY ts, seq) AS rn FROM code_requests"}
+
+
+def _per_key_seq(spark, sf):
+    return keyed_row_number(fixture(spark, sf, "code_requests"), ["phone", "purpose"], ["ts", "seq"], "n").drop("seq").withColumnRenamed("n", "seq")
+
+
+for _sfx, _rows in {"replay": 1_000_000, "hot": 5}.items():
+    register(f"w10_per_key_seq_{_sfx}", sql_with(["code_requests"], "SELECT seq, ts, phone, purpose, accepted FROM walk",
+                                                 recursive=True, **(_walk(SCALED["cooldown"]) | PER_KEY)))(
+        lambda spark, sf, rows=_rows: CO.code_cooldown(_per_key_seq(spark, sf), SCALED["cooldown"], hot_key_rows=rows))
+
 ASOF = """SELECT v.*, c.code_id, c.created_at, c.expires_at FROM verifications v
 ASOF LEFT JOIN codes c ON v.phone = c.phone AND v.purpose = c.purpose AND v.ts >= c.created_at"""
 OUTCOMES = """

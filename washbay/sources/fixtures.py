@@ -37,6 +37,16 @@ SELECT concat(p_name,' ',CAST(p_partkey AS STRING)) AS name,
  CAST(floor(p_retailprice) AS INT)+200 AS suv,
  CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE p_size END AS position,
  p_partkey % 6 <> 0 AS visible, p_type AS description FROM {part}""",
+    # the same list as it is edited: zero and negative positions, stamps
+    "catalog_edited": """
+SELECT concat(p_name,' ',CAST(p_partkey AS STRING)) AS name,
+ CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(floor(p_retailprice) AS INT) END AS bike,
+ CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(floor(p_retailprice) AS INT)+100 END AS sedan,
+ CAST(floor(p_retailprice) AS INT)+200 AS suv,
+ CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 19 = 0 THEN CAST(0 - p_partkey AS INT) WHEN p_partkey % 23 = 0 THEN 0
+      ELSE CAST(p_partkey AS INT) END AS position,
+ p_partkey % 6 <> 0 AS visible, p_type AS description,
+ CASE WHEN p_partkey % 4 <> 0 THEN CAST('2023-05-06 07:08:09' AS TIMESTAMP) END AS updated_at FROM {part}""",
     "users": """
 SELECT c_custkey AS id, c_name AS name, lpad(CAST(c_custkey AS STRING),10,'9') AS phone,
  concat('u',CAST(c_custkey AS STRING)) AS username,
@@ -44,8 +54,9 @@ SELECT c_custkey AS id, c_name AS name, lpad(CAST(c_custkey AS STRING),10,'9') A
 FROM {customer}""",
     "attendance_events": """
 SELECT event_id AS seq, ts, concat('u',CAST(user_id AS STRING)) AS username,
- CASE event_type WHEN 'view' THEN 'IN' ELSE 'OUT' END AS type
-FROM {events} WHERE event_type IN ('view','purchase')""",
+ CASE event_type WHEN 'view' THEN 'IN' WHEN 'purchase' THEN 'OUT'
+      ELSE CASE WHEN event_id % 2 = 0 THEN 'BREAK' END END AS type
+FROM {events} WHERE event_type IN ('view','purchase','error')""",
     # the three plans are a lookup table; memberships and washes grow with the data
     "plans": """
 SELECT * FROM (VALUES (0,60,7),(1,90,15),(2,270,31)) t(id, validity_days, total_washes)""",
@@ -62,8 +73,9 @@ SELECT event_id AS seq, ts, lpad(CAST(user_id AS STRING),10,'9') AS phone, 'mana
  event_id % 3 = 0 AS matches FROM {events} WHERE event_type='signup'""",
     "status_events": """
 SELECT event_id AS seq, ts, event_id % 15000 AS order_id,
- CASE event_type WHEN 'error' THEN 'cancel' WHEN 'purchase' THEN 'complete' ELSE 'edit' END AS action,
- CAST(floor(value) AS INT) AS price FROM {events} WHERE event_type IN ('error','purchase','click')""",
+ CASE event_type WHEN 'error' THEN 'cancel' WHEN 'purchase' THEN 'complete' WHEN 'click' THEN 'edit'
+      ELSE CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'archive' END END AS action,
+ CAST(floor(value) AS INT) AS price FROM {events} WHERE event_type IN ('error','purchase','click','signup')""",
     # bookings whose service is a catalogue item (or 'none'), half of them home visits
     "booking_requests": """
 SELECT o_orderkey AS order_id, c_name AS name, lpad(CAST(c_custkey AS STRING),10,'9') AS phone,
@@ -114,7 +126,8 @@ FROM {events}""",
 SELECT p_partkey AS id, p_brand AS primary_color, p_type AS tagline,
  CASE WHEN p_partkey % 7 = 0 THEN concat('[', p_name)
       WHEN p_partkey % 11 = 0 THEN NULL
-      ELSE concat('["', p_name, '.jpg","', p_brand, '.png"]') END AS gallery_json
+      ELSE concat('["', p_name, '.jpg","', p_brand, '.png"]') END AS gallery_json,
+ CASE WHEN p_partkey % 3 = 0 THEN CAST('2023-05-06 07:08:09' AS TIMESTAMP) END AS updated_at
 FROM {part}""",
     # catalogue change batch: updates, repeated inserts per brand, blank names, messy text
     "catalog_changes": """
@@ -135,7 +148,15 @@ SELECT p_partkey AS seq, concat(p_name,' ',CAST(p_partkey AS STRING)) AS origina
       ELSE concat(p_name,' ',CAST(p_partkey AS STRING)) END AS name,
  CAST(p_size AS STRING) AS bike, CAST(NULL AS STRING) AS sedan, CAST(p_size * 2 AS STRING) AS suv,
  'yes' AS visible, p_type AS description
-FROM {part}""",
+FROM {part}
+UNION ALL SELECT 10000000 + p_partkey, concat(p_name,' ',CAST(p_partkey AS STRING),' v2'), concat(p_name,' ',CAST(p_partkey AS STRING),' v3'),
+ '7', '8', '9', 'no', 'third' FROM {part} WHERE p_partkey % 6 = 0
+UNION ALL SELECT 20000000 + p_partkey, concat(p_name,' ',CAST(p_partkey AS STRING)), concat(p_name,' ',CAST(p_partkey AS STRING),' v2'),
+ '1', '2', '3', 'yes', 'late' FROM {part} WHERE p_partkey % 12 IN (0, 3)
+UNION ALL SELECT 30000000 + p_partkey, concat(p_name,' ',CAST(p_partkey AS STRING)), concat(p_name,' ',CAST(p_partkey AS STRING)),
+ '4', '5', '6', 'yes', 'again' FROM {part} WHERE p_partkey % 24 = 0
+UNION ALL SELECT 40000000 + p_partkey, concat(p_name,' ',CAST(p_partkey AS STRING)), ' ',
+ '4', '5', '6', 'yes', 'nameless' FROM {part} WHERE p_partkey % 40 = 0""",
     "settings_patch": """
 SELECT p_partkey AS seq, CASE WHEN p_partkey % 50 = 1 THEN p_partkey + 1000000 ELSE p_partkey END AS id,
  CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE concat(p_brand, '-new') END AS primary_color,
@@ -156,9 +177,10 @@ SELECT c_custkey AS seq, CASE WHEN c_custkey % 10 = 0 THEN '' ELSE concat('pack
  CAST(NULL AS INT) AS hatchback, CAST(floor(c_acctbal) AS INT) AS sedan, CAST(NULL AS INT) AS suv
 FROM {customer}""",
     "replace_requests": """
-SELECT o_orderkey AS seq, o_orderkey * 2 AS order_id, concat(' ', c_name, ' ') AS name,
+SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 50 = 3 THEN o_orderkey + 100000000 ELSE o_orderkey * 2 END AS order_id, concat(' ', c_name, ' ') AS name,
  concat('+91-', lpad(CAST(c_custkey AS STRING),10,'9')) AS phone,
- substr(CAST(o_orderdate AS STRING),1,10) AS date, ' 9:30 ' AS time,
+ CASE WHEN o_orderkey % 9 = 4 THEN '2024-02-31' ELSE substr(CAST(o_orderdate AS STRING),1,10) END AS date,
+ CASE WHEN o_orderkey % 10 = 7 THEN 'junk' ELSE ' 9:30 ' END AS time,
  CASE o_orderkey % 3 WHEN 0 THEN 'Bike' WHEN 1 THEN 'Hatch/Sedan' ELSE 'SUV' END AS vehicle,
  CASE o_orderkey % 4 WHEN 0 THEN 'Basic' WHEN 1 THEN 'Premium' WHEN 2 THEN 'Detailing' ELSE 'Polish' END AS service,
  CASE o_orderkey % 5 WHEN 0 THEN 'Home Visit' WHEN 1 THEN '' ELSE 'Wash Center' END AS visit,
@@ -176,8 +198,12 @@ def driver_tables(name: str) -> list[str]:
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The canonical test table ``name`` built by Spark from the driver parquet in ``sf_dir``."""
-    text = ADAPTERS[name]
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in driver_tables(name)}
+    return adapted(spark, sf_dir, ADAPTERS[name])
+
+
+def adapted(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """The table of an adapter text."""
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(_PLACEHOLDER.findall(text))}
     df = spark.sql(text, **tables)
     # `CAST(NULL AS TIMESTAMP)` is zoned in Spark but naive in DuckDB: keep all stamps NTZ
     return df.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name) if isinstance(f.dataType, T.TimestampType)
@@ -186,7 +212,11 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def duck_sql(name: str) -> str:
     """The same adapter as DuckDB text over the driver's pre-registered views."""
-    return _PLACEHOLDER.sub(lambda m: m.group(1), ADAPTERS[name])
+    return duck_text(ADAPTERS[name])
+
+
+def duck_text(text: str) -> str:
+    return _PLACEHOLDER.sub(lambda m: m.group(1), text)
 
 
 def with_fixtures(*names: str) -> str:

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from washbay.functions.columns import WASH_CENTER, norm_phone, norm_text
+from washbay.functions.columns import WASH_CENTER
 from washbay.operators.nested import catalog_as_packages, with_price_struct
 from washbay.operators.filters import ntz, visible_offers
 from washbay.operators.lists import catalog_order, sheet_order
+from washbay.plans.staging import staged
 
 BOOKINGS = T.StructType([
     T.StructField("order_id", T.LongType()), T.StructField("name", T.StringType()),
@@ -61,14 +62,15 @@ def read_source(spark: SparkSession, src, schema=None, merge_schema: bool = Fals
 
 
 def _col_or_null(df: DataFrame, name: str, dtype: T.DataType):
-    return (F.col(name) if name in df.columns else F.lit(None)).cast(dtype).alias(name)
+    return (F.col(name) if name in df.columns else F.lit(None)).try_cast(dtype).alias(name)
 
 
 # S1
 def load_bookings(spark: SparkSession, src, dialect: str = "staff") -> DataFrame:
     """Either bookings table in the canonical schema. ``staff`` tables store the
     place in ``visit``; ``web`` tables store the status there and may carry one
-    ``datetime`` column instead of text date/time."""
+    ``datetime`` column instead of text date/time. The partition column ``visit_day`` of
+    ``append_bookings`` is carried along as a DATE, so a filter on it prunes partitions."""
     df = read_source(spark, src)
     if dialect not in ("staff", "web"):
         raise ValueError("dialect must be 'staff' or 'web'")
@@ -82,7 +84,8 @@ def load_bookings(spark: SparkSession, src, dialect: str = "staff") -> DataFrame
             df = df.withColumn("date", F.substring(ts, 1, 10))
         if "time" not in df.columns:
             df = df.withColumn("time", F.substring(ts, 12, 5))
-    return df.select(*[_col_or_null(df, f.name, f.dataType) for f in BOOKINGS.fields])
+    day = [F.col("visit_day").try_cast("date").alias("visit_day")] if "visit_day" in df.columns else []
+    return df.select(*[_col_or_null(df, f.name, f.dataType) for f in BOOKINGS.fields], *day)
 
 
 # S2
@@ -121,12 +124,17 @@ def prepare_booking_rows(df: DataFrame, now) -> DataFrame:
 
 
 def append_bookings(df: DataFrame, path: str, now=None) -> DataFrame:
-    """Append new bookings partitioned by visit day (an append adds files, it
-    never rewrites existing partitions)."""
+    """Append new bookings partitioned by visit day (an append adds files, it never
+    rewrites existing partitions) and return the rows written. Text that is no date goes
+    to the NULL partition. Rows are dealt by (day, part of the day's rows) first, so a day
+    gets a few files and a crowded day is spread."""
     rows = prepare_booking_rows(df, now or dt.datetime.now().replace(microsecond=0))
-    (rows.withColumn("visit_day", F.coalesce(F.nullif(F.col("date"), F.lit("")), F.lit("unknown")))
-         .write.mode("append").partitionBy("visit_day").parquet(path))
-    return rows
+    batch = staged(rows, "booking-batch")            # ids of the batch must not be allocated anew after the append
+    day = F.nullif(F.col("date"), F.lit("")).try_cast("date")
+    (batch.withColumn("visit_day", day)
+          .hint("rebalance", "visit_day")            # a day's rows together, oversized days split
+          .write.mode("append").partitionBy("visit_day").parquet(path))
+    return batch
 
 
 def write_keyed_log(df: DataFrame, path: str, keys=("phone", "purpose"), ts: str = "ts",
@@ -151,9 +159,8 @@ def write_outcomes(df: DataFrame, path: str, reason: str = "reject_reason", mode
 
 # S5
 def prepare_customer_rows(df: DataFrame) -> DataFrame:
-    """Customer rows as stored: trimmed name, digits-only phone, the other fields as given."""
-    return df.select(norm_text("name", 200).alias("name"), norm_phone("phone").alias("phone"),
-                     *[_col_or_null(df, c, T.StringType()) for c in ("email", "vehicle_number", "vehicle_type")])
+    """Customer rows as stored: every field as given."""
+    return df.select(*[_col_or_null(df, c, T.StringType()) for c in ("name", "phone", "email", "vehicle_number", "vehicle_type")])
 
 
 def append_customers(df: DataFrame, path: str) -> DataFrame:
@@ -169,7 +176,8 @@ def load_price_sheets(spark: SparkSession, which: str | None = None, catalog=Non
     the default is the visible catalogue as packages plus the a-la-carte sheet."""
     if which == "services":
         df = read_source(spark, services)
-        return {"services": sheet_order(df.filter(F.col("active") == F.lit(True)), "services")}
+        rows = sheet_order(df.filter(F.col("active") == F.lit(True)), "services")
+        return {"services": rows.drop("active")}
     if which in ("packages", "alacarte"):
         src = packages if which == "packages" else alacarte
         return {which: with_price_struct(sheet_order(read_source(spark, src), which))}
