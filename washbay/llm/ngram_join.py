@@ -9,7 +9,8 @@
     order only steers how many candidates there are, never which links are found. A shingle
     is one 64-bit number, its rank above 56 bits of its hash, so a sorted set is in order.
 3.  Prefix filter: two sets with Jaccard >= t share one of their first |x| - ceil(t|x|) + 1
-    shingles. Prefix entries (shingle, node, size, position) are shuffled by shingle;
+    shingles, and the shorter of them one of its first |x| - ceil(2t/(1+t) |x|) + 1. Prefix
+    entries (shingle, node, size, position) are shuffled by shingle;
     shingles of one node stop there.
 4.  Entries that met others carry a bitmap of the set (parity of hashed elements, two to
     four bits per element, ``MAP_BITS`` at most). Inside a shingle's bucket the length, positional and suffix filters
@@ -175,8 +176,12 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
     spread = staged(spread, "prefix-blocks")
 
     def candidates(only_forest: bool, root: bool):
+        told: set[tuple[int, int]] = set()                    # pairs of earlier buckets of the same task
+
         def run(table: pa.Table) -> pa.Table:
-            return _block_pairs(table, num, den, only_forest, root)
+            if len(told) > 2_000_000:
+                told.clear()
+            return _block_pairs(table, num, den, only_forest, root, told)
         return run
 
     keys = ["gram", "i", "j"]
@@ -264,9 +269,9 @@ def _probe(bits: np.ndarray, nodes: np.ndarray, add: bool) -> np.ndarray | None:
     return (bits[at] & bit) != 0
 
 
-def _block_pairs(table: pa.Table, num: int, den: int, only_forest: bool, rooted: bool) -> pa.Table:
+def _block_pairs(table: pa.Table, num: int, den: int, only_forest: bool, rooted: bool, told: set) -> pa.Table:
     """Pairs of each (shingle, block, block) group that pass the filters; a spanning forest
-    of them, or all whose ends have different roots."""
+    of them, or all whose ends have different roots; none of ``told``, which grows by them."""
     gram, i, j = (table[c].to_numpy() for c in ("gram", "i", "j"))
     own, node, n, pos = (table[c].to_numpy() for c in ("own", "node", "n", "pos"))
     root = table["root"].to_numpy() if rooted else None
@@ -281,11 +286,12 @@ def _block_pairs(table: pa.Table, num: int, den: int, only_forest: bool, rooted:
         two_sides = i[lo] != j[lo]
         top = np.searchsorted(sizes, sizes * den // num, side="right")          # length filter
         bits = _bitmap_bits(int(sizes[0]))
+        indexed = sizes - _need(sizes, sizes, num, den) + 1    # the shorter set's prefix can be shorter still
         step, packed, packed_bits = 0, None, 0
         forest = {int(v): int(v) for v in names} if only_forest else None
         for x in range(len(order) - 1):
             a, b = x + 1, int(top[x])
-            if b <= a:
+            if b <= a or places[x] >= indexed[x]:
                 continue
             own_bits = _bitmap_bits(int(sizes[x]))
             if packed is None or own_bits != packed_bits:     # maps of this size or folded to it
@@ -313,8 +319,11 @@ def _block_pairs(table: pa.Table, num: int, den: int, only_forest: bool, rooted:
                     if ru == rv:
                         continue
                     forest[ru] = rv
-                out_a.append(min(u, v))
-                out_b.append(max(u, v))
+                pair = (u, v) if u < v else (v, u)
+                if pair not in told:
+                    told.add(pair)
+                    out_a.append(pair[0])
+                    out_b.append(pair[1])
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
