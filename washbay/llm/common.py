@@ -3,7 +3,6 @@ numpy passes over whole Arrow batches of text (no per-row Python)."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from washbay.session import ensure_checkpoint_dir
+from washbay.plans.staging import staged, staged_path  # noqa: F401  (used by the operators)
 
 #: Stands for a NULL doc_id inside the operators (restored on output).
 NULL_ID = -(1 << 63)
@@ -31,22 +30,6 @@ def given_id(name: str = "doc_id") -> Column:
     return F.nullif(F.col(name), F.lit(NULL_ID)).alias(name)
 
 
-def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` below the shared checkpoint folder and read it back: cuts the
-    lineage, survives lost executors, and later steps read it instead of recomputing."""
-    spark = df.sparkSession
-    path = staged_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def staged_path(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # --- sorted groups -----------------------------------------------------------------
 
 def map_sorted_groups(df: DataFrame, keys: list[str], within: list[str], schema: str,
