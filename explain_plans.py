@@ -18,7 +18,7 @@ def tree(df) -> str:
 
 
 def main():
-    spark = get_spark("local[8]", 16)
+    spark = get_spark(os.environ.get("CHECK_MASTER", "local[8]"), 16)
     from washbay.operators import attendance as AT, codes as CO, intake as I, packs as PK, people as PE
     from washbay.plans import reports as P
     from washbay.sources.fixtures import fixture
@@ -27,9 +27,9 @@ def main():
     jobs = {
         "A13 stats report: one grouping-sets aggregation": P.stats_aggregate(bk, "month", "1997-01", "1998-12"),
         "A14 lapsed customers (shared per-customer aggregate + top-k)": P.growth_report(bk, "2001-08-01", persist=False)["inactive"],
-        "J1 price bookings (size-checked broadcast of the unpivoted catalogue)":
+        "J1 price bookings (join with the unpivoted catalogue)":
             I.price_bookings(fixture(spark, SF_DIR, "booking_requests"), fixture(spark, SF_DIR, "catalog")),
-        "W7 attendance pairing (keyed scan over a checkpointed range layout)": AT.pair_attendance(ok),
+        "W7 attendance pairing (keyed scan: one shuffle of the rows)": AT.pair_attendance(ok),
         "W8 wash ledger (keyed row number)": PK.wash_ledger(fixture(spark, SF_DIR, "memberships"),
                                                             fixture(spark, SF_DIR, "washes")),
         "W10 cooldown (per-key replay; no hot key at this scale)": CO.code_cooldown(fixture(spark, SF_DIR, "code_requests")),
