@@ -85,7 +85,6 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int, sweeps: i
             break
         open_pieces = np.flatnonzero((fill[bins] < capacity))
         size = lengths[open_pieces]
-        before = np.count_nonzero(fill)
         gained = 0
         order = free_bins[np.argsort(fill[free_bins], kind="stable")]
         members: dict[int, list[int]] = {}
@@ -135,7 +134,7 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int, sweeps: i
                     fill[a] -= gain
                     fill[b] += gain
                     gained += 1
-        if not gained or np.count_nonzero(fill) == before and gained < 4:
+        if not gained:
             break
     return bins
 
