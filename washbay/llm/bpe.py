@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from washbay.llm.common import doc_rows, given_id
 
 #: Distinct runs in each of a worker's two tables (a memory bound, not a limit on input).
-KEPT_RUNS = 120_000
+KEPT_RUNS = 400_000
 
 
 def byte_symbols() -> list[str]:
@@ -126,27 +126,36 @@ def tokenizer(path: str) -> Bpe:
 _ODD = "\x1c\x1d\x1e\x1f"
 
 
+class _Young(dict):
+    """The young generation: looks a missing run up in the old one, else makes its value."""
+
+    __slots__ = ("old", "value")
+
+    def __missing__(self, run: str):
+        v = self.old.get(run)
+        if v is None:
+            v = self.value(run)
+        self[run] = v
+        return v
+
+
 class RunTable:
-    """run -> value(run), made on demand. Two generations of at most KEPT_RUNS: when the
+    """run -> value(run), made on demand. Two generations of about KEPT_RUNS: when the
     young one is full it becomes the old one, so runs in use stay and memory is bounded."""
 
     def __init__(self, value):
-        self.value, self.young, self.old = value, {}, {}
+        self.value = value
+        self._renew({})
+
+    def _renew(self, old: dict) -> None:
+        self.young = _Young()
+        self.young.old, self.young.value = old, self.value
 
     def of(self, runs: list[str]) -> list:
-        young = self.young
-        try:
-            return [young[r] for r in runs]
-        except KeyError:
-            pass
-        if len(young) > KEPT_RUNS:
-            self.old, self.young = young, (young := {})
-        old, value = self.old, self.value
-        for r in runs:
-            if r not in young:
-                v = old.get(r)
-                young[r] = value(r) if v is None else v
-        return [young[r] for r in runs]
+        if len(self.young) > KEPT_RUNS:
+            self.young.old = {}
+            self._renew(dict(self.young))
+        return list(map(self.young.__getitem__, runs))
 
 
 def runs_of(text: str) -> list[str] | None:

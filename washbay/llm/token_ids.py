@@ -1,14 +1,18 @@
 """Token ids of whole tables with the tokenizers library, shared by the token files and
 the packing. A run between white space is encoded once per worker and kept in a bounded
-table: ASCII runs are cut by the file's own Split pattern and handed to the library's BPE
-model, all other runs (and texts with odd separators) go through the library's encode()."""
+table: runs are normalised, cut by the file's own Split pattern and handed to the library's
+BPE model; runs with a special token and texts with odd separators go through the
+library's encode()."""
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from array import array
 
 import numpy as np
+import regex
 
 from washbay.llm.bpe import RunTable, byte_symbols, runs_of
 
@@ -32,10 +36,12 @@ class TokenIds:
                 and [x["type"] for x in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]
                 and spec["post_processor"] is None):
             pattern = pre["pretokenizers"][0]["pattern"]["Regex"]
+            self.any_piece = regex.compile(pattern)
             # inside an ASCII run \p{L} is a-z and \p{N} is 0-9
             self.piece = re.compile(pattern.replace("\\p{L}", "a-zA-Z").replace("\\p{N}", "0-9"))
-            self.model, self.special = self.library.model, [x["content"] for x in spec["added_tokens"]]
-            self.stand_in = {b: s for b, s in enumerate(byte_symbols()) if chr(b) != s and b < 128}
+            self.model = self.library.model
+            self.special = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)")
+            self.stand_in = {b: s for b, s in enumerate(byte_symbols()) if chr(b) != s}      # over Latin-1 code points
             self.table = RunTable(self._run)
             self.by_run = True
         else:
@@ -45,12 +51,17 @@ class TokenIds:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _run(self, run: str) -> bytes:
-        if not run.isascii() or any(s in run for s in self.special):
+        if self.special.search(run):
             return self._whole(run)
-        ids = []
-        for piece in self.piece.findall(run.lower()):
-            ids += [t.id for t in self.model.tokenize(piece.translate(self.stand_in))]
-        return np.array(ids, dtype="<u4").tobytes()
+        tokenize = self.model.tokenize
+        if run.isascii():
+            pieces = self.piece.findall(run.lower())
+            if run.isprintable():                          # printable ASCII stands for itself
+                return array("I", [t.id for p in pieces for t in tokenize(p)]).tobytes()
+        else:                                              # per character, as the library lower-cases
+            low = "".join([c.lower() for c in unicodedata.normalize("NFC", run)])
+            pieces = [p if p.isascii() else p.encode().decode("latin-1") for p in self.any_piece.findall(low)]
+        return array("I", [t.id for p in pieces for t in tokenize(p.translate(self.stand_in))]).tobytes()
 
     def packed(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
