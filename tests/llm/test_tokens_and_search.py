@@ -153,6 +153,34 @@ def test_local_search_swaps_empty_a_bin():
     assert len(set(out)) == 2 and np.bincount(out, weights=sizes).max() <= 10
 
 
+def improving_exchange(sizes, bins, capacity):
+    """Some (giver, given, taken) that raises the sum of squared fills, by trying them all; or None."""
+    fill = np.bincount(bins, weights=sizes).astype(np.int64)
+    open_bins = np.flatnonzero((fill > 0) & (fill < capacity))
+    for a in open_bins:
+        own = sizes[bins == a]
+        gives = {int(x) for x in own} | {int(x + z) for i, x in enumerate(own) for z in own[i + 1:]}
+        others = np.isin(bins, open_bins) & (bins != a)
+        rest = open_bins[open_bins != a]
+        back, to = np.append(sizes[others], np.zeros(len(rest), np.int64)), np.append(fill[bins[others]], fill[rest])
+        for g in gives:
+            gain = g - back
+            better = (gain > 0) & (gain <= capacity - to) & (to - fill[a] + gain > 0)
+            if better.any():
+                return int(a), g, int(back[better][0])
+    return None
+
+
+@pytest.mark.parametrize("low,high,n", [(600, 1100, 3600), (1, 1500, 2000), (300, 800, 1500)])
+def test_local_search_ends_only_where_no_exchange_helps(low, high, n):
+    sizes = np.random.default_rng(n).integers(low, high, n)   # best fit leaves many bins open
+    start = packing.best_fit(sizes, 2048)
+    out = packing.local_search(sizes, start.copy(), 2048)     # as the query calls it
+    assert np.bincount(out, weights=sizes).max() <= 2048
+    assert len(set(out)) <= len(set(start))
+    assert improving_exchange(sizes, out, 2048) is None
+
+
 @pytest.mark.parametrize("dims,n", [(64, 400), (20, 150), (130, 120)])
 def test_top_k(llm, dims, n):
     rng = np.random.default_rng(dims)

@@ -3,8 +3,8 @@
 Documents become pieces of at most ``capacity`` tokens (only longer ones are cut). Pieces
 are dealt by hash into groups of a bounded size; each group is packed by best fit in
 descending order and then improved: bins that are not full trade one piece for one, two
-for one, or move a piece, always towards the fuller bin, so the sum of squared fills grows
-and the emptiest bins run empty. Groups are bounded (GROUP_PIECES on average), so no task
+for one, or move one or two pieces wherever the sum of squared fills grows, until no such
+exchange is left; the emptiest bins run empty. Groups are bounded (GROUP_PIECES on average), so no task
 holds more however large the table is, and each leaves less than a bin or so of waste.
 
 NULL or empty texts are one piece with the end id; repeated rows are pieces of their own.
@@ -26,8 +26,6 @@ from washbay.llm.token_ids import token_ids
 
 CAPACITY = 2048
 GROUP_PIECES = 1 << 15
-#: Sweeps of the local search over the bins that are not full.
-SWEEPS = 4
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
@@ -75,65 +73,101 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int, sweeps: int = SWEEPS) -> np.ndarray:
-    """Improve ``bins`` in place by moves and swaps between bins that are not full."""
+def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int, sweeps: int | None = None) -> np.ndarray:
+    """Improve ``bins`` in place by moves and swaps between bins that are not full, in ``sweeps``
+    passes over them (default: until a pass finds none).
+
+    Open bins are indexed by their slack: ``nearest[s, col[v]]`` is the shortest piece of at
+    least ``v`` tokens in any bin of slack ``s`` (0, nothing, is in every bin: a move is a swap
+    for nothing). What a bin gives, ``g`` tokens in one or two pieces, fits a bin of slack s for
+    a piece of g - s or more, and the shortest of these gains most, so one lookup for each sum
+    and slack sees every exchange. Each raises the sum of squared fills, which is bounded."""
     n_bins = int(bins.max()) + 1 if len(bins) else 0
     fill = np.bincount(bins, weights=lengths, minlength=n_bins).astype(np.int64)
-    for _ in range(sweeps):
-        free_bins = np.flatnonzero((fill > 0) & (fill < capacity))
-        if len(free_bins) < 2:
-            break
-        open_pieces = np.flatnonzero((fill[bins] < capacity))
-        size = lengths[open_pieces]
+    pieces = np.flatnonzero(fill[bins] < capacity)
+    sizes = np.unique(np.append(lengths[pieces], 0))
+    col = np.searchsorted(sizes, np.arange(capacity + 1))
+    nothing = capacity + 1
+    nearest = np.empty((capacity + 1, len(sizes) + 1), dtype=np.int32)   # rows are filled when a bin has that slack
+    bins_at = np.zeros(capacity + 1, dtype=np.int64)
+    holders: dict[tuple[int, int], dict[int, None]] = {}                 # (slack, length) -> bins
+    members: dict[int, dict[int, list[int]]] = {}                        # bin -> length -> pieces
+    for p, b, x in zip(pieces.tolist(), bins[pieces].tolist(), lengths[pieces].tolist()):
+        members.setdefault(b, {}).setdefault(x, []).append(p)
+
+    def enter(b: int) -> None:
+        s = capacity - int(fill[b])
+        if not 0 < s < capacity:
+            return
+        row = nearest[s]
+        if not bins_at[s]:
+            row[:] = nothing
+            row[0] = 0
+        bins_at[s] += 1
+        for y in (0, *members[b]):
+            held = holders.setdefault((s, y), {})
+            if not held:
+                part = row[:col[y] + 1]
+                np.minimum(part, y, out=part)
+            held[b] = None
+
+    def leave(b: int) -> None:
+        s = capacity - int(fill[b])
+        row = nearest[s]
+        bins_at[s] -= 1
+        for y in (0, *members[b]):
+            held = holders[s, y]
+            del held[b]
+            if not held and y:
+                part = row[:col[y] + 1]
+                part[part == y] = row[col[y] + 1]
+
+    def carry(x: int, a: int, b: int) -> None:
+        same = members[a][x]
+        p = same.pop()
+        if not same:
+            del members[a][x]
+        members[b].setdefault(x, []).append(p)
+        bins[p] = b
+        fill[a] -= x
+        fill[b] += x
+
+    for b in members:
+        enter(b)
+    done = 0
+    while sweeps is None or done < sweeps:
         gained = 0
-        order = free_bins[np.argsort(fill[free_bins], kind="stable")]
-        members: dict[int, list[int]] = {}
-        for k, p in enumerate(open_pieces):
-            members.setdefault(int(bins[p]), []).append(k)
-        for a in order[:max(64, len(order) // 20)].tolist():          # the emptiest bins give, all others take
-            for k in sorted(members.get(a, []), key=lambda k: -size[k]):
-                at = bins[open_pieces]
-                if at[k] != a:
-                    continue
-                x, slack = int(size[k]), capacity - fill
-                # move: into the fuller bin that it fills best
-                room = slack[free_bins] - x
-                ok = (room >= 0) & (fill[free_bins] >= fill[a]) & (free_bins != a) & (fill[free_bins] > 0)
-                if ok.any():
-                    b = int(free_bins[np.argmin(np.where(ok, room, capacity + 1))])
-                    bins[open_pieces[k]] = b
-                    fill[a] -= x
-                    fill[b] += x
-                    members[a].remove(k)
-                    members.setdefault(b, []).append(k)
-                    gained += 1
-                    continue
-                # one for one and two for one: a shorter piece y of a fuller bin comes back
-                best = (0, -1, ())
-                mates = [m for m in members[a] if m != k]
-                for extra in [()] + [(m,) for m in mates[:8]]:
-                    give = x + sum(int(size[m]) for m in extra)
-                    gain = give - size
-                    ok = (gain > 0) & (gain <= slack[at]) & (at != a) & (fill[at] >= fill[a])
-                    if ok.any():
-                        worth = np.where(ok, gain * (fill[at] - fill[a] + gain), 0)
-                        y = int(np.argmax(worth))
-                        if worth[y] > best[0]:
-                            best = (int(worth[y]), y, extra)
-                if best[1] >= 0:
-                    y, extra = best[1], best[2]
-                    b = int(at[y])
-                    gain = x + sum(int(size[m]) for m in extra) - int(size[y])
-                    for m in (k, *extra):
-                        bins[open_pieces[m]] = b
-                        members[a].remove(m)
-                        members[b].append(m)
-                    bins[open_pieces[y]] = a
-                    members[b].remove(y)
-                    members[a].append(y)
-                    fill[a] -= gain
-                    fill[b] += gain
-                    gained += 1
+        givers = np.flatnonzero((fill > 0) & (fill < capacity))
+        for a in givers[np.argsort(fill[givers], kind="stable")].tolist():
+            if fill[a] == capacity:                          # an earlier giver filled it
+                continue
+            leave(a)
+            while members[a]:
+                have = sorted(members[a])
+                gives = {x: (x,) for x in have}
+                for i, x in enumerate(have):
+                    for z in have[i if len(members[a][x]) > 1 else i + 1:]:
+                        gives.setdefault(x + z, (z, x))
+                slack, give = np.flatnonzero(bins_at), np.fromiter(gives, np.int64, len(gives))[:, None]
+                if not len(slack):
+                    break
+                back = nearest[slack, col[np.maximum(give - slack, 0)]]
+                gain = give - back
+                worth = np.where(gain > 0, gain * (capacity - slack - fill[a] + gain), 0)
+                k = int(worth.argmax())
+                if worth.flat[k] <= 0:
+                    break
+                y, s, given = int(back.flat[k]), int(slack[k % len(slack)]), gives[int(give[k // len(slack), 0])]
+                b = next(iter(holders[s, y]))
+                leave(b)
+                if y:
+                    carry(y, b, a)
+                for x in given:
+                    carry(x, a, b)
+                enter(b)
+                gained += 1
+            enter(a)
+        done += 1
         if not gained:
             break
     return bins
