@@ -293,6 +293,48 @@ def test_licenses(llm, odd_docs, odd_rows, no_docs):
         licenses.scan_licenses(df, {"x": "word"})
 
 
+NEAR_RELATIVES = {
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+                      "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+                      "option) any later version.",
+    "GPL-2.0-only-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+                           "Public License version 2 as published by the Free Software Foundation.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                       "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+                       "(at your option) any later version.",
+    "LGPL-3.0-header": "This file is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                       "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+                       "(at your option) any later version.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+                       "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+                       "(at your option) any later version.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-SA-3.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.",
+    "CC-BY-3.0": "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+                      "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "Unlicense-notice": "This is free and unencumbered software released into the public domain.",
+}
+
+
+def best_of(found):
+    return min(found, key=lambda m: (-m[0], -m[1], m[2]))[2] if found else None
+
+
+def test_license_relatives_get_their_own_names():
+    import pyarrow as pa
+    from washbay.llm.common import texts_of
+    chosen = licenses.Templates(licenses.TEMPLATES, 0.8)
+    names, bodies = list(licenses.TEMPLATES), list(licenses.TEMPLATES.values())
+    around = [f"Some words before it.\n{b}\nAnd some words after it." for b in bodies]
+    assert [best_of(f) for f in chosen.scan(texts_of(pa.array(around)))] == names
+    assert [best_of(f) for f in chosen.scan(texts_of(pa.array(list(NEAR_RELATIVES.values()))))] == list(NEAR_RELATIVES)
+
+
 # --- operator 10 ---------------------------------------------------------------------
 
 def brute_lines(rows, min_chars=40, min_docs=5):
