@@ -239,6 +239,35 @@ def test_lm_learns_order(llm):
     assert sum(r.score for r in held) > 0.75 * sum(r.base_score for r in held)   # the second word follows from the first
 
 
+def test_lm_learns_order_of_rare_words(llm):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"first{k} second{k}" for k in (rng.randrange(3000) for _ in range(100)))
+    rows = [(i, text()) for i in range(300)]                  # 6,000 words, most of them without a slot of their own
+    df = maxent_lm.score_documents(llm.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    held = [r for r in df if r.held_out]
+    assert sum(r.score for r in held) > 0.7 * sum(r.base_score for r in held)
+
+
+def test_lm_refined_probabilities_sum_to_one():
+    import numpy as np
+    words, texts = "abcd", ["abacabd", "bad", "", "aabbaacc"]
+    codes = {w: np.uint64(1000 + i) for i, w in enumerate(words)}
+    after = lambda x: np.array([codes[w] for w in x], np.uint64)
+    grams = collections.defaultdict(collections.Counter)
+    for x in texts:
+        for context, key in maxent_lm.ngram_keys(after(x), np.array([0, len(x)])) if x else []:
+            for a, b in zip(context.tolist(), key.tolist()):
+                grams[a][b] += 1
+    for history in ("", "a", "ba", "ab", "dd"):
+        p = np.array([0.4, 0.3, 0.2, 0.1])
+        each = [maxent_lm.ngram_keys(after(history + w), np.array([0, len(history) + 1])) for w in words]
+        for kind in range(3):
+            seen = [grams[int(e[kind][0][-1])] for e in each]
+            c = np.array([s[int(e[kind][1][-1])] for s, e in zip(seen, each)])
+            p = maxent_lm.nested(p, c, np.array([sum(s.values()) for s in seen]), np.array([len(s) for s in seen]))
+        assert p.sum() == pytest.approx(1.0)
+
+
 def test_lm_probabilities_sum_to_one(llm):
     import numpy as np
     docs = llm.createDataFrame([(1, "a b a c"), (3, "a b")], "doc_id bigint, text string")
