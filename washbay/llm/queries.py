@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from washbay.llm import bpe, hamming, licenses, line_dedup, maxent_lm, ngram_join, packing, quality, suffix_dedup, token_files
+from washbay.llm import bpe, exact_dedup, hamming, licenses, line_dedup, maxent_lm, ngram_join, packing, quality, suffix_dedup, token_files
 from washbay.llm.common import staged_path
 from washbay.llm.registry import register, table, tokenizer_path
 
@@ -113,3 +113,17 @@ FROM marked GROUP BY doc_id
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP13_SQL = """
+WITH texts AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM documents),
+groups AS (SELECT k, max(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY k)
+SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(t.k) AS text_sha256
+FROM texts t JOIN groups g USING (k)
+"""
+
+
+@register("op13_exact_dedup", OP13_SQL)
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
