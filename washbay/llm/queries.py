@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from washbay.llm import bpe, exact_dedup, hamming, licenses, line_dedup, maxent_lm, ngram_join, packing, quality, suffix_dedup, token_files
+from washbay.llm import bpe, conversations, exact_dedup, hamming, licenses, line_dedup, maxent_lm, ngram_join, packing, quality, suffix_dedup, token_files
 from washbay.llm.common import staged_path
 from washbay.llm.registry import register, table, tokenizer_path
 
@@ -115,6 +115,74 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i:
+           CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, n::BIGINT)) AS t),
+faults AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                                        lambda x: ascii(x)::BIGINT),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS f
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN f = 3 THEN [0, 1] ELSE [0] END) AS copy FROM faults WHERE f <> 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, left(role, 1) AS i FROM damaged),
+judged AS (
+  SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY place) AS prev,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'none' END AS fault FROM ranked),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE prev IS NOT NULL AND prev || i NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+rows_of AS (
+  SELECT conv_id, place, role, text, i, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000000::BIGINT WHEN fault = 'truncated' THEN 3::BIGINT ELSE 0::BIGINT END AS x FROM judged),
+ways AS (
+  SELECT conv_id, 0::BIGINT AS place, {'c': 0::BIGINT, 'a': '', 'r': ''} AS n, {'c': 1000000000000::BIGINT, 'a': '', 'r': ''} AS s,
+         {'c': 3::BIGINT, 'a': 'I', 'r': chr(10) || 'user:'} AS u,
+         {'c': 6::BIGINT, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'} AS a
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, place, n, s, u, list_min([a, {'c': u.c + 3, 'a': u.a || 'I', 'r': u.r || chr(10) || 'assistant:'}]) AS a
+  FROM (
+    SELECT conv_id, place, n, s, a, list_min([u, {'c': n.c + 3, 'a': n.a || 'I', 'r': n.r || chr(10) || 'user:'},
+             {'c': s.c + 3, 'a': s.a || 'I', 'r': s.r || chr(10) || 'user:'}, {'c': a.c + 3, 'a': a.a || 'I', 'r': a.r || chr(10) || 'user:'}]) AS u
+    FROM (
+      SELECT w.conv_id, r.place,
+             {'c': w.n.c + 4, 'a': w.n.a || 'D', 'r': w.n.r} AS n,
+             list_min([{'c': w.s.c + 4, 'a': w.s.a || 'D', 'r': w.s.r},
+                       {'c': w.n.c + x + CASE WHEN i = 's' THEN 0 ELSE 1000000000000 END, 'a': w.n.a || 'K', 'r': w.n.r || chr(10) || r.role || ':' || r.text}]) AS s,
+             list_min([{'c': w.u.c + 4, 'a': w.u.a || 'D', 'r': w.u.r},
+                       {'c': w.n.c + x + CASE WHEN i = 'u' THEN 0 ELSE 1000000000000 END, 'a': w.n.a || 'K', 'r': w.n.r || chr(10) || r.role || ':' || r.text},
+                       {'c': w.s.c + x + CASE WHEN i = 'u' THEN 0 ELSE 1000000000000 END, 'a': w.s.a || 'K', 'r': w.s.r || chr(10) || r.role || ':' || r.text},
+                       {'c': w.a.c + x + CASE WHEN i = 'u' THEN 0 ELSE 1000000000000 END, 'a': w.a.a || 'K', 'r': w.a.r || chr(10) || r.role || ':' || r.text},
+                       {'c': w.n.c + x + 3, 'a': w.n.a || 'R', 'r': w.n.r || chr(10) || 'user:' || r.text},
+                       {'c': w.s.c + x + 3, 'a': w.s.a || 'R', 'r': w.s.r || chr(10) || 'user:' || r.text},
+                       {'c': w.a.c + x + 3, 'a': w.a.a || 'R', 'r': w.a.r || chr(10) || 'user:' || r.text}]) AS u,
+             list_min([{'c': w.a.c + 4, 'a': w.a.a || 'D', 'r': w.a.r},
+                       {'c': w.u.c + x + CASE WHEN i = 'a' THEN 0 ELSE 1000000000000 END, 'a': w.u.a || 'K', 'r': w.u.r || chr(10) || r.role || ':' || r.text},
+                       {'c': w.u.c + x + 3, 'a': w.u.a || 'R', 'r': w.u.r || chr(10) || 'assistant:' || r.text}]) AS a
+      FROM ways w JOIN rows_of r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.place = w.place + 1))),
+done AS (
+  SELECT w.conv_id, list_min([w.n, w.a]) AS f, k.* EXCLUDE (conv_id)
+  FROM ways w LEFT JOIN counted k ON k.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.place = coalesce(k.n, 0))
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, f.c AS cost, f.a AS audit, sha256(substr(f.r, 2)) AS repaired_sha256
+FROM done
+"""
+
+
+@register("op12_conversation_repair", OP12_SQL)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(conversations.damaged(table(spark, sf_dir, "conversations")), "live")
+
+
 OP13_SQL = """
 WITH texts AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM documents),
