@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from washbay.llm import bpe, conversations, exact_dedup, hamming, licenses, line_dedup, maxent_lm, ngram_join, packing, quality, suffix_dedup, token_files
+from washbay.llm import bpe, conversations, exact_dedup, hamming, licenses, line_dedup, maxent_lm, ngram_join, packing, quality, spelling, suffix_dedup, token_files
 from washbay.llm.common import staged_path
 from washbay.llm.registry import register, table, tokenizer_path
 
@@ -115,6 +115,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@register("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_forms(table(spark, sf_dir, "documents"), damage=31)
+
+
 OP12_SQL = r"""
 WITH RECURSIVE crc AS (
   SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i:
