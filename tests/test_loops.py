@@ -63,7 +63,8 @@ def test_cooldown_doubling_on_dense_burst(spark):
     assert got == loop_cooldown(rows, 60)
 
 
-def test_keyed_scan_equals_window_on_skewed_key(spark):
+@pytest.mark.parametrize("hot_rows", [1, None])
+def test_keyed_scan_equals_window_on_skewed_key(spark, hot_rows):
     rnd = random.Random(3)
     rows = [(i, T0 + dt.timedelta(minutes=rnd.randint(0, 10_000)), "hot" if i % 3 else f"k{i % 7}",
              rnd.choice([None, 1, 2])) for i in range(4000)]
@@ -71,7 +72,7 @@ def test_keyed_scan_equals_window_on_skewed_key(spark):
     got = keyed_scan(df, ["k"], ["ts", "seq"], [Scan("s", "sum", F.coalesce("v", F.lit(0)).cast("bigint"), False),
                                                  Scan("mx", "max", F.col("v")),
                                                  Scan("lastv", "last", F.col("v"), False),
-                                                 Scan("nextv", "next", F.col("v"), False)], partitions=16)
+                                                 Scan("nextv", "next", F.col("v"), False)], partitions=16, hot_rows=hot_rows)
     pdf = pd.DataFrame(rows, columns=["seq", "ts", "k", "v"]).sort_values(["k", "ts", "seq"])
     exp = {}
     for k, g in pdf.groupby("k"):
@@ -324,10 +325,11 @@ def test_many_next_free_ids_match_loop(spark):
     assert sorted(r.id for r in I.next_free_ids(spark.createDataFrame([], "order_id long"), 5).collect()) == [1, 2, 3, 4, 5]
 
 
-def test_keyed_scan_null_key_spanning_partitions(spark):
+@pytest.mark.parametrize("hot_rows", [1, None])
+def test_keyed_scan_null_key_spanning_partitions(spark, hot_rows):
     rows = [(i, T0 + dt.timedelta(minutes=i), None if i % 4 else "a", 1) for i in range(3000)]
     df = spark.createDataFrame(rows, "seq long, ts timestamp_ntz, k string, v int")
-    got = keyed_scan(df, ["k"], ["ts", "seq"], [Scan("n", "sum", F.col("v").cast("bigint"))], partitions=12)
+    got = keyed_scan(df, ["k"], ["ts", "seq"], [Scan("n", "sum", F.col("v").cast("bigint"))], partitions=12, hot_rows=hot_rows)
     counts = {}
     exp = {}
     for s, _, k, _v in rows:
@@ -455,3 +457,31 @@ def test_status_edit_and_delete_batches_match_one_by_one(spark):
     rest, missing = CH.delete_rows(bdf, spark.createDataFrame([(k,) for k in gone], "order_id long"), "order_id")
     assert {r.order_id for r in rest.collect()} == set(bk) - set(gone)
     assert {r.order_id for r in missing.collect()} == set(gone) - set(bk)
+
+
+def test_sketch_finds_every_heavy_key(spark):
+    """Keys at and above a piece's share are found among many small ones, also a NULL key."""
+    from washbay.plans.keyed import heavy_keys
+    key = (F.when(F.col("id") % 10 == 0, F.lit(None)).when(F.col("id") % 10 < 4, F.lit(-1))
+            .when(F.col("id") % 100 == 4, F.lit(-2)).otherwise(F.col("id")))
+    df = spark.range(0, 200_000, 1, 7).select(key.alias("k"), F.lit("p").alias("q"))
+    share = df.groupBy(F.xxhash64("k", "q").alias("h")).count().collect()
+    want = {r["h"] for r in share if r["count"] >= 200_000 / 100}
+    assert len(want) == 3
+    found = heavy_keys(df, ["k", "q"], pieces=100, hot_rows=1)
+    assert want <= set(found) and len(found) <= 200
+    assert heavy_keys(df, ["k", "q"], pieces=100, hot_rows=100_000) == []
+    assert heavy_keys(df.limit(0), ["k", "q"], pieces=100, hot_rows=1) == []
+
+
+@pytest.mark.parametrize("name", ["w7_pair_attendance", "w8_wash_ledger", "w10_code_cooldown", "w11_code_outcomes", "j8_code_as_of", "a14_owner_report_team"])
+def test_cut_heavy_keys_give_the_same_results(spark, sf_dir, name, monkeypatch):
+    """Every key that holds a piece's share is cut; the results equal the oracle's."""
+    import __spark_entry__ as E
+    from oracle import compare, duck_connect
+    from washbay.plans import keyed
+    names = [n for n in E.queries() if n.startswith(name)] or [n for n in E.queries() if n.startswith(name.rsplit("_", 1)[0])]
+    monkeypatch.setattr(keyed, "HOT_ROWS", 1)
+    for n in names[:2]:
+        r = compare(spark, duck_connect(sf_dir), n, E.queries()[n], E.oracle_sql()[n], sf_dir)
+        assert r["status"] == "ok", r

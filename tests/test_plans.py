@@ -128,9 +128,11 @@ def test_keyed_scan_shuffles_rows_once_and_needs_no_checkpoint(spark, sf_dir):
     from washbay.operators.packs import wash_ledger
     from washbay.plans.keyed import Scan, keyed_scan
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"))
-    p = plan(keyed_scan(df, ["k"], ["t"], [Scan("n", "sum", F.lit(1)), Scan("v", "next", F.col("t"), False)]))
+    p = plan(keyed_scan(df, ["k"], ["t"], [Scan("n", "sum", F.lit(1)), Scan("v", "next", F.col("t"), False)], hot_rows=1))
     main = p.split("Subquery")[0]
     assert "ExistingRDD" not in p and main.count("Exchange hashpartitioning(k") <= 3      # rows, and the split keys' summaries
+    plain = plan(keyed_scan(df, ["k"], ["t"], [Scan("n", "sum", F.lit(1)), Scan("v", "next", F.col("t"), False)]))
+    assert plain.count("Exchange") == 1 and "Broadcast" not in plain and "Subquery" not in plain and plain.count("Range (") == 1
     w8 = plan(wash_ledger(fixture(spark, sf_dir, "memberships"), fixture(spark, sf_dir, "washes")))
     assert "ExistingRDD" not in w8 and "rangepartitioning" not in w8
 
