@@ -485,3 +485,33 @@ def test_cut_heavy_keys_give_the_same_results(spark, sf_dir, name, monkeypatch):
     for n in names[:2]:
         r = compare(spark, duck_connect(sf_dir), n, E.queries()[n], E.oracle_sql()[n], sf_dir)
         assert r["status"] == "ok", r
+
+
+def test_many_moves_are_clustered_in_many_tasks(spark):
+    """100,000 moves over 120,000 items: the clusters come out of several tasks (no single
+    partition holds the moved items), and the list equals the moves applied one by one."""
+    n = 120_000
+    cat = spark.range(n).select(F.format_string("i%06d", "id").alias("name"), (F.col("id") + 1).cast("int").alias("position"))
+    rnd = random.Random(12)
+    picked = rnd.sample(range(n), 30_000)
+    moves = [(q, f"i{(picked[q % 30_000] if q % 3 else picked[q % 50]):06d}", rnd.choice(["up", "down"])) for q in range(100_000)]
+    order = [f"i{i:06d}" for i in range(n)]
+    at = {x: i for i, x in enumerate(order)}
+    for _, name, way in moves:
+        i = at[name]
+        j = i - 1 if way == "up" else i + 1
+        if 0 <= j < n:
+            order[i], order[j] = order[j], order[i]
+            at[order[i]], at[order[j]] = i, j
+    df = spark.createDataFrame(moves, "seq long, name string, direction string").repartition(4)
+    out, rej = CA.move_items(cat, df)
+    assert dict(out.select("name", "position").collect()) == {x: k + 1 for k, x in enumerate(order)} and rej.count() == 0
+    from washbay.plans.staging import staged
+    items = staged(df.groupBy("name").agg(F.count(F.lit(1)).alias("n")).join(cat, "name")
+                   .select("name", F.col("position").cast("bigint").alias("at"), "n"), "items")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = CA.move_clusters(items).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) > 1 and sum(t["count"] for t in tasks) == items.count()

@@ -15,13 +15,15 @@ that later requests add join the tail in order of arrival.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from washbay.functions.columns import first_int, norm_bool, norm_text
 from washbay.operators.filters import ntz
 from washbay.plans.components import components
+from washbay.plans.keyed import Pieces, Scan, keyed_scan
 from washbay.plans.ranking import dense_index
+from washbay.plans.staging import staged
 
 POS_LAST = 1_000_000_000   # fixed value: the browser's stand-in for a missing position
 FIELDS = ("bike", "sedan", "suv", "visible", "description")
@@ -62,6 +64,32 @@ def append_at_tail(cat: DataFrame, new: DataFrame, now=None) -> DataFrame:
     return _placed(both, [F.col("_late"), *list_order()], now).drop("_late")
 
 
+def move_clusters(items: DataFrame) -> DataFrame:
+    """name, cluster, lo, hi for moved items (name, at: place in the list, n: number of moves;
+    staged, as it is read by several scans): items of different clusters cannot meet, and no
+    item of a cluster gets below lo or above hi before all of its moves are done.
+
+    Merging the reaches needs only running values over the items in list order: items before
+    and at a place can get as far right as the sum of their moves and the running maximum of
+    their starts allow, and likewise to the left from the other end. Each is a keyed scan
+    without a key, so the items are cut into pieces and never meet in one task; a scan that
+    builds on another reads its staged rows."""
+    n = F.col("n")
+    pieces = Pieces(items, [], ["at"])
+
+    def scan(rows: DataFrame, order: Column, s: Scan, shared: Pieces | None = None) -> DataFrame:
+        return staged(keyed_scan(rows, [], [order], [s], pieces=shared), "move-scan")
+
+    summed = scan(items, F.col("at"), Scan("total", "sum", n), pieces)
+    right = scan(summed, F.col("at"), Scan("far", "max", F.col("at") - F.col("total") + n), pieces)
+    both = scan(right, -F.col("at"), Scan("near", "max", F.col("total") - F.col("at")))
+    both = both.select("name", "at", (F.col("total") - n - F.col("near")).alias("left"), (F.col("total") + F.col("far")).alias("right"))
+    cut = scan(both, F.col("at"), Scan("before", "last", F.col("right"), inclusive=False), pieces)
+    apart = (F.coalesce(F.col("left") > F.col("before") + 2, F.lit(False))).cast("bigint")
+    numbered = keyed_scan(cut, [], ["at"], [Scan("cluster", "sum", apart)], pieces=pieces)
+    return numbered.select("name", "cluster", (F.col("left") - 1).alias("lo"), (F.col("right") + 1).alias("hi"))
+
+
 # W3
 def move_items(cat: DataFrame, moves: DataFrame, now=None):
     """(catalogue, rejected moves). Moves (seq, name, direction up/down) are applied in
@@ -69,9 +97,10 @@ def move_items(cat: DataFrame, moves: DataFrame, now=None):
     nothing changes. Empty and unknown names and bad directions are rejected.
 
     Moves far apart cannot meet, so the moved items are cut into clusters whose reach does
-    not touch, and the clusters are replayed in parallel, each over the rows within its
-    reach. Only one row per moved item (its place and number of moves) is looked at
-    together to find the clusters."""
+    not touch (``move_clusters``), and the clusters are replayed in parallel, each over the
+    rows within its reach. One chain of moves that touch each other is sequential by
+    definition: every swap decides what the next one finds, so a chain is one group, as
+    large as its moves and the rows that they can reach."""
     ranked = renumber(cat, now).drop("changed")
     m = moves.withColumn("_name", norm_text("name", 100))
     known = ranked.select(F.col("name").alias("_name"), F.col("position").alias("_at"))
@@ -81,22 +110,16 @@ def move_items(cat: DataFrame, moves: DataFrame, now=None):
                .when(F.col("_at").isNull(), F.lit("service not found")))
     m = m.withColumn("reject_reason", reason)
     valid = m.filter(F.col("reject_reason").isNull()).select("seq", F.col("_name").alias("name"), "direction", "_at")
-    items = valid.groupBy("name").agg(F.first("_at").alias("at"), F.count(F.lit(1)).alias("n"))
-
-    def clusters(batches):
-        held = pd.concat(list(batches), ignore_index=True).sort_values("at", ignore_index=True)
-        total = held.n.cumsum()
-        right = total + (held["at"] - (total - held.n)).cummax()            # how far right the items so far can reach
-        left = (total - held.n) + (held["at"] - total)[::-1].cummin()[::-1]   # how far left those from here on can
-        new = left > right.shift(1, fill_value=-10**15) + 2
-        held["cluster"] = new.cumsum()
-        held["lo"] = left.groupby(held.cluster).transform("min") - 1
-        held["hi"] = right.groupby(held.cluster).transform("max") + 1
-        yield held
-
-    placed = (items.coalesce(1).mapInPandas(clusters, "name string, at int, n bigint, cluster bigint, lo bigint, hi bigint"))
-    reach = placed.select("cluster", "lo", "hi").distinct().select("cluster", F.explode(F.sequence("lo", "hi")).alias("position"))
-    rows = ranked.select("name", F.col("position").cast("bigint").alias("position")).join(reach, "position")
+    items = valid.groupBy("name").agg(F.first("_at").cast("bigint").alias("at"), F.count(F.lit(1)).alias("n"))
+
+    placed = staged(move_clusters(staged(items, "moved-items")), "move-clusters")
+    reach = placed.groupBy("cluster").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # the reaches are disjoint, so a row lies in the last one that starts at or before it, or in none
+    spots = (reach.select(F.col("lo").alias("position"), F.lit(0).alias("kind"), F.struct("cluster", "hi").alias("of"), F.lit(None).cast("string").alias("name"))
+             .unionByName(ranked.select(F.col("position").cast("bigint").alias("position"), F.lit(1).alias("kind"),
+                                        F.lit(None).cast("struct<cluster:bigint,hi:bigint>").alias("of"), "name")))
+    within = keyed_scan(spots, [], ["position", "kind"], [Scan("_in", "last", F.col("of"))])
+    rows = within.where((F.col("kind") == 1) & (F.col("position") <= F.col("_in.hi"))).select("name", "position", "_in.cluster")
     steps = valid.join(placed.select("name", "cluster"), "name")
     both = (rows.select("cluster", F.lit(0).alias("kind"), "position", "name", F.lit(None).cast("string").alias("direction"))
             .unionByName(steps.select("cluster", F.lit(1).alias("kind"), F.col("seq").cast("bigint").alias("position"), "name", "direction")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from washbay.functions.columns import seconds_since
 from washbay.operators.filters import ntz
 from washbay.plans.keyed import Pieces, Scan, frozen_layout, keyed_scan
+from washbay.plans.staging import staged
 
 # fixed values of the code rules
 CODE_TTL_SECONDS = 5 * 60
@@ -211,18 +212,22 @@ def code_outcomes(verifications: DataFrame, codes: DataFrame, max_attempts: int
 
     A code's rows are consecutive in its key's timeline, so every "per code" value is a
     running value of the key less the value carried from the code's own row: three scans
-    over one set of pieces, whose windows share one shuffle and one order."""
+    that share one shuffle and one order, or one set of pieces where keys are heavy."""
     u = _code_timeline(verifications, codes, CODE_COLUMNS)
     p = Pieces(u, KEYS, TIMELINE)
     is_code = F.col("_kind") == 0
     wrong = F.when(~is_code & ~F.col("matches"), 1).otherwise(0).cast("bigint")
     s1 = keyed_scan(u, KEYS, TIMELINE, [Scan("_code", "last", F.when(is_code, F.struct(*CODE_COLUMNS))),
                                         Scan("_wrong", "sum", wrong, inclusive=False)], pieces=p)
+    if not p.plain:
+        s1 = staged(s1, "code-scan")            # a cut scan reads its input twice
     s2 = keyed_scan(s1, KEYS, TIMELINE, [Scan("_wrong0", "last", F.when(is_code, F.col("_wrong")))], pieces=p)
     m = F.col("_wrong") - F.col("_wrong0")
     expired = F.col("ts") > F.col("_code.expires_at")
     # per key at most one success a code counts; the newest success is this code's iff it is not older than the code's row
     cand = ~is_code & F.col("_code").isNotNull() & F.col("matches") & ~expired & (m < max_attempts)
+    if not p.plain:
+        s2 = staged(s2, "code-scan")
     s3 = keyed_scan(s2, KEYS, TIMELINE, [Scan("_used", "last", F.when(cand, F.col("_code.code_id")), inclusive=False)], pieces=p)
     outcome = (F.when(F.col("_code").isNull(), F.lit("not found"))
                 .when(F.col("_used") == F.col("_code.code_id"), F.lit("already used"))
