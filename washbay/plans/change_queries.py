@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from washbay.operators import catalog as CA
 from washbay.operators import changes as CH
 from washbay.plans.intake_queries import d_phone, d_text, d_trim, _MATRIX_SQL, d_parse_int
-from washbay.plans.registry import register, sql_with
+from washbay.plans.registry import ORACLES, register, sql_with
+from washbay.plans.staging import staged_path
 from washbay.sources import tables as S
+from washbay.sources.rewrite import rewrite_days
 from washbay.sources.fixtures import fixture
 
 NOW = "2024-01-30 12:00:00"
@@ -157,6 +159,20 @@ def m5(spark, sf):
     return CH.set_status(bk, fixture(spark, sf, "status_events"))[0]
 
 
+def _stored(spark, sf, dialect):
+    """The bookings as ``append_bookings`` stores them, one folder per visit day."""
+    path = staged_path(spark, "stored-bookings")
+    S.store_by_day(S.load_bookings(spark, fixture(spark, sf, "bookings"), dialect), path, "append")
+    return path
+
+
+@register("m5_rewritten_bookings", ORACLES["m5_set_status"])
+def m5_stored(spark, sf):
+    path = _stored(spark, sf, "web")
+    rewrite_days(spark, path, fixture(spark, sf, "status_events"), CH.set_status)
+    return S.load_bookings(spark, path).drop("visit_day")
+
+
 @register("m5_rejected_actions", sql_with(["status_events"], """
 SELECT *, 'invalid action' AS reject_reason FROM status_events WHERE action IS NULL OR action NOT IN ('cancel', 'complete', 'edit')"""))
 def m5b(spark, sf):
@@ -208,6 +224,13 @@ def m7(spark, sf):
     return CH.replace_bookings(bk, fixture(spark, sf, "replace_requests"), "staff")[0]
 
 
+@register("m7_rewritten_bookings", ORACLES["m7_replace_bookings_staff"])
+def m7_stored(spark, sf):
+    path = _stored(spark, sf, "staff")
+    rewrite_days(spark, path, fixture(spark, sf, "replace_requests"), CH.replace_bookings)
+    return S.load_bookings(spark, path).drop("visit_day")
+
+
 _STAFF_REQ = f"""SELECT x.order_id, x.seq, x.name, x.phone, x."date", x."time", x.vehicle, x.service, x.visit, x.address,
   CASE WHEN x.price IS NOT NULL AND x.price <> '' THEN {d_parse_int('x.price')}
        ELSE m.cell + CASE WHEN x.visit = 'Home Visit' THEN 50 ELSE 0 END END AS price

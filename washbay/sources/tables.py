@@ -28,6 +28,11 @@ BOOKINGS = T.StructType([
     T.StructField("price", T.IntegerType()), T.StructField("created_at", T.TimestampNTZType()),
 ])
 
+def visit_day():
+    """The folder of a booking: its date, NULL for text that is no date."""
+    return F.nullif(F.col("date"), F.lit("")).try_cast("date").alias("visit_day")
+
+
 def _catalog_defaults():
     return {"position": F.lit(None).cast("int"), "visible": F.lit(True),
             "description": F.lit(""), "updated_at": F.lit(None).cast("timestamp_ntz")}
@@ -130,13 +135,18 @@ def append_bookings(df: DataFrame, path: str, now=None) -> DataFrame:
     gets a few files and a crowded day is spread."""
     rows = prepare_booking_rows(df, now or dt.datetime.now().replace(microsecond=0))
     batch = staged(rows, "booking-batch")            # ids of the batch must not be allocated anew after the append
-    day = F.nullif(F.col("date"), F.lit("")).try_cast("date")
-    (batch.withColumn("visit_day", day)
-          .hint("rebalance", "visit_day")            # a day's rows together, oversized days split
-          .write.mode("append").partitionBy("visit_day").parquet(path))
+    store_by_day(batch, path, "append")
     return batch
 
 
+def store_by_day(rows: DataFrame, path: str, mode: str) -> None:
+    """Write bookings one folder per day. ``overwrite`` replaces only the folders that ``rows``
+    has rows for."""
+    (rows.select(*BOOKINGS.fieldNames(), visit_day())
+         .hint("rebalance", "visit_day")              # a day's rows together, oversized days split
+         .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("visit_day").parquet(path))
+
+
 def write_keyed_log(df: DataFrame, path: str, keys=("phone", "purpose"), ts: str = "ts",
                     mode: str = "append") -> None:
     """Store an event log clustered by key, the role the (phone, purpose, created_at)
