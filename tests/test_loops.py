@@ -231,16 +231,16 @@ def test_moves_match_loop(spark, seed):
     assert {r.seq: r.reject_reason for r in rej.collect()} == rejected
 
 
-@pytest.mark.parametrize("seed", [3, 4, 5])
-def test_renames_and_upserts_match_loop(spark, seed):
+@pytest.mark.parametrize("seed,names,requests", [(3, 14, 57), (4, 200, 90), (5, 60, 25), (6, 14, 57)])
+def test_renames_and_upserts_match_loop(spark, seed, names, requests):
     rnd = random.Random(seed)
     now = T0 + dt.timedelta(days=9)
-    pool = [f"n{i:02d}" for i in range(14)]
-    rows = [{"name": n, "position": rnd.choice([None, None, 0, -2, rnd.randint(1, 30)]), "bike": 1, "updated_at": T0} for n in pool[:9]]
+    pool = [f"n{i:02d}" for i in range(names)]
+    rows = [{"name": n, "position": rnd.choice([None, None, 0, -2, rnd.randint(1, 30)]), "bike": 1, "updated_at": T0} for n in rnd.sample(pool, names * 2 // 3)]
     cat = spark.createDataFrame([(r["name"], 1, None, None, r["position"], True, "", T0) for r in rows],
                                 "name string, bike int, sedan int, suv int, position int, visible boolean, description string, "
                                 "updated_at timestamp_ntz")
-    batch = [(q, rnd.choice([None, *pool]), rnd.choice([*pool, *pool, " "]), rnd.randint(10, 99)) for q in range(3, 60)]
+    batch = [(q, rnd.choice([None, *pool]), rnd.choice([*pool, *pool, " "]), rnd.randint(10, 99)) for q in range(3, 3 + requests)]
     rejected, state = {}, rows
     for q, old, name, bike in batch:
         name = name.strip()
@@ -515,3 +515,22 @@ def test_many_moves_are_clustered_in_many_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(tasks) > 1 and sum(t["count"] for t in tasks) == items.count()
+
+
+def test_a_long_chain_of_renames_is_no_group(spark, monkeypatch):
+    """100,000 renames of one row after another: nothing is replayed as a group."""
+    n = 100_000
+    cat = spark.createDataFrame([("c0", 1, 1), ("other", 2, 2), ("x0", 3, 3), ("x1", 4, 4)], "name string, bike int, position int") \
+        .selectExpr("name", "bike", "cast(null as int) sedan", "cast(null as int) suv", "position", "true visible", "'' description",
+                    "cast(null as timestamp_ntz) updated_at")
+    chain = spark.range(n).selectExpr("id + 1 AS seq", "concat('c', id) AS original_name", "concat('c', id + 1) AS name", "cast(id % 50 as string) AS bike")
+    more = spark.createDataFrame([(n + 5, "x0", "x1", "7"), (n + 6, "gone", "new", "8"), (n + 7, "new", "newer", "9")],
+                                 "seq long, original_name string, name string, bike string")
+    sizes = []
+    real = CA.settled_renames
+    monkeypatch.setattr(CA, "settled_renames", lambda old, req: (lambda out: (sizes.append(req.join(out[1], "root").count()), out)[1])(real(old, req)))
+    out, rej = CA.rename_items(cat, chain.unionByName(more), T0)
+    assert sorted((r.name, r.bike, r.position) for r in out.collect()) == [
+        (f"c{n}", (n - 1) % 50, 1), ("newer", 9, 5), ("other", 2, 2), ("x0", 3, 3), ("x1", 4, 4)]
+    assert [(r.seq, r.reject_reason) for r in rej.collect()] == [(n + 5, "name already in use")]
+    assert sizes == [1]                                     # only the refused request's component is replayed

@@ -215,6 +215,62 @@ def upsert_catalog(cat: DataFrame, batch: DataFrame, now=None):
     return _relisted(merged, named.agg(F.min("seq")).scalar(), now).select(*cat.columns), rejected
 
 
+def settled_renames(old: DataFrame, req: DataFrame):
+    """(rows after the batch, refused components) of rename components (staged ``root, seq,
+    original_name, name, fields, position, updated_at``).
+
+    If no request of a component is refused, every request leaves its new name present and its
+    old one absent, so whether a name is there before a request follows from the last
+    earlier request that mentions it: one fill per name. Were a request refused, the first
+    such would find both of its names present in this reckoning, so a component without
+    one is settled by it, and a component with one is handed back in ``refused``. Each request
+    then points at the request that last held its row (or at the row of the catalogue, or at
+    nothing: a new row), and pointer jumping finds every row's origin and first rename in
+    about log2(longest chain) rounds of joins on a request number."""
+    base = old.select("root", "name", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("seq"), F.lit(True).alias("present"),
+                      F.lit(None).cast("bigint").alias("node"))
+    new = req.select("root", "name", F.lit(1).alias("kind"), "seq", F.lit(True).alias("present"), F.col("seq").alias("node"))
+    away = req.where("original_name <> name").select("root", F.col("original_name").alias("name"), F.lit(1).alias("kind"), "seq",
+                                                     F.lit(False).alias("present"), F.lit(None).cast("bigint").alias("node"))
+    mentions = staged(base.unionByName(new).unionByName(away), "rename-mentions")
+    seen = keyed_scan(mentions, ["name"], ["kind", "seq"], [Scan("was", "last", F.struct("present", "node"), inclusive=False)])
+    to = seen.where("kind = 1 AND present").select("root", "seq", "name", F.col("was").alias("there"))
+    of = seen.where("kind = 1 AND NOT present").select("seq", F.col("name").alias("old"), F.col("was").alias("here"))
+    here, there = (F.coalesce(F.col(f"{c}.present"), F.lit(False)) for c in ("here", "there"))
+    told = staged(to.join(of, "seq", "left").select(
+        "root", "seq", "name", here.alias("renames"), (here & there).alias("refused"),
+        F.when(here, F.col("here.node")).when(there, F.col("there.node")).alias("parent"),
+        F.when(here & F.col("here.node").isNull(), F.col("old")).when(~here & there & F.col("there.node").isNull(), F.col("name")).alias("origin")), "rename-steps")
+    refused = staged(told.where("refused").select("root").distinct(), "refused-components")
+
+    calm = told.join(refused, "root", "left_anti")
+    fresh = F.col("parent").isNull() & F.col("origin").isNull()
+    chain = staged(calm.select("seq", "parent", "origin", F.when(fresh, F.struct("seq", "name")).alias("born"),
+                               F.when(F.col("renames"), F.struct("seq", "name")).alias("moved")), "rename-chain")
+    while not chain.where("parent IS NOT NULL").isEmpty():
+        up = chain.select(F.col("seq").alias("parent"), *[F.col(c).alias(f"up_{c}") for c in ("parent", "origin", "born", "moved")])
+        chain = staged(chain.join(up, "parent", "left").select(
+            "seq", F.col("up_parent").alias("parent"), F.coalesce("up_origin", "origin").alias("origin"),
+            F.coalesce("up_born", "born").alias("born"), F.coalesce("up_moved", "moved").alias("moved")), "rename-chain")
+
+    last = (mentions.join(refused, "root", "left_anti").groupBy("name")
+            .agg(F.max_by(F.struct("present", "node"), F.struct("kind", "seq")).alias("end")).where("end.present"))
+    rows = old.select(F.col("name").alias("origin"), F.col("position"), F.col("updated_at"))
+    named = last.where("end.node IS NOT NULL").select(F.col("end.node").alias("seq")).join(chain, "seq") \
+                .join(req.select("seq", "name", *FIELDS), "seq").join(rows, "origin", "left")
+    twice = F.col("origin").isNotNull() & F.col("moved").isNotNull()
+    touched = named.select(
+        "name", *FIELDS, "position", "updated_at", F.lit(True).alias("touched"),
+        F.when(twice, F.col("moved.seq")).alias("first"), F.col("born.seq").alias("_arrival"),
+        F.when(twice, F.concat_ws("\0", "origin", "moved.name")).otherwise(F.coalesce("born.name", "origin")).alias("_sort"))
+    still = last.where("end.node IS NULL").select("name").join(old, "name").select(
+        "name", *FIELDS, "position", "updated_at", F.lit(False).alias("touched"),
+        F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("_arrival"), F.col("name").alias("_sort"))
+    earliest = calm.agg(F.min("seq")).scalar()             # the first request that succeeds
+    settled = touched.unionByName(still).withColumn("seq", F.when(F.col("touched"), earliest))
+    return settled.select("seq", "name", *FIELDS, "position", "updated_at", "touched", "first", "_arrival", "_sort"), refused
+
+
 # M2
 def rename_items(cat: DataFrame, batch: DataFrame, now=None):
     """(catalogue, rejected). A request whose original name differs from the new one
@@ -223,8 +279,11 @@ def rename_items(cat: DataFrame, batch: DataFrame, now=None):
     at that moment is rejected (the primary key would refuse it), as are empty names.
 
     Requests meet only through the names they mention, so the names of renames are grouped
-    into connected components and each component's requests are replayed in ``seq`` order;
-    requests on all other names are plain upserts (the last one per name, no replay)."""
+    into connected components; requests on all other names are plain upserts (the last one
+    per name). A component in which no request is refused is settled in parallel, whatever
+    its size (``settled_renames``). A refused request leaves its names as they were, which
+    later requests may or may not see, so a component with a refusal is sequential by
+    definition: it is replayed in ``seq`` order as one group."""
     nb_all = _norm_batch(batch)
     empty = nb_all.filter(F.col("name") == "").withColumn("reject_reason", F.lit("missing service name"))
     nb = nb_all.filter(F.col("name") != "")
@@ -242,6 +301,8 @@ def rename_items(cat: DataFrame, batch: DataFrame, now=None):
     req = asked.filter(F.col("root").isNotNull()).select(
         "root", F.lit(1).alias("kind"), F.col("seq").cast("bigint").alias("seq"), "original_name", "name", *FIELDS,
         F.lit(None).cast("int").alias("position"), F.lit(None).cast("timestamp_ntz").alias("updated_at")).select(*cols)
+    old, req = staged(old, "rename-rows"), staged(req, "rename-requests")
+    settled, refused = settled_renames(old, req)
     kinds = "bike int, sedan int, suv int, visible boolean, description string, position int, updated_at timestamp_ntz"
     schema = f"seq bigint, name string, {kinds}, touched boolean, first bigint, _arrival bigint, _sort string, reject_reason string"
 
@@ -277,8 +338,8 @@ def rename_items(cat: DataFrame, batch: DataFrame, now=None):
         table["updated_at"] = pd.to_datetime(table["updated_at"])
         return table
 
-    replayed = old.unionByName(req).groupBy("root").applyInPandas(replay, schema)
-    done = replayed.filter(F.col("reject_reason").isNull())
+    replayed = staged(old.unionByName(req).join(refused, "root", "left_semi").groupBy("root").applyInPandas(replay, schema), "renames-replayed")
+    done = replayed.filter(F.col("reject_reason").isNull()).select(*settled.columns).unionByName(settled)
     # the first request that succeeds (of either kind) renumbers the list
     first = F.least(done.filter("touched").agg(F.min("seq")).scalar(),
                     asked.filter(F.col("root").isNull()).agg(F.min("seq")).scalar())
