@@ -54,3 +54,79 @@ def test_attendance_stream_with_late_arrivals(spark, sf_dir):
     want = {tuple(r) for r in AT.pair_attendance(ok).filter(F.col("check_out") <= F.lit(final_wm))
             .select("attendance_id", "check_in", "check_out").collect()}
     assert got == want and got
+
+
+ATT = "seq long, ts timestamp_ntz, employee_id long, employee_name string, type string"
+REQ = "seq long, ts timestamp_ntz, phone string, purpose string"
+
+
+def at(minute):
+    return None if minute is None else dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute)
+
+
+def drive(spark, name, chunks, schema, build):
+    """Feed micro-batches one by one; the rows that came out, and the last query."""
+    base = checkpoint_path(spark, name)
+    q = None
+    for i, chunk in enumerate(chunks):
+        spark.createDataFrame(chunk, schema).write.mode("overwrite").parquet(f"{base}/src/{i:02d}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/src")
+        q = X.run_to_parquet(build(stream), f"{base}/out", f"{base}/ck")
+    return spark.read.parquet(f"{base}/out").collect(), q
+
+
+def state_rows(q):
+    return q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_attendance_null_keys_times_and_empty_state(spark):
+    from washbay.operators.attendance import pair_attendance
+    chunks = [[(1, at(0), None, "n", "IN"), (2, at(5), 7, "g", "IN"), (3, None, 7, "g", "IN"), (4, None, 7, "g", "OUT"), (5, at(6), 8, "h", "OUT")],
+              [(6, at(20), None, "m", "OUT"), (7, at(21), 7, "other", "OUT"), (8, at(22), None, None, "IN"), (9, at(23), 9, None, None)],
+              [(10, at(60 * 24 * 30), 8, "h", "OUT")]]
+    for hold in (False, True):
+        got, q = drive(spark, f"att-null-{hold}", chunks, ATT, lambda s, hold=hold: X.stream_attendance(s, hold, "1 minute"))
+        batch = spark.createDataFrame([r for c in chunks for r in c], ATT)
+        want = pair_attendance(batch).where("status = 'Completed'").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr) and len(got) == 3
+        assert state_rows(q) <= (1 if not hold else 5)      # the one open clock-in (held events besides), no state for other keys
+
+
+def test_cooldown_null_keys_times_and_expiry(spark):
+    chunks = [[(1, at(0), "p", None), (2, None, "p", None), (3, at(0.5), "p", None), (4, at(0), None, None)],
+              [(5, at(2), "p", None), (6, at(0.25), None, None)],
+              [(7, at(60), "z", "u")], [(8, at(120), "z", "u")], [(9, at(180), "z", "u")]]
+    got, q = drive(spark, "cool-null", chunks, REQ, lambda s: X.stream_code_cooldown(s, 60, "1 minute"))
+    assert {r.seq: r.accepted for r in got} == {1: True, 2: True, 3: False, 4: True, 5: True, 6: False, 7: True, 8: True, 9: True}
+    assert state_rows(q) <= 4                                # p and NULL have gone; z's time and its timer's rows remain
+
+
+def test_forgotten_clock_ins_leave_the_state(spark):
+    """The TTL runs by processing time, so the query has no end of its own and is stopped."""
+    import time
+    base = checkpoint_path(spark, "att-ttl")
+    spark.createDataFrame([(1, at(0), 1, "a", "IN"), (2, at(0), 2, "b", "IN"), (3, at(1), 2, "b", "OUT")], ATT).write.parquet(f"{base}/src/0")
+    stream = spark.readStream.schema(ATT).option("recursiveFileLookup", "true").parquet(f"{base}/src")
+    spark.conf.set(X.STATE_STORE, X.ROCKSDB)
+    try:
+        q = (X.stream_attendance(stream, forget_after_ms=1).writeStream.format("parquet").option("path", f"{base}/out")
+             .option("checkpointLocation", f"{base}/ck").trigger(processingTime="1 second").start())
+        try:
+            for i, seen in enumerate((3, 4)):
+                if i:
+                    spark.createDataFrame([(4, at(9), 1, "a", "OUT")], ATT).write.parquet(f"{base}/src/1")
+                end = time.time() + 40
+                while time.time() < end and sum(p["numInputRows"] for p in q.recentProgress) < seen:
+                    time.sleep(0.2)
+                assert sum(p["numInputRows"] for p in q.recentProgress) == seen
+        finally:
+            q.stop()
+    finally:
+        spark.conf.unset(X.STATE_STORE)
+    assert [r.attendance_id for r in spark.read.parquet(f"{base}/out").collect()] == [2]
+
+
+def test_replay_delivers_rows_without_a_time(spark):
+    rows = [(1, at(0), "p", "u"), (2, None, "q", "u"), (3, at(90), "p", "u")]
+    out = X.replay(spark, spark.createDataFrame(rows, REQ), lambda s: X.stream_code_cooldown(s, 60), "null-times")
+    assert sorted(r.seq for r in out.collect()) == [1, 2, 3]

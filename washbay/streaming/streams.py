@@ -3,19 +3,25 @@
 * ``stream_daily_revenue`` (X1, twin of A7 without the limit): event-time day
   windows with a watermark, append mode — a day is emitted once the watermark
   passes its end, so the newest day(s) stay open.
-* ``stream_attendance`` (X2, twin of W7): per-employee state holds the open
+* ``stream_attendance`` (X2, twin of W7): a list state per employee holds the open
   clock-ins; an OUT closes all of them and emits Completed rows.
-* ``stream_code_cooldown`` (X3, twin of W10): per (phone, purpose) state holds
-  the last accepted request time until an event-time timeout (watermark past
+* ``stream_code_cooldown`` (X3, twin of W10): a value state per (phone, purpose)
+  holds the last accepted request time until an event-time timer (watermark past
   last + cooldown) drops it; every request is emitted with ``accepted``.
 
-X2/X3 keep per-key state with ``applyInPandasWithState``. By default they decide
-each event as it arrives, which is exact when a key's events arrive in time order
-across micro-batches (within a micro-batch they are sorted). With
-``hold_until_watermark=True`` events wait in state until the watermark passes
-them and are decided in event-time order, exact for any order within the allowed
-lateness. State stays small: open clock-ins of one employee, one timestamp per
-recently active code key, plus the events still inside the lateness window.
+X2 and X3 are stateful processors run by ``transformWithStateInPandas``, which keeps its
+state in RocksDB: the query's session needs the RocksDB state store provider
+(``run_to_parquet`` starts its queries with it). By default they decide each event as it
+arrives, which is exact when a key's events arrive in time order across micro-batches
+(within a micro-batch they are sorted). With ``hold_until_watermark=True`` events wait in a
+list state until a timer says that the watermark passed them, and are decided in
+event-time order, exact for any order within the allowed lateness. State stays small:
+open clock-ins of one employee, one timestamp per recently active code key, plus the
+events still inside the lateness window; a key without any of these has no state.
+
+NULL keys are keys like any other. An event without a time is never late: it counts as
+earlier than all others that are decided with it, as in the batch twins; a clock-out
+without a time closes nothing, a code request without one is accepted and starts no cooldown.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from washbay.operators.codes import RESEND_COOLDOWN_SECONDS
 
@@ -50,168 +56,176 @@ def stream_daily_revenue(bookings: DataFrame, delay: str = "1 day") -> DataFrame
 
 ATT_OUT = ("attendance_id long, employee_id long, employee_name string, check_in timestamp_ntz, "
            "check_out timestamp_ntz, status string, created_at timestamp_ntz")
-ATT_STATE = "open_ids array<long>, open_ts array<timestamp_ntz>, name string"
-
-
-def _attendance_fn(key, pdfs, state):
-    open_ids, open_ts, name = ([], [], None)
-    if state.exists:
-        s = state.get
-        open_ids, open_ts, name = list(s[0] or []), list(s[1] or []), s[2]
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"])
-    rows = []
-    for r in pdf.itertuples(index=False):
-        name = r.employee_name
-        if r.type == "IN":
-            open_ids.append(int(r.seq))
-            open_ts.append(r.ts)
-        elif r.type == "OUT" and open_ids:
-            for i, t in zip(open_ids, open_ts):
-                rows.append((i, int(key[0]), name, t, r.ts, "Completed", t))
-            open_ids, open_ts = [], []
-    state.update((open_ids, open_ts, name))
-    yield pd.DataFrame(rows, columns=["attendance_id", "employee_id", "employee_name", "check_in",
-                                      "check_out", "status", "created_at"])
-
-
-ATT_HOLD_STATE = ("open_ids array<long>, open_ts array<long>, name string, "
-                  "pend_seq array<long>, pend_ts array<long>, pend_type array<string>, pend_name array<string>")
-
-
-def _attendance_hold_fn(key, pdfs, state):
-    """Hold events until the watermark passes them, then pair them in event-time
-    order (exact for any arrival order within the lateness)."""
-    if state.exists:
-        g = state.get
-        open_ids, open_ts, name = list(g[0] or []), list(g[1] or []), g[2]
-        pseq, pts, ptype, pname = list(g[3] or []), list(g[4] or []), list(g[5] or []), list(g[6] or [])
-    else:
-        open_ids, open_ts, name, pseq, pts, ptype, pname = [], [], None, [], [], [], []
-    if not state.hasTimedOut:
-        for pdf in pdfs:
-            pseq += [int(x) for x in pdf["seq"]]
-            pts += [int(x) for x in pdf["ts"].astype("datetime64[us]").astype("int64")]
-            ptype += list(pdf["type"])
-            pname += list(pdf["employee_name"])
-    wm_us = state.getCurrentWatermarkMs() * 1000
-    rows, rest = [], []
-    for i in sorted(range(len(pts)), key=lambda i: (pts[i], pseq[i])):
-        if pts[i] > wm_us:
-            rest.append(i)
-            continue
-        name = pname[i]
-        if ptype[i] == "IN":
-            open_ids.append(pseq[i])
-            open_ts.append(pts[i])
-        elif ptype[i] == "OUT" and open_ids:
-            rows += [(a, int(key[0]), name, t, pts[i], "Completed", t) for a, t in zip(open_ids, open_ts)]
-            open_ids, open_ts = [], []
-    keep = [pseq[i] for i in rest], [pts[i] for i in rest], [ptype[i] for i in rest], [pname[i] for i in rest]
-    if open_ids or rest:
-        state.update((open_ids, open_ts, name, *keep))
-        if rest:
-            state.setTimeoutTimestamp(min(keep[1]) // 1000 + 1)
-    else:
-        state.remove()
-    out = pd.DataFrame(rows, columns=["attendance_id", "employee_id", "employee_name", "check_in",
-                                      "check_out", "status", "created_at"])
-    for c in ("check_in", "check_out", "created_at"):
-        out[c] = pd.to_datetime(out[c].astype("int64"), unit="us")
-    yield out
+_ATT_TYPES = {"attendance_id": "Int64", "employee_id": "Int64", "employee_name": "object", "check_in": "datetime64[us]",
+              "check_out": "datetime64[us]", "status": "object", "created_at": "datetime64[us]"}
+
+
+def _micros(column: pd.Series) -> list:
+    """Times as microseconds, None for none."""
+    return [None if t is pd.NaT else int(t.value // 1000) for t in pd.to_datetime(column)]
+
+
+def _whole(column: pd.Series) -> list:
+    return [None if pd.isna(x) else int(x) for x in column]
+
+
+def _text(column: pd.Series) -> list:
+    return [None if pd.isna(x) else str(x) for x in column]
+
+
+def _by_time(events: list) -> list:
+    """(seq, ts, …) in event order, missing times first, ties by seq."""
+    return sorted(events, key=lambda e: (e[1] is not None, e[1] or 0, e[0] is not None, e[0] or 0))
+
+
+class _Waiting(StatefulProcessor):
+    """Decides events (seq, ts, …) in event-time order: as they come, or, with ``hold``, once
+    the watermark has passed them. Subclasses name the event columns and say what an
+    event does (``decide``) and what their state still needs a timer for (``wakes``)."""
+
+    EVENT = "seq long, ts long"
+
+    def __init__(self, hold: bool):
+        self.hold = hold
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.wait = handle.getListState("wait", self.EVENT) if self.hold else None
+
+    def handleInputRows(self, key, rows, timerValues):
+        events = [e for pdf in rows for e in self.events(pdf)]
+        yield self._go(key, events, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self._go(key, [], timerValues)
+
+    def _go(self, key, events: list, timers) -> pd.DataFrame:
+        passed = timers.getCurrentWatermarkInMs() * 1000 if self.timed else None
+        rest = []
+        if self.hold:
+            events = [*events, *(tuple(e) for e in self.wait.get())]
+            rest = [e for e in events if e[1] is not None and e[1] > passed]
+            events = [e for e in events if e[1] is None or e[1] <= passed]
+            if rest:
+                self.wait.put(rest)
+            else:
+                self.wait.clear()
+        out = self.decide(key, _by_time(events), passed)
+        if self.timed:
+            wanted = {t // 1000 + 1 for t in [*self.wakes(), *([min(e[1] for e in rest)] if rest else [])]}
+            have = set(self.handle.listTimers())
+            for t in have - wanted:
+                self.handle.deleteTimer(t)
+            for t in wanted - have:
+                self.handle.registerTimer(t)
+        return out
+
+    def wakes(self) -> list:
+        return []
+
+    def close(self) -> None:
+        pass
+
+
+class Attendance(_Waiting):
+    """Open clock-ins of an employee in a list state. ``forget_ms`` (only without ``hold``, by
+    processing time): an open clock-in older than that is forgotten (TTL of the state)."""
+
+    EVENT = "seq long, ts long, type string, name string"
+
+    def __init__(self, hold: bool, forget_ms: int | None = None):
+        super().__init__(hold)
+        self.forget_ms = forget_ms
+        self.timed = hold
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        more = {"ttlDurationMs": self.forget_ms} if self.forget_ms else {}
+        self.open = handle.getListState("open", "seq long, ts long, name string", **more)
+
+    def events(self, pdf):
+        return zip(_whole(pdf["seq"]), _micros(pdf["ts"]), _text(pdf["type"]), _text(pdf["employee_name"]))
+
+    def decide(self, key, events, passed):
+        kept = [tuple(o) for o in self.open.get()] if events else []
+        fresh, cleared, done = [], False, []
+        for seq, ts, kind, name in events:
+            if kind == "IN":
+                fresh.append((seq, ts, name))
+            elif kind == "OUT" and ts is not None:
+                done += [(s, key[0], n, t, ts, "Completed", t) for s, t, n in [*kept, *fresh]]
+                cleared, kept, fresh = cleared or bool(kept), [], []
+        if cleared:
+            self.open.clear()
+        if fresh:
+            self.open.appendList(fresh)
+        out = pd.DataFrame(done, columns=list(_ATT_TYPES))
+        for c in ("check_in", "check_out", "created_at"):
+            out[c] = pd.to_datetime(out[c].astype("Int64"), unit="us")
+        return out.astype(_ATT_TYPES)
 
 
 # X2
-def stream_attendance(events: DataFrame, hold_until_watermark: bool = False,
-                      lateness: str = "10 minutes") -> DataFrame:
+def stream_attendance(events: DataFrame, hold_until_watermark: bool = False, lateness: str = "10 minutes",
+                      forget_after_ms: int | None = None) -> DataFrame:
     """``events``: seq, ts, employee_id, employee_name, type (stream). By default an
     OUT closes the open clock-ins as it arrives (exact for in-order arrival per
     employee); with ``hold_until_watermark`` events wait until the watermark
-    passes them and are paired in event-time order (exact within ``lateness``)."""
+    passes them and are paired in event-time order (exact within ``lateness``).
+    ``forget_after_ms``: clock-ins never closed leave the state after that
+    processing time (default: they are kept, as their OUT may still come). Such a
+    query has timers of its own and so no end: run it with a processing-time trigger."""
     if hold_until_watermark:
         ev = events.withColumn("_t", _wall_clock_instant("ts")).withWatermark("_t", lateness)
-        return ev.groupBy("employee_id").applyInPandasWithState(
-            _attendance_hold_fn, ATT_OUT, ATT_HOLD_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return (events.groupBy("employee_id")
-                  .applyInPandasWithState(_attendance_fn, ATT_OUT, ATT_STATE, "append",
-                                          GroupStateTimeout.NoTimeout))
-
-
-def _cooldown_fn(cooldown: int):
-    limit_us = cooldown * 1_000_000 - 500_000
-    cols = ["seq", "ts", "phone", "purpose"]
-
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:                       # watermark passed last + cooldown
-            state.remove()
-            yield pd.DataFrame(columns=cols + ["accepted"])
-            return
-        last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"])
-        ts = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        acc = []
-        for t in ts:
-            ok = last is None or t - last >= limit_us
-            if ok:
-                last = int(t)
-            acc.append(ok)
-        # after last + cooldown any request is accepted, so the state can go then
-        expiry_ms = (last + limit_us) // 1000 + 1
-        if expiry_ms > state.getCurrentWatermarkMs():
-            state.update((last,))
-            state.setTimeoutTimestamp(expiry_ms)
-        else:
-            state.remove()
-        out = pdf[cols].copy()
-        out["accepted"] = acc
-        yield out
-    return fn
-
-
-def _cooldown_hold_fn(cooldown: int):
-    """Variant that holds requests until the watermark passes them, then decides
-    them in event-time order: exact for out-of-order arrival within the lateness."""
-    limit_us = cooldown * 1_000_000 - 500_000
-    cols = ["seq", "ts", "phone", "purpose", "accepted"]
-
-    def fn(key, pdfs, state):
-        last, pseq, pts = (None, [], [])
-        if state.exists:
-            last, pseq, pts = state.get[0], list(state.get[1] or []), list(state.get[2] or [])
-        if not state.hasTimedOut:
-            for pdf in pdfs:
-                pseq += [int(x) for x in pdf["seq"]]
-                pts += [int(x) for x in pdf["ts"].astype("datetime64[us]").astype("int64")]
-        wm_us = state.getCurrentWatermarkMs() * 1000
-        order = sorted(range(len(pts)), key=lambda i: (pts[i], pseq[i]))
-        rows, rest = [], []
-        for i in order:
-            if pts[i] > wm_us:                 # a request before it may still arrive
-                rest.append(i)
-                continue
-            ok = last is None or pts[i] - last >= limit_us
-            if ok:
-                last = pts[i]
-            rows.append((pseq[i], pts[i], key[0], key[1], ok))
-        if rest:
-            state.update((last, [pseq[i] for i in rest], [pts[i] for i in rest]))
-            # wake up as soon as the watermark passes the earliest waiting request
-            state.setTimeoutTimestamp(min(pts[i] for i in rest) // 1000 + 1)
-        elif last is not None and last + limit_us > wm_us:
-            state.update((last, [], []))
-            state.setTimeoutTimestamp((last + limit_us) // 1000 + 1)
-        else:
-            state.remove()
-        out = pd.DataFrame(rows, columns=cols)
-        out["ts"] = pd.to_datetime(out["ts"].astype("int64"), unit="us")
-        yield out
-    return fn
+        return ev.groupBy("employee_id").transformWithStateInPandas(Attendance(True), ATT_OUT, "append", "EventTime")
+    mode = "ProcessingTime" if forget_after_ms else "None"
+    return events.groupBy("employee_id").transformWithStateInPandas(Attendance(False, forget_after_ms), ATT_OUT, "append", mode)
+
+
+class Cooldown(_Waiting):
+    """Last accepted request time of a (phone, purpose) in a value state; a timer drops it when
+    the watermark is past it by the cooldown."""
+
+    timed = True
+
+    def __init__(self, hold: bool, cooldown: int):
+        super().__init__(hold)
+        self.limit = cooldown * 1_000_000 - 500_000
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "ts long")
+
+    def events(self, pdf):
+        return zip(_whole(pdf["seq"]), _micros(pdf["ts"]))
+
+    def decide(self, key, events, passed):
+        self.held = last = self.last.get()[0] if self.last.exists() else None
+        rows = []
+        for seq, ts in events:
+            ok = last is None or ts is None or ts - last >= self.limit
+            if ok and ts is not None:
+                last = ts
+            rows.append((seq, ts, key[0], key[1], ok))
+        if last is not None and last + self.limit <= passed:      # any later request is accepted
+            self.last.clear()
+            last = None
+        elif last != self.held:
+            self.last.update((last,))
+        self.held = last
+        out = pd.DataFrame(rows, columns=["seq", "ts", "phone", "purpose", "accepted"])
+        out["ts"] = pd.to_datetime(out["ts"].astype("Int64"), unit="us").astype("datetime64[us]")
+        return out.astype({"seq": "Int64", "accepted": "bool"})
+
+    def wakes(self):
+        return [] if self.held is None else [self.held + self.limit]
 
 
 # X3
 def stream_code_cooldown(requests: DataFrame, cooldown: int = RESEND_COOLDOWN_SECONDS,
                          lateness: str = "10 minutes", hold_until_watermark: bool = False) -> DataFrame:
     """Per (phone, purpose) state = last accepted time, dropped by an event-time
-    timeout once the watermark passes it + cooldown (then no earlier request can
+    timer once the watermark passes it + cooldown (then no earlier request can
     matter), so state stays bounded by the keys active within the cooldown plus
     ``lateness``. Requests older than the watermark are late and dropped.
 
@@ -222,20 +236,26 @@ def stream_code_cooldown(requests: DataFrame, cooldown: int = RESEND_COOLDOWN_SE
     stays undecided until later data moves the watermark."""
     ev = requests.withColumn("_t", _wall_clock_instant("ts")).withWatermark("_t", lateness)
     out_schema = "seq long, ts timestamp_ntz, phone string, purpose string, accepted boolean"
-    if hold_until_watermark:
-        return ev.groupBy("phone", "purpose").applyInPandasWithState(
-            _cooldown_hold_fn(cooldown), out_schema, "last_us long, pend_seq array<long>, pend_ts array<long>",
-            "append", GroupStateTimeout.EventTimeTimeout)
-    return (ev.groupBy("phone", "purpose")
-              .applyInPandasWithState(_cooldown_fn(cooldown), out_schema, "last_us long", "append",
-                                      GroupStateTimeout.EventTimeTimeout))
-
-
-def run_to_parquet(stream: DataFrame, out_dir: str, checkpoint: str, mode: str = "append") -> None:
-    """Drive a stream over everything available now into parquet files."""
-    q = (stream.writeStream.format("parquet").outputMode(mode).option("path", out_dir)
-               .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return ev.groupBy("phone", "purpose").transformWithStateInPandas(Cooldown(hold_until_watermark, cooldown), out_schema, "append", "EventTime")
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_parquet(stream: DataFrame, out_dir: str, checkpoint: str, mode: str = "append"):
+    """Drive a stream over everything available now into parquet files; returns the ended
+    query. It runs on the RocksDB state store; the session's own setting stays as it was."""
+    spark = stream.sparkSession
+    given = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        q = (stream.writeStream.format("parquet").outputMode(mode).option("path", out_dir)
+                   .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        spark.conf.unset(STATE_STORE) if given is None else spark.conf.set(STATE_STORE, given)
     q.awaitTermination()
+    return q
 
 
 def replay(spark: SparkSession, df: DataFrame, build, name: str, order_col: str = "ts",
@@ -243,15 +263,15 @@ def replay(spark: SparkSession, df: DataFrame, build, name: str, order_col: str
     """Replay a batch table as a file stream through ``build`` and return what the
     sink received. Rows arrive in ``chunks`` consecutive time ranges: each range is
     staged, then the query runs ``availableNow`` on the same checkpoint, so every
-    range is one micro-batch and state/watermarks carry over between them. All
-    files live in the shared checkpoint folder."""
+    range is one micro-batch and state/watermarks carry over between them. Rows without a
+    time come with the first range. All files live in the shared checkpoint folder."""
     from washbay.session import checkpoint_path
     base = checkpoint_path(spark, f"stream-{name}")
     src, out, ck = f"{base}/src", f"{base}/out", f"{base}/ck"
     us = F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast("timestamp_ntz"), F.col(order_col))
     lo, hi = df.agg(F.min(us), F.max(us)).first()          # two scalars
     width = max(1, (hi - lo) // chunks + 1) if lo is not None else 1
-    tagged = df.withColumn("_chunk", ((us - F.lit(lo or 0)) / F.lit(width)).cast("int"))
+    tagged = df.withColumn("_chunk", F.coalesce(((us - F.lit(lo or 0)) / F.lit(width)).cast("int"), F.lit(0)))
     for i in range(chunks):
         tagged.filter(F.col("_chunk") == i).drop("_chunk").write.mode("overwrite").parquet(f"{src}/{i:04d}")
         stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").parquet(src)
