@@ -87,3 +87,41 @@ def test_finding_the_days_reads_two_columns(spark, stored):
     table = S.load_bookings(spark, stored)
     plan = table.select("order_id", "visit_day").join(keys, "order_id", "left_semi")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<order_id:bigint>" in plan
+
+
+def test_bucketed_bookings_are_not_shuffled_again(spark):
+    """Joins of M6, M5, M4 and J5 on a bucketed table: no exchange above its scan."""
+    import uuid
+    from washbay.operators import people as PE
+    rows = spark.range(500).select((F.col("id") + 1).alias("order_id"), *[F.lit("x").alias(c) for c in ("name", "phone", "service", "status")], F.lit(1).alias("price"))
+    bk = S.store_bucketed(rows, f"bookings_{uuid.uuid4().hex}", tempfile.mkdtemp(prefix="washbay-buckets-") + "/t", buckets=4)
+    ev = spark.createDataFrame([(1, 3, "edit", 9, "y", "x"), (2, 4, "cancel", 8, "z", "q")], "seq long, order_id long, action string, price int, service string, phone string")
+    frames = {"m6": CH.edit_bookings(bk, ev), "m5": CH.set_status(bk, ev)[0], "m4": CH.delete_rows(bk, ev.select("order_id"), "order_id")[0],
+              "j5": PE.owned_changes(ev, bk, bucketed=True)[0]}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for name, df in frames.items():
+            lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+            scan = next(i for i, x in enumerate(lines) if "FileScan parquet" in x and "Bucketed: true" in x)
+            depth = len(lines[scan]) - len(lines[scan].lstrip(" :+-"))
+            above = []                                       # operators from the scan up to the join
+            for x in reversed(lines[:scan]):
+                d = len(x) - len(x.lstrip(" :+-"))
+                if d < depth:
+                    above.append(x)
+                    depth = d
+            joins = [i for i, x in enumerate(above) if "Join" in x]
+            assert joins and not any("Exchange" in x for x in above[:joins[0]]), (name, lines)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [r.seq for r in frames["j5"].collect()] == [1]
+    assert {r.order_id: r.price for r in frames["m6"].collect() if r.price != 1} == {3: 9}
+
+
+def test_locale_order_is_not_binary_order(spark):
+    from washbay.operators.lists import catalog_order
+    names = ["zebra", "Apple", "\u00e4pple", "apple", "banana", "\u00c9clair", "eclair", "Zebra"]
+    cat = spark.createDataFrame([(n, 1) for n in names] + [("first", 0), ("last", None)], "name string, position int")
+    got = [r.name for r in catalog_order(cat, "UNICODE").collect()]
+    assert got == ["first", "apple", "Apple", "\u00e4pple", "banana", "eclair", "\u00c9clair", "zebra", "Zebra", "last"]
+    assert [r.name for r in catalog_order(cat).collect()] != got

@@ -26,9 +26,20 @@ def known_employees(events: DataFrame, users: DataFrame, key: str = "username"):
 
 
 # J5
-def owned_changes(changes: DataFrame, bk: DataFrame, keys=("order_id", "phone")):
-    """(found, not_found): changes whose (order_id, phone) match a booking."""
+def owned_changes(changes: DataFrame, bk: DataFrame, keys=("order_id", "phone"), bucketed: bool = False):
+    """(found, not_found): changes whose (order_id, phone) match a booking.
+
+    ``bucketed``: ``bk`` is bucketed by ``keys[0]`` (``store_bucketed``). Then that key alone is
+    the join key, so only the changes move to the bookings' buckets, and the other keys are
+    compared on the pairs that meet (as two bounds, which the planner keeps out of the join
+    keys)."""
     k = bk.select(*keys).filter(F.col(keys[0]).isNotNull())
+    if bucketed:
+        c, b = changes.alias("c"), k.alias("b")
+        on = F.col(f"c.{keys[0]}") == F.col(f"b.{keys[0]}")
+        for x in keys[1:]:
+            on = on & (F.col(f"c.{x}") >= F.col(f"b.{x}")) & (F.col(f"c.{x}") <= F.col(f"b.{x}"))
+        return c.join(b, on, "left_semi"), c.join(b, on, "left_anti")
     return changes.join(k, list(keys), "left_semi"), changes.join(k, list(keys), "left_anti")
 
 

@@ -3,16 +3,20 @@ intake and people joins (J1–J7) and sources (S*), with DuckDB oracles."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from washbay.functions import columns as C
+from washbay.operators import changes as CH
 from washbay.operators import filters as FL
 from washbay.operators import intake as I
 from washbay.operators import lists as L
 from washbay.operators import nested as N
 from washbay.operators import people as PE
 from washbay.operators.packs import open_memberships
-from washbay.plans.registry import in_place, register, sql_with
+from washbay.plans.registry import ORACLES, in_place, register, sql_with
+from washbay.plans.staging import staged_path
 from washbay.sources import tables as S
 from washbay.sources.fixtures import adapted, duck_text, fixture
 
@@ -251,6 +255,24 @@ def t2(spark, sf):
     return in_place(L.catalog_order(fixture(spark, sf, "catalog")))
 
 
+# names that differ in case and accents; locale order goes by letters first, so neither decides before a later letter does
+LOCALE_NAMES = """SELECT CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN translate(p_name, 'ae', '\u00e4\u00e9') ELSE p_name END
+ || ' ' || CAST(p_partkey AS VARCHAR) AS name, CAST(p_partkey % 4 AS INTEGER) AS position FROM part"""
+
+
+@register("t2_catalog_order_locale", sql_with([], """
+SELECT *, row_number() OVER (ORDER BY position ASC NULLS LAST, translate(lower(name), '\u00e4\u00e9', 'ae')) - 1 AS place
+FROM (SELECT name, CASE WHEN position > 0 THEN position END AS position FROM named) x""",
+                                               named=LOCALE_NAMES))
+def t2_locale(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).when(F.col("p_partkey") % 3 == 1, F.translate("p_name", "ae", "\u00e4\u00e9")) \
+            .otherwise(F.col("p_name"))
+    place = (F.col("p_partkey") % 4).cast("int")
+    cat = part.select(F.concat(name, F.lit(" "), F.col("p_partkey").cast("string")).alias("name"), F.when(place > 0, place).alias("position"))
+    return in_place(L.catalog_order(cat, collation="UNICODE"))
+
+
 @register("t3_booking_list", sql_with(["bookings"], """
 SELECT order_id, name, phone, vehicle, service, "date", "time", visit AS visit_place, CAST(NULL AS VARCHAR) AS address,
  price, created_at FROM bookings
@@ -411,6 +433,26 @@ def j5b(spark, sf):
     return PE.owned_changes(fixture(spark, sf, "change_requests"), fixture(spark, sf, "bookings"))[1]
 
 
+def _bucketed(spark, sf, name):
+    """The bookings as a table bucketed by order_id."""
+    return S.store_bucketed(fixture(spark, sf, "bookings"), f"{name}_{uuid.uuid4().hex}", staged_path(spark, "bucketed-bookings"))
+
+
+@register("j5_owned_changes_bucketed", ORACLES["j5_owned_changes"])
+def j5c(spark, sf):
+    return PE.owned_changes(fixture(spark, sf, "change_requests"), _bucketed(spark, sf, "j5"), bucketed=True)[0]
+
+
+@register("m6_edit_bookings_bucketed", sql_with(["bookings", "status_events"], """
+SELECT b.* EXCLUDE (price, service), CASE WHEN e.order_id IS NOT NULL THEN e.service ELSE b.service END AS service,
+ CASE WHEN e.order_id IS NOT NULL THEN e.price ELSE b.price END AS price
+FROM bookings b LEFT JOIN (SELECT order_id, price, CASE WHEN seq % 2 = 0 THEN 'Premium' END AS service FROM status_events
+                           WHERE action = 'edit' QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY seq DESC) = 1) e USING (order_id)"""))
+def m6_bucketed(spark, sf):
+    ev = fixture(spark, sf, "status_events").withColumn("service", F.when(F.col("seq") % 2 == 0, F.lit("Premium")))
+    return CH.edit_bookings(_bucketed(spark, sf, "m6"), ev)
+
+
 @register("j6_resolve_login_key", sql_with(["login_events", "users"], """
 SELECT e.*, h.user_id FROM login_events e LEFT JOIN (
  SELECT seq, min(id) AS user_id FROM (
@@ -465,6 +507,29 @@ def s4(spark, sf):
     return S.prepare_booking_rows(valid.drop("seq"), "2024-01-30 12:00:00")
 
 
+@register("s4_append_read_back", sql_with(["raw_requests"], """
+SELECT CAST(NULL AS BIGINT) AS order_id, name, phone, vehicle, service, "date", "time", visit_place,
+ CAST('New' AS VARCHAR) AS status, address, 0 AS price, TIMESTAMP '2024-01-30 12:00:00' AS created_at, CAST("date" AS DATE) AS visit_day
+FROM clean WHERE reject_reason IS NULL AND CAST("date" AS DATE) BETWEEN DATE '1995-03-01' AND DATE '1997-02-28'""", clean=P19_SQL))
+def s4_read_back(spark, sf):
+    """Two years of the stored rows, read from their day folders alone."""
+    path = staged_path(spark, "appended-bookings")
+    valid, _ = I.split_outcome(I.clean_bookings(fixture(spark, sf, "raw_requests")))
+    S.append_bookings(valid.drop("seq"), path, "2024-01-30 12:00:00")
+    return S.load_bookings(spark, path).where("visit_day BETWEEN DATE '1995-03-01' AND DATE '1997-02-28'")
+
+
+@register("s4_written_outcomes", sql_with(["raw_requests"], """
+SELECT CASE WHEN reject_reason IS NULL THEN 'accepted' ELSE 'rejected' END AS outcome, count(*) AS written, count(*) AS stored
+FROM clean GROUP BY 1""", clean=P19_SQL))
+def s4_outcomes(spark, sf):
+    """Rows of each outcome as the writing job counted them, and as they are read back."""
+    path = staged_path(spark, "written-outcomes")
+    written = S.write_outcomes(I.clean_bookings(fixture(spark, sf, "raw_requests")), path)
+    counted = F.when(F.col("outcome") == "accepted", F.lit(written["accepted"])).otherwise(F.lit(written["rejected"])).cast("bigint")
+    return spark.read.parquet(path).groupBy("outcome").agg(F.count(F.lit(1)).alias("stored")).select("outcome", counted.alias("written"), "stored")
+
+
 CUSTOMER_INPUT = """SELECT concat(' ', c_name, '  ') AS name, concat('+91 ', lpad(CAST(c_custkey AS VARCHAR), 10, '9')) AS phone,
  CAST(NULL AS VARCHAR) AS email, concat('KA-', CAST(c_nationkey AS VARCHAR), '-', CAST(c_custkey AS VARCHAR)) AS vehicle_number,
  c_mktsegment AS vehicle_type FROM customer"""
@@ -482,6 +547,13 @@ def s5(spark, sf):
     return S.prepare_customer_rows(raw)
 
 
+@register("s5_append_read_back", CUSTOMER_INPUT)
+def s5_read_back(spark, sf):
+    path = staged_path(spark, "appended-customers")
+    S.append_customers(s5(spark, sf), path)
+    return S.load_customers(spark, path)
+
+
 SERVICES_SHEET = """SELECT p_partkey AS id, p_name AS name,
  CASE p_size % 3 WHEN 0 THEN 'Bike' WHEN 1 THEN 'Hatch/Sedan' ELSE 'SUV' END AS vehicle_type,
  CAST(floor(p_retailprice) AS INTEGER) AS price, p_brand AS category, p_size * 5 AS duration_minutes,

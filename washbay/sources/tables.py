@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,11 +160,32 @@ def write_keyed_log(df: DataFrame, path: str, keys=("phone", "purpose"), ts: str
        .write.mode(mode).partitionBy("event_day").parquet(path))
 
 
-def write_outcomes(df: DataFrame, path: str, reason: str = "reject_reason", mode: str = "append") -> None:
+def store_bucketed(df: DataFrame, table: str, path: str, key: str = "order_id", buckets: int | None = None) -> DataFrame:
+    """Store ``df`` as a table bucketed and sorted by ``key``, one file a bucket, and return it.
+    Batches that join it on the key (J5, M3-M7) shuffle their own rows into its buckets; the
+    table itself is not shuffled again. ``buckets``: as many tasks as its joins shall have
+    (default: the session's shuffle partitions)."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartition(n, key).write.mode("overwrite").option("path", path)
+       .bucketBy(n, key).sortBy(key).saveAsTable(table))
+    return spark.table(table)
+
+
+def write_outcomes(df: DataFrame, path: str, reason: str = "reject_reason", mode: str = "append") -> dict[str, int]:
     """Write accepted and rejected rows of one tagged DataFrame in ONE job, as
-    ``outcome=accepted`` / ``outcome=rejected`` folders (one scan, not two)."""
+    ``outcome=accepted`` / ``outcome=rejected`` folders (one scan, not two), and return
+    how many rows of each were written, counted by that job as it wrote them."""
     tagged = df.withColumn("outcome", F.when(F.col(reason).isNull(), F.lit("accepted")).otherwise(F.lit("rejected")))
-    tagged.write.mode(mode).partitionBy("outcome").parquet(path)
+    return _written(tagged, lambda w: w.mode(mode).partitionBy("outcome").parquet(path),
+                    accepted=F.count_if(F.col("outcome") == "accepted"), rejected=F.count_if(F.col("outcome") == "rejected"))
+
+
+def _written(df: DataFrame, write, **metrics) -> dict[str, int]:
+    """Run ``write`` on the frame's writer; ``metrics`` are observed by the writing job."""
+    seen = Observation()
+    write(df.observe(seen, *[m.alias(name) for name, m in metrics.items()]).write)
+    return {name: seen.get[name] for name in metrics}
 
 
 # S5
@@ -179,6 +200,11 @@ def append_customers(df: DataFrame, path: str) -> DataFrame:
     return rows
 
 
+def load_customers(spark: SparkSession, src) -> DataFrame:
+    """Customer rows as ``append_customers`` stores them."""
+    return prepare_customer_rows(read_source(spark, src))
+
+
 # S6
 def load_price_sheets(spark: SparkSession, which: str | None = None, catalog=None,
                       packages=None, alacarte=None, services=None) -> dict[str, DataFrame]:
