@@ -105,6 +105,24 @@ def test_token_files(llm, odd_docs, odd_rows, no_docs, library):
     assert token_files.token_positions(llm, empty).count() == 0
 
 
+def test_token_positions_of_repeated_ids(llm):
+    """More rows of one id than an Arrow batch holds: starts are gapless from 0 in file order."""
+    rows = [(None, "one two three " * i) for i in range(10)] + [(5, "four")] * 7 + [(9, None)]
+    path = staged_path(llm, "token-files")
+    given = llm.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    llm.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        token_files.write_token_files(llm.createDataFrame(rows, "doc_id bigint, text string"), path, PATH)
+        got = sorted((r.start, r.n_tokens, r.doc_id is not None, r.doc_id) for r in token_files.token_positions(llm, path).collect())
+    finally:
+        llm.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", given)
+    at = 0
+    for start, n, _, _ in got:
+        assert start == at
+        at += n
+    assert [g[3] for g in got] == [None] * 10 + [5] * 7 + [9]
+
+
 def check_packing(rows, pieces, library, capacity):
     bins, parts = {}, {}
     for p in pieces:
@@ -201,6 +219,17 @@ def test_top_k(llm, dims, n):
     assert sorted(tuple(r) for r in hamming.top_k(df, queries, k=10).collect()) == sorted(want)
 
 
+def test_top_k_clashing_columns(llm):
+    clash = ["id", "code", "q", "c", "seg", "value", "n", "ids", "distance", "rank", "query_id", "neighbor_id", "asked"]
+    rows = [(i, [1.0 if i >> b & 1 else -1.0 for b in range(8)], *clash) for i in range(40)]
+    df = llm.createDataFrame(rows, "vec_id bigint, embedding array<double>, " + ", ".join(f"{c} string" for c in clash))
+    want = []
+    for q in (0, 10, 20, 30):
+        near = sorted((bin(q ^ i).count("1"), i) for i in range(40) if i != q)[:3]
+        want += [(q, r + 1, i, d) for r, (d, i) in enumerate(near)]
+    assert sorted(tuple(r) for r in hamming.top_k(df, df.where("vec_id % 10 = 0"), k=3).collect()) == want
+
+
 def test_top_k_small_tables(llm):
     df = llm.createDataFrame([(0, [1.0, -1.0]), (1, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
     assert [tuple(r) for r in hamming.top_k(df, df.where("vec_id = 0"), k=5).collect()] == [(0, 1, 1, 1)]
