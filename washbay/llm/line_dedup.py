@@ -12,8 +12,9 @@ the 128-bit hashes of suspected repeats only, counts their documents exactly (pa
 per task, so a line of a third of all documents is one row per task) and picks the holder.
 The rows (document, dropped key) are then joined to the documents by id.
 
-NULL or empty texts are one empty line; repeated rows count as documents of their own and
-the rows of the largest id all keep the line; a NULL id is smaller than every other.
+NULL or empty texts are one empty line; rows that repeat an id are one document when
+documents are counted, and the rows of the largest id all keep the line; a NULL id is
+smaller than every other.
 """
 
 from __future__ import annotations
@@ -158,10 +159,11 @@ def dropped_keys(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
             yield pa.RecordBatch.from_arrays([pa.array(ids[lines.row[at]]), pa.array(as_signed(lines.h1[at])),
                                               pa.array(as_signed(lines.h2[at]))], names=["doc_id", "h1", "h2"])
 
-    found = staged(rows.mapInArrow(suspects, "doc_id bigint, h1 bigint, h2 bigint"), "line-suspects")
-    repeated = (found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("holder"))
-                .where(F.col("n") >= min_docs))
-    return found.join(repeated, ["h1", "h2"]).where("doc_id < holder").select("doc_id", "h1", "h2")
+    found = staged(rows.mapInArrow(suspects, "doc_id bigint, h1 bigint, h2 bigint").distinct(), "line-suspects")
+    repeated = staged(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("holder"))
+                      .where(F.col("n") >= min_docs), "repeated-lines")
+    # two staged tables: Spark splits the partition of a line that a third of all documents hold
+    return found.join(repeated.hint("merge"), ["h1", "h2"]).where("doc_id < holder").select("doc_id", "h1", "h2")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, filter_bits: int = FILTER_BITS,
@@ -169,7 +171,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, filter_
     """doc_id, kept_text, n_lines (before), n_dropped per document, and ``given`` (the
     columns of ``carry``)."""
     lost = (dropped_keys(docs, min_chars, min_docs, filter_bits)
-            .distinct().groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("lost")))   # one document's lines
+            .groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("lost")))   # one document's lines
     extra = [F.struct(*carry).alias("given")] if carry else []
     rows = doc_rows(docs, *extra).join(lost.hint("shuffle_hash"), "doc_id", "left")
     given = [f for f in rows.schema.fields if f.name == "given"]
