@@ -213,7 +213,7 @@ def fit_rules(counts: DataFrame, labels: DataFrame, max_false_rejection: float =
             if n == 0 or p > limit:
                 break
             gain = caught - weight * k
-            if best is None or gain > best[0]:
+            if gain > (best[0] if best else 0):               # a cut that costs more than it catches is none
                 best = (gain, cut, k, caught, p)
         gain, cut, k, caught, p = best or (0, None, 0, 0, None)
         return pd.DataFrame({"stratum": [pdf.stratum.iloc[0]], "cut": [cut], "n_good": [n], "k_good": [k],
