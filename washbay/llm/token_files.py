@@ -6,7 +6,8 @@ shuffled. Ids are dictionary-encoded (a vocabulary fits one dictionary page) and
 zstd-compressed; row groups and pages are kept small and the writer adds column and offset
 indexes, so a reader that filters on doc_id or asks for metadata columns touches only their
 pages. Reading back needs no order between tasks: a file holds a range of doc_ids, per-file
-sums give each file's first position, and a window inside the file gives each row's.
+sums give each file's first position, and a window over the row numbers inside the file
+gives each row's.
 
 NULL or empty texts hold the end id only; rows with the same id stand next to each other;
 a NULL id comes first.
@@ -87,15 +88,16 @@ def token_positions(spark: SparkSession, path: str) -> DataFrame:
             body = memoryview(values.tobytes())
             crc = [zlib.crc32(body[4 * a:4 * b]) for a, b in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(crc, pa.int64()),
-                                              batch.column(2), pa.array(np.arange(len(crc)))],
+                                              batch.column(2), batch.column(3)],
                                              names=["doc_id", "n_tokens", "ids_crc32", "file", "seat"])
 
-    rows = (spark.read.parquet(path).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"))
+    place = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("seat")]
+    rows = (spark.read.parquet(path).select("doc_id", "ids", *place)
             .mapInArrow(digest, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, file string, seat bigint"))
     meta = spark.read.parquet(path).select("doc_id", "n_tokens", F.col("_metadata.file_name").alias("file"))
     files = meta.groupBy("file").agg(F.min("doc_id").alias("lo"), F.sum("n_tokens").alias("n"))      # a row per file
     files = files.select("file", (F.sum("n").over(Window.orderBy("lo")) - F.col("n")).alias("base"))
-    inside = Window.partitionBy("file").orderBy("doc_id", "seat")                                   # one file's rows
+    inside = Window.partitionBy("file").orderBy("seat").rowsBetween(Window.unboundedPreceding, 0)   # one file's rows, as they stand
     return (rows.join(files, "file")
             .select(given_id(), (F.col("base") + F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("start"),
                     "n_tokens", "ids_crc32"))
