@@ -37,7 +37,7 @@ from washbay.llm.common import _BASE, _BYTE_CODE, _LOWER, NULL_ID, as_signed, do
 
 MIN_CHARS = 7
 BITS = 16                      # filter bits per word
-ROUND_WORDS = 16 << 20         # words whose filters are broadcast at once: 32 MB
+ROUND_WORDS = 4 << 20          # words whose filters are filled (64 MB of blocks to the driver) and broadcast (8 MB) at once
 LENGTHS = 64                   # words of this length or more share a shard
 PROBES = 1 << 20               # edits generated at a time
 
@@ -160,7 +160,7 @@ def word_hash(words: pa.Array) -> np.ndarray:
     return out
 
 
-def edits(points: np.ndarray, letters: np.ndarray):
+def edits(points: np.ndarray, letters: np.ndarray, deletions: bool = True, replacements: bool = True):
     """(hash, word, position, letter) arrays of the deletions (letter 0) and of the
     replacements by a larger letter; of a run of one letter only the last may be deleted.
     At most about PROBES edits come at a time."""
@@ -171,9 +171,10 @@ def edits(points: np.ndarray, letters: np.ndarray):
         left = np.zeros(n, dtype=np.uint64)
         for i in range(length):
             mine = _POINT_CODE[points[:, i]] * p[i]
-            at = np.flatnonzero(points[:, i] != points[:, i + 1]) if i + 1 < length else np.arange(n)
-            yield mix(left[at] + (whole - left - mine)[at] * _INVERSE), at, i, np.zeros(len(at), dtype=np.uint8)
-            for k in range(0, len(letters), step := max(1, PROBES // max(1, n))):
+            if deletions:
+                at = np.flatnonzero(points[:, i] != points[:, i + 1]) if i + 1 < length else np.arange(n)
+                yield mix(left[at] + (whole - left - mine)[at] * _INVERSE), at, i, np.zeros(len(at), dtype=np.uint8)
+            for k in range(0, len(letters) if replacements else 0, step := max(1, PROBES // max(1, n))):
                 new = letters[k:k + step]
                 word, which = np.nonzero(new[None, :] > points[:, i][:, None])
                 yield mix((whole - mine)[word] + _POINT_CODE[new[which]] * p[i]), word, i, new[which]
@@ -261,12 +262,15 @@ def near_pairs(vocabulary: DataFrame, bits: int = BITS, round_words: int = ROUND
                 size = pc.utf8_length(words).to_numpy(zero_copy_only=False)
                 for n in np.unique(size):
                     n, rows = int(n), np.flatnonzero(size == n)
+                    less, same = min(n - 1, LENGTHS) in turn, min(n, LENGTHS) in turn       # shards that this round holds
+                    if not (less or same):
+                        continue
                     for i in range(0, len(rows), step := max(1, PROBES // (64 + n))):
                         part = rows[i:i + step]
-                        for h, word, place, letter in edits(_points(words.take(pa.array(part)), n), alphabet):
-                            out = min(n, LENGTHS) if len(letter) and letter[0] else min(n - 1, LENGTHS)
-                            if out not in turn or not len(h):
+                        for h, word, place, letter in edits(_points(words.take(pa.array(part)), n), alphabet, less, same):
+                            if not len(h):
                                 continue
+                            out = min(n, LENGTHS) if letter[0] else min(n - 1, LENGTHS)
                             index, slices, _ = turn[out]
                             mask = _mask(h)
                             hit = (data.value[_block(h, at[out])] & mask) == mask
