@@ -325,6 +325,27 @@ def test_many_next_free_ids_match_loop(spark):
     assert sorted(r.id for r in I.next_free_ids(spark.createDataFrame([], "order_id long"), 5).collect()) == [1, 2, 3, 4, 5]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_free_ids_around_block_borders(spark, seed):
+    """Full, nearly full, sparse and missing blocks of 65,536 ids, repeated ids, NULLs and ids below 1."""
+    rnd = random.Random(seed)
+    block = I.ID_BLOCK
+    ids = {*range(1, block + 50), *range(2 * block - 3, 2 * block + 3), *(3 * block + rnd.randrange(block) for _ in range(6000)), 5 * block, 9 * block - 1}
+    ids -= {17, block - 1, block, block + 1}
+    rows = [(i,) for i in [*ids, *list(ids)[:500], 0, -5, None]]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "order_id long").repartition(5)
+    for k in (1, 5, block + 10, 3 * block):
+        free, x = [], 1
+        while len(free) < k:
+            if x not in ids:
+                free.append(x)
+            x += 1
+        assert sorted(r.id for r in I.next_free_ids(df, k, chunk=30_000).collect()) == free
+    packed = {r.block: r.taken for r in I.id_blocks(df).select("block", "taken").collect()}
+    assert packed == {b: sum(1 for i in ids if i >> 16 == b) for b in {i >> 16 for i in ids}}
+
+
 @pytest.mark.parametrize("hot_rows", [1, None])
 def test_keyed_scan_null_key_spanning_partitions(spark, hot_rows):
     rows = [(i, T0 + dt.timedelta(minutes=i), None if i % 4 else "a", 1) for i in range(3000)]

@@ -6,6 +6,10 @@ fail, so valid and rejected rows come out of the same scan (``split_outcome``).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,35 +104,96 @@ def price_from_matrix(bk: DataFrame, matrix: DataFrame | None = None) -> DataFra
 
 
 # W2
+ID_BLOCK = 1 << 16       # ids of one block share all but their last 16 bits
+SPARSE = ID_BLOCK // 16  # up to this many ids, two bytes an id take no more room than the block's bitmap
+PACKED_AT_ONCE = 1 << 20
+
+
+def id_blocks(ids_df: DataFrame, col: str = "order_id") -> DataFrame:
+    """block, taken, bits for every block of 65,536 ids (block = id >> 16) that holds a
+    positive id: how many of its ids are taken, and which (a bitmap of 8 KB).
+
+    Tasks pack the ids they read before the shuffle: a block's ids go as a bitmap, or as two
+    bytes each where they are few, so what is shuffled is at most two bytes an id and a
+    bitmap per task and block, whatever is repeated."""
+    def bitmap(low: np.ndarray) -> bytes:
+        taken = np.zeros(ID_BLOCK, dtype=bool)
+        taken[low] = True
+        return np.packbits(taken).tobytes()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def emit():
+            ids = np.unique(np.concatenate(held))
+            block = ids >> 16
+            first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            ends = np.append(first[1:], len(ids))
+            low, body = (ids & (ID_BLOCK - 1)).astype("<u2"), []
+            for a, b in zip(first.tolist(), ends.tolist()):
+                body.append(low[a:b].tobytes() if b - a <= SPARSE else bitmap(low[a:b]))
+            for i in range(0, len(body), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(block[first[i:i + 10_000]]), pa.array(ends[i:i + 10_000] - first[i:i + 10_000] > SPARSE),
+                                                  pa.array(body[i:i + 10_000], pa.binary())], names=["block", "dense", "body"])
+        for b in batches:
+            held.append(b.column(0).to_numpy())
+            if sum(map(len, held)) >= PACKED_AT_ONCE:
+                yield from emit()
+                held = []
+        if sum(map(len, held)):
+            yield from emit()
+
+    def merge(parts: pa.Table) -> pa.Table:
+        taken = np.zeros(ID_BLOCK, dtype=bool)
+        for dense, body in zip(parts["dense"].to_pylist(), parts["body"].to_pylist()):
+            if dense:
+                taken |= np.unpackbits(np.frombuffer(body, dtype=np.uint8)).astype(bool)
+            else:
+                taken[np.frombuffer(body, dtype="<u2")] = True
+        return pa.table({"block": parts["block"].slice(0, 1), "taken": [int(taken.sum())], "bits": pa.array([np.packbits(taken).tobytes()], pa.binary())})
+
+    ids = ids_df.select(F.col(col).cast("bigint").alias("id")).where("id > 0")
+    packed = ids.mapInArrow(pack, "block bigint, dense boolean, body binary")
+    return packed.groupBy("block").applyInArrow(merge, "block bigint, taken bigint, bits binary")
+
+
 def next_free_ids(ids_df: DataFrame, k, col: str = "order_id", chunk: int = 1_000_000) -> DataFrame:
     """The ``k`` (a number, or a Column holding one) smallest positive ids not in
     ``ids_df[col]`` (column ``id``).
 
-    Free ids form runs [start, end]: a start is 1 or id+1, an end is id-1, each not itself
-    taken. The i-th start pairs with the i-th end (the last run is open) by parallel dense
-    ranking; a global running sum of run sizes says how much of each run is still needed,
-    and long runs are cut into ``chunk``-sized pieces before they are expanded, so no task
-    ranks all runs or expands more than ``chunk`` ids. The paired runs are staged: both the
-    running sum and its borders read them."""
+    The taken ids are gathered as bitmaps of blocks (``id_blocks``). A running sum of the
+    blocks' counts in block order says how many ids are free before each block, and so
+    which blocks and which gaps between blocks the k smallest free ids lie in; only these
+    blocks' bitmaps are opened, and gaps are cut into ``chunk``-sized pieces before they are
+    expanded, so no task makes more than a block's or a chunk's ids."""
     spark = ids_df.sparkSession
     k = (F.lit(k) if isinstance(k, int) else k).cast("bigint")
-    ids = ids_df.select(F.col(col).cast("bigint").alias("id")).filter(F.col("id").isNotNull()).distinct()
-    one = spark.range(1, 2).select(F.col("id").alias("s"))   # an attribute, not a literal: stays an equi join
-    starts = (one.unionByName(ids.select((F.col("id") + 1).alias("s"))).filter(F.col("s") >= 1).distinct()
-                 .join(ids, F.col("s") == F.col("id"), "left_anti"))
-    ends = (ids.select((F.col("id") - 1).alias("e")).filter(F.col("e") >= 1).distinct()
-               .join(ids, F.col("e") == F.col("id"), "left_anti"))
-    runs = dense_index(starts, ["s"], "i").join(dense_index(ends, ["e"], "i"), "i", "left")
-    runs = staged(runs.withColumn("size", F.coalesce(F.col("e") - F.col("s") + 1, k)), "free-runs")
-    runs = keyed_scan(runs, [], ["s"], [Scan("before", "sum", F.col("size"), inclusive=False)])
-    need = runs.filter(F.col("before") < k).withColumn("take", F.least(F.col("size"), k - F.col("before")))
-    pieces = need.select("s", "take", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                           F.ceil(F.col("take") / chunk).cast("bigint") - 1)).alias("j"))
+    blocks = staged(id_blocks(ids_df, col), "id-blocks")
+    start = F.col("block") * ID_BLOCK
+    placed = keyed_scan(blocks.select("block", "taken"), [], ["block"],
+                        [Scan("before", "sum", F.col("taken"), inclusive=False), Scan("next", "next", F.col("block"), inclusive=False)])
+    placed = staged(placed.select("block", "next", (F.greatest(start - 1, F.lit(0)) - F.col("before")).alias("free"),
+                                  (F.when(F.col("block") == 0, ID_BLOCK - 1).otherwise(ID_BLOCK) - F.col("taken")).alias("inside")), "placed-blocks")
+
+    def open_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, need, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                free = np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8)) == 0) + block * ID_BLOCK
+                yield pa.RecordBatch.from_arrays([pa.array(free[free > 0][:need])], names=["id"])
+
+    wanted = placed.where((F.col("inside") > 0) & (F.col("free") < k)).select("block", F.least(k - F.col("free"), F.lit(ID_BLOCK)).alias("need"))
+    inside = wanted.join(blocks.select("block", "bits"), "block").select("block", "need", "bits").mapInArrow(open_block, "id bigint")
+
+    after = placed.select((start + ID_BLOCK).alias("s"), (F.col("free") + F.col("inside")).alias("free"),
+                          ((F.col("next") - F.col("block") - 1) * ID_BLOCK).alias("size"))
+    first = placed.agg(F.min("block").alias("block")).select(F.lit(1).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("free"),
+                                                             F.when(F.col("block").isNotNull(), F.greatest(start - 1, F.lit(0))).alias("size"))
+    gaps = after.unionByName(first).withColumn("take", F.least(F.coalesce("size", k), k - F.col("free"))).where("take > 0")
+    pieces = gaps.select("s", "take", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("take") / chunk).cast("bigint") - 1)).alias("j"))
     pieces = pieces.select((F.col("s") + F.col("j") * chunk).alias("p"),
                            F.least(F.lit(chunk).cast("bigint"), F.col("take") - F.col("j") * chunk).alias("n"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return (pieces.repartition(n, "p")
-                  .select(F.explode(F.sequence(F.col("p"), F.col("p") + F.col("n") - 1)).alias("id")))
+    return inside.unionByName(pieces.repartition(n, "p").select(F.explode(F.sequence(F.col("p"), F.col("p") + F.col("n") - 1)).alias("id")))
 
 
 def allocate_ids(batch: DataFrame, existing: DataFrame, order=("seq",), col: str = "order_id") -> DataFrame:
