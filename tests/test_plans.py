@@ -60,6 +60,8 @@ def test_stats_report_is_one_aggregation_pass(spark, sf_dir):
 def test_no_cartesian_or_nested_loop_join(spark, sf_dir, name):
     if name.startswith("x"):
         pytest.skip("streaming replays are checked by the oracle test")
+    if "rewritten" in name:
+        pytest.skip("returns a table read back; the change operators' plans are those of m5 and m7")
     p = plan(E.queries()[name](spark, sf_dir))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
