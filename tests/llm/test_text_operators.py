@@ -74,6 +74,40 @@ def test_ngram_groups(llm, size, num, den, block):
     same(ngram_join.jaccard_groups(df, size, num, den, block=block), brute_groups(rows, size, num, den))
 
 
+def test_ngram_hot_shingle(llm):
+    """One rare shingle in all texts: near copies in one group and texts that share nothing else,
+    far more of both than a block holds."""
+    rng = random.Random(11)
+    base = [f"base{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        w[rng.randrange(5, 120)] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(base[:5] + [f"w{i}x{k}" for k in range(8)])) for i in range(150)]
+    df = llm.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(df, 5, 8, 10, block=16).collect()}
+    want = {i: c for i, _, c in brute_groups(rows, 5, 8, 10)}
+    assert got == want and len(set(want.values())) == 151
+
+
+@pytest.mark.parametrize("at_once", [1, 2, 3, 7, 10_000])
+def test_ngram_blocks_of_a_stream(llm, at_once):
+    """Nodes are numbered right wherever batches end; copies of a node and lone nodes go."""
+    rng = random.Random(at_once)
+    rows = [(g, v, 5, 1) for g in range(40) for v in range(rng.choice([1, 1, 2, 9])) for _ in range(rng.choice([1, 1, 3]))]
+    rng.shuffle(rows)
+    llm.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(at_once))
+    try:
+        got = ngram_join._met(llm.createDataFrame(rows, "gram bigint, node bigint, n bigint, pos int"), 4).collect()
+    finally:
+        llm.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    nodes = collections.defaultdict(set)
+    for g, v, *_ in rows:
+        nodes[g].add(v)
+    assert sorted((r.gram, r.node, r.own) for r in got) == sorted((g, v, v // 4) for g, vs in nodes.items() if len(vs) > 1 for v in vs)
+
+
 def test_ngram_odd_rows(odd_docs, odd_rows, no_docs):
     small = [r for r in odd_rows if len(r[1] or "") < 10_000]
     got = [tuple(r) for r in ngram_join.jaccard_groups(odd_docs, 5, 8, 10).collect() if r[0] not in (7, 8)]

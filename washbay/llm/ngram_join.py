@@ -15,11 +15,14 @@
 4.  Entries that met others carry a bitmap of the set (parity of hashed elements, two to
     four bits per element, ``MAP_BITS`` at most). Inside a shingle's bucket the length, positional and suffix filters
     (the bitmaps' differing bits bound the symmetric difference from below) discard pairs.
-    Buckets larger than ``BLOCK`` are cut into blocks, and each pair of blocks is a group
-    of its own, so a shingle of very many nodes is spread over tasks.
+    A shingle's nodes are numbered as they stream by; every ``BLOCK`` of them are a block,
+    so a shingle of very many nodes is spread over tasks.
 5.  Round one verifies, per block, only a spanning forest of the surviving pairs: linked
-    groups of near copies need n - 1 links, not all pairs. Round two verifies every
-    surviving pair whose ends are still in different components. Each pair is verified
+    groups of near copies need n - 1 links, not all pairs. Of a shingle with several blocks,
+    one entry per component then stands for its block, and a forest of these is verified.
+    Round two verifies every surviving pair whose ends are still in different components;
+    only shingles that still hold several components take part, and only there every block
+    meets every other, so a hot shingle of near copies is never multiplied. Each pair is verified
     once, on the whole sets. No surviving pair is ever dropped, so components are exact.
 
 Texts without words are in no group; NULL texts count as empty.
@@ -164,16 +167,10 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
     members = staged(described, "shingle-sets")
     listed = members.where("prefix IS NOT NULL")
     entries = listed.select("node", "doc_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "gram"))
-    met = map_sorted_groups(entries, ["gram"], ["node"], "gram bigint, node bigint, n bigint, pos int, many bigint", _met)
-    met = staged(met, "prefix-entries")
+    met = staged(_met(entries, block), "prefix-entries")
     holders = staged(listed.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "holders")
     maps = _node_values(rows, holders, met.select("node"), size, order, "map binary", _bitmap)
-    spread = (met.join(maps, "node")
-              .withColumn("blocks", F.ceil(F.col("many") / block).cast("int"))
-              .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "pos", "map"))
-    spread = staged(spread, "prefix-blocks")
+    met = staged(met.join(maps, "node"), "prefix-maps")
 
     def candidates(only_forest: bool, root: bool):
         told: set[tuple[int, int]] = set()                    # pairs of earlier buckets of the same task
@@ -185,11 +182,32 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
         return run
 
     keys = ["gram", "i", "j"]
-    first = map_sorted_groups(spread, keys, ["node"], "a bigint, b bigint", candidates(True, False)).distinct()
-    first = staged(_verify(rows, holders, staged(first, "pairs-1"), size, order, num, den), "checked-1")
-    roots = components(first.where("linked").select("a", "b"))
-    rooted = spread.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    second = map_sorted_groups(rooted, keys, ["node"], "a bigint, b bigint", candidates(False, True)).distinct()
+
+    def forest(listed: DataFrame, name: str) -> DataFrame:
+        """Verified pairs of a spanning forest of each block's candidates; blocks meet no other."""
+        own = listed.select("gram", F.col("own").alias("i"), F.col("own").alias("j"), "own", "node", "n", "pos", "map")
+        pairs = map_sorted_groups(own, keys, ["node"], "a bigint, b bigint", candidates(True, False)).distinct()
+        return staged(_verify(rows, holders, staged(pairs, f"pairs-{name}"), size, order, num, den), f"checked-{name}")
+
+    def rooted(links: DataFrame) -> DataFrame:
+        roots = staged(components(links.where("linked").select("a", "b")), "roots-so-far")
+        return met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    first = forest(met, "1")
+    now = rooted(first)
+    hot = met.where("own > 0").select("gram").distinct()
+    if not hot.isEmpty():                                     # blocks of one shingle: one entry for each of their components
+        heads = now.join(hot, "gram").groupBy("gram", "root").agg(F.min(F.struct("node", "n", "pos", "map")).alias("e"))
+        heads = staged(heads.select("gram", "e.*"), "block-heads")
+        many = heads.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+        heads = heads.join(many, "gram").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        first = staged(first.union(forest(heads, "heads")).distinct(), "checked-blocks")
+        now = rooted(first)
+    apart = (now.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("own").alias("last"))
+             .where("x <> y").select("gram", "last"))
+    spread = (now.join(apart, "gram").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))))
+              .select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "pos", "map", "root"))
+    second = map_sorted_groups(spread, keys, ["node"], "a bigint, b bigint", candidates(False, True)).distinct()
     second = staged(second.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs-2")
     checked = _verify(rows, holders, second, size, order, num, den)
     links = staged(first.union(checked).where("linked").select("a", "b"), "links")
@@ -202,15 +220,46 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
             .withColumn("component_id", given_id("component_id")))
 
 
-def _met(table: pa.Table) -> pa.Table | None:
-    """One row per node of the shingles that at least two nodes hold, with their number."""
-    gram, node = table["gram"].to_numpy(), table["node"].to_numpy()
-    once = group_bounds(gram, node)[:-1]                      # a node's copies in other tasks
-    bounds = group_bounds(gram[once])
-    many = np.repeat(np.diff(bounds), np.diff(bounds))
-    once, many = once[many > 1], many[many > 1]
-    out = table.select(["gram", "node", "n", "pos"]).take(pa.array(once))
-    return out.append_column("many", pa.array(many.astype(np.int64)))
+def _met(entries: DataFrame, block: int) -> DataFrame:
+    """gram, node, n, pos, own: one row per node of the shingles that at least two nodes hold;
+    every ``block`` nodes of a shingle are a block (``own``: 0, 1, ...). A shingle's nodes
+    stream by in order, a batch at a time, and are never gathered."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None                                           # the row before, where it is its shingle's first
+        gram_before, node_before, seat_before = None, None, -1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gram, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            n = len(gram)
+            fresh = np.ones(n, dtype=bool)                    # a shingle's first row in this batch
+            fresh[1:] = gram[1:] != gram[:-1]
+            new = fresh.copy()                                # not a node's copy from another task
+            new[1:] |= node[1:] != node[:-1]
+            goes_on = gram_before is not None and gram[0] == gram_before
+            if goes_on:
+                new[0] = node[0] != node_before
+            count = np.cumsum(new)
+            begin = np.flatnonzero(fresh)
+            seat = count - np.repeat(count[begin] - new[begin], np.diff(np.append(begin, n))) - 1
+            if goes_on:
+                seat[:begin[1] if len(begin) > 1 else n] += seat_before + 1
+            at = np.flatnonzero(new)
+            seats, grams = seat[at], gram[at]
+            paired = seats > 0
+            paired[:-1] |= grams[1:] == grams[:-1]
+            if last is not None and len(at) and goes_on and grams[0] == gram_before:
+                yield last
+            if len(at):
+                last = None
+            rows = batch.take(pa.array(at)).append_column("own", pa.array(seats // block))
+            yield rows.filter(pa.array(paired))
+            if len(at) and not paired[-1]:
+                last = rows.slice(len(at) - 1)
+            gram_before, node_before, seat_before = gram[-1], node[-1], seat[-1]
+
+    ordered = entries.select("gram", "node", "n", "pos").repartition("gram").sortWithinPartitions("gram", "node")
+    return ordered.mapInArrow(run, "gram bigint, node bigint, n bigint, pos int, own bigint")
 
 
 def _node_values(rows: DataFrame, holders: DataFrame, nodes: DataFrame, size: int, order, column: str, value) -> DataFrame:
