@@ -153,3 +153,23 @@ def test_day_filter_prunes_partitions_of_the_sink(spark, sf_dir):
     text = plan(day)
     assert "visit_day" in text.split("PartitionFilters: [")[1].split("]")[0]
     assert day.count() == sum(1 for i in range(200) if i % 10 and i % 5 + 1 in (3, 4))
+
+
+def test_list_numbers_are_planned_without_their_input(spark, sf_dir):
+    """The plan of a numbered list reads staged ranges: it does not grow with the plan of what is numbered."""
+    from washbay.operators import catalog as CA
+    cat, ren = fixture(spark, sf_dir, "catalog_edited"), fixture(spark, sf_dir, "catalog_renames")
+    new = cat.limit(5).select(F.concat("name", F.lit(" new")).alias("name"), "bike", "sedan", "suv", "visible", "description")
+    for df in (CA.renumber(cat), CA.append_at_tail(cat, new), CA.rename_items(cat, ren)[0]):
+        p = plan(df)
+        assert "Subquery" not in p and "Exchange SinglePartition" in p and len(p) < 20_000
+
+
+def test_dense_numbers_of_ranges(spark):
+    from washbay.plans.ranking import dense_index
+    rows = [(None if i % 7 == 0 else (i * 37) % 100, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(5)
+    want = {r: k for k, r in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])), 1)}
+    for pieces in (None, 3, 50):
+        assert {(r.a, r.b): r.rn for r in dense_index(df, ["a", "b"], partitions=pieces).collect()} == want
+    assert dense_index(df.limit(0), ["a", "b"]).count() == 0

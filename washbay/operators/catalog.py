@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from washbay.functions.columns import first_int, norm_bool, norm_text
 from washbay.operators.filters import ntz
 from washbay.plans.components import components
-from washbay.plans.keyed import Pieces, Scan, keyed_scan
+from washbay.plans.keyed import Scan, keyed_scan
 from washbay.plans.ranking import dense_index
 from washbay.plans.staging import staged
 
 POS_LAST = 1_000_000_000   # fixed value: the browser's stand-in for a missing position
+REPLAYED_ROWS = 8192       # rows of refused rename components a pandas group aims for
 FIELDS = ("bike", "sedan", "suv", "visible", "description")
 
 
@@ -58,6 +59,7 @@ def append_at_tail(cat: DataFrame, new: DataFrame, now=None) -> DataFrame:
     fresh = new.join(cat.select("name"), "name", "left_anti").withColumn("position", F.lit(None).cast("int"))
     if "updated_at" in cat.columns:
         fresh = fresh.withColumn("updated_at", _stamp(now))
+    fresh = staged(fresh, "fresh-items")
     late = F.col("name") > fresh.agg(F.min("name")).scalar()
     both = (cat.withColumn("_late", F.lit(False))
             .unionByName(fresh.select(*cat.columns, F.coalesce(late, F.lit(False)).alias("_late"))))
@@ -75,18 +77,17 @@ def move_clusters(items: DataFrame) -> DataFrame:
     without a key, so the items are cut into pieces and never meet in one task; a scan that
     builds on another reads its staged rows."""
     n = F.col("n")
-    pieces = Pieces(items, [], ["at"])
 
-    def scan(rows: DataFrame, order: Column, s: Scan, shared: Pieces | None = None) -> DataFrame:
-        return staged(keyed_scan(rows, [], [order], [s], pieces=shared), "move-scan")
+    def scan(rows: DataFrame, order: Column, s: Scan) -> DataFrame:
+        return staged(keyed_scan(rows, [], [order], [s]), "move-scan")
 
-    summed = scan(items, F.col("at"), Scan("total", "sum", n), pieces)
-    right = scan(summed, F.col("at"), Scan("far", "max", F.col("at") - F.col("total") + n), pieces)
+    summed = scan(items, F.col("at"), Scan("total", "sum", n))
+    right = scan(summed, F.col("at"), Scan("far", "max", F.col("at") - F.col("total") + n))
     both = scan(right, -F.col("at"), Scan("near", "max", F.col("total") - F.col("at")))
     both = both.select("name", "at", (F.col("total") - n - F.col("near")).alias("left"), (F.col("total") + F.col("far")).alias("right"))
-    cut = scan(both, F.col("at"), Scan("before", "last", F.col("right"), inclusive=False), pieces)
+    cut = scan(both, F.col("at"), Scan("before", "last", F.col("right"), inclusive=False))
     apart = (F.coalesce(F.col("left") > F.col("before") + 2, F.lit(False))).cast("bigint")
-    numbered = keyed_scan(cut, [], ["at"], [Scan("cluster", "sum", apart)], pieces=pieces)
+    numbered = keyed_scan(cut, [], ["at"], [Scan("cluster", "sum", apart)])
     return numbered.select("name", "cluster", (F.col("left") - 1).alias("lo"), (F.col("right") + 1).alias("hi"))
 
 
@@ -199,9 +200,10 @@ def _upserted(cat: DataFrame, named: DataFrame, now) -> DataFrame:
 
 def _relisted(rows: DataFrame, first, now) -> DataFrame:
     """Renumber after a batch whose first successful request has ``seq`` = ``first``."""
-    late = F.coalesce(F.col("_arrival") > first, F.lit(False))
-    order = [late, F.col("position").isNull(), F.col("position"), F.when(late, F.col("_arrival")), F.col("_sort").isNull(), F.col("_sort")]
-    return _placed(rows, order, now).drop("changed", "_arrival", "_sort")
+    rows = staged(rows.withColumn("_late", F.coalesce(F.col("_arrival") > first, F.lit(False))), "relisted")
+    order = [F.col("_late"), F.col("position").isNull(), F.col("position"), F.when(F.col("_late"), F.col("_arrival")),
+             F.col("_sort").isNull(), F.col("_sort")]
+    return _placed(rows, order, now).drop("changed", "_arrival", "_sort", "_late")
 
 
 # M1
@@ -283,7 +285,7 @@ def rename_items(cat: DataFrame, batch: DataFrame, now=None):
     per name). A component in which no request is refused is settled in parallel, whatever
     its size (``settled_renames``). A refused request leaves its names as they were, which
     later requests may or may not see, so a component with a refusal is sequential by
-    definition: it is replayed in ``seq`` order as one group."""
+    definition: it is replayed in ``seq`` order within one group."""
     nb_all = _norm_batch(batch)
     empty = nb_all.filter(F.col("name") == "").withColumn("reject_reason", F.lit("missing service name"))
     nb = nb_all.filter(F.col("name") != "")
@@ -338,7 +340,12 @@ def rename_items(cat: DataFrame, batch: DataFrame, now=None):
         table["updated_at"] = pd.to_datetime(table["updated_at"])
         return table
 
-    replayed = staged(old.unionByName(req).join(refused, "root", "left_semi").groupBy("root").applyInPandas(replay, schema), "renames-replayed")
+    # components have no name in common, so those of a bucket are replayed together: pandas groups cost more than their rows
+    again = staged(old.unionByName(req).join(refused, "root", "left_semi"), "renames-refused")
+    buckets = F.greatest(F.lit(1), F.ceil(again.agg(F.count(F.lit(1))).scalar() / F.lit(REPLAYED_ROWS)))
+    n = int(cat.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = again.withColumn("_bucket", F.pmod(F.xxhash64("root"), buckets)).repartition(n, "_bucket")
+    replayed = staged(dealt.groupBy("_bucket").applyInPandas(replay, schema), "renames-replayed")
     done = replayed.filter(F.col("reject_reason").isNull()).select(*settled.columns).unionByName(settled)
     # the first request that succeeds (of either kind) renumbers the list
     first = F.least(done.filter("touched").agg(F.min("seq")).scalar(),

@@ -68,7 +68,7 @@ def price_bookings(bk: DataFrame, catalog: DataFrame) -> DataFrame:
     # a catalogue has one row per service name (its key); should a source repeat one,
     # take the lowest price so the result does not depend on row order
     offers = offers.groupBy("_svc", "_key").agg(F.min("_base").alias("_base"))
-    joined = bk.join(offers,
+    joined = bk.join(offers.hint("merge"),           # by its files' size the catalogue may look small
                      (bk["service"] == F.col("_svc")) & (price_column_for(bk["vehicle"]) == F.col("_key")), "left")
     place = F.col("visit_place") if "visit_place" in bk.columns else F.col("visit")
     return (joined.withColumn("price", F.when(F.col("_base").isNotNull(), home_surcharge(F.col("_base"), place)))
@@ -200,7 +200,8 @@ def allocate_ids(batch: DataFrame, existing: DataFrame, order=("seq",), col: str
     """Give each row of ``batch`` (ordered by ``order``) the next smallest free id,
     all in one job instead of one read-then-insert per row (no collisions).
     The number of ids needed is a scalar subquery over the batch."""
+    batch = staged(batch, "unnumbered")                      # counted and ranked
     k = batch.agg(F.count(F.lit(1))).scalar()
     free = dense_index(staged(next_free_ids(existing, k, col), "free-ids"), ["id"], "_i")
     ranked = dense_index(batch, list(order), "_i")
-    return ranked.join(free, "_i").withColumnRenamed("id", col).drop("_i")
+    return ranked.join(free.hint("merge"), "_i").withColumnRenamed("id", col).drop("_i")

@@ -8,8 +8,9 @@ the key columns alone when the scan is set up). A key is heavy if it holds at le
 piece's share of the rows and ``HOT_ROWS`` of them; the sketch misses none of these, and a
 key that it reports wrongly is scanned the other way, with the same result.
 
-Without heavy keys the scan is the plain window: one read, one shuffle. Otherwise, and for
-scans over the whole table (no keys), the heavy rows are cut:
+Without heavy keys the scan is the plain window: one read, one shuffle. Scans over the whole
+table (no keys) sort it once into ranges of the order (``in_ranges``, staged); a range is a
+piece, and only the pieces' totals (a row each) are carried on. Otherwise the heavy rows are cut:
 
 1. a deterministic sample of their (key, order) tuples (a hash condition whose rate
    follows from the row count, about ``SAMPLE`` rows per piece) gives the piece borders, a
@@ -37,6 +38,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from washbay.plans.staging import staged
 from washbay.session import ensure_checkpoint_dir
 
 U_PREC = Window.unboundedPreceding
@@ -53,6 +55,17 @@ def frozen_layout(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_ranges(df: DataFrame, order: list, pieces: int | None = None) -> DataFrame:
+    """``df`` sorted by ``order`` into ranges (a task each; ``pieces``: how many to aim for), with
+    ``_pid``, a range's number in their order, and ``_nth``, a row's place in its range from 0.
+    Staged: the numbers stay as they are, and what reads them does not plan ``df`` again."""
+    by = [F.col(o) if isinstance(o, str) else o for o in order]
+    ranges = df.repartitionByRange(pieces, *by).sortWithinPartitions(*by) if pieces else df.orderBy(*by)
+    rows = staged(ranges.withColumn("_m", F.monotonically_increasing_id()), "ranges")
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.shiftright("_m", 33).cast("int").alias("_pid"),
+                       F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_nth"))
+
+
 @dataclass
 class Scan:
     out: str
@@ -77,14 +90,13 @@ def heavy_keys(df: DataFrame, keys: list[str], pieces: int, hot_rows: int | None
 
 class Pieces:
     """How the rows of ``df`` are cut for scans over (keys, order): ``heavy`` holds the hashes
-    of the heavy keys (None: the whole table is one key). One object serves several scans
-    over frames that still hold these columns."""
+    of the heavy keys. One object serves several scans over frames that still hold these columns."""
 
     def __init__(self, df: DataFrame, keys: list[str], order: list, pieces: int | None = None, hot_rows: int | None = None):
         self.keys = keys
         self.order = [F.col(o) if isinstance(o, str) else o for o in order]
         self.n = n = max(2, pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        self.heavy = heavy_keys(df, keys, n, hot_rows) if keys else None
+        self.heavy = heavy_keys(df, keys, n, hot_rows)
         if self.plain:
             return
         parts = [F.col(k) for k in keys] + self.order
@@ -101,11 +113,11 @@ class Pieces:
     @property
     def plain(self) -> bool:
         """No key needs cutting."""
-        return self.heavy is not None and not self.heavy
+        return not self.heavy
 
     @property
     def is_heavy(self) -> Column:
-        return F.lit(True) if self.heavy is None else F.xxhash64(*self.keys).isin(self.heavy)
+        return F.xxhash64(*self.keys).isin(self.heavy)
 
     def tag(self, df: DataFrame) -> DataFrame:
         """``df`` with ``_pid``, the number of borders at or before a heavy row (0 for others),
@@ -140,18 +152,26 @@ def keyed_scan(df: DataFrame, keys: list[str], order: list, scans: list[Scan],
     """``df`` with one column per scan. ``partitions``: pieces to aim for (default: the
     session's shuffle partitions); ``pieces``: heavy keys and borders to share with other
     scans; ``hot_rows``: see ``heavy_keys`` (default HOT_ROWS)."""
-    p = pieces or Pieces(df, keys, order, partitions, hot_rows)
-    named = [f"_o_{i}" for i in range(len(p.order))]
     scans = list(scans)
-    cut = df if p.plain else p.tag(df)
-    cut = cut.select("*", *[o.alias(n) for o, n in zip(p.order, named)], *[s.expr.alias(f"_v_{s.out}") for s in scans])
+    p = (pieces or Pieces(df, keys, order, partitions, hot_rows)) if keys else None
+    places = p.order if p else [F.col(o) if isinstance(o, str) else o for o in order]
+    named = [f"_o_{i}" for i in range(len(places))]
+
+    def valued(rows: DataFrame) -> DataFrame:
+        return rows.select("*", *[o.alias(n) for o, n in zip(places, named)], *[s.expr.alias(f"_v_{s.out}") for s in scans])
+
+    if not keys:
+        cut = in_ranges(valued(df), named, partitions).withColumn("_split", F.lit(True))
+        named = ["_nth"]
+    else:
+        cut = valued(df if p.plain else p.tag(df))
     held = [Scan(s.out, s.kind, F.col(f"_v_{s.out}"), s.inclusive) for s in scans]
-    by = [*keys] if p.plain else [*keys, "_pid"]
+    by = [*keys] if p and p.plain else [*keys, "_pid"]
     run = Window.partitionBy(*by).orderBy(*named)
     back = Window.partitionBy(*by).orderBy(*[F.col(n).desc() for n in named])
     zero = {s.out: F.coalesce(F.col(f"_l_{s.out}"), F.lit(0)) if s.kind == "sum" else F.col(f"_l_{s.out}") for s in scans}
     scanned = cut.select("*", *[_running(s, run, back).alias(f"_l_{s.out}") for s in held])
-    if p.plain:
+    if p and p.plain:
         return scanned.select(*[F.col(f"`{c}`") for c in df.columns], *[zero[s.out].alias(s.out) for s in scans])
 
     place, summary, carry = F.struct(*named), [], []
