@@ -130,3 +130,14 @@ def test_replay_delivers_rows_without_a_time(spark):
     rows = [(1, at(0), "p", "u"), (2, None, "q", "u"), (3, at(90), "p", "u")]
     out = X.replay(spark, spark.createDataFrame(rows, REQ), lambda s: X.stream_code_cooldown(s, 60), "null-times")
     assert sorted(r.seq for r in out.collect()) == [1, 2, 3]
+
+
+def test_cooldown_state_comes_with_the_rows(spark):
+    """No message per look at a key's state, and numbers beyond 2^53 stay whole beside missing ones."""
+    big = (1 << 53) + 1
+    chunks = [[(big, at(0), "p", "u"), (None, at(0.5), "p", "u")], [(big + 2, at(2), "p", "u"), (4, at(90), "q", "u")]]
+    for hold in (False, True):
+        got, q = drive(spark, f"cool-rows-{hold}", chunks, REQ, lambda s, hold=hold: X.stream_code_cooldown(s, 60, "0 seconds", hold))
+        assert {(r.seq, r.ts, r.phone, r.accepted) for r in got} == {
+            (big, at(0), "p", True), (None, at(0.5), "p", False), (big + 2, at(2), "p", True), (4, at(90), "q", True)}
+        assert "transformWithState" not in q.lastProgress["stateOperators"][0]["operatorName"]
