@@ -299,6 +299,69 @@ def test_lm_learns_order_of_rare_words(llm):
     assert sum(r.score for r in held) > 0.7 * sum(r.base_score for r in held)
 
 
+def lm_counts(rows, out):
+    """Training words, and n-grams of each kind by context."""
+    words, grams = collections.Counter(), [collections.defaultdict(collections.Counter) for _ in range(3)]
+    for (_, text), held in zip(rows, out):
+        w = [None, None, *WORDS.findall((text or "").translate(LOWER)), ""]
+        for i in range(2, len(w)):
+            if not held:
+                words[w[i]] += 1
+                for kind, context in enumerate((w[i - 2], w[i - 1], (w[i - 2], w[i - 1]))):
+                    grams[kind][context][w[i]] += 1
+    return words, grams
+
+
+@pytest.mark.parametrize("options", [{}, {"KNOWN": 800, "BLOCK_BYTES": 3000, "PART_KEYS": 500, "HOT": 60, "HOT_BLOCK": 2}])
+def test_lm_counts_reach_every_token(llm, monkeypatch, options):
+    """Scores of an untrained slot model are its probabilities refined by the exact counts, however
+    blocks and groups are cut, and where hot contexts are spread; shuffle files go with each round."""
+    import glob
+    import numpy as np
+    for name, value in options.items():
+        monkeypatch.setattr(maxent_lm, name, value)
+    rng = random.Random(8)
+    vocabulary = [f"{'the' if k < 3 else 'w'}{k}" for k in range(2000)]
+    rows = [(i, " ".join(vocabulary[min(int(rng.expovariate(0.02 if rng.random() < .7 else 0.001)), 1999)] for _ in range(rng.randrange(90))))
+            for i in range(150)] + [(200, None), (201, "the0"), (None, "the1 the0"), (3, "the1 the0 new")]
+    docs = llm.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    given = llm.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    files = lambda: set(glob.glob(f"{local}/blockmgr-*/*/shuffle_*.data"))
+    local = llm.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0].rsplit("/blockmgr-", 1)[0]
+    before = files()
+    df = maxent_lm.score_documents(docs, rounds=0)
+    left = files() - before
+    assert not left and llm.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == given
+    out = check_lm(df, rows)
+    words, grams = lm_counts(rows, out)
+    model = maxent_lm.Model(maxent_lm.Vocabulary(maxent_lm._word_counts(
+        maxent_lm.doc_rows(docs).where(~maxent_lm.held_out(docs.doc_id)))))
+    got = collections.defaultdict(list)
+    for x in df.collect():
+        got[x.doc_id].append(x.score)
+    for i, text in rows:
+        t = maxent_lm.Tokens(maxent_lm.Texts(np.frombuffer((text or "").encode() + bytes(64), np.uint8), np.array([0, len(text or "")])))
+        slot = model.v.slots(t.hash)
+        w = [None, None, *WORDS.findall((text or "").translate(LOWER)), ""]
+        want = 0.0
+        for k, (s, room) in enumerate(zip(model.score(slot, t.first), model.v.log_room[slot])):
+            p = 10 ** (s - room) * (words[w[k + 2]] + 1 if slot[k] >= maxent_lm.OWN else 1)
+            for kind, context in enumerate((w[k], w[k + 1], (w[k], w[k + 1]))):
+                seen = grams[kind].get(context, {})
+                if seen:
+                    p = (seen.get(w[k + 2], 0) + len(seen) * p) / (sum(seen.values()) + len(seen))
+            want += math.log10(p)
+        assert min(abs(x / want - 1) for x in got[i]) < 1e-6
+
+
+def test_lm_run_sums():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    size = np.concatenate([rng.integers(1, 30, 200), [1, 8, 9, 700]])
+    rows, at = rng.normal(size=(size.sum(), 32)).astype(np.float32), np.cumsum(size) - size
+    assert np.array_equal(maxent_lm.run_sums(rows, at, size), np.add.reduceat(rows, at, axis=0))
+
+
 def test_lm_refined_probabilities_sum_to_one():
     import numpy as np
     words, texts = "abcd", ["abacabd", "bad", "", "aabbaacc"]
