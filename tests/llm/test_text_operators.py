@@ -354,6 +354,40 @@ def test_lm_counts_reach_every_token(llm, monkeypatch, options):
         assert min(abs(x / want - 1) for x in got[i]) < 1e-6
 
 
+def test_lm_holds_little_of_a_block(llm, monkeypatch, tmp_path):
+    """Scoring a block, and counting a group, take few bytes a token (two workers share an executor)."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps, PandasGroupedOpsMixin
+    monkeypatch.setattr(maxent_lm, "BLOCK_BYTES", 2 << 20)
+    monkeypatch.setattr(maxent_lm, "PART_KEYS", 1 << 20)
+    folder = str(tmp_path)
+
+    def peak(name, fn, *tables):
+        import tracemalloc
+        import uuid
+        tracemalloc.start()
+        try:
+            out = fn(*tables)
+            most = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        with open(f"{folder}/{name}-{uuid.uuid4().hex}", "w") as f:
+            f.write(str(most))
+        return out
+
+    count, score = PandasGroupedOpsMixin.applyInArrow, PandasCogroupedOps.applyInArrow
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInArrow",
+                        lambda self, fn, schema: count(self, lambda asked: peak("count", fn, asked), schema))
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow",
+                        lambda self, fn, schema: score(self, lambda texts, found: peak("score", fn, texts, found), schema))
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(20_000)]
+    rows = [(3 * i, " ".join(rng.choices(vocabulary, k=1000))) for i in range(700)]     # two or three blocks
+    df = maxent_lm.score_documents(llm.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), rounds=0).collect()
+    assert len(df) == len(rows) and sum(r.n_tokens for r in df) == 700 * 1001
+    most = {name: max(int(p.read_text()) for p in tmp_path.glob(f"{name}-*")) for name in ("count", "score")}
+    assert most["score"] < 120 << 20 and most["count"] < 64 << 20              # 400,000 tokens a block
+
+
 def test_lm_run_sums():
     import numpy as np
     rng = np.random.default_rng(2)
