@@ -28,6 +28,7 @@ PRICE_MATRIX = [
     ("SUV", "Basic", 200), ("SUV", "Premium", 250), ("SUV", "Detailing", 2500),
 ]
 REQUIRED = ["name", "phone", "vehicle", "service", "date", "time"]
+FEW_SERVICES = 2000                                  # a catalogue of at most so many rows is broadcast
 
 
 def split_outcome(df: DataFrame, reason: str = "reject_reason"):
@@ -60,7 +61,9 @@ def clean_bookings(raw: DataFrame, keep=("seq",)) -> DataFrame:
 def price_bookings(bk: DataFrame, catalog: DataFrame) -> DataFrame:
     """Price each booking from the catalogue row of its service and the vehicle's
     price column, plus the home-visit surcharge. Unknown, hidden (visible = false;
-    NULL counts as bookable) and not-offered services get a ``reject_reason``."""
+    NULL counts as bookable) and not-offered services get a ``reject_reason``.
+    By its files' size a catalogue may look small, so its rows are counted (up to a limit)."""
+    few = catalog.limit(FEW_SERVICES + 1).count() <= FEW_SERVICES
     offers = (unpivot_prices(catalog.filter(~F.coalesce(F.col("visible") == F.lit(False), F.lit(False))))
               .filter(F.col("price").isNotNull())
               .select(F.col("name").alias("_svc"), F.col("vehicle").alias("_key"),
@@ -68,7 +71,7 @@ def price_bookings(bk: DataFrame, catalog: DataFrame) -> DataFrame:
     # a catalogue has one row per service name (its key); should a source repeat one,
     # take the lowest price so the result does not depend on row order
     offers = offers.groupBy("_svc", "_key").agg(F.min("_base").alias("_base"))
-    joined = bk.join(offers.hint("merge"),           # by its files' size the catalogue may look small
+    joined = bk.join(offers.hint("broadcast" if few else "merge"),
                      (bk["service"] == F.col("_svc")) & (price_column_for(bk["vehicle"]) == F.col("_key")), "left")
     place = F.col("visit_place") if "visit_place" in bk.columns else F.col("visit")
     return (joined.withColumn("price", F.when(F.col("_base").isNotNull(), home_surcharge(F.col("_base"), place)))
